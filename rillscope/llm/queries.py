@@ -50,12 +50,40 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import duplicate_passages
+
+    return duplicate_passages(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import repaired_turns
+
+    return repaired_turns(_table(spark, sf_dir, "conversations"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_binary": op1_token_binary,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_chat_format": op7_chat_format,
+        "op8_decontamination": op8_decontamination,
+        "op10_minhash_dedup": op10_minhash_dedup,
     }
 
 
