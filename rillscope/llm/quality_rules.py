@@ -45,7 +45,7 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "dup_lines": ("n_dup_lines / greatest(n_words, 1)", [0.2, 0.1, 0.05, 0.02, 0.01]),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.25, 0.2, 0.15, 0.1, 0.05]),
     "long_words": ("word_chars / greatest(n_words, 1)", [40.0, 20.0, 12.0, 9.0, 8.0, 7.0]),
-    "shouting": ("n_marks / greatest(n_words, 1)", [0.9, 0.7, 0.5, 0.3, 0.2]),
+    "shouting": ("n_marks / greatest(n_words, 1)", [1.8, 1.4, 1.0, 0.6, 0.4]),
 }
 LENGTH_CLASSES = (100, 400)
 
@@ -57,7 +57,8 @@ def let(value: Column, body) -> Column:
 
 def _repeats(words: Column) -> Column:
     """Words covered by windows of WINDOW words that occur twice or more."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, WINDOW)).alias("h"), i.alias("i")))
+    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
 
     def covered(s: Column) -> Column:
         n = F.size(s)
@@ -66,7 +67,12 @@ def _repeats(words: Column) -> Column:
         empty = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last"))
         return F.aggregate(places, empty, lambda a, p: F.struct((a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    return F.when(F.size(words) > WINDOW, let(F.sort_array(hashes), covered)).otherwise(F.lit(0).cast("long"))
+    def found(h: Column) -> Column:
+        # Most texts repeat no window; only the others are sorted.
+        sorted_hashes = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(sorted_hashes, covered))
+
+    return F.when(F.size(words) > WINDOW, let(hashes, found)).otherwise(F.lit(0).cast("long"))
 
 
 def text_features(docs: DataFrame) -> DataFrame:
@@ -74,26 +80,27 @@ def text_features(docs: DataFrame) -> DataFrame:
 
     n_dup_lines counts the newline-separated lines with a word that equal an
     earlier line; n_repeat_words the words in windows of eight found twice or
-    more.  n_marks counts words ending in two exclamation marks.
+    more; n_marks the exclamation marks.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    # The words are a column of their own: kept from being inlined, they are split once.
     t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), text.alias("t"))
 
     def features(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
-            F.size(F.filter(words, lambda w: F.endswith(w, F.lit("!!")))).cast("long").alias("n_marks"),
-            _repeats(words).alias("n_repeat_words"),
-        )
-
-    words = F.filter(F.split("t", SPACE), lambda w: w != "")
+        return F.struct(F.size(words).cast("long").alias("n_words"), _repeats(words).alias("n_repeat_words"))
+
+    def trimmed(w: Column) -> Column:
+        # White space at an end of the text leaves an empty string there.
+        first, last = (F.get(w, F.lit(0)) == "").cast("int"), (F.get(w, F.size(w) - 1) == "").cast("int")
+        return F.slice(w, 1 + first, F.greatest(F.size(w) - first - last, F.lit(0)))
+
+    words = let(F.split("t", SPACE), trimmed)
     lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    symbols = F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = t.select("doc_id", "lang", let(words, features).alias("f"), symbols.cast("long").alias("n_symbols"), dup.alias("n_dup_lines"))
-    return out.select("doc_id", "lang", "f.n_words", "f.word_chars", "n_symbols", "n_dup_lines", "f.n_repeat_words", "f.n_marks", ((F.col("f.n_words") < 20) | (100 * F.col("f.n_repeat_words") > 30 * F.col("f.n_words"))).alias("base_failed"))
+    marks = let(F.regexp_replace("t", r"[^#*$%&|<>!]+", ""), lambda m: F.struct(F.length(m).alias("all"), F.length(F.replace(m, F.lit("!"), F.lit(""))).alias("symbols")))
+    chars = (F.length("t") - F.length(F.regexp_replace("t", r"[^\x20\x09-\x0D]+", ""))).cast("long")
+    out = t.select("doc_id", "lang", let(words, features).alias("f"), chars.alias("word_chars"), marks.alias("m"), dup.alias("n_dup_lines"))
+    out = out.select("doc_id", "lang", "f.n_words", "word_chars", F.col("m.symbols").cast("long").alias("n_symbols"), "n_dup_lines", "f.n_repeat_words", (F.col("m.all") - F.col("m.symbols")).cast("long").alias("n_marks"))
+    return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def stratum() -> Column:
@@ -119,11 +126,11 @@ def safe_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = features.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
     counts = [F.sum((F.expr(s) > c).cast("long")).alias(f"{rule}_{i}") for rule, (s, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    tally = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
+    tally = materialize(features.sparkSession, held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "tally")
+    strata = tally.count()
     tests = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).cast("double").alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, cuts) in RULES.items() for i, c in enumerate(cuts)))
-    strata = tally.agg(F.count("*").alias("strata"))  # one row
-    rows = tally.join(F.broadcast(strata), how="inner").select("stratum", "n", "strata", F.inline(tests))
-    rows = rows.withColumn("safe", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= F.lit(delta) / (len(RULES) * F.col("strata")))
+    rows = tally.select("stratum", "n", F.inline(tests))
+    rows = rows.withColumn("safe", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / (len(RULES) * max(strata, 1)))
     ends = rows.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("safe"), F.col("step"))).alias("end"), F.collect_list(F.struct("step", "cutoff")).alias("cuts"))
     best = ends.select("stratum", "rule", F.array_max(F.filter("cuts", lambda x: F.col("end").isNull() | (x["step"] < F.col("end")))).alias("best"))
     return best.where("best is not null").select("stratum", "rule", "best.cutoff")

@@ -68,6 +68,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash_dedup import near_duplicates
 
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_chat_format": op7_chat_format,
         "op8_decontamination": op8_decontamination,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_minhash_dedup": op10_minhash_dedup,
     }
 
