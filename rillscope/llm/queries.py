@@ -38,6 +38,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_bytes
+
+    return repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import encoded_lengths, length_histogram
 
@@ -85,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_binary": op1_token_binary,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_counts": op5_token_counts,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_chat_format": op7_chat_format,
