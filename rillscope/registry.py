@@ -5,11 +5,516 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import oracle as o
+from .config import ChangePoints, Config
+from .operators import detectors, inference, periods, sequential, summary, windows
+from .plans.pipeline import Pipeline, compare
+from .schema import events_as_samples
+from .sinks import narrow, wide
+from .sources import concat_frames, normalize
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Callable], Callable]:
+    def add(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def _minima(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.min_intervals(events_as_samples(spark, sf_dir))
+
+
+def _rule_cps(minima: DataFrame) -> DataFrame:
+    """A rule that gives the same change points everywhere: every fortieth bin."""
+    return windows.indexed(minima).where("i % 40 = 0").select("series_id", "epoch", F.least(F.lit(1.0), F.col("rtt_value") / 20).alias("confidence"))
+
+
+def _periods(minima: DataFrame) -> DataFrame:
+    return periods.periods_from_change_points(_rule_cps(minima))
+
+
+def _jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _minima(spark, sf_dir)
+    return periods.latency_jumps(m, _periods(m))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _minima(spark, sf_dir)
+    p = _periods(m)
+    return inference.evidence(periods.latency_jumps(m, p), periods.dispersion_periods(windows.jitter_dispersion(m), p))
+
+
+def _inferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.congestion(_evidence(spark, sf_dir))
+
+
+@_query(o.sql([o.RTT], "SELECT series_id, seq, epoch, rtt_value FROM rtt"))
+def rtt_project(spark, d):
+    return events_as_samples(spark, d).select("series_id", "seq", "epoch", "rtt_value")
+
+
+@_query("SELECT event_type AS series_id, count(*) AS n, sum(CASE WHEN value > 0 AND value <= 10000 THEN 1 ELSE 0 END)::BIGINT AS n_valid FROM events GROUP BY 1")
+def rtt_valid_filter(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.groupBy(F.col("event_type").alias("series_id")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when((F.col("value") > 0) & (F.col("value") <= 10000), 1).otherwise(0)), F.lit(0)).alias("n_valid"))
+
+
+@_query(o.sql([o.RTT], "SELECT epoch, rtt_value, series_id AS source, (seq % 7)::VARCHAR AS destination FROM rtt"))
+def scamper_json_explode(spark, d):
+    """Writes samples as ping records in memory and reads them back through the JSON source."""
+    from .sources import scamper_samples
+
+    s = events_as_samples(spark, d)
+    tx = F.struct(F.floor(F.col("epoch_us") / 1_000_000).cast("bigint").alias("sec"), F.pmod("epoch_us", F.lit(1_000_000)).alias("usec"))
+    answers = F.array(F.struct(F.col("rtt_value").alias("rtt"), tx.alias("tx")), F.struct(F.lit(None).cast("double").alias("rtt"), tx.alias("tx")))
+    record = F.struct(F.lit("ping").alias("type"), F.col("series_id").alias("src"), (F.col("seq") % 7).cast("string").alias("dst"), answers.alias("responses"))
+    good = s.select(F.to_json(record).alias("value"))
+    odd = s.select(F.to_json(F.struct(F.lit("trace").alias("type"))).alias("value")).unionByName(s.select(F.lit("{broken").alias("value")))
+    return scamper_samples(good.unionByName(odd)).select("epoch", "rtt_value", "source", "destination")
+
+
+@_query(o.sql([o.RTT], "SELECT epoch, rtt_value FROM rtt"))
+def influx_frames(spark, d):
+    s = events_as_samples(spark, d).select(F.timestamp_micros("epoch_us").alias("_time"), F.col("rtt_value").alias("_value"), "seq")
+    one, two = s.where("seq % 2 = 0"), s.where("seq % 2 = 1").withColumn("source", F.lit("b"))
+    return concat_frames([one, two]).select("epoch", "rtt_value")
+
+
+@_query(o.sql([o.RTT], "SELECT series_id, seq, epoch, rtt_value FROM rtt"))
+def frame_normalize(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    raw = e.select(F.col("event_type"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"), F.col("value").alias("latency"))
+    return normalize(raw, "event_type").select("series_id", "seq", "epoch", "rtt_value")
+
+
+@_query(o.sql(o.BASE, "SELECT * FROM mins"))
+def min_rtt_15m(spark, d):
+    return _minima(spark, d)
+
+
+@_query(
+    o.sql(
+        [o.RTT],
+        """SELECT series_id, bin_us, min(us) AS epoch_us, min(us) / 1e6 AS epoch, min(rtt_value) AS rtt_value FROM (
+  SELECT series_id, epoch_us AS us, rtt_value, epoch_us - (epoch_us - day0) % 420000000 AS bin_us FROM (
+    SELECT *, min(epoch_us) OVER (PARTITION BY series_id) - min(epoch_us) OVER (PARTITION BY series_id) % 86400000000 AS day0 FROM rtt)) GROUP BY series_id, bin_us""",
+    )
+)
+def min_rtt_7m_anchored(spark, d):
+    return windows.min_intervals(events_as_samples(spark, d), 7)
+
+
+@_query(
+    o.sql(
+        [o.RTT],
+        f"""SELECT series_id, count(*) AS total, bool_and(ordered) AS time_ordered, count(DISTINCT epoch_us) AS unique_timestamps, count(DISTINCT epoch_us) < count(*) AS has_duplicates,
+  count(*) FILTER (sd > 0 AND abs(rtt_value - mu) > 3 * sd) AS outliers, {o.r("average_interval", "max_gap", "min_rtt", "max_rtt", "mean_rtt", "median_rtt", "std_rtt", "duration").replace("round(average_interval", "round(avg(gap)").replace("round(max_gap", "round(max(gap)").replace("round(min_rtt", "round(min(rtt_value)").replace("round(max_rtt", "round(max(rtt_value)").replace("round(mean_rtt", "round(avg(rtt_value)").replace("round(median_rtt", "round(median(rtt_value)").replace("round(std_rtt", "round(stddev_pop(rtt_value)").replace("round(duration", "round((max(epoch_us) - min(epoch_us)) / 1e6")}
+FROM (SELECT *, coalesce(lag(epoch_us) OVER (PARTITION BY series_id ORDER BY seq) <= epoch_us, true) AS ordered, (epoch_us - lag(epoch_us) OVER (PARTITION BY series_id ORDER BY epoch_us, seq)) / 1e6 AS gap,
+  avg(rtt_value) OVER (PARTITION BY series_id) AS mu, stddev_pop(rtt_value) OVER (PARTITION BY series_id) AS sd FROM rtt) GROUP BY series_id""",
+    )
+)
+def validate_metrics(spark, d):
+    return _rounded(windows.validation_metrics(events_as_samples(spark, d)), "average_interval", "max_gap", "min_rtt", "max_rtt", "mean_rtt", "median_rtt", "std_rtt", "duration")
+
+
+@_query(o.sql([o.RTT], "SELECT series_id, seq, epoch, round(gap, 6) AS gap FROM (SELECT *, (epoch_us - lag(epoch_us) OVER (PARTITION BY series_id ORDER BY epoch_us, seq)) / 1e6 AS gap FROM rtt) WHERE gap IS NOT NULL"))
+def time_gaps(spark, d):
+    return _rounded(windows.time_gaps(events_as_samples(spark, d)), "gap")
+
+
+@_query(o.sql([*o.BASE, o.JIT], "SELECT series_id, epoch_us, epoch, round(jitter, 6) AS jitter FROM jit"))
+def jitter_lag(spark, d):
+    return _rounded(windows.jitter(_minima(spark, d)), "jitter")
+
+
+@_query(o.sql([o.RTT, o.RAWJIT], "SELECT series_id, epoch_us, seq, epoch, round(jitter, 6) AS jitter FROM rawjit"))
+def jitter_raw(spark, d):
+    return _rounded(windows.raw_jitter(events_as_samples(spark, d)), "jitter")
+
+
+@_query(o.sql([*o.BASE, o.JIT, o.IQR], "SELECT series_id, epoch_us, round(iqr, 6) AS iqr FROM iqr"))
+def moving_iqr(spark, d):
+    return _rounded(windows.moving_iqr(windows.jitter(_minima(spark, d))), "iqr").select("series_id", "epoch_us", "iqr")
+
+
+@_query(o.sql([*o.BASE, o.JIT], "SELECT series_id, epoch_us, round(average, 6) AS average FROM (SELECT *, avg(jitter) OVER w AS average, count(*) OVER w AS c FROM jit WINDOW w AS (PARTITION BY series_id ORDER BY epoch_us ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING)) WHERE c = 6"))
+def moving_avg(spark, d):
+    return _rounded(windows.moving_average(windows.jitter(_minima(spark, d)), "jitter"), "average").select("series_id", "epoch_us", "average")
+
+
+@_query(o.sql([*o.BASE, *o.TO_DISP], "SELECT series_id, epoch_us, epoch, round(dispersion, 6) AS dispersion FROM disp"))
+def jitter_dispersion(spark, d):
+    return _rounded(windows.jitter_dispersion(_minima(spark, d)), "dispersion")
+
+
+@_query(o.sql(o.TO_CPS, "SELECT * FROM periods"))
+def periods_from_cps(spark, d):
+    return _periods(_minima(spark, d))
+
+
+@_query(o.sql([*o.TO_CPS, o.JUMPS], f"SELECT series_id, cp_idx, start_epoch, end_epoch, has_jump, threshold, {o.r('magnitude')} FROM jumps"))
+def latency_jump(spark, d):
+    return _rounded(_jumps(spark, d), "magnitude")
+
+
+@_query(o.sql(o.TO_CPS, f"SELECT series_id, cp_idx, start_epoch, end_epoch, round(mean_now - mean_before, 6) AS magnitude, mean_now - mean_before > 0.5 * (1 + std_before / mean_before) AND (mean_now - mean_before) / (std_before + 1e-6) > 1 AS has_jump, 0.5::DOUBLE AS threshold FROM {o._stats('mins', 'rtt_value')} WHERE n_now >= 1 AND n_before >= 1"))
+def latency_jump_detailed(spark, d):
+    m = _minima(spark, d)
+    return _rounded(periods.latency_jumps_detailed(m, _periods(m)), "magnitude")
+
+
+@_query(o.sql([*o.TO_CPS, o.JUMPS], "SELECT series_id, count(*) AS total_periods, count(*) FILTER (has_jump) AS jumps, round(count(*) FILTER (has_jump) / count(*), 6) AS jump_ratio, round(avg(magnitude) FILTER (has_jump), 6) AS mean_magnitude, round(max(magnitude) FILTER (has_jump), 6) AS max_magnitude, round(min(magnitude) FILTER (has_jump), 6) AS min_magnitude FROM jumps GROUP BY 1"))
+def jump_stats(spark, d):
+    return _rounded(summary.jump_statistics(_jumps(spark, d)), "jump_ratio", "mean_magnitude", "max_magnitude", "min_magnitude")
+
+
+@_query(o.sql([*o.TO_CPS, *o.TO_DISP, o.DJIT], "SELECT series_id, cp_idx, start_epoch, end_epoch, has_significant_jitter, round(jitter_metric, 6) AS jitter_metric FROM djit"))
+def jitter_dispersion_periods(spark, d):
+    m = _minima(spark, d)
+    out = periods.dispersion_periods(windows.jitter_dispersion(m), _periods(m))
+    return _rounded(out, "jitter_metric").select("series_id", "cp_idx", "start_epoch", "end_epoch", "has_significant_jitter", "jitter_metric")
+
+
+@_query(
+    o.sql(
+        [*o.TO_CPS, o.RAWJIT],
+        """SELECT series_id, cp_idx, round(max(abs(cn / nn - cb / nb)), 6) AS statistic, max(nn) AS n_now, max(nb) AS n_before FROM (
+  SELECT series_id, cp_idx, sum(cur) OVER e AS nn, sum(1 - cur) OVER e AS nb, sum(cur) OVER u AS cn, sum(1 - cur) OVER u AS cb FROM (
+    SELECT p.series_id, p.cp_idx, v.jitter, CASE WHEN v.epoch >= p.start_epoch THEN 1 ELSE 0 END AS cur
+    FROM periods p JOIN rawjit v ON v.series_id = p.series_id AND v.epoch >= p.prev_epoch AND v.epoch <= p.end_epoch)
+  WINDOW e AS (PARTITION BY series_id, cp_idx), u AS (PARTITION BY series_id, cp_idx ORDER BY jitter RANGE UNBOUNDED PRECEDING)) WHERE nn >= 2 AND nb >= 1 GROUP BY series_id, cp_idx""".replace("max(nn) AS", "max(nn)::BIGINT AS").replace("max(nb) AS", "max(nb)::BIGINT AS"),
+    )
+)
+def ks_statistic(spark, d):
+    s = events_as_samples(spark, d)
+    return _rounded(periods.ks_statistics(windows.raw_jitter(s), _periods(windows.min_intervals(s))), "statistic").select("series_id", "cp_idx", "statistic", "n_now", "n_before")
+
+
+@_query(o.sql([*o.TO_CPS, *o.TO_DISP, o.JUMPS, o.DJIT, o.EV], "SELECT series_id, cp_idx, start_epoch, end_epoch, has_jump, has_significant_jitter, round(magnitude, 6) AS magnitude, round(jitter_metric, 6) AS jitter_metric FROM ev"))
+def jump_jitter_join(spark, d):
+    return _rounded(_evidence(spark, d), "magnitude", "jitter_metric").select("series_id", "cp_idx", "start_epoch", "end_epoch", "has_jump", "has_significant_jitter", "magnitude", "jitter_metric")
+
+
+@_query(_SQL["jump_jitter_join"])
+def jump_jitter_tolerance(spark, d):
+    m = _minima(spark, d)
+    p = _periods(m)
+    ev = inference.evidence(periods.latency_jumps(m, p), periods.dispersion_periods(windows.jitter_dispersion(m), p), tolerance=1.0)
+    return _rounded(ev, "magnitude", "jitter_metric").select("series_id", "cp_idx", "start_epoch", "end_epoch", "has_jump", "has_significant_jitter", "magnitude", "jitter_metric")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, start_epoch, is_congested FROM inf"))
+def congestion_state(spark, d):
+    return _inferences(spark, d).select("series_id", "cp_idx", "start_epoch", "is_congested")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, is_congested, round(confidence, 6) AS confidence FROM inf"))
+def inference_confidence(spark, d):
+    return _rounded(_inferences(spark, d), "confidence").select("series_id", "cp_idx", "is_congested", "confidence")
+
+
+@_query(
+    o.sql(
+        o.TO_INF,
+        """SELECT series_id, cp_idx, has_jump OR has_significant_jitter AS is_congested, round(greatest(0.0, least(1.0, CASE
+  WHEN has_jump AND has_significant_jitter THEN 0.8 + CASE WHEN magnitude > 2 * threshold THEN 0.1 ELSE 0 END
+  WHEN has_jump THEN 0.4 + CASE WHEN magnitude > 3 * threshold THEN 0.2 ELSE 0 END
+  WHEN has_significant_jitter THEN 0.2 + CASE WHEN jitter_metric > 2 * jitter_threshold THEN 0.3 ELSE 0 END ELSE 0 END))::DOUBLE, 6) AS confidence FROM ev""",
+    )
+)
+def inference_independent(spark, d):
+    return _rounded(inference.independent(_evidence(spark, d)), "confidence").select("series_id", "cp_idx", "is_congested", "confidence")
+
+
+@_query(
+    o.sql(
+        [
+            *o.TO_INF,
+            "ink AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY start_epoch) AS k, lead(is_congested) OVER (PARTITION BY series_id ORDER BY start_epoch) AS nxt FROM inf)",
+            """fold AS (SELECT series_id, k, cp_idx, is_congested AS s, confidence AS c FROM ink WHERE k = 1
+  UNION ALL SELECT n.series_id, n.k, n.cp_idx, CASE WHEN n.nxt IS NOT NULL AND n.is_congested <> f.s AND n.is_congested <> n.nxt THEN NOT n.is_congested ELSE n.is_congested END,
+    CASE WHEN n.nxt IS NOT NULL AND n.is_congested <> f.s AND n.is_congested <> n.nxt THEN least(n.confidence, 0.3) ELSE n.confidence END FROM fold f JOIN ink n ON n.series_id = f.series_id AND n.k = f.k + 1)""",
+        ],
+        "SELECT series_id, cp_idx, s AS is_congested, round(c, 6) AS confidence FROM fold",
+    )
+)
+def smoothing_flip(spark, d):
+    return _rounded(inference.smoothed(_inferences(spark, d)), "confidence").select("series_id", "cp_idx", "is_congested", "confidence")
+
+
+@_query(o.sql(o.TO_INF, "SELECT *, round(CASE WHEN total_duration > 0 THEN congestion_duration / total_duration ELSE 0 END, 6) AS congestion_ratio FROM (SELECT series_id, count(*) AS total_periods, count(*) FILTER (is_congested) AS congested_periods, round(max(end_epoch) - min(start_epoch), 6) AS total_duration, round(coalesce(sum(end_epoch - start_epoch) FILTER (is_congested), 0), 6) AS congestion_duration, round(coalesce(avg(confidence) FILTER (is_congested), 0), 6) AS average_confidence FROM inf GROUP BY 1)"))
+def summary_time_ratio(spark, d):
+    return _rounded(summary.time_summary(_inferences(spark, d)), "total_duration", "congestion_duration", "average_confidence", "congestion_ratio")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS total_periods, count(*) FILTER (is_congested) AS congested_periods, round(count(*) FILTER (is_congested) / count(*), 6) AS congestion_ratio, round(coalesce(sum(end_epoch - start_epoch) FILTER (is_congested), 0) / sum(end_epoch - start_epoch), 6) AS congestion_time_ratio FROM inf GROUP BY 1"))
+def inference_stats_count_ratio(spark, d):
+    return _rounded(summary.count_summary(_inferences(spark, d)), "congestion_ratio", "congestion_time_ratio")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS total_periods, count(*) FILTER (is_congested) AS congested_periods, round(count(*) FILTER (is_congested) / count(*), 6) AS congestion_ratio, round(coalesce(sum(end_epoch - start_epoch) FILTER (is_congested), 0), 6) AS congestion_duration, min(start_epoch) AS range_start, max(end_epoch) AS range_end, round(avg(confidence) FILTER (is_congested), 6) AS conf_mean, round(median(confidence) FILTER (is_congested), 6) AS conf_median, round(min(confidence) FILTER (is_congested), 6) AS conf_min, round(max(confidence) FILTER (is_congested), 6) AS conf_max FROM inf GROUP BY 1"))
+def export_summary_conf(spark, d):
+    return _rounded(summary.export_summary(_inferences(spark, d)), "congestion_ratio", "congestion_duration", "conf_mean", "conf_median", "conf_min", "conf_max")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, start_epoch AS starts, end_epoch AS ends, is_congested::INT::DOUBLE AS congestion FROM inf"))
+def export_csv3(spark, d):
+    return narrow(_inferences(spark, d))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, start_epoch AS starts, end_epoch AS ends, is_congested::INT::DOUBLE AS congestion, round(confidence, 6) AS confidence, has_jump AS has_latency_jump, has_significant_jitter AS has_jitter_change FROM inf"))
+def export_wide6(spark, d):
+    return _rounded(wide(inference.as_inferences(_inferences(spark, d))), "confidence")
+
+
+@_query(o.sql(o.TO_INF, "SELECT (floor(start_epoch / 3600) % 24)::INT AS hour, count(*) FILTER (NOT is_congested) AS normal, count(*) FILTER (is_congested) AS congested FROM inf GROUP BY 1"))
+def hour_histogram(spark, d):
+    return summary.hour_histogram(_inferences(spark, d))
+
+
+@_query(o.sql(o.TO_INF, "SELECT least(floor((v - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM (SELECT end_epoch - start_epoch AS v, min(end_epoch - start_epoch) OVER () AS lo, max(end_epoch - start_epoch) OVER () AS hi FROM inf) GROUP BY 1"))
+def duration_histogram(spark, d):
+    return summary.histogram(_inferences(spark, d), F.col("end_epoch") - F.col("start_epoch"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, unnest([start_epoch, end_epoch]) AS epoch, unnest([0, 1]) AS edge, is_congested::INT AS state FROM inf"))
+def step_series(spark, d):
+    return summary.step_series(_inferences(spark, d))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, round((end_epoch - start_epoch) / 60, 6) AS minutes, round(confidence, 6) AS confidence, is_congested FROM inf"))
+def duration_confidence_points(spark, d):
+    return _rounded(summary.duration_points(_inferences(spark, d)), "minutes", "confidence")
+
+
+@_query(o.sql(o.TO_INF, "SELECT round(min(lo), 6) AS lo, round(max(hi), 6) AS hi FROM (SELECT min(epoch) AS lo, max(epoch) AS hi FROM mins UNION ALL SELECT min(epoch), max(epoch) FROM cps)"))
+def axis_extent(spark, d):
+    m = _minima(spark, d)
+    return _rounded(summary.axis_extent(m, _rule_cps(m)), "lo", "hi")
+
+
+@_query(
+    o.sql(
+        o.TO_INF,
+        """SELECT a.*, c.change_points, CASE WHEN hours > 0 THEN round(change_points / hours, 6) END AS change_points_per_hour FROM (
+  SELECT series_id, round(sum(end_epoch - start_epoch) FILTER (is_congested), 6) AS sum_duration, round(avg(end_epoch - start_epoch) FILTER (is_congested), 6) AS avg_duration, round(min(end_epoch - start_epoch) FILTER (is_congested), 6) AS min_duration, round(max(end_epoch - start_epoch) FILTER (is_congested), 6) AS max_duration,
+    round(avg(confidence) FILTER (is_congested), 6) AS avg_confidence, round(min(confidence) FILTER (is_congested), 6) AS min_confidence, round(max(confidence) FILTER (is_congested), 6) AS max_confidence, round((max(end_epoch) - min(start_epoch)) / 3600, 6) AS hours FROM inf GROUP BY 1) a
+  LEFT JOIN (SELECT series_id, count(*) AS change_points FROM cps GROUP BY 1) c USING (series_id)""",
+    )
+)
+def dashboard_stats(spark, d):
+    m = _minima(spark, d)
+    return _rounded(summary.dashboard_statistics(_inferences(spark, d), _rule_cps(m)), "sum_duration", "avg_duration", "min_duration", "max_duration", "avg_confidence", "min_confidence", "max_confidence", "hours", "change_points_per_hour")
+
+
+@_query(o.sql(o.TO_INF, "SELECT s.series_id, points, round(hours, 6) AS hours, bins, periods, congested FROM (SELECT series_id, count(*) AS points, (max(epoch_us) - min(epoch_us)) / 3.6e9 AS hours FROM rtt GROUP BY 1) s LEFT JOIN (SELECT series_id, count(*) AS bins FROM mins GROUP BY 1) USING (series_id) LEFT JOIN (SELECT series_id, count(*) AS periods, count(*) FILTER (is_congested) AS congested FROM inf GROUP BY 1) USING (series_id)"))
+def report_metadata(spark, d):
+    return _rounded(summary.report_metadata(events_as_samples(spark, d), _minima(spark, d), _inferences(spark, d)), "hours")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, round(count(*) FILTER (is_congested) / 15 * 100, 6) AS accuracy FROM inf GROUP BY 1"))
+def accuracy_by_count(spark, d):
+    return _rounded(summary.accuracy(_inferences(spark, d), 15), "accuracy")
+
+
+@_query(
+    o.sql(
+        o.TO_INF,
+        """SELECT round(b / f, 6) AS precision, round(b / t, 6) AS recall, round(2 * (b / f) * (b / t) / (b / f + b / t), 6) AS f1 FROM (
+  SELECT (SELECT sum(least(i.end_epoch, j.end_epoch) - greatest(i.start_epoch, j.start_epoch)) FROM inf i JOIN (SELECT * FROM inf WHERE series_id = 'view' AND has_jump) j ON i.start_epoch < j.end_epoch AND j.start_epoch < i.end_epoch WHERE i.series_id = 'click' AND i.has_jump) AS b,
+    (SELECT sum(end_epoch - start_epoch) FROM inf WHERE series_id = 'click' AND has_jump) AS f, (SELECT sum(end_epoch - start_epoch) FROM inf WHERE series_id = 'view' AND has_jump) AS t)""",
+    )
+)
+def overlap_scores(spark, d):
+    inf = _inferences(spark, d).where("has_jump")
+    return _rounded(summary.overlap(inf.where("series_id = 'click'"), inf.where("series_id = 'view'")), "precision", "recall", "f1")
+
+
+@_query(o.sql([*o.BASE, o.INDEXED, o.scores_cte("level")], "SELECT series_id, i, epoch, round(score, 5) AS score FROM scores"))
+def two_window_scores_levelshift(spark, d):
+    return detectors.level_shift_scores(_minima(spark, d)).select("series_id", "i", "epoch", F.round("score", 5).alias("score"))
+
+
+@_query(o.sql([*o.BASE, o.INDEXED, o.scores_cte("bayes")], "SELECT series_id, i, epoch, round(score, 5) AS score FROM scores"))
+def two_window_scores_bayes(spark, d):
+    return detectors.bayes_scores(_minima(spark, d)).select("series_id", "i", "epoch", F.round("score", 5).alias("score"))
+
+
+@_query(
+    o.sql(
+        [*o.BASE, o.INDEXED, "z AS (SELECT *, (rtt_value - avg(rtt_value) OVER s) / (stddev_pop(rtt_value) OVER s + 1e-8) AS x, least(30, n // 6)::INT AS w FROM idx WINDOW s AS (PARTITION BY series_id))"],
+        """SELECT series_id, i, round(CASE WHEN w >= 5 AND pooled > 1e-8 THEN abs(ml - mr) / sqrt(pooled) ELSE 0 END, 5) AS score FROM (
+  SELECT a.series_id, a.i, a.w, avg(b.x) FILTER (b.i < a.i) AS ml, avg(b.x) FILTER (b.i >= a.i) AS mr, var_pop(b.x) FILTER (b.i < a.i) / a.w + var_pop(b.x) FILTER (b.i >= a.i) / a.w AS pooled
+  FROM z a JOIN z b ON a.series_id = b.series_id AND b.i >= a.i - a.w AND b.i < a.i + a.w WHERE a.n >= 10 AND a.i >= a.w AND a.i < a.n - a.w GROUP BY a.series_id, a.i, a.w)""",
+    )
+)
+def welch_scores(spark, d):
+    return detectors.welch_scores(_minima(spark, d)).select("series_id", "i", F.round("score", 5).alias("score"))
+
+
+_CANDIDATES = "cand AS (SELECT series_id, epoch, least(1.0, rtt_value / 20) AS confidence FROM mins)"
+
+
+def _candidates(minima: DataFrame) -> DataFrame:
+    return minima.select("series_id", "epoch", F.least(F.lit(1.0), F.col("rtt_value") / 20).alias("confidence"))
+
+
+@_query(o.sql([*o.BASE, _CANDIDATES, o.replace_fold("cand", 7200, "kept")], "SELECT series_id, epoch, round(confidence, 6) AS confidence FROM kept"))
+def cp_min_gap_filter(spark, d):
+    return _rounded(detectors.filter_change_points(_candidates(_minima(spark, d)), 7200), "confidence")
+
+
+@_query(o.sql([*o.BASE, _CANDIDATES], "SELECT series_id, epoch, round(confidence, 6) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY confidence DESC, epoch) AS r FROM cand) WHERE r <= 40"))
+def cp_topk_confidence(spark, d):
+    return _rounded(detectors.top_confidence(_candidates(_minima(spark, d)), 40), "confidence")
+
+
+_GRID = "grid AS (SELECT c.*, first_epoch, last_epoch, (last_epoch - first_epoch) / 35 AS cell_size FROM (SELECT series_id, epoch, rtt_value AS score, least(1.0, rtt_value / 20) AS confidence, CASE WHEN rtt_value > 10 THEN 1 WHEN rtt_value > 5 THEN 2 ELSE 3 END AS priority FROM mins) c JOIN (SELECT series_id, min(epoch) AS first_epoch, max(epoch) AS last_epoch FROM mins GROUP BY 1) USING (series_id))"
+
+
+@_query(
+    o.sql(
+        [*o.BASE, _GRID],
+        """SELECT series_id, cell, epoch, score, priority FROM (SELECT *, row_number() OVER (PARTITION BY series_id, cell ORDER BY priority, score DESC, epoch) AS r FROM (
+  SELECT g.*, c.cell FROM grid g, (SELECT unnest(range(0, 37)) AS cell) c WHERE first_epoch + cell * cell_size < last_epoch AND epoch >= first_epoch + cell * cell_size AND epoch <= first_epoch + cell * cell_size + cell_size)) WHERE r = 1""",
+    )
+)
+def cp_grid_best(spark, d):
+    m = _minima(spark, d)
+    c = m.select("series_id", "epoch", F.col("rtt_value").alias("score"), F.least(F.lit(1.0), F.col("rtt_value") / 20).alias("confidence"), F.when(F.col("rtt_value") > 10, 1).when(F.col("rtt_value") > 5, 2).otherwise(3).alias("priority"))
+    bounds = m.groupBy("series_id").agg(F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    return detectors.best_per_cell(c, bounds).select("series_id", "cell", "epoch", "score", "priority")
+
+
+@_query(o.sql(o.LEVEL_CPS, "SELECT series_id, epoch, round(confidence, 6) AS confidence, 'adtk_fallback' AS algorithm FROM lcap"))
+def cp_level_shift(spark, d):
+    return _rounded(detectors.detect_level_shifts(_minima(spark, d)), "confidence").select("series_id", "epoch", "confidence", "algorithm")
+
+
+_BAYES_CPS = [
+    *o.BASE,
+    o.INDEXED,
+    o.scores_cte("bayes"),
+    "bcand AS (SELECT series_id, epoch, least(1.0, score / (2 * (0.2 * 0.25 / 1.5))) AS confidence FROM scores WHERE score > 0.2 * 0.25 / 1.5)",
+    o.gap_fold("bcand", 1800, "bkept"),
+    "bcap AS (SELECT series_id, epoch, confidence FROM (SELECT *, count(*) OVER (PARTITION BY series_id) AS c, row_number() OVER (PARTITION BY series_id ORDER BY confidence DESC, epoch) AS r FROM bkept) WHERE c <= 45 OR r <= 40)",
+]
+
+
+@_query(o.sql(_BAYES_CPS, "SELECT series_id, epoch, round(confidence, 6) AS confidence, 'rbeast_fallback' AS algorithm FROM bcap"))
+def cp_bayes_windows(spark, d):
+    return _rounded(detectors.detect_bayes_windows(_minima(spark, d)), "confidence").select("series_id", "epoch", "confidence", "algorithm")
+
+
+@_query(o.sql(o.LEVEL_CPS, "SELECT series_id, epoch, round(confidence, 6) AS confidence, 'adtk' AS detector FROM lcap"))
+def algo_union_compare(spark, d):
+    found = compare(_minima(spark, d), ChangePoints(algorithm="adtk"), ["adtk"])
+    return _rounded(found, "confidence").select("series_id", "epoch", "confidence", "detector")
+
+
+@_query(o.sql(o.LEVEL_CPS, "SELECT 'adtk_fallback' AS algorithm, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(coalesce(stddev_samp(confidence), 0), 6) AS std_confidence FROM lcap"))
+def algo_compare_stats(spark, d):
+    return _rounded(summary.comparison(detectors.detect_level_shifts(_minima(spark, d))), "mean_confidence", "std_confidence")
+
+
+@_query(o.sql([o.RTT], "SELECT series_id, seq, rtt_value FROM (SELECT *, avg(rtt_value) OVER s AS mu, stddev_pop(rtt_value) OVER s AS sd FROM rtt WINDOW s AS (PARTITION BY series_id)) WHERE abs(rtt_value - mu) <= 3 * sd"))
+def outlier_zscore_filter(spark, d):
+    return windows.without_outliers(events_as_samples(spark, d)).select("series_id", "seq", "rtt_value")
+
+
+@_query(o.sql(o.TO_CPS, "SELECT series_id, epoch, rtt_value FROM mins m WHERE NOT EXISTS (SELECT 1 FROM cps c WHERE c.series_id = m.series_id AND c.epoch = m.epoch)"))
+def used_epoch_antijoin(spark, d):
+    m = _minima(spark, d)
+    return detectors.unused(m.select("series_id", "epoch", "rtt_value"), _rule_cps(m)).select("series_id", "epoch", "rtt_value")
+
+
+@_query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def props_json(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+def _detected(model: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return sequential.detect_pelt(_minima(spark, d), model)
+
+    return run
+
+
+for _model in ("l2", "l1", "normal", "rbf"):
+    _QUERIES[f"pelt_{_model}"] = _detected(_model)
+
+
+@_query()
+def bcp(spark, d):
+    return sequential.detect_bcp(_minima(spark, d))
+
+
+@_query()
+def welch_grid(spark, d):
+    return sequential.detect_welch(_minima(spark, d))
+
+
+@_query()
+def ks_pvalue(spark, d):
+    s = events_as_samples(spark, d)
+    return periods.ks_periods(windows.raw_jitter(s), _periods(windows.min_intervals(s)))
+
+
+@_query()
+def pipeline_flagship(spark, d):
+    """The whole analysis with the level-shift detector, one series per event type."""
+    config = Config().merged({"change_point_detection": {"algorithm": "adtk"}})
+    return Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+
+
+@_query()
+def pipeline_ks(spark, d):
+    config = Config().merged({"change_point_detection": {"algorithm": "rbeast"}, "jitter_analysis": {"method": "ks_test"}})
+    return Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+
+
+@_query()
+def pipeline_metadata(spark, d):
+    config = Config().merged({"change_point_detection": {"algorithm": "adtk"}})
+    return Pipeline(spark, config).run(events_as_samples(spark, d)).metadata
+
+
+@_query(o.sql(o.BASE, "SELECT * FROM mins"))
+def stream_min_rtt(spark, d):
+    """Minima by a stream over the table, run to its end; a closing row far in the future lets the last window out."""
+    import uuid
+
+    from .storage import shared_path
+    from .streaming import stream_min_intervals, stream_to_table
+
+    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    s = events_as_samples(spark, d).select("series_id", F.timestamp_micros("epoch_us").alias("ts"), "rtt_value")
+    end = s.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("series_id"), (F.col("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit(1.0).alias("rtt_value"))
+    s.write.parquet(f"{base}/in/a")
+    end.write.parquet(f"{base}/in/b")
+    stream = spark.readStream.schema(s.schema).parquet(f"{base}/in/*")
+    stream_to_table(stream_min_intervals(stream), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").where("series_id != 'end'")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
