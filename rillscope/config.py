@@ -121,8 +121,9 @@ def load_config(path: str | None = None, explicit: dict | None = None, prefix: s
     """Defaults, then the file, then the environment, then what is given explicitly."""
     config = Config()
     if path:
+        kind = _kind(path)
         text = Path(path).read_text()
-        if _kind(path) == "json":
+        if kind == "json":
             data = json.loads(text)
         else:
             import yaml

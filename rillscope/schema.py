@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Valid round-trip times, in milliseconds: above the first, up to the second.
 RTT_RANGE = (0.0, 10_000.0)
 #: Names that the value column may have, the first present is taken.
 RTT_ALIASES = ("values", "rtt_value", "rtt", "latency")
 
-SAMPLE = T.StructType.fromDDL("series_id string, seq bigint, epoch_us bigint, epoch double, rtt_value double, source string, destination string")
-CHANGE_POINT = T.StructType.fromDDL("series_id string, cp_idx int, epoch double, confidence double, algorithm string")
+SAMPLE = "series_id string, seq bigint, epoch_us bigint, epoch double, rtt_value double, source string, destination string"
+CHANGE_POINT = "series_id string, cp_idx int, epoch double, confidence double, algorithm string"
 
 
 def valid(value: str = "rtt_value"):

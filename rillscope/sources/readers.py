@@ -7,11 +7,10 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import RTT_ALIASES, valid
 
-SCAMPER = T.StructType.fromDDL("type string, src string, dst string, responses array<struct<rtt: double, tx: struct<sec: bigint, usec: bigint>>>")
+SCAMPER = "type string, src string, dst string, responses array<struct<rtt: double, tx: struct<sec: bigint, usec: bigint>>>"
 INFLUX_ALIASES = ("_value", "rtt", "latency", "values")
 
 
