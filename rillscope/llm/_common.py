@@ -12,6 +12,7 @@ shard at a time.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,12 +71,17 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, *parts: str) -> Da
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: a lost executor costs no recomputation of what was
-    written.
+    written.  Shuffle files behind it are not needed any more; a collection in
+    the driver lets Spark's cleaner remove them now rather than at some time.
     """
     path = scratch(spark, tag)
+    schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df, writer
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
