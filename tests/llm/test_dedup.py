@@ -196,7 +196,7 @@ def test_merged_transform_is_sorted():
     rows = np.zeros((37, suffix_dedup.PADDED), np.uint8)
     rows[:, : suffix_dedup.WIDTH] = rng.integers(97, 99, (37, suffix_dedup.WIDTH))
     owners = np.arange(37)[::-1].copy()
-    got = suffix_dedup.repeated(rows, np.full(37, suffix_dedup.WIDTH, np.uint8), owners)
+    got = suffix_dedup.repeated(rows, np.full(37, suffix_dedup.WIDTH), owners)
     least = {}
     for i in range(37):
         for k in range(suffix_dedup.STARTS):

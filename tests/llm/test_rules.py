@@ -218,3 +218,29 @@ def test_lm_scores(odd_docs, no_docs, make_docs):
     for g, w in zip(got, sorted(want), strict=True):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9) and abs(g[5] - w[5]) <= g[2] * lm_scoring.STEP  # quantised logarithms
     assert lm_scoring.score_texts(no_docs).count() == 0
+
+
+def test_quality_rules_match_sql(spark, make_docs, odd_docs):
+    import duckdb
+
+    from rillscope.llm.oracle import quality_rules_sql
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1200):
+        w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(15, 60)))]
+        if i % 6 == 0:
+            w = [x + "!!" for x in w]
+        if i % 7 == 0:
+            w = w[:12] * 3
+        rows.append((i + 100, "\n".join([" ".join(w), *(["same line"] * (i % 4))])))
+    docs = make_docs(rows).unionByName(odd_docs)
+    labels = [(i + 100, int(i % 6 != 0)) for i in range(1200)] + [(None, 1), (101, None), (6, 1)]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("labels", table.toArrow())
+    want = con.execute(quality_rules_sql()).fetchall()
+    got = quality_rules.quality_verdicts(docs, table).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert any(not r.base_failed and not r.kept for r in got)
