@@ -11,10 +11,12 @@ strings that may have chosen it, goes to the shard of the gram; equal contexts
 are one, with the least ``doc_id`` that has it.  So every string that occurs
 twice has all its occurrences in one shard, and no two shards need to meet.
 
-*Transforms.*  A shard deals its contexts, padded to a fixed width, to PARTS
-collections and has the Burrows-Wheeler transform of each: for the rotations in
-sorted order, the symbol before each.  A symbol here is STEP bytes, so that a
-pass refines by STEP bytes.
+*Transforms.*  Strings with different grams differ, so a gram with one context
+has nothing to merge.  A shard deals the other contexts to PARTS collections
+and has the Burrows-Wheeler transform of each: for the suffixes in sorted order,
+the symbol before each.  A symbol here is STEP bytes (as its rank), so that a
+pass refines by STEP bytes; a pass holds only the suffixes from which the
+remaining passes lead to a start of a string.
 
 *Merge.*  The transforms are merged as Holt and McMillan do: starting from any
 interleave of the collections, a pass reads the symbols from the transforms in
@@ -98,66 +100,105 @@ def context_bounds(place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return np.maximum(place - BEFORE, ends[text]), np.minimum(place + GRAM + BEFORE, ends[text + 1])
 
 
-class Rotations:
-    """A collection's rotations in sorted order and the symbols before them (its transform)."""
-
-    def __init__(self, rows: np.ndarray):
-        m = len(rows)
-        twice = np.concatenate((rows, rows), axis=1)
-        self.symbols = words_at(twice.reshape(-1)).reshape(m, 2 * PADDED)[:, :PADDED].reshape(-1)
-        number = np.arange(m * PADDED, dtype=np.int64)
-        base, shift = number - number % PADDED, number % PADDED
-        before = base + (shift - STEP) % PADDED
-        short = base + (shift - REST) % PADDED
-        # The order by LENGTH bytes, from the last symbol to the first.
-        order = short[number]
-        order = order[np.argsort(self.symbols[order] >> SHORT, kind="stable")]
-        for _ in range(LENGTH // STEP):
-            order = before[order]
-            order = order[np.argsort(self.symbols[order], kind="stable")]
-        self.order = order
-        self.transform = self.symbols[before[order]]
-        self.transform_short = self.symbols[short[order]] >> SHORT
-
-
-def merge(parts: list[Rotations]) -> tuple[np.ndarray, np.ndarray]:
+def stable_order(ranks: np.ndarray) -> np.ndarray:
+    """Stable order of 32-bit ranks: place and rank share one number, so a plain sort does it."""
+    return (np.sort((ranks.astype(np.uint64) << np.uint64(32)) | np.arange(len(ranks), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class Collection:
+    """Some contexts' suffixes in sorted order, pass by pass, and the symbols before them (the transform).
+
+    A string starts at one of STARTS places, so the pass that is to be refined
+    by k more symbols needs the suffixes from k * STEP places later only.
+    """
+
+    def __init__(self, ranks: np.ndarray, short: np.ndarray):
+        """``ranks`` and ``short``: symbols of STEP and of REST bytes by context and place, as ranks."""
+        m = len(ranks)
+        starts = np.arange(STARTS)
+        row = np.repeat(np.arange(m), STARTS)
+        # Pass 0 sorts by the last, short symbol; the suffixes begin there.
+        self.first = short[:, LENGTH - REST + starts].reshape(-1)
+        order = stable_order(self.first)
+        self.transform = []
+        for step in range(LENGTH // STEP):
+            at = LENGTH - REST - STEP * (step + 1)
+            before = ranks[:, at + starts].reshape(-1)
+            self.transform.append(before[order])
+            order = order[stable_order(self.transform[-1])]
+        self.row, self.start = row[order], order % STARTS
+
+
+def merge(parts: list[Collection]) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the parts, sorted by LENGTH bytes, and where a new prefix begins."""
-    sizes = [len(p.order) for p in parts]
-    z = np.repeat(np.arange(len(parts), dtype=np.uint8), sizes)
+    z = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p.row) for p in parts])
     new = np.zeros(len(z), bool)
     new[:1] = True
-    for step in range(1 + LENGTH // STEP):
-        symbols = np.empty(len(z), np.uint64)
+    for step in range(-1, LENGTH // STEP):
+        symbols = np.empty(len(z), np.uint32)
         for k, p in enumerate(parts):
-            symbols[z == k] = p.transform if step else p.transform_short
+            symbols[z == k] = p.first if step < 0 else p.transform[step]
         group = np.cumsum(new)
-        order = np.argsort(symbols, kind="stable")
+        order = stable_order(symbols)
         z = z[order]
         s, g = symbols[order], group[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])))
     return z, new
 
 
+def _ranked(symbols: np.ndarray) -> np.ndarray:
+    return np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape).astype(np.uint32)
+
+
 def repeated(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """For each context and start, the least owner of the string there (NONE past its end)."""
     count = len(rows)
+    out = np.full((count, STARTS), NONE)
+    if not count:
+        return out
+    symbols = words_at(np.pad(rows, ((0, 0), (0, STEP))).reshape(-1)).reshape(count, -1)[:, :PADDED]
+    ranks, short = _ranked(symbols[:, : WIDTH - STEP + 1]), _ranked(symbols >> SHORT)
     parts_of = [np.arange(k, count, PARTS) for k in range(min(PARTS, count))]
-    parts = [Rotations(rows[i]) for i in parts_of]
+    parts = [Collection(ranks[i], short[i]) for i in parts_of]
     z, new = merge(parts)
-    # Rank by rank, which rotation of which context stands there.
-    row, shift = np.empty(len(z), np.int32), np.empty(len(z), np.int16)
+    # Rank by rank, which string of which context stands there.
+    row, start = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
     for k, (p, i) in enumerate(zip(parts, parts_of, strict=True)):
         mine = z == k
-        row[mine], shift[mine] = i[p.order // PADDED], p.order % PADDED
-    whole = shift + LENGTH <= sizes[row]
+        row[mine], start[mine] = i[p.row], p.start
+    whole = start + LENGTH <= sizes[row]
     value = np.where(whole, owners[row], NONE)
-    starts = np.flatnonzero(new)
-    least = np.minimum.reduceat(value, starts)[np.cumsum(new) - 1]
-    out = np.full((count, STARTS), NONE)
-    out[row[whole], shift[whole]] = least[whole]
+    begins = np.flatnonzero(new)
+    least = np.minimum.reduceat(value, begins)[np.cumsum(new) - 1]
+    out[row[whole], start[whole]] = least[whole]
     return out
 
 
+def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """:func:`repeated` of contexts that may be equal, with the hashes of their grams.
+
+    Equal contexts are one, with the least owner.  A gram whose contexts are all
+    equal has nothing to merge: its strings occur where the context does.
+    """
+    digest = grams.copy()
+    for k in range(PADDED // 8):
+        digest = mix(digest + GOLD ^ np.ascontiguousarray(rows[:, 8 * k : 8 * k + 8]).view(np.uint64).reshape(-1))
+    order = np.argsort(digest, kind="stable")
+    same = (digest[order][1:] == digest[order][:-1]) & (rows[order][1:] == rows[order][:-1]).all(axis=1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(np.concatenate(([True], ~same))) - 1
+    first = order[np.concatenate(([True], ~same))]
+    least = np.full(len(first), NONE)
+    np.minimum.at(least, number, owners)
+    rows, sizes = rows[first], sizes[first]
+    _, which, count = np.unique(grams[first], return_inverse=True, return_counts=True)
+    several = count[which] > 1
+    starts = np.arange(STARTS) + LENGTH <= sizes[:, None]
+    found = np.where(starts, least[:, None], NONE)
+    found[several] = repeated(rows[several], sizes[several], least[several])
+    return found[number]
+
+
 SCHEMA = ex.SCHEMA
 CONTEXTS, FOUND = 4, 5
 
@@ -177,8 +218,8 @@ class _Block:
         self.owner = np.array([d or 0 for d in self.doc_ids], np.int64)[self.text] if len(self.text) else np.zeros(0, np.int64)
         self.keys, self.key_place, self.bounds = ex.distinct_keys(h, shards)
 
-    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of shared grams, their context's number, and of the contexts: rows, sizes, least owners, shards."""
+    def contexts(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Occurrences of shared grams, their context's number, and of the contexts: rows, sizes, least owners, shards, grams."""
         at = np.flatnonzero(shared[self.key_place]) if len(self.key_place) else np.zeros(0, np.int64)
         begin, end = context_bounds(self.place[at], self.ends)
         long = end - begin >= LENGTH
@@ -186,7 +227,8 @@ class _Block:
         rows = np.zeros((len(at), PADDED), np.uint8)
         n = end - begin
         rows.reshape(-1)[ragged(np.arange(len(at)) * PADDED, n)] = self.data[ragged(begin, n)]
-        digest = n.astype(np.uint64)
+        grams = self.keys[self.key_place[at]]
+        digest = grams ^ n.astype(np.uint64)
         for k in range(PADDED // 8):
             digest = mix(digest + GOLD ^ rows[:, 8 * k : 8 * k + 8].copy().view(np.uint64).reshape(-1)) if len(at) else digest
         shard = np.searchsorted(self.bounds, self.key_place[at], side="right") - 1
@@ -198,18 +240,17 @@ class _Block:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         first = first[order]
-        return at, rank[number.reshape(-1)], rows[first], n[first], owners[order], shard[first]
+        return at, rank[number.reshape(-1)], rows[first], n[first], owners[order], shard[first], grams[first]
 
 
 def _merge_shard(table: pa.Table) -> pa.Table:
     asks = [dict(zip(ex.NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in ex.NAMES), strict=True)]
-    rows = np.concatenate([np.frombuffer(pa.decompress(r["keys"], decompressed_size=r["n"] * PADDED, codec="zstd", asbytes=True), np.uint8).reshape(-1, PADDED) for r in asks])
+    data = [np.frombuffer(pa.decompress(r["keys"], decompressed_size=r["n"] * (PADDED + 8), codec="zstd", asbytes=True), np.uint8) for r in asks]
+    rows = np.concatenate([x[: r["n"] * PADDED].reshape(-1, PADDED) for x, r in zip(data, asks, strict=True)])
+    grams = np.concatenate([x[r["n"] * PADDED :].view(np.uint64) for x, r in zip(data, asks, strict=True)])
     owners = np.concatenate([unpack(r["owners"], r["n"], np.int64) for r in asks])
-    sizes = np.concatenate([unpack(r["flags"], r["n"], np.uint8) for r in asks])
-    uniq, first, number = np.unique(rows.view(f"V{PADDED}").reshape(-1), return_index=True, return_inverse=True)
-    least = np.full(len(uniq), NONE)
-    np.minimum.at(least, number, owners)
-    found = repeated(rows[first], sizes[first], least)[number.reshape(-1)]
+    sizes = np.concatenate([unpack(r["flags"], r["n"], np.uint8) for r in asks]).astype(np.int64)
+    found = by_gram(rows, sizes, owners, grams)
     out, at = [], 0
     for r in asks:
         out.append({"block": r["block"], "kind": FOUND, "shard": r["shard"], "n": r["n"], "keys": pack(found[at : at + r["n"]].reshape(-1)), "owners": None, "flags": None})
@@ -258,16 +299,16 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         rows, b = opened(table)
-        _, _, contexts, sizes, owners, shard = b.contexts(shared_of(rows, b))
+        _, _, contexts, sizes, owners, shard, grams = b.contexts(shared_of(rows, b))
         name, out = rows[0]["block"], []
         for s in np.unique(shard):
             mine = shard == s
-            out.append({"block": name, "kind": CONTEXTS, "shard": int(s), "n": int(mine.sum()), "keys": pa.compress(contexts[mine].tobytes(), codec="zstd", asbytes=True), "owners": pack(owners[mine]), "flags": pack(sizes[mine].astype(np.uint8))})
+            out.append({"block": name, "kind": CONTEXTS, "shard": int(s), "n": int(mine.sum()), "keys": pa.compress(contexts[mine].tobytes() + grams[mine].tobytes(), codec="zstd", asbytes=True), "owners": pack(owners[mine]), "flags": pack(sizes[mine].astype(np.uint8))})
         return pa.Table.from_pylist(out, schema=ex.ARROW)
 
     def finish(table: pa.Table) -> pa.Table:
         rows, b = opened(table)
-        at, number, contexts, sizes, _, shard = b.contexts(shared_of(rows, b))
+        at, number, contexts, _, _, shard, _ = b.contexts(shared_of(rows, b))
         found = np.full((len(contexts), STARTS), NONE)
         for r in rows:
             if r["kind"] == FOUND:
