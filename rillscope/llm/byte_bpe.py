@@ -2,7 +2,7 @@
 
 1. *Explode.*  Texts are cut into pre-tokens by the tokenizer's pattern.  A
    block of documents numbers its distinct pre-tokens; a document becomes the
-   positions' numbers (packed), written once to shared storage.
+   positions' numbers (packed).
 2. *Encode each distinct word once.*  The blocks send their distinct words to
    shards by word hash; a shard encodes each word that any block has once.
 3. *Join back and reassemble by position.*  The shard's answers return to the
@@ -10,7 +10,10 @@
 4. *Decode.*  Ids are looked up in the table of token bytes (one entry per
    rank, so bounded by the vocabulary file).
 
-A hot word is sent once per block, so no shard or block grows with it.
+A hot word is sent once per block, so no shard or block grows with it.  Texts
+are cut twice, from the same scan, once for the words and once for the
+positions: that takes less disk than to keep the positions.  ``docs`` that are
+not a plain scan are written to shared storage first.
 
 Edge cases: a null text is encoded as an empty one (no ids); null, repeated
 and tied ``doc_id`` values are kept as they are, a row for each input row; a
@@ -68,8 +71,8 @@ def _words(parts: np.ndarray, shard: int, words: list[bytes]) -> tuple[bytes, by
     return pack(np.fromiter(map(len, mine), np.uint32, len(mine))), pa.compress(b"".join(mine), codec="zstd", asbytes=True), sum(map(len, mine)), len(mine)
 
 
-def explode(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
-    """Rows of documents (kind 0: packed positions), of blocks' words by shard (1) and of the words' shards (3)."""
+def explode(docs: DataFrame, pattern: str, shards: int, words_only: bool) -> DataFrame:
+    """The blocks' distinct words by shard (kind 1), or their documents (kind 0: packed positions) and the words' shards (kind 3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -79,16 +82,21 @@ def explode(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
             name = (task << 32) | number
             seen: dict[str, int] = {}
             sizes, data = [], []
-            for text in block.column("text").to_pylist():
-                found = cut(text or "")
-                sizes.append(len(found))
-                data.append(pack(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.uint32, len(found))))
-            yield _rows(name, 0, block.column("doc_id"), sizes, data, [None] * len(sizes), [0] * len(sizes), [-1] * len(sizes))
+            for text in block.column("text"):
+                found = cut(text.as_py() or "")
+                if words_only:
+                    seen.update(dict.fromkeys(found))  # in the order of the first occurrence
+                else:
+                    sizes.append(len(found))
+                    data.append(pack(np.fromiter((seen.setdefault(w, len(seen)) for w in found), np.uint32, len(found))))
             words = [w.encode() for w in seen]
             parts = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % np.uint32(shards)
-            yield _rows(name, 3, pa.nulls(1, pa.int64()), [len(words)], [pack(parts)], [None], [0], [-1])
-            sent = [(p, *_words(parts, p, words)) for p in np.unique(parts)]
-            yield _rows(name, 1, pa.nulls(len(sent), pa.int64()), [s[4] for s in sent], [s[1] for s in sent], [s[2] for s in sent], [s[3] for s in sent], [int(s[0]) for s in sent])
+            if words_only:
+                sent = [(p, *_words(parts, p, words)) for p in np.unique(parts)]
+                yield _rows(name, 1, pa.nulls(len(sent), pa.int64()), [s[4] for s in sent], [s[1] for s in sent], [s[2] for s in sent], [s[3] for s in sent], [int(s[0]) for s in sent])
+            else:
+                yield _rows(name, 3, pa.nulls(1, pa.int64()), [len(words)], [pack(parts)], [None], [0], [-1])
+                yield _rows(name, 0, block.column("doc_id"), sizes, data, [None] * len(sizes), [0] * len(sizes), [-1] * len(sizes))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
@@ -144,6 +152,8 @@ def _assemble(table: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
     base = 0
     for i in np.flatnonzero(kinds == 2):
         mine = shards == rows["shard"][i]
+        if np.count_nonzero(mine) != rows["n"][i]:
+            raise RuntimeError("the input was read in another order the second time")
         k = unpack(rows["data"][i], rows["n"][i], np.uint32).astype(np.int64)
         sizes[mine], starts[mine] = k, base + np.cumsum(k) - k
         flats[i] = unpack(rows["more"][i], rows["n_more"][i], np.uint32)
@@ -161,8 +171,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, finish: Callable[
     """
     spark = docs.sparkSession
     shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
-    exploded = materialize(spark, explode(docs, pattern, shards), "pretokens", "kind")
-    words = exploded.where("kind = 1").groupBy("shard").applyInArrow(encode_shard(path, pattern), SCHEMA)
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = materialize(spark, docs.select("doc_id", "text"), "texts")
+    asked = explode(docs, pattern, shards, True)
+    words = materialize(spark, asked.groupBy("shard").applyInArrow(encode_shard(path, pattern), SCHEMA), "words")
     names = [c.split()[0] for c in schema.split(",")]
 
     def reassemble(table: pa.Table) -> pa.Table:
@@ -175,7 +187,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, finish: Callable[
                 out[k].append(made[k])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(sizes, pa.int64())} | {k: pa.array(v) for k, v in out.items()})
 
-    answers = exploded.where("kind != 1").unionByName(words)
+    answers = explode(docs, pattern, shards, False).unionByName(words)
     return answers.groupBy("block").applyInArrow(reassemble, f"doc_id bigint, n_tokens bigint, {schema}")
 
 
