@@ -25,8 +25,10 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import blocks, materialize, pack, ragged, scratch, unpack
+from ._common import blocks, materialize, pack, ragged, scratch, unpack, words_of
 
 SCALE_BITS = 20
 CHECK_STEPS = 64
@@ -181,36 +183,86 @@ def decode_block(image: bytes, table: FrequencyTable) -> tuple[Block, np.ndarray
     return block, decode_steps(block, table)
 
 
-_TOKENIZERS: dict[str, object] = {}
-
-
-def word_tokenizer(path: str):
+class WordEncoder:
     """Encoder of a tokenizers file whose pre-tokens never cross white space.
 
-    Texts are cut at ASCII white space and each distinct piece of a batch is
-    encoded once by the library; the pieces' ids, put together, are those of
-    the whole text.
+    Texts are cut at ASCII white space.  Distinct words pass the library's
+    normaliser in one string, are cut by the file's own pattern, and each
+    distinct piece passes the library's model.  The words' ids, put together,
+    are those of the whole text.  Recent words are remembered in two
+    generations of at most CACHE_WORDS, so memory is bounded.
     """
-    if path not in _TOKENIZERS:
+
+    CACHE_WORDS = 150_000
+    #: Words with later characters are cut by the library: Unicode versions may differ there.
+    PLAIN = "\u024f"
+
+    def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        _TOKENIZERS[path] = t
-    return _TOKENIZERS[path]
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.normalize, self.model = self.whole.normalizer.normalize_str, self.whole.model
+        with open(path, encoding="utf-8") as f:
+            self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        cut = self.whole.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): "".join(p for p, _ in cut(c)) for c in map(chr, range(0x21, 0x250)) if not c.isspace()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        joined = " ".join(words)
+        plain = joined.isascii()
+        normal = joined.lower() if plain else self.normalize(joined)
+        parts = normal.split(" ")
+        if len(parts) != len(words) or any(t in normal for t in self.special):
+            # A word has Unicode white space or a special token's string.
+            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        known: dict[str, bytes] = {}
+        out = []
+        for word, part in zip(words, parts, strict=True):
+            if not plain and max(part) > self.PLAIN:
+                out.append(np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            data = b""
+            for piece in self.pattern.findall(part):
+                ids = known.get(piece)
+                if ids is None:
+                    mapped = piece if piece.isascii() else piece.translate(self.letters)
+                    ids = known[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+                data += ids
+            out.append(data)
+        return out
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another, and the number of ids of each."""
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young and w not in old]
+        for some in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
+            for k in range(0, len(some), 5_000):
+                young.update(zip(some[k : k + 5_000], self._encode(some[k : k + 5_000]), strict=True))
+        found = []
+        for w in words:
+            ids = young.get(w)
+            if ids is None:
+                ids = young[w] = old[w]
+            found.append(ids)
+        if len(young) > self.CACHE_WORDS:
+            self.young, self.old = {}, young
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text."""
-    from ._common import words_of
-
-    tok = word_tokenizer(path)
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
     codes, offsets, words = words_of(texts)
-    known: list[list[int]] = []
-    for k in range(0, len(words), 20_000):
-        known += [e.ids for e in tok.encode_batch_fast(words.slice(k, 20_000).to_pylist(), add_special_tokens=False)]
-    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
-    table = np.fromiter((i for x in known for i in x), dtype=np.uint32, count=int(sizes.sum()))
+    table, sizes = _ENCODERS[path].encode_words(words.to_pylist())
     starts = np.cumsum(sizes) - sizes
     per_word = sizes[codes]
     ids = table[ragged(starts[codes], per_word)]
