@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialize
 from .byte_bpe import encoding, pre_tokens
 
-RANGE = 1024
+RANGE = 256
 CACHE_WORDS = 400_000
 
 
@@ -58,7 +59,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     tokens_at_least, truncated_total (of all documents cut to n_tokens),
     share_at_most (the quantile that the length is).
     """
-    hist = lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    counted = materialize(lengths.sparkSession, lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")), "lengths")  # so texts are encoded once
+    hist = counted.withColumn("tokens", F.col("n_tokens") * F.col("docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # One row per RANGE lengths: as many as the longest document has thousands of tokens.
