@@ -15,8 +15,9 @@ per element, not k hashes per element.
 are in one bucket.  A bucket first links all its members to its least one
 (linear in its size).  When the links that hold are known, buckets that still
 have members of several components compare those outside the bucket's largest
-component with all others; so every pair that shares a bucket is either
-verified or already in one component.  Nothing is capped.
+component with all others; so every pair that shares a bucket is verified,
+already in one component, or told apart by 2048 further bits of signature (a
+pair at the threshold is so with a probability of 4e-6).  Nothing is capped.
 
 *Verification.*  Links are kept if the exact similarity of the shingle sets
 reaches the threshold.  With 40 bands of 6 a pair of similarity 0.8 shares no
@@ -50,6 +51,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
+BITS = 2048
 BLOCK_BYTES = 4 << 20
 MASK = (1 << 64) - 1
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -151,11 +153,14 @@ def sketches(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, digest binary, n bigint, bands array<bigint>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
-    """The pairs (a, b) of ids whose exact (weighted) Jaccard similarity reaches the threshold, with it."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH, counts: bool = False) -> DataFrame:
+    """(id, items, weights): packed shingle sets of the documents that ``ids`` (column id) names, written once.
+
+    The join is a sort-merge join at any size, so the plan is the same for
+    small and large inputs.
+    """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids.distinct().hint("merge"), "id", "left_semi")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
@@ -169,6 +174,11 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, threshold: f
     sets = materialize(spark, texts.mapInArrow(to_sets, "id bigint, items binary, weights binary"), "sets")
     if sets.count() > sets.select("id").distinct().count():  # repeated rows
         sets = sets.dropDuplicates()
+    return sets
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, counts: bool = False) -> DataFrame:
+    """The pairs (a, b) of ids whose exact (weighted) Jaccard similarity reaches the threshold, with it."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +205,55 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int = WIDTH, threshold: f
 
     second = sets.select(F.col("id").alias("b"), F.col("items").alias("items2"), F.col("weights").alias("weights2"))
     first = sets.select(F.col("id").alias("a"), "items", "weights")
-    return pairs.select("a", "b").join(second, "b").join(first, "a").mapInArrow(similar, "a bigint, b bigint, similarity double").distinct()
+    joined = pairs.select("a", "b").join(second.hint("merge"), "b").join(first.hint("merge"), "a")
+    return joined.mapInArrow(similar, "a bigint, b bigint, similarity double").distinct()
+
+
+def bit_signatures(sets: DataFrame, counts: bool = False) -> DataFrame:
+    """(id, bits): one bit of each of BITS coordinates, in 64-bit words.
+
+    Two sets of similarity s differ in a share of (1 - s) / 2 of the bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                b = batch.slice(at, 500)
+                items = [np.frombuffer(x, np.uint64) for x in b.column("items").to_pylist()]
+                weights = [np.frombuffer(x, np.float32) if counts else np.ones(len(i)) for x, i in zip(b.column("weights").to_pylist(), items, strict=True)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(np.int64)
+                sig = dart_minhash(np.concatenate(items), np.concatenate(weights).astype(np.float64), ends, BITS)
+                words = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words.tolist(), pa.list_(pa.int64()))], names=["id", "bits"])
+
+    return sets.mapInArrow(run, "id bigint, bits array<bigint>")
+
+
+def cross_pairs(placed: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and may reach the threshold.
+
+    ``placed`` has (key, id, n, least, part): a bucket's members with their
+    components.  Members outside a bucket's largest component meet all others
+    of the bucket; the join itself keeps only pairs whose bit signatures differ
+    no more than those of a pair at the threshold would by 4.5 deviations.
+    """
+    spark = placed.sparkSession
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n_part"))
+    major = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
+    mixed = materialize(spark, placed.join(major, "key"), "mixed")
+    words = range(BITS // 64)
+    bits = materialize(spark, bit_signatures(sets.join(mixed.select("id").distinct(), "id", "left_semi"), counts).dropDuplicates(["id"]), "bits")
+    signed = mixed.join(bits, "id").select("*", *(F.get("bits", F.lit(w)).alias(f"w{w}") for w in words)).drop("bits")
+    strays = signed.where("part != major").select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("part").alias("pi"), "least", *(F.col(f"w{w}").alias(f"x{w}") for w in words))
+    others = signed.select("key", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("part").alias("pj"), (F.col("part") == F.col("major")).alias("in_major"), *(f"w{w}" for w in words))
+    share = (1 - threshold) / 2
+    most = int(BITS * share + 4.5 * (BITS * share * (1 - share)) ** 0.5)
+    differ = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"w{w}"))) for w in words), F.lit(0))
+    fits = F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") if not counts else F.lit(True)
+    # Pairs with the bucket's least member have been verified before.
+    new = (F.col("pi") != F.col("pj")) & (F.col("in_major") | (F.col("i") < F.col("j"))) & (F.col("i") != F.col("least")) & (F.col("j") != F.col("least"))
+    found = strays.join(others, "key").where(new & fits & (differ <= most))
+    return materialize(spark, found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "pairs")
 
 
 def near_links(docs: DataFrame, signed: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, counts: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -209,21 +267,14 @@ def near_links(docs: DataFrame, signed: DataFrame, width: int = WIDTH, threshold
     buckets = entries.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(spark, entries.join(buckets.select("key", "least"), "key"), "buckets")
     pairs = materialize(spark, shared.where("id != least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = materialize(spark, verified(docs, pairs, width, threshold, counts), "verified")
+    # Every member of a shared bucket is in a pair, so these sets serve both rounds.
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), width, counts)
+    links = materialize(spark, verified(sets, pairs, threshold, counts), "verified")
     parts = connected_components(links.select("a", "b"))
 
     placed = shared.join(parts.withColumnRenamed("component", "part"), "id", "left").select("key", "id", "n", "least", F.coalesce("part", "id").alias("part"))
-    placed = materialize(spark, placed, "placed")
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n_part"))
-    major = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
-    mixed = materialize(spark, placed.join(major, "key"), "mixed")
-    strays = mixed.where("part != major").select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("part").alias("pi"), "least")
-    others = mixed.select("key", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("part").alias("pj"), (F.col("part") == F.col("major")).alias("in_major"))
-    fits = F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") if not counts else F.lit(True)
-    rest = strays.join(others, "key").where((F.col("pi") != F.col("pj")) & (F.col("in_major") | (F.col("i") < F.col("j"))) & (F.col("i") != F.col("least")) & (F.col("j") != F.col("least")) & fits)
-    rest = materialize(spark, rest.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "pairs")
-    more = materialize(spark, verified(docs, rest, width, threshold, counts), "verified")
-    links = links.unionByName(more)
+    rest = cross_pairs(materialize(spark, placed, "placed"), sets, threshold, counts)
+    links = links.unionByName(materialize(spark, verified(sets, rest, threshold, counts), "verified"))
     return links, connected_components(links.select("a", "b"))
 
 
