@@ -29,6 +29,7 @@ MIX2 = np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,9 +80,18 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, *parts: str) -> Da
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     del df, writer
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` whose results have been written in turn."""
+    kept, path = _paths.pop(id(df))
+    drop_scratch(kept.sparkSession, path)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
