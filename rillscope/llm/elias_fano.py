@@ -128,6 +128,11 @@ class Trie:
         hi = self.pointers.get(c + 1).astype(np.int64)
         want = c.astype(np.uint64) * np.uint64(self.span) + keys
         lo, hi = np.where(has, lo, 0), np.where(has, hi, 0)
+        if 4 * len(contexts) >= self.successors.n:  # many queries: one sweep over the level is cheaper
+            level = self.successors.all()
+            place = np.searchsorted(level, want)
+            hit = (lo <= place) & (place < hi) & (level[np.minimum(place, len(level) - 1)] == want)
+            return np.where(has, c, -1), np.where(hit, place, -1)
         end = hi.copy()
         todo = np.flatnonzero(lo < hi)
         while len(todo):  # successor search inside the context only

@@ -13,8 +13,9 @@ contexts, monotone pointers to their successors and the successors relative to
 their context are Elias-Fano sequences; quantised logarithms of
 c(hw) / (c(h) + MU) and MU / (c(h) + MU) go with them.  The image is written to a
 file of the worker and queried memory-mapped.  Word and context keys are hashes
-(CONTEXT_BITS within a shard, KEY_BITS within a context); a wrong match has a
-probability of about 2e-6 per query.
+(CONTEXT_BITS within a shard, KEY_BITS within a context): a context is taken for
+another with a probability of about 3e-4, an n-gram with one below 1e-6, at any
+size of the input, as a shard's share of it is fixed.
 
 *Exchange.*  A block sends each of its distinct n-grams once, with its count in
 training texts; the shard adds up the counts, builds the tries and answers each
@@ -47,14 +48,14 @@ from .elias_fano import Trie
 
 MU = 4.0
 MODULUS, HELD_OUT = 7, 2
-CONTEXT_BITS = 40
-KEY_BITS = 24
+CONTEXT_BITS = 32
+KEY_BITS = 16
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 10 << 20
 BEGIN, END = np.uint64(0x51ED270B7F3A9C15), np.uint64(0xA24BAED4963EE407)
 #: Quantised log10: number q stands for -q * STEP; the largest for zero.
-STEP = 12 / 65534
-ZERO = 65535
+STEP = 12 / 4094
+ZERO = 4095
 
 SCHEMA = "block bigint, kind int, shard int, n1 bigint, n2 bigint, n3 bigint, a binary, b binary, c binary, d binary, e binary, f binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -76,6 +77,25 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % MODULUS == HELD_OUT
 
 
+def _shard(part: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of 32-bit hashes; it rises with the hash."""
+    return ((part * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+
+
+def _deal(keys: np.ndarray, shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (shard, key) in that order, each input's place among them, and the shards' bounds."""
+    bits = np.uint64(CONTEXT_BITS + KEY_BITS)
+    if shards <= 1 << (64 - int(bits)):
+        both, place = np.unique(shard.astype(np.uint64) << bits | keys, return_inverse=True)
+        return both & np.uint64((1 << int(bits)) - 1), place, np.searchsorted(both >> bits, np.arange(shards + 1, dtype=np.uint64))
+    order = np.lexsort((keys, shard))
+    k, s = keys[order], shard[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(k) else np.zeros(0, bool)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], place, np.searchsorted(s[new], np.arange(shards + 1))
+
+
 class _Grams:
     """The tokens of a block and its distinct n-grams, dealt to shards."""
 
@@ -101,27 +121,16 @@ class _Grams:
         w = seq[self.pos]
         one = mix(seq[self.pos - 1] + GOLD)
         two = mix(one ^ mix(seq[self.pos - 2] + (GOLD << np.uint64(1))))
-        self.words, self.word_place, self.word_bounds = self._deal(w, w, shards)
+        self.words, self.word_place = np.unique(w, return_inverse=True)
+        self.word_bounds = np.searchsorted(_shard(self.words >> np.uint64(32), shards), np.arange(shards + 1))
         self.word_count = np.bincount(self.word_place, weights=train, minlength=len(self.words)).astype(np.int64)
         self.levels = []
+        key = mix(w) & np.uint64((1 << KEY_BITS) - 1)
         for context in (one, two):
-            shard = (context % np.uint64(shards)).astype(np.uint64)
-            key = ((context // np.uint64(shards)) & np.uint64((1 << CONTEXT_BITS) - 1)) << np.uint64(KEY_BITS) | (mix(w) & np.uint64((1 << KEY_BITS) - 1))
-            keys, place, bounds = self._deal(key, shard, shards)
+            shard = _shard(context & np.uint64(0xFFFFFFFF), shards)
+            keys, place, bounds = _deal((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(KEY_BITS) | key, shard, shards)
             self.levels.append((keys, place, bounds, np.bincount(place, weights=train, minlength=len(keys)).astype(np.int64)))
 
-    @staticmethod
-    def _deal(keys: np.ndarray, by: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (shard, key), each input's place among them, and the shards' bounds."""
-        shard = (by % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        order = order[np.argsort(shard[order].astype(np.uint16 if shards < 65536 else np.uint32), kind="stable")]
-        k, s = keys[order], shard[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(k) else np.zeros(0, bool)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.cumsum(new) - 1
-        return k[new], place, np.searchsorted(s[new], np.arange(shards + 1))
-
     def asks(self, name: int, shards: int) -> list[dict]:
         (k2, _, b2, c2), (k3, _, b3, c3) = self.levels
         out = []
