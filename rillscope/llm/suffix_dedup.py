@@ -50,13 +50,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange as ex
-from ._common import GOLD, blocks, materialize, mix, pack, ragged, shards_for, text_bytes, unpack
+from ._common import GOLD, blocks, materialize, mix, pack, shards_for, text_bytes, unpack
 from .substring_dedup import window_minima
 
 LENGTH = 50
 GRAM = 16
 STEP = 8
 PARTS = 4
+CHUNK = 1 << 16  # a multiple of what window_minima takes places modulo
+RUN = 2048  # contexts merged at a time, within a gram's
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 4 << 20
 BEFORE = LENGTH - GRAM
@@ -80,18 +82,26 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the chosen grams of texts given one after another."""
-    if len(data) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    x = words_at(data)
-    h = mix(x[: len(x) - 8] + GOLD)
-    h = mix(h ^ x[8:])
-    del x
-    h = h[: len(data) - GRAM + 1]
-    place = window_minima(h, LENGTH - GRAM + 1)
+    """Places and hashes of the chosen grams of texts given one after another.
+
+    Runs of CHUNK windows are done at a time, so that the arrays stay in cache.
+    """
+    window = LENGTH - GRAM + 1
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for lo in range(0, max(0, len(data) - LENGTH + 1), CHUNK):
+        part = data[lo : lo + CHUNK + LENGTH - 1]
+        x = words_at(part)
+        n = len(part) - GRAM + 1
+        h = mix(mix(x[:n] + GOLD) ^ x[8 : 8 + n])
+        found = window_minima(h, window)
+        places.append(found + lo)
+        hashes.append(h[found])
+    place, h = np.concatenate(places), np.concatenate(hashes)
+    first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+    place, h = place[first], h[first]
     text = np.searchsorted(ends, place, side="right") - 1
     inside = place + GRAM <= ends[text + 1]
-    return place[inside], h[place[inside]]
+    return place[inside], h[inside]
 
 
 def context_bounds(place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +190,11 @@ def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.n
     Equal contexts are one, with the least owner.  A gram whose contexts are all
     equal has nothing to merge: its strings occur where the context does.
     """
-    digest = grams.copy()
+    digest, words = grams.copy(), np.ascontiguousarray(rows).view(np.uint64)
     for k in range(PADDED // 8):
-        digest = mix(digest + GOLD ^ np.ascontiguousarray(rows[:, 8 * k : 8 * k + 8]).view(np.uint64).reshape(-1))
-    order = np.argsort(digest, kind="stable")
-    same = (digest[order][1:] == digest[order][:-1]) & (rows[order][1:] == rows[order][:-1]).all(axis=1)
+        digest = mix(digest + GOLD ^ words[:, k])
+    order = np.argsort(digest)
+    same = (digest[order][1:] == digest[order][:-1]) & (words[order][1:] == words[order][:-1]).all(axis=1)
     number = np.empty(len(order), np.int64)
     number[order] = np.cumsum(np.concatenate(([True], ~same))) - 1
     first = order[np.concatenate(([True], ~same))]
@@ -195,7 +205,14 @@ def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.n
     several = count[which] > 1
     starts = np.arange(STARTS) + LENGTH <= sizes[:, None]
     found = np.where(starts, least[:, None], NONE)
-    found[several] = repeated(rows[several], sizes[several], least[several])
+    # Grams are merged in runs of about RUN contexts, so that the arrays stay in cache.
+    todo = np.flatnonzero(several)
+    todo = todo[np.argsort(which[todo], kind="stable")]
+    new = np.flatnonzero(np.concatenate(([True], which[todo][1:] != which[todo][:-1]))) if len(todo) else np.zeros(0, np.int64)
+    cuts = [0, *new[np.flatnonzero(np.diff(new // RUN)) + 1].tolist(), len(todo)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        mine = todo[a:b]
+        found[mine] = repeated(rows[mine], sizes[mine], least[mine])
     return found[number]
 
 
@@ -224,13 +241,16 @@ class _Block:
         begin, end = context_bounds(self.place[at], self.ends)
         long = end - begin >= LENGTH
         at, begin, end = at[long], begin[long], end[long]
-        rows = np.zeros((len(at), PADDED), np.uint8)
         n = end - begin
-        rows.reshape(-1)[ragged(np.arange(len(at)) * PADDED, n)] = self.data[ragged(begin, n)]
+        padded = np.concatenate((self.data, np.zeros(PADDED, np.uint8)))
+        rows = np.lib.stride_tricks.sliding_window_view(padded, PADDED)[begin]
+        rows[:, WIDTH:] = 0
+        cut = np.flatnonzero(n < WIDTH)
+        rows[cut] *= np.arange(PADDED) < n[cut, None]
         grams = self.keys[self.key_place[at]]
-        digest = grams ^ n.astype(np.uint64)
+        digest, words = grams ^ n.astype(np.uint64), rows.view(np.uint64)
         for k in range(PADDED // 8):
-            digest = mix(digest + GOLD ^ rows[:, 8 * k : 8 * k + 8].copy().view(np.uint64).reshape(-1)) if len(at) else digest
+            digest = mix(digest + GOLD ^ words[:, k])
         shard = np.searchsorted(self.bounds, self.key_place[at], side="right") - 1
         uniq, first, number = np.unique(digest, return_index=True, return_inverse=True)
         owners = np.full(len(uniq), NONE)
