@@ -13,14 +13,17 @@ contexts, monotone pointers to their successors and the successors relative to
 their context are Elias-Fano sequences; quantised logarithms of
 c(hw) / (c(h) + MU) and MU / (c(h) + MU) go with them.  The image is written to a
 file of the worker and queried memory-mapped.  Word and context keys are hashes
-(CONTEXT_BITS within a shard, KEY_BITS within a context): a context is taken for
-another with a probability of about 3e-4, an n-gram with one below 1e-6, at any
-size of the input, as a shard's share of it is fixed.
+(CONTEXT_BITS within a shard, KEY_BITS within a context).  A context is taken for
+another with a probability of about 3e-4 at any size of the input, as a shard's
+share of it is fixed.  In a context of n successors, an unseen word is taken for
+one of them with a probability of n / 2^40: below 1e-6 up to a million.
 
 *Exchange.*  A block sends each of its distinct n-grams once, with its count in
 training texts; the shard adds up the counts, builds the tries and answers each
-n-gram.  A frequent n-gram so costs one entry per block.  Words are answered
-with exact counts, of which the base score is made.
+n-gram.  A frequent n-gram so costs one entry per block.  To a shard, a block
+sends each context once, and each successor's key once for both levels; n-grams
+name the latter by their rank.  Words are answered with exact counts, of which
+the base score is made.
 
 The blocks are formed twice, once to ask and once to score, from the same scan;
 ``docs`` that are not a plain scan are written to shared storage first.
@@ -49,7 +52,7 @@ from .elias_fano import Trie
 MU = 4.0
 MODULUS, HELD_OUT = 7, 2
 CONTEXT_BITS = 32
-KEY_BITS = 16
+KEY_BITS = 40
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 10 << 20
 BEGIN, END = np.uint64(0x51ED270B7F3A9C15), np.uint64(0xA24BAED4963EE407)
@@ -57,9 +60,9 @@ BEGIN, END = np.uint64(0x51ED270B7F3A9C15), np.uint64(0xA24BAED4963EE407)
 STEP = 12 / 4094
 ZERO = 4095
 
-SCHEMA = "block bigint, kind int, shard int, n1 bigint, n2 bigint, n3 bigint, a binary, b binary, c binary, d binary, e binary, f binary"
+SCHEMA = "block bigint, kind int, shard int, n1 bigint, n2 bigint, n3 bigint, n4 bigint, n5 bigint, n6 bigint, a binary, b binary, c binary, d binary, e binary, f binary, g binary, h binary, i binary, j binary, k binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("n1", "n2", "n3")), *((c, pa.binary()) for c in "abcdef")])
+ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("n1", "n2", "n3", "n4", "n5", "n6")), *((c, pa.binary()) for c in "abcdefghijk")])
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -82,18 +85,25 @@ def _shard(part: np.ndarray, shards: int) -> np.ndarray:
     return ((part * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _deal(keys: np.ndarray, shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (shard, key) in that order, each input's place among them, and the shards' bounds."""
-    bits = np.uint64(CONTEXT_BITS + KEY_BITS)
-    if shards <= 1 << (64 - int(bits)):
-        both, place = np.unique(shard.astype(np.uint64) << bits | keys, return_inverse=True)
-        return both & np.uint64((1 << int(bits)) - 1), place, np.searchsorted(both >> bits, np.arange(shards + 1, dtype=np.uint64))
-    order = np.lexsort((keys, shard))
-    k, s = keys[order], shard[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(k) else np.zeros(0, bool)
+def _distinct(contexts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (context, key) in that order, and each input's place among them."""
+    known, number = np.unique(contexts, return_inverse=True)
+    bits = np.uint64(KEY_BITS)
+    if len(known) <= 1 << (64 - KEY_BITS):
+        both, place = np.unique(number.astype(np.uint64) << bits | keys, return_inverse=True)
+        return known[(both >> bits).astype(np.int64)], both & np.uint64((1 << KEY_BITS) - 1), place
+    order = np.lexsort((keys, number))
+    k, c = keys[order], number[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
     place = np.empty(len(keys), np.int64)
     place[order] = np.cumsum(new) - 1
-    return k[new], place, np.searchsorted(s[new], np.arange(shards + 1))
+    return known[c[new]], k[new], place
+
+
+def _runs(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal contexts begin, and their lengths."""
+    new = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(contexts) else np.zeros(0, np.int64)
+    return new, np.diff(np.append(new, len(contexts)))
 
 
 class _Grams:
@@ -128,46 +138,54 @@ class _Grams:
         key = mix(w) & np.uint64((1 << KEY_BITS) - 1)
         for context in (one, two):
             shard = _shard(context & np.uint64(0xFFFFFFFF), shards)
-            keys, place, bounds = _deal((context >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(KEY_BITS) | key, shard, shards)
-            self.levels.append((keys, place, bounds, np.bincount(place, weights=train, minlength=len(keys)).astype(np.int64)))
+            both, keys, place = _distinct(shard.astype(np.uint64) << np.uint64(CONTEXT_BITS) | context >> np.uint64(64 - CONTEXT_BITS), key)
+            bounds = np.searchsorted(both >> np.uint64(CONTEXT_BITS), np.arange(shards + 1, dtype=np.uint64))
+            self.levels.append((both.astype(np.uint32), keys, place, bounds, np.bincount(place, weights=train, minlength=len(keys)).astype(np.int64)))
 
     def asks(self, name: int, shards: int) -> list[dict]:
-        (k2, _, b2, c2), (k3, _, b3, c3) = self.levels
+        (h2, k2, _, b2, c2), (h3, k3, _, b3, c3) = self.levels
         out = []
         for s in range(shards):
             w, x, y = (slice(b[s], b[s + 1]) for b in (self.word_bounds, b2, b3))
             if len(self.words[w]) + len(k2[x]) + len(k3[y]):
-                data = [pack(self.words[w]), pack(self.word_count[w].astype(np.uint32)), pack(k2[x]), pack(c2[x].astype(np.uint32)), pack(k3[y]), pack(c3[y].astype(np.uint32))]
-                out.append({"block": name, "kind": 1, "shard": s, "n1": len(self.words[w]), "n2": len(k2[x]), "n3": len(k3[y]), **dict(zip("abcdef", data, strict=True))})
+                # The most frequent successors first, so that their ranks are small numbers.
+                known, which, often = np.unique(np.concatenate((k2[x], k3[y])), return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                ranks = rank[which]
+                data = [pack(self.words[w]), pack(self.word_count[w].astype(np.uint32)), pack(known[order])]
+                sizes = []
+                for h, c, r in ((h2[x], c2[x], ranks[: len(k2[x])]), (h3[y], c3[y], ranks[len(k2[x]) :])):
+                    new, n = _runs(h)
+                    data += [pack(np.diff(h[new], prepend=np.uint32(0))), pack(n.astype(np.uint32)), pack(r), pack(c.astype(np.uint32))]
+                    sizes.append(len(new))
+                out.append({"block": name, "kind": 1, "shard": s, "n1": len(self.words[w]), "n2": len(k2[x]), "n3": len(k3[y]), "n4": len(known), "n5": sizes[0], "n6": sizes[1], **dict(zip("abcdefghijk", data, strict=True))})
         return out
 
 
-def _add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, their total counts, and each input's place among them."""
-    k = np.concatenate(keys)
-    uniq, place = np.unique(k, return_inverse=True)
-    return uniq, np.bincount(place, weights=np.concatenate(counts), minlength=len(uniq)).astype(np.int64), place
+def _add_up(places: np.ndarray, total: int, counts: list[np.ndarray]) -> np.ndarray:
+    """Total counts of the distinct keys at ``places``."""
+    return np.bincount(places, weights=np.concatenate(counts), minlength=total).astype(np.int64)
 
 
-def build_level(keys: np.ndarray, counts: np.ndarray) -> Trie:
-    """The trie of all n-grams with a count, from sorted distinct keys."""
+def build_level(contexts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Trie:
+    """The trie of all n-grams with a count, from sorted distinct pairs."""
     seen = counts > 0
-    k, c = keys[seen], counts[seen]
-    context, key = k >> np.uint64(KEY_BITS), k & np.uint64((1 << KEY_BITS) - 1)
-    new = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(k) else np.zeros(0, np.int64)
-    total = np.add.reduceat(c, new) if len(k) else np.zeros(0, np.int64)
-    of = np.repeat(total, np.diff(np.append(new, len(k))))
-    return Trie.build(context, key, quantise(MU / (total + MU)), quantise(c / (of + MU)), CONTEXT_BITS, KEY_BITS)
+    context, key, c = contexts[seen], keys[seen], counts[seen]
+    new, n = _runs(context)
+    total = np.add.reduceat(c, new) if len(c) else np.zeros(0, np.int64)
+    return Trie.build(context, key, quantise(MU / (total + MU)), quantise(c / (np.repeat(total, n) + MU)), CONTEXT_BITS, KEY_BITS)
 
 
-def query_level(image: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def query_level(image: bytes, contexts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Quantised share of each n-gram and back-off weight of its context, from a memory-mapped trie."""
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "level")
         with open(path, "wb") as f:
             f.write(image)
         trie = Trie.load(np.memmap(path, np.uint64, "r"))
-        c, place = trie.find(keys >> np.uint64(KEY_BITS), keys & np.uint64((1 << KEY_BITS) - 1))
+        c, place = trie.find(contexts, keys)
         own, nxt = np.append(trie.own, np.uint16(0)), np.append(trie.next, np.uint16(ZERO))
         return nxt[np.where(place < 0, len(nxt) - 1, place)], own[np.where(c < 0, len(own) - 1, c)]
 
@@ -175,15 +193,19 @@ def query_level(image: bytes, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def _answer(table: pa.Table) -> pa.Table:
     rows = [dict(zip(NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in NAMES), strict=True)]
     replies: list[list[bytes]] = [[] for _ in rows]
-    words, counts, place = _add_up([unpack(r["a"], r["n1"], np.uint64) for r in rows], [unpack(r["b"], r["n1"], np.uint32) for r in rows])
+    words, place = np.unique(np.concatenate([unpack(r["a"], r["n1"], np.uint64) for r in rows]), return_inverse=True)
+    counts = _add_up(place, len(words), [unpack(r["b"], r["n1"], np.uint32) for r in rows])
     at = 0
     for r, x in zip(rows, replies, strict=True):
         x.append(pack(counts[place[at : at + r["n1"]]].astype(np.uint32)))
         at += r["n1"]
     stats = {"block": -1, "kind": 3, "shard": rows[0]["shard"], "n1": int(counts.sum()), "n2": int((counts > 0).sum())}
-    for n, k, c in (("n2", "c", "d"), ("n3", "e", "f")):
-        keys, counts, place = _add_up([unpack(r[k], r[n], np.uint64) for r in rows], [unpack(r[c], r[n], np.uint32) for r in rows])
-        share, weight = query_level(build_level(keys, counts).dump(), keys)
+    known = [unpack(r["c"], r["n4"], np.uint64) for r in rows]
+    for n, m, (h, l, k, c) in (("n2", "n5", "defg"), ("n3", "n6", "hijk")):
+        contexts = np.concatenate([np.repeat(np.cumsum(unpack(r[h], r[m], np.uint32), dtype=np.uint32), unpack(r[l], r[m], np.uint32)) for r in rows])
+        contexts, keys, place = _distinct(contexts.astype(np.uint64), np.concatenate([x[unpack(r[k], r[n], np.uint32)] for x, r in zip(known, rows, strict=True)]))
+        counts = _add_up(place, len(keys), [unpack(r[c], r[n], np.uint32) for r in rows])
+        share, weight = query_level(build_level(contexts, keys, counts).dump(), contexts, keys)
         at = 0
         for r, x in zip(rows, replies, strict=True):
             mine = place[at : at + r[n]]
@@ -240,14 +262,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
                     raise RuntimeError("the input was read in another order the second time")
                 count[a:b] = unpack(r["a"], r["n1"], np.uint32)
                 answered += r["n1"]
-                for (share, weight), (_, _, bounds, _), n, x, y in zip(found, g.levels, ("n2", "n3"), "bd", "ce", strict=True):
+                for (share, weight), (_, _, _, bounds, _), n, x, y in zip(found, g.levels, ("n2", "n3"), "bd", "ce", strict=True):
                     share[bounds[s] : bounds[s + 1]] = unpack(r[x], r[n], np.uint16)
                     weight[bounds[s] : bounds[s + 1]] = unpack(r[y], r[n], np.uint16)
         if answered != len(g.words):
             raise RuntimeError("the input was read in another order the second time")
         p = ((count + 1) / (n_train + n_types + 1))[g.word_place]
         base = np.log10(p)
-        for (share, weight), (_, place, _, _) in zip(found, g.levels, strict=True):
+        for (share, weight), (_, _, place, _, _) in zip(found, g.levels, strict=True):
             p = dequantise(share)[place] + dequantise(weight)[place] * p
         per = lambda x: np.bincount(g.doc, weights=x, minlength=g.n_docs)
         return pa.table(

@@ -220,6 +220,21 @@ def test_lm_scores(odd_docs, no_docs, make_docs):
     assert lm_scoring.score_texts(no_docs).count() == 0
 
 
+def test_lm_context_of_many_successors(make_docs):
+    """Words that never follow a context get no share of it, however many others do."""
+    held = next(i for i in range(99) if lm_scoring.is_held_out(i))
+    train = next(i for i in range(99) if not lm_scoring.is_held_out(i))
+    n, m = 80_000, 2_000
+    docs = make_docs([(train, " ".join(f"the s{i}" for i in range(n))), (held, " ".join(f"the u{i}" for i in range(m)))])
+    got = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}[held]
+    total, types, mu = 2 * n + 1, n + 2, lm_scoring.MU
+    new, the, end = (x / (total + types + 1) for x in (1, n + 1, 2))
+    first = (1 + mu * (1 + mu * the) / (1 + mu)) / (1 + mu)  # "the" follows the begin tokens once
+    want = math.log10(first) + m * math.log10(mu * new / (n + mu)) + (m - 1) * math.log10(the) + math.log10(end)
+    want += math.log10(mu / (1 + mu))  # "<begin> the" is a context of one
+    assert abs(got.score - want) <= got.n_tokens * lm_scoring.STEP
+
+
 def test_quality_rules_match_sql(spark, make_docs, odd_docs):
     import duckdb
 
