@@ -43,14 +43,14 @@ def asked(block: int, keys: np.ndarray, place: np.ndarray, bounds: np.ndarray, d
     return out
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(table: pa.Table, with_keys: bool) -> pa.Table:
     rows = [dict(zip(NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in NAMES), strict=True)]
     sizes = [r["n"] for r in rows]
     keys = np.concatenate([unpack(r["keys"], r["n"], np.uint64) for r in rows])
     owners = np.concatenate([unpack(r["owners"], r["n"], np.int64) for r in rows])
     several = np.concatenate([unpack(r["flags"], r["n"], np.uint8) for r in rows])
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    asked_keys, keys = keys if with_keys else None, keys[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
     del keys
@@ -62,14 +62,14 @@ def _answer(table: pa.Table) -> pa.Table:
     for r, n in zip(rows, sizes, strict=True):
         f = flags[at : at + n]
         if f.any():
-            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": n, "keys": None, "owners": pack(least[at : at + n][f > 0]), "flags": pack(f)})
+            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": n, "keys": pack(asked_keys[at : at + n][f > 0]) if with_keys else None, "owners": pack(least[at : at + n][f > 0]), "flags": pack(f)})
         at += n
     return pa.Table.from_pylist(out, schema=ARROW)
 
 
-def exchanged(asks: DataFrame) -> DataFrame:
-    """The answers to all asks; blocks without a shared key in a shard get none from it."""
-    return asks.groupBy("shard").applyInArrow(_answer, SCHEMA)
+def exchanged(asks: DataFrame, with_keys: bool = False) -> DataFrame:
+    """The answers to all asks, with the shared keys if wanted; blocks without a shared key in a shard get none from it."""
+    return asks.groupBy("shard").applyInArrow(lambda table: _answer(table, with_keys), SCHEMA)
 
 
 def answers(rows: list[dict], total: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,14 @@ functions are laid over each other; the pair is a candidate where windows of at
 least MIN_HITS functions overlap.  Passages with a similarity of 0.8 collide in
 so many of 5 functions with a probability of 0.993 for each window length.
 
+*Second round.*  The least member of a group may hold a frequent line but not
+the passage.  A window whose centre is in no verified span of its document is
+open.  For two functions, the windows of all groups with several documents are
+laid over each other where both are of one passage; the two least hashes are
+one key, and open documents are compared with all earlier ones of the key.
+What was verified in the first round is not compared again, so groups of
+copies stay linear.
+
 *Verification.*  With both texts at hand, runs of the document's shingles that
 occur in the earlier one are joined while at least 2s/(1+s) of the joined
 shingles occur there (for runs of equal length that is a Jaccard similarity of
@@ -39,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange as ex
-from ._common import GOLD, blocks, discard, hash_words, materialize, mix, pack, shards_for, shingle_hashes, text_bytes, unpack, words_of
+from ._common import GOLD, blocks, discard, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
 
 WIDTH = 5
 PASSAGE = 50
@@ -133,14 +141,14 @@ def _windows(docs: DataFrame, width: int, passage: int, hashes: int, shards: int
                 g = _seeded(h, f)
                 lo, c, hi = compact_windows(g, ends, length)
                 text = np.searchsorted(ends, c, side="right") - 1
-                parts.append((g[c], text, lo - ends[text], hi - ends[text], np.full(len(c), f, np.uint8)))
-            key, text, lo, hi, fn = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((g[c], text, lo - ends[text], hi - ends[text], c - ends[text], np.full(len(c), f, np.uint8)))
+            key, text, lo, hi, mid, fn = (np.concatenate(x) for x in zip(*parts, strict=True))
             if not len(key):
                 continue
             keys, place, bounds = ex.distinct_keys(key, shards)
             name = (task << 32) | number
             rows = ex.asked(name, keys, place, bounds, doc_ids[text])
-            held = np.stack([place, text, lo, hi, fn]).astype(np.uint32)
+            held = np.stack([place, text, lo, hi, mid, fn]).astype(np.uint32)
             rows.append({"block": name, "kind": 0, "shard": -1, "n": len(place), "keys": pack(held.reshape(-1)), "owners": pack(doc_ids), "flags": pack(np.concatenate(([len(doc_ids), len(keys)], bounds)).astype(np.int64))})
             yield pa.RecordBatch.from_pylist(rows, schema=ex.ARROW)
 
@@ -162,35 +170,122 @@ def covered(lo: np.ndarray, hi: np.ndarray, fn: np.ndarray, hits: int) -> bool:
     return bool((total >= hits).any())
 
 
-def candidate_pairs(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, hashes: int = HASHES, hits: int = MIN_HITS) -> DataFrame:
-    """(a, b): documents b and the earlier documents a with which windows collide in enough functions."""
+PAIRS = "kind int, block bigint, a bigint, b bigint, n bigint, docs bigint, windows binary, keys binary, ids binary"
+PAIRS_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("block", "a", "b", "n", "docs")), *((c, pa.binary()) for c in ("windows", "keys", "ids"))])
+
+
+def first_pairs(docs: DataFrame, width: int, passage: int, hashes: int, hits: int, shards: int) -> DataFrame:
+    """Rows of kind 1: documents b and the least documents a of groups with which windows collide in enough functions; of kind 0: a block's windows in groups of several documents."""
     spark = docs.sparkSession
-    shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
     made = materialize(spark, _windows(docs, width, passage, hashes, shards), "windows", "kind")
-    found = made.where("kind = 0").unionByName(ex.exchanged(made.where("kind = 1")))
+    found = made.where("kind = 0").unionByName(ex.exchanged(made.where("kind = 1"), with_keys=True))
 
     def join(table: pa.Table) -> pa.Table:
         rows = [dict(zip(ex.NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in ex.NAMES), strict=True)]
         head = next(r for r in rows if r["kind"] == 0)
-        n_shards = shards
-        flags = unpack(head["flags"], n_shards + 3, np.int64)
+        flags = unpack(head["flags"], shards + 3, np.int64)
         n_docs, n_keys, bounds = int(flags[0]), int(flags[1]), flags[2:]
         doc_ids = unpack(head["owners"], n_docs, np.int64)
-        place, text, lo, hi, fn = unpack(head["keys"], 5 * head["n"], np.uint32).astype(np.int64).reshape(5, -1)
+        place, text, lo, hi, mid, fn = unpack(head["keys"], 6 * head["n"], np.uint32).astype(np.int64).reshape(6, -1)
         shared, least = ex.answers(rows, n_keys, bounds)
-        go = shared[place] & (least[place] < doc_ids[text])
-        text, lo, hi, fn, a = text[go], lo[go], hi[go], fn[go], least[place][go]
+        group = np.zeros(n_keys, np.uint64)
+        for r in rows:
+            if r["kind"] == ex.ANSWER:
+                f = unpack(r["flags"], r["n"], np.uint8) > 0
+                group[bounds[r["shard"]] + np.flatnonzero(f)] = unpack(r["keys"], int(f.sum()), np.uint64)
+        place, text, lo, hi, mid, fn = (x[shared[place]] for x in (place, text, lo, hi, mid, fn))
+        if not len(place):
+            return PAIRS_ARROW.empty_table()
+        out = [{"kind": 0, "block": head["block"], "n": len(place), "docs": n_docs, "windows": pack(np.stack([text, lo, hi, mid, fn]).astype(np.uint32).reshape(-1)), "keys": pack(group[place]), "ids": head["owners"]}]
+        go = least[place] < doc_ids[text]
+        a = least[place][go]
+        text, lo, hi, fn = text[go], lo[go], hi[go], fn[go]
         order = np.lexsort((a, text))
         text, lo, hi, fn, a = (x[order] for x in (text, lo, hi, fn, a))
         edges = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (a[1:] != a[:-1]), [True]))) if len(text) else np.zeros(1, np.int64)
-        pairs = [(int(a[s]), int(doc_ids[text[s]])) for s, e in zip(edges[:-1], edges[1:], strict=True) if covered(lo[s:e], hi[s:e], fn[s:e], hits)]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+        out += [{"kind": 1, "block": head["block"], "a": int(a[s]), "b": int(doc_ids[text[s]])} for s, e in zip(edges[:-1], edges[1:], strict=True) if covered(lo[s:e], hi[s:e], fn[s:e], hits)]
+        return pa.Table.from_pylist(out, schema=PAIRS_ARROW)
 
-    pairs = materialize(spark, found.groupBy("block").applyInArrow(join, "a bigint, b bigint").distinct(), "candidates")
+    pairs = materialize(spark, found.groupBy("block").applyInArrow(join, PAIRS), "candidates", "kind")
     discard(made)
     return pairs
 
 
+def colliding(key: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, mid: np.ndarray, fn: np.ndarray, is_open: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, open) for windows of two functions that have their least hashes in one passage of ``length`` shingles."""
+    first = (text << 32) + np.maximum(lo, mid - length + 1)
+    last = (text << 32) + np.minimum(hi - length + 1, mid)
+    order = np.argsort(first, kind="stable")
+    parts = []
+    for f in np.unique(fn):
+        x = order[fn[order] == f]
+        for g in np.unique(fn[fn > f]):
+            y = order[fn[order] == g]
+            begin = np.searchsorted(last[y], first[x])
+            n = np.maximum(0, np.searchsorted(first[y], last[x], side="right") - begin)
+            one, two = np.repeat(x, n), y[ragged(begin, n)]
+            both = mix(key[one] ^ mix(key[two] + np.uint64(int(f) * 64 + int(g) + 1)))
+            parts.append((both, text[one], is_open[one] | is_open[two]))
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _members(key: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, document) in that order, open if one of them is."""
+    order = np.lexsort((doc, key))
+    key, doc, is_open = key[order], doc[order], is_open[order]
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.zeros(0, np.int64)
+    return key[new], doc[new], np.logical_or.reduceat(is_open, new) if len(key) else is_open
+
+
+def second_pairs(found: DataFrame, spans: DataFrame, width: int, passage: int, shards: int) -> DataFrame:
+    """(a, b): documents b with an open window and the earlier documents a with which it collides in two functions."""
+    length = passage - width + 1
+    blocks_of = found.where("kind = 1").select("block", "b").distinct()
+    settled = spans.select(F.col("doc_id").alias("b"), "first_word", "n_words").distinct().join(blocks_of.hint("merge"), "b")
+    rows = found.where("kind = 0").select("block", "n", "docs", "windows", "keys", "ids", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("first_word"), F.lit(None).cast("bigint").alias("n_words"))
+    rows = rows.unionByName(settled, allowMissingColumns=True)
+
+    def ask(table: pa.Table) -> pa.Table:
+        head = next(r for r in table.to_pylist() if r["windows"] is not None)
+        ids = unpack(head["ids"], head["docs"], np.int64)
+        text, lo, hi, mid, fn = unpack(head["windows"], 5 * head["n"], np.uint32).astype(np.int64).reshape(5, -1)
+        key = unpack(head["keys"], head["n"], np.uint64)
+        texts: dict[int, list[int]] = {}
+        for i, d in enumerate(ids.tolist()):
+            texts.setdefault(d, []).append(i)
+        done = [((t << 32) + r["first_word"], (t << 32) + r["first_word"] + r["n_words"] - width) for r in table.select(["b", "first_word", "n_words"]).to_pylist() if r["b"] is not None for t in texts.get(r["b"], [])]
+        starts, ends = (np.sort(np.array([d[i] for d in done], np.int64)) for i in (0, 1))
+        at = (text << 32) + mid
+        is_open = np.searchsorted(starts, at, side="right") - np.searchsorted(ends, at, side="left") <= 0
+        both, owner, is_open = colliding(key, text, lo, hi, mid, fn, is_open, length)
+        both, owner, is_open = _members(both, ids[owner], is_open)
+        shard = (both % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        both, owner, is_open = both[order], owner[order], is_open[order].astype(np.uint8)
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        out = [{"block": head["block"], "kind": ex.ASK, "shard": s, "n": int(b - a), "keys": pack(both[a:b]), "owners": pack(owner[a:b]), "flags": pack(is_open[a:b])} for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+        return pa.Table.from_pylist(out, schema=ex.ARROW)
+
+    def pair(table: pa.Table) -> pa.Table:
+        asks = table.select(["n", "keys", "owners", "flags"]).to_pylist()
+        key, doc, is_open = (np.concatenate([unpack(r[c], r["n"], t) for r in asks]) for c, t in (("keys", np.uint64), ("owners", np.int64), ("flags", np.uint8)))
+        key, doc, is_open = _members(key, doc, is_open > 0)
+        start = np.searchsorted(key, key)
+        later = np.flatnonzero(is_open & (start < np.arange(len(key))))
+        n = later - start[later]
+        out = [np.zeros((0, 2), np.int64)]
+        # Some million pairs at a time; equal ones go at once.
+        for part in np.split(later, np.flatnonzero(np.diff(np.cumsum(n) >> 22)) + 1):
+            k = part - start[part]
+            out = [np.unique(np.concatenate([*out, np.stack([doc[ragged(start[part], k)], np.repeat(doc[part], k)], axis=1)]), axis=0)]
+        return pa.table({"a": pa.array(out[0][:, 0], pa.int64()), "b": pa.array(out[0][:, 1], pa.int64())})
+
+    asks = rows.groupBy("block").applyInArrow(ask, ex.SCHEMA)
+    return asks.groupBy("shard").applyInArrow(pair, "a bigint, b bigint").distinct()
+
+
 def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage: int, similarity: float) -> list[tuple[int, int, float]]:
     """(first shingle, shingles, share found) of the passages of ``later`` whose shingles occur in ``earlier``."""
     if not len(later) or not len(earlier):
@@ -214,7 +309,19 @@ def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage:
 def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, similarity: float = SIMILARITY, hashes: int = HASHES, hits: int = MIN_HITS) -> DataFrame:
     """(doc_id, first_word, n_words, source_id, similarity): passages that nearly occur in an earlier document."""
     spark = docs.sparkSession
-    pairs = candidate_pairs(docs, width, passage, hashes, hits)
+    shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
+    found = first_pairs(docs, width, passage, hashes, hits, shards)
+    pairs = found.where("kind = 1").select("a", "b").distinct()
+    first = materialize(spark, _verified(docs, pairs, width, passage, similarity), "spans")
+    more = second_pairs(found, first, width, passage, shards)
+    more = materialize(spark, more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "candidates")
+    discard(found)
+    return first.unionByName(_verified(docs, more, width, passage, similarity)).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, similarity: float) -> DataFrame:
+    """The passages of documents b of ``pairs`` that nearly occur in their documents a."""
+    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     texts = materialize(spark, texts, "texts")

@@ -163,6 +163,18 @@ def test_passages(make_docs, no_docs, odd_docs):
     assert {7, 8, 11} <= {d for d, _ in odd} and all(d is not None for d, _ in odd) and (8, 8) not in odd
 
 
+def test_passage_whose_larger_part_is_older(make_docs):
+    """Two documents share a passage of 60 words; 46 of them are also in an older, otherwise different document."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows = []
+    for i in range(16):
+        p = some(60)
+        rows += [(i, " ".join(some(40) + p[7:53] + some(40))), (100 + i, " ".join(some(50) + p + some(30))), (200 + i, " ".join(some(20) + p + some(60)))]
+    got = {(s.doc_id, s.source_id) for s in substring_dedup.duplicate_passages(make_docs(rows)).collect()}
+    assert got == {(200 + i, 100 + i) for i in range(16)}
+
+
 def brute_bytes(rows):
     first = {}
     for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
