@@ -18,8 +18,8 @@ least MIN_HITS functions overlap.  Passages with a similarity of 0.8 collide in
 so many of 5 functions with a probability of 0.993 for each window length.
 
 *Second round.*  The least member of a group may hold a frequent line but not
-the passage.  A window whose centre is in no verified span of its document is
-open.  For two functions, the windows of all groups with several documents are
+the passage.  A window is open if a passage of it that holds its centre is not
+inside one verified span of its document.  For two functions, the windows of all groups with several documents are
 laid over each other where both are of one passage; the two least hashes are
 one key, and open documents are compared with all earlier ones of the key.
 What was verified in the first round is not compared again, so groups of
@@ -28,7 +28,8 @@ copies stay linear.
 *Verification.*  With both texts at hand, runs of the document's shingles that
 occur in the earlier one are joined while at least 2s/(1+s) of the joined
 shingles occur there (for runs of equal length that is a Jaccard similarity of
-s), and kept from PASSAGE words on.
+s), and kept from PASSAGE words on; shorter ones are first extended by up to
+WIDTH - 1 shingles at either end, the earlier end first, to that length.
 
 Edge cases: a null text has no passages; a null doc_id is neither compared nor
 reported; rows that share a ``doc_id`` are not compared with each other; texts
@@ -256,9 +257,10 @@ def second_pairs(found: DataFrame, spans: DataFrame, width: int, passage: int, s
         for i, d in enumerate(ids.tolist()):
             texts.setdefault(d, []).append(i)
         done = [((t << 32) + r["first_word"], (t << 32) + r["first_word"] + r["n_words"] - width) for r in table.select(["b", "first_word", "n_words"]).to_pylist() if r["b"] is not None for t in texts.get(r["b"], [])]
-        starts, ends = (np.sort(np.array([d[i] for d in done], np.int64)) for i in (0, 1))
-        at = (text << 32) + mid
-        is_open = np.searchsorted(starts, at, side="right") - np.searchsorted(ends, at, side="left") <= 0
+        done = np.array(sorted(done), np.int64).reshape(-1, 2)
+        furthest = np.maximum.accumulate(np.append(np.int64(-1), done[:, 1]))
+        begin, end = (text << 32) + np.maximum(lo, mid - length + 1), (text << 32) + np.minimum(hi, mid + length - 1)
+        is_open = furthest[np.searchsorted(done[:, 0], begin, side="right")] < end
         both, owner, is_open = colliding(key, text, lo, hi, mid, fn, is_open, length)
         both, owner, is_open = _members(both, ids[owner], is_open)
         shard = (both % np.uint64(shards)).astype(np.int64)
@@ -303,7 +305,15 @@ def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage:
             if n1 + n2 < least * (b2 - a1):
                 break
             merged[-2:] = [[a1, b2, n1 + n2]]
-    return [(a, b - a, n / (b - a)) for a, b, n in merged if b - a + width - 1 >= passage]
+    # A changed word near an end leaves up to width - 1 shingles there unfound: short spans reach for them, as far as enough of the whole is found.
+    length, out = passage - width + 1, []
+    for i, (a, b, n) in enumerate(merged):
+        left = min(width - 1, a - (merged[i - 1][1] if i else 0), max(0, length - (b - a)))
+        right = min(width - 1, (merged[i + 1][0] if i + 1 < len(merged) else len(later)) - b, max(0, length - (b - a) - left))
+        k = b - a + left + right
+        if k >= length and n >= least * k:
+            out.append((a - left, k, n / k))
+    return out
 
 
 def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, similarity: float = SIMILARITY, hashes: int = HASHES, hits: int = MIN_HITS) -> DataFrame:
