@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,72 +187,119 @@ def decode_block(image: bytes, table: FrequencyTable) -> tuple[Block, np.ndarray
 class WordEncoder:
     """Encoder of a tokenizers file whose pre-tokens never cross white space.
 
-    Texts are cut at ASCII white space.  Distinct words pass the library's
-    normaliser in one string, are cut by the file's own pattern, and each
-    distinct piece passes the library's model.  The words' ids, put together,
-    are those of the whole text.  Recent words are remembered in two
-    generations of at most CACHE_WORDS, so memory is bounded.
+    Texts are cut at ASCII white space.  Words of PLAIN characters, which the
+    file's normaliser only lower-cases, are cut by the file's own pattern in
+    Arrow, and each distinct piece passes the library's model; any other word
+    passes the library as it is, and so does every word that may hold a special
+    token.  The words' ids, put together, are those of the whole text.  At most
+    CACHE_PIECES pieces and those of one block are remembered, so memory is
+    bounded.  Files of another make are left to the library, text by text.
     """
 
-    CACHE_WORDS = 150_000
-    #: Words with later characters are cut by the library: Unicode versions may differ there.
-    PLAIN = "\u024f"
+    CACHE_PIECES = 200_000
+    #: Visible ASCII, and Latin letters that have one lower-case form and stay as they are in NFC.
+    PLAIN = r"^[\x21-\x7E\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+    #: Of these in lower case: the letters, and what is neither a letter nor a digit nor the apostrophe, which the pattern treats apart.
+    LETTERS = "".join(map(chr, sorted({ord(chr(c).lower()) for c in [*range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)]})))
+    MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.normalize, self.model = self.whole.normalizer.normalize_str, self.whole.model
+        self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
-            self.pattern = regex.compile(json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            made = json.load(f)
+        cutters = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        steps = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])]
+        self.by_word = steps == self.NORMALIZERS and [c["type"] for c in cutters] == ["Split", "ByteLevel"] and cutters[0]["invert"] and cutters[0]["behavior"] == "Removed" and not cutters[1]["use_regex"] and not cutters[1]["add_prefix_space"]
+        self.pattern = f"({cutters[0]['pattern']['Regex']})" if self.by_word else ""
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        cut = self.whole.pre_tokenizer.pre_tokenize_str
-        self.letters = {ord(c): "".join(p for p, _ in cut(c)) for c in map(chr, range(0x21, 0x250)) if not c.isspace()}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        joined = " ".join(words)
-        plain = joined.isascii()
-        normal = joined.lower() if plain else self.normalize(joined)
-        parts = normal.split(" ")
-        if len(parts) != len(words) or any(t in normal for t in self.special):
-            # A word has Unicode white space or a special token's string.
-            return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-        known: dict[str, bytes] = {}
-        out = []
-        for word, part in zip(words, parts, strict=True):
-            if not plain and max(part) > self.PLAIN:
-                out.append(np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-                continue
-            data = b""
-            for piece in self.pattern.findall(part):
-                ids = known.get(piece)
-                if ids is None:
-                    mapped = piece if piece.isascii() else piece.translate(self.letters)
-                    ids = known[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-                data += ids
-            out.append(data)
-        return out
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words one after another, and the number of ids of each."""
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        for some in ([w for w in new if w.isascii()], [w for w in new if not w.isascii()]):
-            for k in range(0, len(some), 5_000):
-                young.update(zip(some[k : k + 5_000], self._encode(some[k : k + 5_000]), strict=True))
-        found = []
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = young[w] = old[w]
-            found.append(ids)
-        if len(young) > self.CACHE_WORDS:
-            self.young, self.old = {}, young
-        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others for the characters from 256 on.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self._remember(pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known, self.ids, self.sizes = pieces, ids, sizes
+
+    def _model(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, where those of each piece begin, and how many they are."""
+        found = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(pc.is_null(found))
+        flat, n = _joined([self._model(x) for x in new.to_pylist()])
+        at = np.asarray(pc.fill_null(found, -1), dtype=np.int64)
+        at[at < 0] = len(self.known) + np.arange(len(new))
+        self._remember(pa.concat_arrays([self.known, new]), np.concatenate((self.ids, flat)), np.concatenate((self.sizes, n)))
+        ids, starts, sizes = self.ids, np.cumsum(self.sizes) - self.sizes, self.sizes
+        if len(self.known) > self.CACHE_PIECES:
+            self._remember(pieces, ids[ragged(starts[at], sizes[at])], sizes[at])
+        return ids, starts[at], sizes[at]
+
+    def _library(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _cut(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of lower-case plain words, and where those of each word begin (and the last ends).
+
+        A word of letters, or of letters and then marks, needs no pattern: such
+        runs are what it cuts.  Only the others are matched.
+        """
+        core = pc.utf8_rtrim(words, characters=self.MARKS)
+        simple = pc.utf8_is_alpha(core)
+        only = np.asarray(simple.cast(pa.uint8())) > 0
+        core, tail = core.filter(simple), pc.utf8_ltrim(words.filter(simple), characters=self.LETTERS)
+        marked = pc.replace_substring_regex(words.filter(pc.invert(simple)), self.pattern, r"\1 ")
+        lists = pc.split_pattern(pc.ascii_rtrim_whitespace(marked), " ")
+        offsets = np.asarray(lists.offsets, dtype=np.int64)
+        has = np.asarray(pc.binary_length(tail)) > 0
+        sizes = np.empty(len(words), np.int64)
+        sizes[only], sizes[~only] = 1 + has, np.diff(offsets)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        parts = pa.concat_arrays([core, tail, lists.values])
+        take = np.empty(ends[-1], np.int64)
+        take[ends[:-1][only]] = np.arange(len(core))
+        take[ends[:-1][only][has] + 1] = len(core) + np.flatnonzero(has)
+        take[ragged(ends[:-1][~only], sizes[~only])] = 2 * len(core) + np.arange(len(lists.values))
+        return parts.take(pa.array(take)), ends
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, where those of each word begin, and how many they are."""
+        plain = pc.match_substring_regex(words, self.PLAIN)
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(words, token))
+        easy = np.asarray(plain.cast(pa.uint8())) > 0
+        pieces, ends = self._cut(pc.utf8_lower(words.filter(plain)))
+        coded = pieces.dictionary_encode()
+        flat, first, n = self._pieces(coded.dictionary)
+        codes = np.asarray(coded.indices, dtype=np.int64)
+        at = np.concatenate(([0], np.cumsum(n[codes])))[ends]
+        ids = flat[ragged(first[codes], n[codes])]
+        other, m = _joined(self._library(words.filter(pc.invert(plain)).to_pylist()))
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[easy], sizes[easy] = at[:-1], np.diff(at)
+        starts[~easy], sizes[~easy] = len(ids) + np.cumsum(m) - m, m
+        return np.concatenate((ids, other)), starts, sizes
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the number of ids of each text."""
+        if not self.by_word:
+            return _joined(self._library(pc.fill_null(texts, "").to_pylist()))
+        codes, offsets, words = words_of(texts)
+        table, starts, sizes = self.encode_words(words)
+        per_word = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(per_word)))
+        return table[ragged(starts[codes], per_word)], np.diff(ends[offsets])
+
+
+def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -261,13 +309,7 @@ def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    codes, offsets, words = words_of(texts)
-    table, sizes = _ENCODERS[path].encode_words(words.to_pylist())
-    starts = np.cumsum(sizes) - sizes
-    per_word = sizes[codes]
-    ids = table[ragged(starts[codes], per_word)]
-    ends = np.concatenate(([0], np.cumsum(per_word)))
-    return ids, np.diff(ends[offsets])
+    return _ENCODERS[path].encode_texts(texts)
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None, vocab: int, encode: Callable = encode_words) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from rillscope.llm import byte_bpe, token_binary, token_counts
@@ -44,7 +45,6 @@ def test_shards(spark, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(WORD)
-    tok.encode_special_tokens = True
     out = token_binary.token_digests(odd_docs, WORD, 1, 49_408).collect()
     want = []
     for r in odd_docs.collect():
@@ -60,6 +60,21 @@ def test_shards(spark, odd_docs, no_docs):
     assert token_binary.token_digests(no_docs, WORD, 1, 49_408).count() == 0
 
 
+def test_word_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(WORD)
+    plain = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [*plain, *(f"a{c}b {c}{c}Q" for c in plain), *(f"é{c}1'S" for c in plain)]
+    texts += ["<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>", "<|endoftext", "a\x00b \x7f x a\x1cb", "e\u0301 \u0301x", "ΣΑΣ İstanbul ǅ Ⱥ", "don't I'LL 'S 's's 're''", "日本語 😀😀", "", " ", "\u00a0a\u00a0", "\ud7ff", "x" * 5000]
+    rng = np.random.default_rng(3)
+    texts += ["".join(map(chr, rng.choice([*range(0x20, 0x7F), *range(0x20, 0x7F), *range(0x80, 0x250), 0x301, 0x2028], 60))) for _ in range(2000)]
+    ids, counts = token_binary.encode_words(pa.array(texts), WORD)
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
 def test_byte_bpe(odd_docs, no_docs):
     enc = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN)
     want = []
