@@ -35,11 +35,13 @@ _paths: dict[int, tuple[DataFrame, str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (as
-    in tests on one machine) a temporary folder is made.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset in a
+    local session (as in tests) a temporary folder is made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rillscope-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,6 +90,11 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str, *parts: str) -> Da
     return out
 
 
+def drop_part(df: DataFrame, part: str) -> None:
+    """Delete one partition folder of a table of :func:`materialize` that is not read any more."""
+    drop_scratch(df.sparkSession, f"{_paths[id(df)][1]}/{part}")
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` whose results have been written in turn."""
     kept, path = _paths.pop(id(df))

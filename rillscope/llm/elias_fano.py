@@ -1,8 +1,10 @@
-"""Elias-Fano sequences and n-gram tries over memory-mapped bytes.
+"""Elias-Fano sequences and linked n-gram tries over flat buffers.
 
 A monotone sequence of n numbers below u is held as its low bits, packed, and
 its high parts in unary in a bit vector with one count per 64-bit word: about
-2 + log2(u / n) bits a number plus the counts.
+2 + log2(u / n) bits a number plus the counts.  Numbers with an equal high part
+are neighbours, so a successor search selects two zeros of the bit vector and
+then compares low bits of the few numbers between them.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import numpy as np
 
 ONE = np.uint64(1)
+WORD = np.uint64(64)
+CHUNK = 1 << 16  # queries at a time, so that the arrays stay in cache
 
 
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -22,14 +26,15 @@ def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
         up = rank >= count
         rank = np.where(up, rank - count, rank)
         place = np.where(up, place + np.uint64(width), place)
-    return place
+    return place.astype(np.int64)
 
 
 class EliasFano:
-    """A monotone sequence, read from ``parts`` of a byte image."""
+    """A monotone sequence, read from ``parts`` of a buffer."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray):
         self.n, self.bits, self.low, self.high, self.ranks = n, bits, low, high, ranks
+        self.zeros = np.arange(len(ranks), dtype=np.int64) * 64 - ranks.astype(np.int64)
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> EliasFano:
@@ -37,7 +42,7 @@ class EliasFano:
         bits = max(0, int(universe // max(n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         top = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(top[-1]) if n else 0) // 64 + 1, np.uint64)
+        high = np.zeros((int(top[-1]) if n else 0) // 64 + 2, np.uint64)
         np.bitwise_or.at(high, top >> 6, ONE << (top & 63).astype(np.uint64))
         ranks = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64))).astype(np.uint32)
         low = np.zeros(n * bits // 64 + 2, np.uint64)
@@ -46,37 +51,59 @@ class EliasFano:
             at = np.arange(n, dtype=np.int64) * bits
             word, shift = at >> 6, (at & 63).astype(np.uint64)
             np.bitwise_or.at(low, word, part << shift)
-            spill = shift + np.uint64(bits) > np.uint64(64)
-            np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (np.uint64(64) - shift[spill]))
+            spill = shift + np.uint64(bits) > WORD
+            np.bitwise_or.at(low, word[spill] + 1, part[spill] >> (WORD - shift[spill]))
         return EliasFano(n, bits, low, high, ranks)
 
+    def _low(self, index: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            return np.zeros(len(index), np.uint64)
+        at = index * self.bits
+        w, shift = at >> 6, (at & 63).astype(np.uint64)
+        part = self.low[w] >> shift
+        part = np.where(shift > 0, part | (self.low[w + 1] << ((WORD - shift) & np.uint64(63))), part)
+        return part & np.uint64((1 << self.bits) - 1)
+
     def get(self, index: np.ndarray) -> np.ndarray:
         """The numbers at ``index``."""
+        index = index.astype(np.int64)
         word = np.searchsorted(self.ranks, index, side="right") - 1
-        place = _select_in_word(self.high[word], index - self.ranks[word])
-        top = (word.astype(np.int64) << 6) + place.astype(np.int64) - index
-        out = top.astype(np.uint64) << np.uint64(self.bits)
-        if self.bits:
-            at = index.astype(np.int64) * self.bits
-            w, shift = at >> 6, (at & 63).astype(np.uint64)
-            part = self.low[w] >> shift
-            spill = shift > 0
-            part = np.where(spill, part | (self.low[w + 1] << ((np.uint64(64) - shift) & np.uint64(63))), part)
-            out |= part & np.uint64((1 << self.bits) - 1)
-        return out
-
-    def all(self) -> np.ndarray:
-        """All numbers, decoded in one sweep."""
-        bits = np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little")
-        top = np.flatnonzero(bits)[: self.n] - np.arange(self.n)
-        out = top.astype(np.uint64) << np.uint64(self.bits)
-        if self.bits:
-            at = np.arange(self.n, dtype=np.int64) * self.bits
-            w, shift = at >> 6, (at & 63).astype(np.uint64)
-            part = self.low[w] >> shift
-            part = np.where(shift > 0, part | (self.low[w + 1] << ((np.uint64(64) - shift) & np.uint64(63))), part)
-            out |= part & np.uint64((1 << self.bits) - 1)
-        return out
+        top = (word << 6) + _select_in_word(self.high[word], index - self.ranks[word]) - index
+        return top.astype(np.uint64) << np.uint64(self.bits) | self._low(index)
+
+    def _below(self, part: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part below ``part``."""
+        k = np.minimum(part, self.zeros[-1]) - 1
+        word = np.searchsorted(self.zeros, k, side="right") - 1
+        found = (word << 6) + _select_in_word(~self.high[np.minimum(word, len(self.high) - 1)], k - self.zeros[word]) - k
+        return np.where(part <= 0, 0, np.minimum(found, self.n))
+
+    def _find(self, values: np.ndarray, begin: np.ndarray | None, end: np.ndarray | None) -> np.ndarray:
+        values = values.astype(np.uint64)
+        part = (values >> np.uint64(self.bits)).astype(np.int64)
+        lo, stop = self._below(part), self._below(part + 1)
+        if begin is not None:
+            lo, stop = np.maximum(lo, begin), np.minimum(stop, end)
+        hi, want = stop.copy(), values & np.uint64((1 << self.bits) - 1)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self._low(mid) < want[todo]
+            lo[todo] = np.where(less, mid + 1, lo[todo])
+            hi[todo] = np.where(less, hi[todo], mid)
+            todo = todo[lo[todo] < hi[todo]]
+        place = np.full(len(values), -1)
+        there = np.flatnonzero(lo < stop)
+        hit = there[self._low(lo[there]) == want[there]]
+        place[hit] = lo[hit]
+        return place
+
+    def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each value (between ``begin`` and ``end``), -1 where it is not there."""
+        if not self.n or not len(values):
+            return np.full(len(values), -1)
+        cut = [slice(a, a + CHUNK) for a in range(0, len(values), CHUNK)]
+        return np.concatenate([self._find(values[c], *(None if x is None else x[c] for x in (begin, end))) for c in cut])
 
     def dump(self) -> list[np.ndarray]:
         head = np.array([self.n, self.bits, len(self.low), len(self.high), len(self.ranks)], np.uint64)
@@ -86,7 +113,7 @@ class EliasFano:
 
     @staticmethod
     def load(image: np.ndarray, at: int) -> tuple[EliasFano, int]:
-        """From 64-bit words of an image, and where the next part begins."""
+        """From 64-bit words of an image, read in place, and where the next part begins."""
         n, bits, n_low, n_high, n_ranks = (int(x) for x in image[at : at + 5])
         at += 5
         low, high = image[at : at + n_low], image[at + n_low : at + n_low + n_high]
@@ -96,70 +123,72 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts of one level and their successors of the next.
+    """A trie of three levels: first words, their successors, and the successors of those pairs.
 
-    ``contexts`` are sorted keys; ``pointers`` say where each one's successors
-    begin; ``successors`` are sorted within a context and stored relative to
-    it: context number times ``span`` plus the key, which is monotone.  ``own``
-    and ``next`` hold a quantised number for each context and successor.
+    ``roots`` are sorted word numbers.  ``seconds`` are stored relative to their
+    root: root's place times ``span`` plus the word number, which is monotone;
+    ``thirds`` likewise relative to their pair.  ``first_second`` and
+    ``first_third`` are monotone pointers to where a node's successors begin.
+    ``values`` holds a quantised number for each pair and each triple.
     """
 
-    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, own: np.ndarray, next_: np.ndarray, span: int):
-        self.contexts, self.pointers, self.successors, self.own, self.next, self.span = contexts, pointers, successors, own, next_, span
+    def __init__(self, span: int, roots: EliasFano, first_second: EliasFano, seconds: EliasFano, first_third: EliasFano, thirds: EliasFano, pair_values: np.ndarray, triple_values: np.ndarray):
+        self.span, self.roots, self.first_second, self.seconds, self.first_third, self.thirds = span, roots, first_second, seconds, first_third, thirds
+        self.values = (pair_values, triple_values)
 
     @staticmethod
-    def build(contexts: np.ndarray, successors: np.ndarray, own: np.ndarray, next_: np.ndarray, context_bits: int, key_bits: int) -> Trie:
-        """From pairs sorted by (context, successor); ``own`` belongs to the distinct contexts."""
-        new = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1]))) if len(contexts) else np.zeros(0, np.int64)
-        number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(contexts))))
-        span = 1 << key_bits
-        relative = number.astype(np.uint64) * np.uint64(span) + successors
-        return Trie(EliasFano.build(contexts[new], 1 << context_bits), EliasFano.build(np.append(new, len(contexts)), len(contexts) + 1), EliasFano.build(relative, max(1, len(new)) * span), own, next_, span)
-
-    def find(self, contexts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of each context and place of each of its successors, -1 for none; queries sorted by context."""
-        n = self.contexts.n
-        if not n or not len(contexts):
-            return np.full(len(contexts), -1), np.full(len(contexts), -1)
-        known = self.contexts.all()
-        c = np.minimum(np.searchsorted(known, contexts), n - 1)
-        has = known[c] == contexts
-        lo = self.pointers.get(c).astype(np.int64)
-        hi = self.pointers.get(c + 1).astype(np.int64)
-        want = c.astype(np.uint64) * np.uint64(self.span) + keys
-        lo, hi = np.where(has, lo, 0), np.where(has, hi, 0)
-        if 4 * len(contexts) >= self.successors.n:  # many queries: one sweep over the level is cheaper
-            level = self.successors.all()
-            place = np.searchsorted(level, want)
-            hit = (lo <= place) & (place < hi) & (level[np.minimum(place, len(level) - 1)] == want)
-            return np.where(has, c, -1), np.where(hit, place, -1)
-        end = hi.copy()
-        todo = np.flatnonzero(lo < hi)
-        while len(todo):  # successor search inside the context only
-            mid = (lo[todo] + hi[todo]) >> 1
-            less = self.successors.get(mid) < want[todo]
-            lo[todo] = np.where(less, mid + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
-        there = np.flatnonzero(has & (lo < end))
-        place = np.full(len(contexts), -1)
-        hit = self.successors.get(lo[there]) == want[there]
-        place[there[hit]] = lo[there[hit]]
-        return np.where(has, c, -1), place
+    def build(u: np.ndarray, v: np.ndarray, pair_values: np.ndarray, parent: np.ndarray, w: np.ndarray, triple_values: np.ndarray, span: int) -> Trie:
+        """From sorted pairs (u, v) and triples (place of their pair, w) sorted likewise."""
+        new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.zeros(0, np.int64)
+        root = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(u))))
+        seconds = root.astype(np.uint64) * np.uint64(span) + v.astype(np.uint64)
+        thirds = parent.astype(np.uint64) * np.uint64(span) + w.astype(np.uint64)
+        first = np.searchsorted(parent, np.arange(len(u) + 1))
+        return Trie(
+            span,
+            EliasFano.build(u[new], span),
+            EliasFano.build(np.append(new, len(u)), len(u) + 1),
+            EliasFano.build(seconds, max(1, len(new)) * span),
+            EliasFano.build(first, len(w) + 1),
+            EliasFano.build(thirds, max(1, len(u)) * span),
+            pair_values,
+            triple_values,
+        )
+
+    @staticmethod
+    def _relative(place: np.ndarray, pointers: EliasFano, level: EliasFano, keys: np.ndarray, span: int) -> np.ndarray:
+        """Place in ``level`` of the successor with each key, among those of the node at ``place``; -1 for none."""
+        known, which = np.unique(place, return_inverse=True)
+        node = np.maximum(known, 0)
+        if not level.n:
+            return np.full(len(keys), -1)
+        begin, end = pointers.get(node).astype(np.int64), pointers.get(node + 1).astype(np.int64)
+        end = np.where(known < 0, begin, end)
+        return level.find(np.maximum(place, 0).astype(np.uint64) * np.uint64(span) + keys.astype(np.uint64), begin[which], end[which])
+
+    def find_pairs(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Place of each pair, -1 for none."""
+        known, which = np.unique(u, return_inverse=True)
+        return self._relative(self.roots.find(known)[which], self.first_second, self.seconds, v, self.span)
+
+    def find_triples(self, pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Place of each triple, given the places of their pairs; -1 for none."""
+        return self._relative(pair, self.first_third, self.thirds, w, self.span)
 
     def dump(self) -> bytes:
-        own, nxt = (np.pad(x.astype(np.uint16), (0, -len(x) % 4)).view(np.uint64) for x in (self.own, self.next))
-        head = np.array([self.span, len(self.own), len(own), len(self.next), len(nxt)], np.uint64)
-        return b"".join(x.tobytes() for x in [head, own, nxt, *self.contexts.dump(), *self.pointers.dump(), *self.successors.dump()])
+        padded = [np.pad(x.astype(np.uint16), (0, -len(x) % 4)).view(np.uint64) for x in self.values]
+        head = np.array([self.span, *(n for x, p in zip(self.values, padded, strict=True) for n in (len(x), len(p)))], np.uint64)
+        parts = (self.roots, self.first_second, self.seconds, self.first_third, self.thirds)
+        return b"".join(x.tobytes() for x in [head, *padded, *(y for p in parts for y in p.dump())])
 
     @staticmethod
-    def load(image: np.ndarray) -> Trie:
-        """From the 64-bit words of a (memory-mapped) image."""
-        span, n_own, w_own, n_next, w_next = (int(x) for x in image[:5])
-        own = image[5 : 5 + w_own].view(np.uint16)[:n_own]
-        nxt = image[5 + w_own : 5 + w_own + w_next].view(np.uint16)[:n_next]
-        at = 5 + w_own + w_next
-        contexts, at = EliasFano.load(image, at)
-        pointers, at = EliasFano.load(image, at)
-        successors, at = EliasFano.load(image, at)
-        return Trie(contexts, pointers, successors, own, nxt, span)
+    def load(buffer: bytes | memoryview) -> Trie:
+        """From a flat image, whose levels are read in place (the buffer may be a memory map)."""
+        image = np.frombuffer(buffer, np.uint64)
+        span, n2, w2, n3, w3 = (int(x) for x in image[:5])
+        pair, triple = image[5 : 5 + w2].view(np.uint16)[:n2], image[5 + w2 : 5 + w2 + w3].view(np.uint16)[:n3]
+        at, parts = 5 + w2 + w3, []
+        for _ in range(5):
+            part, at = EliasFano.load(image, at)
+            parts.append(part)
+        return Trie(span, *parts, pair, triple)
