@@ -8,34 +8,42 @@ length are made: their centres are the places of the sliding-window minima
 (about 2n / length of them), and their bounds are the nearest smaller centres,
 found by pointer jumping (a centre's nearest smaller token is a centre itself).
 
-*Groups.*  Windows with an equal least hash are one group; each learns the
-least ``doc_id`` of its group through a block exchange, so a hash is sent once
-per block however many documents share it.
+*Groups.*  Windows with an equal least hash are one group.  Blocks send each
+distinct hash once, with the least documents that have it; the shard of the
+hash answers with the least documents of the whole group and whether it has
+more.
 
 *Interval join.*  For a document and an earlier one, the windows of all
 functions are laid over each other; the pair is a candidate where windows of at
 least MIN_HITS functions overlap.  Passages with a similarity of 0.8 collide in
 so many of 5 functions with a probability of 0.993 for each window length.
 
-*Second round.*  The least member of a group may hold a frequent line but not
-the passage.  A window is open if a passage of it that holds its centre is not
-inside one verified span of its document.  For two functions, the windows of all groups with several documents are
-laid over each other where both are of one passage; the two least hashes are
-one key, and open documents are compared with all earlier ones of the key.
-What was verified in the first round is not compared again, so groups of
-copies stay linear.
+*Rounds.*  The first round compares a document with the least one of each
+group.  That settles groups of two, and those of copies without expanding them.
+A window of a larger group goes on unless a passage verified as equal covers
+it; it is open unless some verified passage covers it.  In the next round all
+shingles near such windows are counted by documents, and hash functions put the
+ones of more than RARE documents after all others: so a frequent phrase in
+passages that differ otherwise makes no group, and a group either has RARE
+documents at most, which are all compared, or consists of passages made of
+frequent shingles only, which are compared with their LEADERS least ones; what
+is still open after that meets four times as many in each later round, until no
+open window is in a group with documents left.  No group is cut short, and no
+pair is compared twice.
 
 *Verification.*  With both texts at hand, runs of the document's shingles that
 occur in the earlier one are joined while at least 2s/(1+s) of the joined
 shingles occur there (for runs of equal length that is a Jaccard similarity of
-s), and kept from PASSAGE words on; shorter ones are first extended by up to
+s), and kept from PASSAGE words on if as many of them stand within as many
+shingles of the earlier document; shorter ones are first extended by up to
 WIDTH - 1 shingles at either end, the earlier end first, to that length.
 
 Edge cases: a null text has no passages; a null doc_id is neither compared nor
-reported; rows that share a ``doc_id`` are not compared with each other; texts
-shorter than a passage have none; very long texts are a block of their own;
-repeated rows report their passages once; an empty table gives an empty
-result; other columns are ignored, whatever their names.
+reported; rows that share a ``doc_id`` are not compared with each other, and
+``text_key`` (a hash of the text) tells their passages apart; texts shorter than
+a passage have none; very long texts are a block of their own; repeated rows
+report their passages once; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +55,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _exchange as ex
 from ._common import GOLD, blocks, discard, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
 
 WIDTH = 5
@@ -55,6 +62,8 @@ PASSAGE = 50
 SIMILARITY = 0.8
 HASHES = 5
 MIN_HITS = 2
+RARE = 16
+LEADERS = 16
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 24 << 20
 MASK = (1 << 64) - 1
@@ -125,8 +134,83 @@ def _seeded(h: np.ndarray, f: int) -> np.ndarray:
     return mix(h ^ np.uint64((f + 1) * int(GOLD) & MASK))
 
 
+SCHEMA = "block bigint, kind int, shard int, n bigint, m bigint, a binary, b binary, c binary, d binary"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("m", pa.int64()), *((c, pa.binary()) for c in "abcd")])
+HELD, ASK, ANSWER, SEGMENTS, COUNT, FREQUENT, PAIR, ON, SPAN = range(9)
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    return [dict(zip(NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in NAMES), strict=True)]
+
+
+def _runs(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows of sorted arrays begin, and the end of the last."""
+    if not len(x):
+        return np.zeros(1, np.int64)
+    new = x[1:] != x[:-1]
+    for y in more:
+        new |= y[1:] != y[:-1]
+    return np.flatnonzero(np.concatenate(([True], new, [True])))
+
+
+def _least_owners(keys: np.ndarray, owners: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the number of distinct owners of each (as far as ``most``), and those, the least ones, one key after another."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    at = _runs(keys, owners)[:-1]
+    keys, owners = keys[at], owners[at]
+    edge = _runs(keys)
+    rank = np.arange(len(keys)) - np.repeat(edge[:-1], np.diff(edge))
+    return keys[edge[:-1]], np.minimum(np.diff(edge), most), owners[rank < most]
+
+
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each key, and the order of the keys by shard."""
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    return shard, np.argsort(shard, kind="stable")
+
+
+def _ask_owners(name: int, shards: int, most: int, key: np.ndarray, text: np.ndarray, windows: np.ndarray, doc_ids: np.ndarray) -> list[dict]:
+    """A block's windows (rows of ``windows``: lo, hi, mid, function, open) and its requests for the least owners of their keys."""
+    if not len(key):
+        return []
+    keys, counts, owners = _least_owners(key, doc_ids[text], most + 1)
+    shard, order = _by_shard(keys, shards)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[np.searchsorted(keys, key)]
+    starts = np.cumsum(counts) - counts
+    out = [{"block": name, "kind": HELD, "shard": -1, "n": len(key), "m": len(doc_ids), "a": pack(np.concatenate((place[None], text[None], windows)).astype(np.uint32).reshape(-1)), "b": pack(doc_ids), "c": pack(shard[order].astype(np.int32))}]
+    edge = _runs(shard[order])
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        mine = order[x:y]
+        sent = owners[ragged(starts[mine], counts[mine])]
+        out.append({"block": name, "kind": ASK, "shard": int(shard[mine[0]]), "n": y - x, "m": len(sent), "a": pack(keys[mine]), "b": pack(counts[mine].astype(np.uint16)), "c": pack(sent)})
+    return out
+
+
+def _answer_owners(table: pa.Table, most: int, lead: int) -> pa.Table:
+    """For every key of more than one document its ``lead`` least owners (all, if it has ``most`` at most), and whether it has more."""
+    rows = _rows(table)
+    keys = [unpack(r["a"], r["n"], np.uint64) for r in rows]
+    counts = [unpack(r["b"], r["n"], np.uint16).astype(np.int64) for r in rows]
+    owners = np.concatenate([unpack(r["c"], r["m"], np.int64) for r in rows])
+    uniq, total, least = _least_owners(np.repeat(np.concatenate(keys), np.concatenate(counts)), owners, most + 1)
+    starts = np.cumsum(total) - total
+    given = np.where(total == 1, 0, np.where(total > most, min(lead, most), total))
+    out = []
+    for r, k in zip(rows, keys, strict=True):
+        at = np.searchsorted(uniq, k)
+        n = given[at]
+        if n.any():
+            sent = least[ragged(starts[at], n)]
+            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": r["n"], "m": len(sent), "a": pack(n.astype(np.uint16)), "b": pack(sent), "c": pack(((total[at] > n) & (n > 0)).astype(np.uint8))})
+    return pa.Table.from_pylist(out, schema=ARROW)
+
+
 def _windows(docs: DataFrame, width: int, passage: int, hashes: int, shards: int) -> DataFrame:
-    """Asks of all blocks (kind 1) and the blocks' windows (kind 0)."""
+    """All blocks' windows and requests of the first round."""
     length = passage - width + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,24 +220,23 @@ def _windows(docs: DataFrame, width: int, passage: int, hashes: int, shards: int
         for number, block in enumerate(blocks(batches, "text", BLOCK_BYTES)):
             codes, offsets, words = words_of(block.column("text"))
             h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
-            doc_ids = np.asarray(block.column("doc_id"), dtype=np.int64)
-            parts = []
-            for f in range(hashes):
-                g = _seeded(h, f)
-                lo, c, hi = compact_windows(g, ends, length)
-                text = np.searchsorted(ends, c, side="right") - 1
-                parts.append((g[c], text, lo - ends[text], hi - ends[text], c - ends[text], np.full(len(c), f, np.uint8)))
-            key, text, lo, hi, mid, fn = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if not len(key):
-                continue
-            keys, place, bounds = ex.distinct_keys(key, shards)
-            name = (task << 32) | number
-            rows = ex.asked(name, keys, place, bounds, doc_ids[text])
-            held = np.stack([place, text, lo, hi, mid, fn]).astype(np.uint32)
-            rows.append({"block": name, "kind": 0, "shard": -1, "n": len(place), "keys": pack(held.reshape(-1)), "owners": pack(doc_ids), "flags": pack(np.concatenate(([len(doc_ids), len(keys)], bounds)).astype(np.int64))})
-            yield pa.RecordBatch.from_pylist(rows, schema=ex.ARROW)
+            key, text, windows = _all_windows(h, ends, hashes, length, np.zeros(len(h), bool))
+            windows = np.concatenate((windows, np.ones((1, len(key)), np.int64)))
+            yield pa.RecordBatch.from_pylist(_ask_owners((task << 32) | number, shards, 1, key, text, windows, np.asarray(block.column("doc_id"), dtype=np.int64)), schema=ARROW)
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, ex.SCHEMA)
+
+def _all_windows(h: np.ndarray, ends: np.ndarray, hashes: int, length: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, text numbers and (lo, hi, mid, function) of the windows of all functions; frequent shingles come after all others."""
+    last = frequent.astype(np.uint64) << np.uint64(62)
+    parts = []
+    for f in range(hashes):
+        g = _seeded(h, f)
+        lo, c, hi = compact_windows((g >> np.uint64(2)) | last, ends, length)
+        text = np.searchsorted(ends, c, side="right") - 1
+        parts.append((g[c], text, np.stack([lo - ends[text], hi - ends[text], c - ends[text], np.full(len(c), f)])))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], axis=1)
 
 
 def covered(lo: np.ndarray, hi: np.ndarray, fn: np.ndarray, hits: int) -> bool:
@@ -171,121 +254,183 @@ def covered(lo: np.ndarray, hi: np.ndarray, fn: np.ndarray, hits: int) -> bool:
     return bool((total >= hits).any())
 
 
-PAIRS = "kind int, block bigint, a bigint, b bigint, n bigint, docs bigint, windows binary, keys binary, ids binary"
-PAIRS_ARROW = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("block", "a", "b", "n", "docs")), *((c, pa.binary()) for c in ("windows", "keys", "ids"))])
+def _joined(table: pa.Table, hits: int) -> pa.Table:
+    """Rows PAIR: (a, b) that collide in enough functions; ON: the windows of groups that have more documents."""
+    rows = _rows(table)
+    head = next(r for r in rows if r["kind"] == HELD)
+    doc_ids = unpack(head["b"], head["m"], np.int64)
+    held = unpack(head["a"], 7 * head["n"], np.uint32).astype(np.int64).reshape(7, -1)
+    place = held[0]
+    n_keys = int(place.max()) + 1
+    shard = unpack(head["c"], n_keys, np.int32)
+    count, first, more, found, base = np.zeros(n_keys, np.int64), np.zeros(n_keys, np.int64), np.zeros(n_keys, bool), [np.zeros(0, np.int64)], 0
+    for r in rows:
+        if r["kind"] == ANSWER:
+            at = int(np.searchsorted(shard, r["shard"]))
+            part = slice(at, at + r["n"])
+            count[part], more[part] = unpack(r["a"], r["n"], np.uint16), unpack(r["c"], r["n"], np.uint8) > 0
+            first[part] = base + np.cumsum(count[part]) - count[part]
+            found.append(unpack(r["b"], r["m"], np.int64))
+            base += r["m"]
+    owners = np.concatenate(found)
+    out = []
+    on = more[place]
+    if on.any():
+        out.append({"block": head["block"], "kind": ON, "n": int(on.sum()), "m": len(doc_ids), "a": pack(held[1:5, on].astype(np.uint32).reshape(-1)), "b": head["b"]})
+    is_open = held[6] > 0
+    _, text, lo, hi, _, fn, _ = (x[is_open] for x in held)
+    n = count[place[is_open]]
+    at = np.repeat(np.arange(len(n)), n)
+    a = owners[ragged(first[place[is_open]], n)]
+    go = a < doc_ids[text[at]]
+    at, a = at[go], a[go]
+    text, lo, hi, fn = text[at], lo[at], hi[at], fn[at]
+    order = np.lexsort((a, text))
+    text, lo, hi, fn, a = (x[order] for x in (text, lo, hi, fn, a))
+    edges = _runs(text, a)
+    pairs = np.array([(a[s], doc_ids[text[s]]) for s, e in zip(edges[:-1], edges[1:], strict=True) if covered(lo[s:e], hi[s:e], fn[s:e], hits)], np.int64).reshape(-1, 2)
+    if len(pairs):
+        out.append({"block": head["block"], "kind": PAIR, "n": len(pairs), "a": pack(np.ascontiguousarray(pairs[:, 0])), "b": pack(np.ascontiguousarray(pairs[:, 1]))})
+    return pa.Table.from_pylist(out, schema=ARROW)
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    """(a, b) of the rows PAIR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, a, b in zip(*(batch.column(c).to_pylist() for c in "nab"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(x, n, np.int64)) for x in (a, b)], names=["a", "b"])
 
+    return found.where(f"kind = {PAIR}").select("n", "a", "b").mapInArrow(run, "a bigint, b bigint").distinct()
 
-def first_pairs(docs: DataFrame, width: int, passage: int, hashes: int, hits: int, shards: int) -> DataFrame:
-    """Rows of kind 1: documents b and the least documents a of groups with which windows collide in enough functions; of kind 0: a block's windows in groups of several documents."""
-    spark = docs.sparkSession
-    made = materialize(spark, _windows(docs, width, passage, hashes, shards), "windows", "kind")
-    found = made.where("kind = 0").unionByName(ex.exchanged(made.where("kind = 1"), with_keys=True))
-
-    def join(table: pa.Table) -> pa.Table:
-        rows = [dict(zip(ex.NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in ex.NAMES), strict=True)]
-        head = next(r for r in rows if r["kind"] == 0)
-        flags = unpack(head["flags"], shards + 3, np.int64)
-        n_docs, n_keys, bounds = int(flags[0]), int(flags[1]), flags[2:]
-        doc_ids = unpack(head["owners"], n_docs, np.int64)
-        place, text, lo, hi, mid, fn = unpack(head["keys"], 6 * head["n"], np.uint32).astype(np.int64).reshape(6, -1)
-        shared, least = ex.answers(rows, n_keys, bounds)
-        group = np.zeros(n_keys, np.uint64)
-        for r in rows:
-            if r["kind"] == ex.ANSWER:
-                f = unpack(r["flags"], r["n"], np.uint8) > 0
-                group[bounds[r["shard"]] + np.flatnonzero(f)] = unpack(r["keys"], int(f.sum()), np.uint64)
-        place, text, lo, hi, mid, fn = (x[shared[place]] for x in (place, text, lo, hi, mid, fn))
-        if not len(place):
-            return PAIRS_ARROW.empty_table()
-        out = [{"kind": 0, "block": head["block"], "n": len(place), "docs": n_docs, "windows": pack(np.stack([text, lo, hi, mid, fn]).astype(np.uint32).reshape(-1)), "keys": pack(group[place]), "ids": head["owners"]}]
-        go = least[place] < doc_ids[text]
-        a = least[place][go]
-        text, lo, hi, fn = text[go], lo[go], hi[go], fn[go]
-        order = np.lexsort((a, text))
-        text, lo, hi, fn, a = (x[order] for x in (text, lo, hi, fn, a))
-        edges = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (a[1:] != a[:-1]), [True]))) if len(text) else np.zeros(1, np.int64)
-        out += [{"kind": 1, "block": head["block"], "a": int(a[s]), "b": int(doc_ids[text[s]])} for s, e in zip(edges[:-1], edges[1:], strict=True) if covered(lo[s:e], hi[s:e], fn[s:e], hits)]
-        return pa.Table.from_pylist(out, schema=PAIRS_ARROW)
-
-    pairs = materialize(spark, found.groupBy("block").applyInArrow(join, PAIRS), "candidates", "kind")
+
+def _round(made: DataFrame, tag: str, most: int, lead: int, hits: int) -> DataFrame:
+    """Rows PAIR and ON of the windows and requests of ``made``, which go."""
+    answers = made.where(f"kind = {ASK}").groupBy("shard").applyInArrow(lambda t: _answer_owners(t, most, lead), SCHEMA)
+    out = materialize(made.sparkSession, made.where(f"kind = {HELD}").unionByName(answers).groupBy("block").applyInArrow(lambda t: _joined(t, hits), SCHEMA), tag, "kind")
     discard(made)
-    return pairs
+    return out
 
 
-def colliding(key: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, mid: np.ndarray, fn: np.ndarray, is_open: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text, open) for windows of two functions that have their least hashes in one passage of ``length`` shingles."""
-    first = (text << 32) + np.maximum(lo, mid - length + 1)
-    last = (text << 32) + np.minimum(hi - length + 1, mid)
-    order = np.argsort(first, kind="stable")
-    parts = []
-    for f in np.unique(fn):
-        x = order[fn[order] == f]
-        for g in np.unique(fn[fn > f]):
-            y = order[fn[order] == g]
-            begin = np.searchsorted(last[y], first[x])
-            n = np.maximum(0, np.searchsorted(first[y], last[x], side="right") - begin)
-            one, two = np.repeat(x, n), y[ragged(begin, n)]
-            both = mix(key[one] ^ mix(key[two] + np.uint64(int(f) * 64 + int(g) + 1)))
-            parts.append((both, text[one], is_open[one] | is_open[two]))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def _members(key: np.ndarray, doc: np.ndarray, is_open: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, document) in that order, open if one of them is."""
-    order = np.lexsort((doc, key))
-    key, doc, is_open = key[order], doc[order], is_open[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.zeros(0, np.int64)
-    return key[new], doc[new], np.logical_or.reduceat(is_open, new) if len(key) else is_open
-
-
-def second_pairs(found: DataFrame, spans: DataFrame, width: int, passage: int, shards: int) -> DataFrame:
-    """(a, b): documents b with an open window and the earlier documents a with which it collides in two functions."""
+def _regions(on: DataFrame, pairs: DataFrame, spans: DataFrame, width: int, passage: int) -> DataFrame:
+    """(id, begin, end, open): where documents still have windows that are not settled, in shingles; one row for each."""
     length = passage - width + 1
-    blocks_of = found.where("kind = 1").select("block", "b").distinct()
-    settled = spans.select(F.col("doc_id").alias("b"), "first_word", "n_words").distinct().join(blocks_of.hint("merge"), "b")
-    rows = found.where("kind = 0").select("block", "n", "docs", "windows", "keys", "ids", F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("bigint").alias("first_word"), F.lit(None).cast("bigint").alias("n_words"))
-    rows = rows.unionByName(settled, allowMissingColumns=True)
-
-    def ask(table: pa.Table) -> pa.Table:
-        head = next(r for r in table.to_pylist() if r["windows"] is not None)
-        ids = unpack(head["ids"], head["docs"], np.int64)
-        text, lo, hi, mid, fn = unpack(head["windows"], 5 * head["n"], np.uint32).astype(np.int64).reshape(5, -1)
-        key = unpack(head["keys"], head["n"], np.uint64)
-        texts: dict[int, list[int]] = {}
-        for i, d in enumerate(ids.tolist()):
-            texts.setdefault(d, []).append(i)
-        done = [((t << 32) + r["first_word"], (t << 32) + r["first_word"] + r["n_words"] - width) for r in table.select(["b", "first_word", "n_words"]).to_pylist() if r["b"] is not None for t in texts.get(r["b"], [])]
-        done = np.array(sorted(done), np.int64).reshape(-1, 2)
-        furthest = np.maximum.accumulate(np.append(np.int64(-1), done[:, 1]))
-        begin, end = (text << 32) + np.maximum(lo, mid - length + 1), (text << 32) + np.minimum(hi, mid + length - 1)
-        is_open = furthest[np.searchsorted(done[:, 0], begin, side="right")] < end
-        both, owner, is_open = colliding(key, text, lo, hi, mid, fn, is_open, length)
-        both, owner, is_open = _members(both, ids[owner], is_open)
-        shard = (both % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        both, owner, is_open = both[order], owner[order], is_open[order].astype(np.uint8)
-        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-        out = [{"block": head["block"], "kind": ex.ASK, "shard": s, "n": int(b - a), "keys": pack(both[a:b]), "owners": pack(owner[a:b]), "flags": pack(is_open[a:b])} for s, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        return pa.Table.from_pylist(out, schema=ex.ARROW)
-
-    def pair(table: pa.Table) -> pa.Table:
-        asks = table.select(["n", "keys", "owners", "flags"]).to_pylist()
-        key, doc, is_open = (np.concatenate([unpack(r[c], r["n"], t) for r in asks]) for c, t in (("keys", np.uint64), ("owners", np.int64), ("flags", np.uint8)))
-        key, doc, is_open = _members(key, doc, is_open > 0)
-        start = np.searchsorted(key, key)
-        later = np.flatnonzero(is_open & (start < np.arange(len(key))))
-        n = later - start[later]
-        out = [np.zeros((0, 2), np.int64)]
-        # Some million pairs at a time; equal ones go at once.
-        for part in np.split(later, np.flatnonzero(np.diff(np.cumsum(n) >> 22)) + 1):
-            k = part - start[part]
-            out = [np.unique(np.concatenate([*out, np.stack([doc[ragged(start[part], k)], np.repeat(doc[part], k)], axis=1)]), axis=0)]
-        return pa.table({"a": pa.array(out[0][:, 0], pa.int64()), "b": pa.array(out[0][:, 1], pa.int64())})
-
-    asks = rows.groupBy("block").applyInArrow(ask, ex.SCHEMA)
-    return asks.groupBy("shard").applyInArrow(pair, "a bigint, b bigint").distinct()
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in "nmab"), strict=True):
+                text, lo, hi, mid = unpack(a, 4 * n, np.uint32).astype(np.int64).reshape(4, -1)
+                begin, end = np.maximum(lo, mid - length + 1), np.minimum(hi, mid + length - 1) + 1
+                rows = np.unique(np.stack([unpack(b, m, np.int64)[text], begin, end]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["id", "begin", "end"])
+
+    windows = on.where(f"kind = {ON}").select("n", "m", "a", "b").mapInArrow(unfold, "id bigint, begin bigint, end bigint").distinct()
+    seen = spans.select(F.col("doc_id").alias("id"), F.col("first_word").alias("begin"), (F.col("first_word") + F.col("n_words") - (width - 1)).alias("end"), (F.col("similarity") == 1).alias("equal")).distinct()
+    both = windows.select("id", "begin", "end", F.lit(None).cast("boolean").alias("equal")).unionByName(seen)
+
+    def settle(table: pa.Table) -> pa.Table:
+        begin, end = (table.column(c).to_numpy() for c in ("begin", "end"))
+        kind = np.asarray(table.column("equal").cast(pa.int8()).fill_null(-1))
+        mine = np.flatnonzero(kind < 0)
+
+        def inside(spans: np.ndarray) -> np.ndarray:
+            order = np.argsort(begin[spans], kind="stable")
+            furthest = np.maximum.accumulate(np.append(np.int64(-1), end[spans][order]))
+            return furthest[np.searchsorted(begin[spans][order], begin[mine], side="right")] >= end[mine]
+
+        keep, closed = ~inside(np.flatnonzero(kind == 1)), inside(np.flatnonzero(kind >= 0))
+        mine, closed = mine[keep], closed[keep]
+        return pa.table({"id": table.column("id").take(pa.array(mine)), "begin": pa.array(begin[mine]), "end": pa.array(end[mine]), "open": pa.array(~closed)})
+
+    # As many rows in a group as windows fit in one document.
+    return both.groupBy("id").applyInArrow(settle, "id bigint, begin bigint, end bigint, open boolean")
+
+
+def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> DataFrame:
+    """Blocks of the shingles near unsettled windows (kind SEGMENTS), and requests for how many documents have each (COUNT)."""
+    places = regions.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "open")).alias("places"))  # as many as fit in one document
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").join(places.hint("merge"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
+        for number, block in enumerate(blocks(batches, "text", BLOCK_BYTES)):
+            codes, offsets, words = words_of(block.column("text"))
+            h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
+            ids, lists = block.column("id").to_pylist(), block.column("places").to_pylist()
+            hashes, opens, head = [], [], []
+            for i, places in enumerate(lists):
+                n = int(ends[i + 1] - ends[i])
+                level, is_open = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+                for p in places:
+                    if p["end"] <= n:  # else of another text with this doc_id
+                        level[p["begin"]] += 1
+                        level[p["end"]] -= 1
+                        if p["open"]:
+                            is_open[p["begin"]] += 1
+                            is_open[p["end"]] -= 1
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(level) > 0).view(np.int8), [0]))))
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    hashes.append(h[ends[i] + a : ends[i] + b])
+                    opens.append((np.cumsum(is_open) > 0)[a:b])
+                    head.append((ids[i], a, b - a))
+            if not head:
+                continue
+            flat, head = np.concatenate(hashes), np.array(head, np.int64)
+            uniq, _, owners = (x for x in _least_owners(flat, np.repeat(head[:, 0], head[:, 2]), 1 << 30))
+            counts = _least_owners(flat, np.repeat(head[:, 0], head[:, 2]), RARE + 1)[1]
+            shard, order = _by_shard(uniq, shards)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            name = (task << 32) | number
+            out = [{"block": name, "kind": SEGMENTS, "shard": -1, "n": len(head), "m": len(uniq), "a": pack(head.reshape(-1)), "b": pack(rank[np.searchsorted(uniq, flat)].astype(np.uint32)), "c": pack(np.concatenate(opens).astype(np.uint8)), "d": pack(uniq[order])}]
+            edge = _runs(shard[order])
+            for x, y in zip(edge[:-1], edge[1:], strict=True):
+                mine = order[x:y]
+                out.append({"block": name, "kind": COUNT, "shard": int(shard[mine[0]]), "n": y - x, "a": pack(uniq[mine]), "b": pack(counts[mine].astype(np.uint8))})
+            yield pa.RecordBatch.from_pylist(out, schema=ARROW)
+
+    return texts.mapInArrow(run, SCHEMA)
+
+
+def _count_documents(table: pa.Table) -> pa.Table:
+    """Which of the blocks' shingles more than RARE documents have."""
+    rows = _rows(table)
+    uniq, which = np.unique(np.concatenate([unpack(r["a"], r["n"], np.uint64) for r in rows]), return_inverse=True)
+    total = np.bincount(which, weights=np.concatenate([unpack(r["b"], r["n"], np.uint8) for r in rows]), minlength=len(uniq))
+    frequent, at, out = (total > RARE)[which], 0, []
+    for r in rows:
+        mine = frequent[at : at + r["n"]]
+        at += r["n"]
+        if mine.any():
+            out.append({"block": r["block"], "kind": FREQUENT, "shard": r["shard"], "n": r["n"], "a": pack(mine.astype(np.uint8))})
+    return pa.Table.from_pylist(out, schema=ARROW)
+
+
+def _windows_again(table: pa.Table, hashes: int, length: int, shards: int, most: int) -> pa.Table:
+    """Windows and requests of a block of segments, rare shingles first."""
+    rows = _rows(table)
+    head = next(r for r in rows if r["kind"] == SEGMENTS)
+    segments = unpack(head["a"], 3 * head["n"], np.int64).reshape(-1, 3)
+    size = int(segments[:, 2].sum())
+    uniq, which = unpack(head["d"], head["m"], np.uint64), unpack(head["b"], size, np.uint32).astype(np.int64)
+    is_open, frequent = unpack(head["c"], size, np.uint8), np.zeros(head["m"], bool)
+    shard = (uniq % np.uint64(shards)).astype(np.int64)
+    for r in rows:
+        if r["kind"] == FREQUENT:
+            at = int(np.searchsorted(shard, r["shard"]))
+            frequent[at : at + r["n"]] = unpack(r["a"], r["n"], np.uint8) > 0
+    ends = np.concatenate(([0], np.cumsum(segments[:, 2])))
+    key, segment, windows = _all_windows(uniq[which], ends, hashes, length, frequent[which])
+    before = np.concatenate(([0], np.cumsum(is_open)))
+    mid = windows[2] + ends[segment]
+    begin, end = np.maximum(windows[0] + ends[segment], mid - length + 1), np.minimum(windows[1] + ends[segment], mid + length - 1) + 1
+    opened = before[end] - before[begin] > 0
+    windows[:3] += segments[segment, 1]
+    doc_ids, text = np.unique(segments[:, 0], return_inverse=True)
+    return pa.Table.from_pylist(_ask_owners(head["block"], shards, most, key, text[segment], np.concatenate((windows, opened[None].astype(np.int64))), doc_ids), schema=ARROW)
 
 
 def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage: int, similarity: float) -> list[tuple[int, int, float]]:
@@ -313,20 +458,64 @@ def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage:
         k = b - a + left + right
         if k >= length and n >= least * k:
             out.append((a - left, k, n / k))
-    return out
+    return [y for x in out for y in _in_one_place(earlier, later, x, width, passage, similarity)]
+
+
+def _in_one_place(earlier: np.ndarray, later: np.ndarray, span: tuple[int, int, float], width: int, passage: int, similarity: float) -> list[tuple[int, int, float]]:
+    """``span``, if enough of its shingles stand within as many of the earlier document; else the parts of it of which that holds."""
+    a, k, _ = span
+    mine = later[a : a + k]
+    place = np.flatnonzero(np.isin(earlier, mine))
+    count = np.searchsorted(place, place + k) - np.arange(len(place))
+    best = int(np.argmax(count))
+    distinct = len(np.unique(mine))
+    if count[best] >= 2 * similarity / (1 + similarity) * distinct:
+        return [span]
+    # The part that stands around the fullest place, then what is left on either side.
+    part = earlier[max(0, int(place[best]) - width) : int(place[best]) + k + width]
+    if len(part) >= len(earlier):
+        return [span]
+    found = matching_spans(part, mine, width, passage, similarity)
+    out, at = [], 0
+    for b, n, share in [*found, (k, 0, 0.0)]:
+        rest = mine[at:b]
+        if len(found) and len(rest) >= passage - width + 1:
+            out += [(at + x, m, s) for x, m, s in matching_spans(earlier, rest, width, passage, similarity)]
+        if n:
+            out.append((b, n, share))
+        at = b + n
+    return [(a + x, n, share) for x, n, share in out]
+
+
+def _placed(blocks_of, hashes: int, length: int, shards: int, most: int) -> DataFrame:
+    return blocks_of.applyInArrow(lambda t: _windows_again(t, hashes, length, shards, most), SCHEMA)
 
 
 def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSAGE, similarity: float = SIMILARITY, hashes: int = HASHES, hits: int = MIN_HITS) -> DataFrame:
-    """(doc_id, first_word, n_words, source_id, similarity): passages that nearly occur in an earlier document."""
+    """(doc_id, text_key, first_word, n_words, source_id, similarity): passages that nearly occur in an earlier document."""
     spark = docs.sparkSession
     shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
-    found = first_pairs(docs, width, passage, hashes, hits, shards)
-    pairs = found.where("kind = 1").select("a", "b").distinct()
-    first = materialize(spark, _verified(docs, pairs, width, passage, similarity), "spans")
-    more = second_pairs(found, first, width, passage, shards)
-    more = materialize(spark, more.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "candidates")
-    discard(found)
-    return first.unionByName(_verified(docs, more, width, passage, similarity)).distinct()
+    made = materialize(spark, _windows(docs, width, passage, hashes, shards), "windows", "kind")
+    found = _round(made, "candidates", 1, 1, hits)
+    pairs = materialize(spark, _pairs(found), "pairs")
+    spans = materialize(spark, _verified(docs, pairs, width, passage, similarity), "spans")
+    lead = LEADERS
+    while True:
+        regions = materialize(spark, _regions(found, pairs, spans, width, passage), "regions")
+        discard(found)
+        wanted = regions.where("open").limit(1).count()
+        if not wanted:
+            return spans
+        made = materialize(spark, _segments(docs, regions, width, shards), "segments", "kind")
+        flags = made.where(f"kind = {COUNT}").groupBy("shard").applyInArrow(_count_documents, SCHEMA)
+        blocks_of = made.where(f"kind = {SEGMENTS}").unionByName(flags).groupBy("block")
+        most = max(RARE, lead)
+        again = materialize(spark, _placed(blocks_of, hashes, passage - width + 1, shards, most), "windows", "kind")
+        discard(made)
+        found = _round(again, "candidates", most, lead, hits)
+        new = materialize(spark, _pairs(found).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+        more = materialize(spark, _verified(docs, new, width, passage, similarity), "spans")
+        spans, pairs, lead = spans.unionByName(more).distinct(), pairs.unionByName(new), 4 * lead
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, similarity: float) -> DataFrame:
@@ -336,7 +525,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, simil
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
     texts = materialize(spark, texts, "texts")
     # Sort-merge joins at any size: the plan is the same for small and large inputs.
-    later, earlier = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    later, earlier = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.xxhash64("text").alias("text_key")), texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     rows = pairs.join(later.hint("merge"), "b").join(earlier.hint("merge"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,14 +535,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, simil
                 both = pa.concat_arrays([block.column("text_a").cast(pa.large_string()), block.column("text_b").cast(pa.large_string())])
                 codes, offsets, words = words_of(both)
                 h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
-                a, b = block.column("a").to_pylist(), block.column("b").to_pylist()
+                a, b, keys = (block.column(c).to_pylist() for c in ("a", "b", "text_key"))
                 out = []
                 for i in range(n):
                     spans = matching_spans(h[ends[i] : ends[i + 1]], h[ends[n + i] : ends[n + i + 1]], width, passage, similarity)
-                    out += [{"doc_id": b[i], "first_word": s, "n_words": k + width - 1, "source_id": a[i], "similarity": share / (2 - share)} for s, k, share in spans]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("source_id", pa.int64()), ("similarity", pa.float64())]))
+                    out += [{"doc_id": b[i], "text_key": keys[i], "first_word": s, "n_words": k + width - 1, "source_id": a[i], "similarity": share / (2 - share)} for s, k, share in spans]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("source_id", pa.int64()), ("similarity", pa.float64())]))
 
-    return rows.mapInArrow(verify, "doc_id bigint, first_word bigint, n_words bigint, source_id bigint, similarity double").distinct()
+    return rows.mapInArrow(verify, "doc_id bigint, text_key bigint, first_word bigint, n_words bigint, source_id bigint, similarity double").distinct()
 
 
 def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -362,8 +551,8 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     What stays keeps its white space; ``n_chars`` is counted anew where there is
     such a column.
     """
-    places = spans.groupBy(F.col("doc_id").alias("span_id")).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("span_list"))  # as many as fit in one text
-    joined = docs.join(places.hint("merge"), F.col("doc_id") == F.col("span_id"), "left").drop("span_id")
+    places = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("span_list"))  # as many as fit in one text
+    joined = docs.join(places.hint("merge"), (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -175,6 +175,61 @@ def test_passage_whose_larger_part_is_older(make_docs):
     assert {(200 + i, 100 + i) for i in range(16)} <= got
 
 
+@pytest.mark.parametrize("size,older,part", [(50, 1, 44), (50, 2, 34), (50, 2, 44), (70, 2, 44), (60, 40, 20)])
+def test_passage_whose_parts_are_older(make_docs, size, older, part):
+    """Older documents hold parts of a passage, each too short to be one; the two that share all of it are found, changed words or not."""
+    rng = np.random.default_rng(size + older + part)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    rows, want = [], set()
+    for i in range(24):
+        p = some(size)
+        for k in range(older):
+            at = int(rng.integers(size - part + 1))
+            rows.append((10_000 + 100 * i + k, " ".join(some(40) + p[at : at + part] + some(40))))
+        q = list(p)
+        if i % 2:
+            q[size // 2] = "changed"
+        rows += [(20_000 + i, " ".join(some(50) + p + some(30))), (30_000 + i, " ".join(some(20) + q + some(60)))]
+        want.add((30_000 + i, 20_000 + i))
+    got = {(s.doc_id, s.source_id) for s in substring_dedup.duplicate_passages(make_docs(rows)).collect()}
+    assert len(want & got) >= 0.95 * len(want)
+    assert all(d >= 30_000 for d, _ in got)
+
+
+def test_hot_phrase_and_versions(make_docs):
+    """A frequent line makes no pairs; of many versions of a frequent passage each is found again, however many are older."""
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    line, versions = some(25), [some(60) for _ in range(5)]
+    rows = [(i, " ".join(some(40) + line + some(40))) for i in range(200)]
+    rows += [(1000 + i, " ".join(some(40) + versions[i % 5] + some(10) + line)) for i in range(150)]
+    out = substring_dedup.duplicate_passages(make_docs(rows)).collect()
+    assert {s.doc_id for s in out} == set(range(1005, 1150))
+    assert all((s.doc_id - s.source_id) % 5 == 0 for s in out)
+
+
+def test_scattered_pieces_are_no_passage():
+    rng = np.random.default_rng(11)
+    pieces = [rng.integers(0, 2**63, 10, dtype=np.uint64) for _ in range(6)]
+    other = lambda: rng.integers(0, 2**63, 200, dtype=np.uint64)
+    scattered = np.concatenate([x for p in pieces for x in (other(), p)])
+    assert substring_dedup.matching_spans(scattered, np.concatenate(pieces), 5, 50, 0.8) == []
+    two = [rng.integers(0, 2**63, 60, dtype=np.uint64) for _ in range(2)]
+    found = substring_dedup.matching_spans(np.concatenate((two[1], other(), two[0])), np.concatenate(two), 5, 50, 0.8)
+    assert [f[:2] for f in found] == [(0, 60), (60, 60)]
+
+
+def test_rows_that_share_a_doc_id_are_cut_apart(make_docs):
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 10**6, n))
+    p, q = some(60), some(8)
+    docs = make_docs([(1, f"{some(30)} {p}"), (2, f"{some(100)} {p}"), (2, q), (2, None), (3, p), (None, p)])
+    cut = substring_dedup.without_passages(docs, substring_dedup.duplicate_passages(docs))
+    left = sorted((str(r.doc_id), r.text or "") for r in cut.collect())
+    assert [x[0] for x in left] == ["1", "2", "2", "2", "None"] and ("2", q) in left and ("2", "") in left
+    assert sum(p in x[1] for x in left) == 2
+
+
 def test_spans_reach_over_a_changed_word_near_an_end():
     rng = np.random.default_rng(9)
     earlier = rng.integers(0, 2**63, 46, dtype=np.uint64)
