@@ -16,37 +16,41 @@ from rillscope.llm._common import materialize, scratch
 from rillscope.llm.byte_bpe import bpe_digests
 from rillscope.llm.decontamination import contaminated
 from rillscope.llm.minhash_dedup import near_duplicates
-from rillscope.llm.quality_rules import quality_verdicts
+from rillscope.llm.quality_rules import kept_documents
 from rillscope.llm.substring_dedup import duplicate_passages, without_passages
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go (and those without a doc_id, which no later stage could name)."""
-    verdicts = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = verdicts.groupBy("doc_id").agg(F.min("kept").alias("kept")).where("kept")
-    return docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(docs.columns)
+    """Documents that the rules reject go; each row is judged by itself, also where its doc_id is null or occurs again."""
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the least doc_id."""
+    """One document of each class of near duplicates stays: the one with the least doc_id.
+
+    Rows that share a doc_id are one document, of which the least row (by text)
+    stays.  Rows without a doc_id cannot be named and stay.
+    """
     classes = near_duplicates(docs)
     firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(firsts.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    named = docs.join(firsts.hint("merge"), "doc_id", "left_semi").select("doc_id", F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
+    once = named.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that nearly occur in an earlier document are cut out; documents left empty go."""
+    """Passages that nearly occur in an earlier document are cut out; documents left empty by that go.  Rows without a doc_id stay as they are."""
     return without_passages(docs, duplicate_passages(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; a row is named by its doc_id and a hash of its text, so it takes no other one with it."""
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # Written first, so that its size is known when the join is planned.
-    hits = materialize(spark, hits.select("doc_id").distinct(), "hits")
-    return docs.join(hits, "doc_id", "left_anti").select(docs.columns)
+    hits = materialize(spark, hits.select(F.col("doc_id").alias("hit_id"), "text_key").distinct(), "hits")
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("text_key")), "left_anti").select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,6 +101,17 @@ def discard(df: DataFrame) -> None:
     drop_scratch(kept.sparkSession, path)
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Have tables that are read again cut into the same input tasks, whatever executors have come or gone.
+
+    Spark derives the size of splits from the cores that it sees when a scan is
+    planned, unless the least number of them is set.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, to size the number of shards."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

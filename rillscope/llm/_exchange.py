@@ -6,6 +6,8 @@ shards (by key) find the least over all blocks and answer the blocks.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,9 +15,9 @@ from pyspark.sql import DataFrame
 from ._common import pack, unpack
 
 ASK, ANSWER = 1, 2
-SCHEMA = "block bigint, kind int, shard int, n bigint, keys binary, owners binary, flags binary"
+SCHEMA = "block bigint, kind int, shard int, n bigint, sum bigint, keys binary, owners binary, flags binary"
 NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())])
+ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), ("n", pa.int64()), ("sum", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("flags", pa.binary())])
 
 
 def distinct_keys(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,14 +37,18 @@ def asked(block: int, keys: np.ndarray, place: np.ndarray, bounds: np.ndarray, d
     np.minimum.at(low, place, doc_ids)
     np.maximum.at(high, place, doc_ids)
     several = (low != high).astype(np.uint8)
-    out = []
-    for s in range(len(bounds) - 1):
+    out, check = [], checksum(keys)
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[s], bounds[s + 1]
-        if b > a:
-            out.append({"block": block, "kind": ASK, "shard": s, "n": int(b - a), "keys": pack(keys[a:b]), "owners": pack(low[a:b]), "flags": pack(several[a:b])})
+        out.append({"block": block, "kind": ASK, "shard": s, "n": int(b - a), "sum": check, "keys": pack(keys[a:b]), "owners": pack(low[a:b]), "flags": pack(several[a:b])})
     return out
 
 
+def checksum(keys: np.ndarray) -> int:
+    """Of a block's distinct keys; it comes back with the answers."""
+    return zlib.crc32(keys.tobytes())
+
+
 def _answer(table: pa.Table, with_keys: bool) -> pa.Table:
     rows = [dict(zip(NAMES, r, strict=True)) for r in zip(*(table.column(c).to_pylist() for c in NAMES), strict=True)]
     sizes = [r["n"] for r in rows]
@@ -62,7 +68,7 @@ def _answer(table: pa.Table, with_keys: bool) -> pa.Table:
     for r, n in zip(rows, sizes, strict=True):
         f = flags[at : at + n]
         if f.any():
-            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": n, "keys": pack(asked_keys[at : at + n][f > 0]) if with_keys else None, "owners": pack(least[at : at + n][f > 0]), "flags": pack(f)})
+            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": n, "sum": r["sum"], "keys": pack(asked_keys[at : at + n][f > 0]) if with_keys else None, "owners": pack(least[at : at + n][f > 0]), "flags": pack(f)})
         at += n
     return pa.Table.from_pylist(out, schema=ARROW)
 

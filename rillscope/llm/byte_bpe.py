@@ -12,8 +12,10 @@
 
 A hot word is sent once per block, so no shard or block grows with it.  Texts
 are cut twice, from the same scan, once for the words and once for the
-positions: that takes less disk than to keep the positions.  ``docs`` that are
-not a plain scan are written to shared storage first.
+positions: that takes less disk than to keep the positions.  The cut into input
+tasks is pinned, and a block's words carry a checksum through the answers, so a
+second reading that differs from the first ends the job instead of mixing words
+up.  ``docs`` that are not a plain scan are written to shared storage first.
 
 Edge cases: a null text is encoded as an empty one (no ids); null, repeated
 and tied ``doc_id`` values are kept as they are, a row for each input row; a
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import blocks, materialize, pack, ragged, shards_for, text_bytes, unpack
+from ._common import blocks, materialize, pack, pin_splits, ragged, shards_for, text_bytes, unpack
 
 BLOCK_BYTES = 6 << 20
 SHARD_TEXT_BYTES = 24 << 20
@@ -93,14 +95,15 @@ def explode(docs: DataFrame, pattern: str, shards: int, words_only: bool) -> Dat
             parts = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words)) % np.uint32(shards)
             if words_only:
                 sent = [(p, *_words(parts, p, words)) for p in np.unique(parts)]
-                yield _rows(name, 1, pa.nulls(len(sent), pa.int64()), [s[4] for s in sent], [s[1] for s in sent], [s[2] for s in sent], [s[3] for s in sent], [int(s[0]) for s in sent])
+                yield _rows(name, 1, pa.array([zlib.crc32(b"\n".join(words))] * len(sent), pa.int64()), [s[4] for s in sent], [s[1] for s in sent], [s[2] for s in sent], [s[3] for s in sent], [int(s[0]) for s in sent])
             else:
-                yield _rows(name, 3, pa.nulls(1, pa.int64()), [len(words)], [pack(parts)], [None], [0], [-1])
+                yield _rows(name, 3, pa.array([zlib.crc32(b"\n".join(words))]), [len(words)], [pack(parts)], [None], [0], [-1])
                 yield _rows(name, 0, block.column("doc_id"), sizes, data, [None] * len(sizes), [0] * len(sizes), [-1] * len(sizes))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+#: ``doc_id`` of rows that are no document (kinds 1, 2 and 3) is the checksum of the block's words.
 SCHEMA = "block bigint, kind int, doc_id bigint, n bigint, data binary, more binary, n_more bigint, shard int"
 
 
@@ -126,7 +129,7 @@ def encode_shard(path: str, pattern: str) -> Callable[[pa.Table], pa.Table]:
         known: dict[bytes, list[int]] = {}
         out = []
         for row in table.to_batches():
-            for block, n, data, more, size, shard in zip(*(row.column(c).to_pylist() for c in ("block", "n", "data", "more", "n_more", "shard")), strict=True):
+            for block, check, n, data, more, size, shard in zip(*(row.column(c).to_pylist() for c in ("block", "doc_id", "n", "data", "more", "n_more", "shard")), strict=True):
                 answer = []
                 for w in _unwords(data, more, n, size):
                     ids = known.get(w)
@@ -135,7 +138,7 @@ def encode_shard(path: str, pattern: str) -> Callable[[pa.Table], pa.Table]:
                     answer.append(ids)
                 sizes = np.fromiter(map(len, answer), np.uint32, n)
                 flat = np.fromiter((i for x in answer for i in x), np.uint32, int(sizes.sum()))
-                out.append(_rows(block, 2, pa.nulls(1, pa.int64()), [n], [pack(sizes)], [pack(flat)], [len(flat)], [shard]))
+                out.append(_rows(block, 2, pa.array([check], pa.int64()), [n], [pack(sizes)], [pack(flat)], [len(flat)], [shard]))
         return pa.Table.from_batches(out, schema=out[0].schema)
 
     return run
@@ -152,7 +155,7 @@ def _assemble(table: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
     base = 0
     for i in np.flatnonzero(kinds == 2):
         mine = shards == rows["shard"][i]
-        if np.count_nonzero(mine) != rows["n"][i]:
+        if np.count_nonzero(mine) != rows["n"][i] or rows["doc_id"][i] != rows["doc_id"][which]:
             raise RuntimeError("the input was read in another order the second time")
         k = unpack(rows["data"][i], rows["n"][i], np.uint32).astype(np.int64)
         sizes[mine], starts[mine] = k, base + np.cumsum(k) - k
@@ -170,6 +173,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, finish: Callable[
     The result has ``doc_id``, ``n_tokens`` and the columns of ``schema``.
     """
     spark = docs.sparkSession
+    pin_splits(spark)
     shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = materialize(spark, docs.select("doc_id", "text"), "texts")

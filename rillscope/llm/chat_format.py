@@ -182,27 +182,55 @@ def _solve(rows: list[dict], begin: int | None, end: int | None) -> list[tuple[i
     return out[::-1]
 
 
-def _borders(segments: DataFrame, begin_end: bool = False) -> DataFrame:
+BORDERS = "conv_id bigint, part int, seg int, position bigint, begin int, end int, last boolean"
+BORDERS_ARROW = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("seg", pa.int32()), ("position", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())])
+
+
+def _solved(rows: list[dict]) -> list[dict]:
+    """The borders of a run of segments in order."""
+    first = rows[0]
+    known = first.get("begin") is not None
+    found = _solve(rows, first["begin"] if known else START, first.get("end") if known else None)
+    at, out = first.get("position") or 0, []
+    for i, (r, (a, b)) in enumerate(zip(rows, found, strict=True)):
+        out.append({"conv_id": r["conv_id"], "part": r["part"], "seg": r["seg"], "position": at, "begin": a, "end": b, "last": i == len(rows) - 1 and first.get("last") is not False})
+        at += r["n"]
+    return out
+
+
+def _in_order(segments: DataFrame, *keys: str) -> DataFrame:
+    """:func:`_solved` for each run of equal ``keys``, all of a task in one pass over its sorted rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        now: tuple = ()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                key = tuple(r[k] for k in keys)
+                if held and key != now:
+                    out += _solved(held)
+                    held = []
+                now = key
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=BORDERS_ARROW)
+        if held:
+            yield pa.RecordBatch.from_pylist(_solved(held), schema=BORDERS_ARROW)
+
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.repartition(n, *keys).sortWithinPartitions(*(F.asc_nulls_first(k) for k in (*keys, "part", "seg"))).mapInArrow(run, BORDERS)
+
+
+def _borders(segments: DataFrame) -> DataFrame:
     """(conv_id, part, seg, position, begin, end, last) of every segment.
 
     Conversations of more than GROUP segments are first combined in groups.
     """
     spark = segments.sparkSession
-    schema = "conv_id bigint, part int, seg int, position bigint, begin int, end int, last boolean"
-
-    def solve(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["part"], r["seg"]))
-        first = rows[0]
-        found = _solve(rows, first.get("begin", START) if first.get("begin") is not None else START, first.get("end"))
-        at, out = first.get("position") or 0, []
-        for i, (r, (a, b)) in enumerate(zip(rows, found, strict=True)):
-            out.append({"conv_id": r["conv_id"], "part": r["part"], "seg": r["seg"], "position": at, "begin": a, "end": b, "last": i == len(rows) - 1 and first.get("last") is not False})
-            at += r["n"]
-        return pa.Table.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("seg", pa.int32()), ("position", pa.int64()), ("begin", pa.int32()), ("end", pa.int32()), ("last", pa.bool_())]))
 
     long = segments.groupBy("conv_id").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
     if long.isEmpty():
-        return segments.groupBy("conv_id").applyInArrow(solve, schema)
+        return _in_order(segments, "conv_id")
 
     # A long conversation's segments are numbered through by partition, then combined GROUP at a time.
     per_part = segments.groupBy("conv_id", "part").agg(F.count("*").alias("c"), F.min("seg").alias("low"))
@@ -222,7 +250,7 @@ def _borders(segments: DataFrame, begin_end: bool = False) -> DataFrame:
     upper = materialize(spark, numbered.groupBy("conv_id", "group").applyInArrow(combine, "conv_id bigint, part int, seg int, n bigint, product array<bigint>"), "segments")
     known = _borders(upper).select(F.col("conv_id").alias("k"), F.col("seg").alias("g"), "position", "begin", "end", "last")
     inner = numbered.join(known, F.col("conv_id").eqNullSafe(F.col("k")) & (F.col("group") == F.col("g"))).drop("k", "g")
-    return inner.groupBy("conv_id", "group").applyInArrow(solve, schema)
+    return _in_order(inner, "conv_id", "group")
 
 
 def render(role: int, text: str, edit: str, opened: bool) -> str:

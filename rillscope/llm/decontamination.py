@@ -2,13 +2,15 @@ r"""Benchmark decontamination: BM25 with block-max pruning, then verification.
 
 *Index.*  Document frequencies, the number and mean length of test items are
 computed in Spark.  Items are dealt into index shards of at most SHARD_ITEMS
-items (a shard's size is bounded, so it may be broadcast); in a shard, blocks of
+items of one length class (the size of SHARDS_PER_PASS of them is bounded, so
+they may be broadcast, and texts are read once for that many); in a shard, blocks of
 BLOCK_ITEMS items keep each term's largest impact.  An impact is the term's
 BM25 weight in the item over the item's weight for all its own terms, so a
 score is the share of an item's BM25 mass that a passage covers, from 0 to 1.
 
-*Search.*  Every text is cut into overlapping passages that hold any item whole
-and each passage is a query.  Passages whose terms' largest impacts add up to
+*Search.*  Every text is cut into overlapping passages that hold any item of the
+length class whole (their width depends on the class alone, not on which other
+items there are) and each passage is a query.  Passages whose terms' largest impacts add up to
 less than the threshold are skipped; for the others the sums of the block
 maxima tell which blocks may hold an item above the threshold, and only those
 are scored.  The skipped ones cannot reach the threshold, so all items above it
@@ -16,13 +18,13 @@ are found.
 
 *Verification.*  An item has a question and an answer (without an ``answer``
 column: its first two thirds of words and the rest).  A hit is verified if
-enough of the word trigrams of both occur in the passage.
+enough of the word trigrams of both occur in the passage (in a short part, all
+but those of one word).  Of an item of fewer than MIN_TERMS words all must stand
+there in a row.
 
 Terms are lower-case words without the punctuation at their ends.
 
-Edge cases: null or wordless texts and items match nothing; items of fewer than
-MIN_TERMS words are too short to be told apart from chance and are ignored;
-repeated documents are searched each, repeated items are all reported; null ids
+Edge cases: null or wordless texts and items match nothing; repeated documents are searched each, repeated items are all reported; null ids
 are reported as null; empty tables give an empty result; other columns are
 ignored, whatever their names.
 """
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ OVERLAP = 0.7
 GRAM = 3
 MIN_TERMS = 8
 SHARD_ITEMS = 2048
+SHARDS_PER_PASS = 8
 BLOCK_ITEMS = 16
 BLOCK_BYTES = 2 << 20
 EDGES = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—"
@@ -67,7 +71,12 @@ class IndexShard:
     block_top: np.ndarray  # terms x blocks
     ids: list[int | None]
     parts: list[tuple[list[int], list[int]]]  # term ids of question and answer
-    longest: int
+    width: int  # words of any item at most
+
+
+def length_class(n: int) -> int:
+    """The width of an item of ``n`` terms: 32, 64, 128 and so on."""
+    return max(32, 1 << max(0, n - 1).bit_length())
 
 
 def build_shard(rows: list[tuple[int | None, list[str], list[str]]], df: dict[str, int], n_items: int, mean_len: float) -> IndexShard:
@@ -91,8 +100,8 @@ def build_shard(rows: list[tuple[int | None, list[str], list[str]]], df: dict[st
     first = np.searchsorted(t, np.arange(len(terms) + 1))
     block_top = np.zeros((len(terms), -(-max(len(rows), 1) // BLOCK_ITEMS)), np.float32)
     np.maximum.at(block_top, (t, items // BLOCK_ITEMS), impacts)
-    longest = max((len(q) + len(a) for _, q, a in rows), default=0)
-    return IndexShard(terms, first, items, impacts, block_top.max(axis=1, initial=0), block_top, [r[0] for r in rows], parts, longest)
+    width = max((length_class(len(q) + len(a)) for _, q, a in rows), default=32)
+    return IndexShard(terms, first, items, impacts, block_top.max(axis=1, initial=0), block_top, [r[0] for r in rows], parts, width)
 
 
 def passages(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,7 +119,7 @@ def search(terms: np.ndarray, offsets: np.ndarray, shard: IndexShard, threshold:
 
     ``terms`` has the index's term of every word, -1 for none.
     """
-    text, start, size = passages(offsets, max(32, shard.longest))
+    text, start, size = passages(offsets, shard.width)
     for lo in range(0, len(text), 20_000):
         part = slice(lo, lo + 20_000)
         owner = np.repeat(np.arange(len(text[part])), size[part])
@@ -141,19 +150,34 @@ def search(terms: np.ndarray, offsets: np.ndarray, shard: IndexShard, threshold:
                     yield int(text[p]), int(start[p]), int(size[p]), int(item), float(score[item])
 
 
-def overlap(part: list[int], grams: set[tuple[int, ...]]) -> float:
-    """Share of the word n-grams of ``part`` that are in ``grams`` (1 for an empty part)."""
-    if not part:
-        return 1.0
+def overlap(part: list[int], grams: set[tuple[int, ...]]) -> tuple[int, int]:
+    """How many of the word n-grams of ``part`` are in ``grams``, and how many there are."""
     n = min(GRAM, len(part))
-    mine = [tuple(part[i : i + n]) for i in range(len(part) - n + 1)]
-    return sum(g in grams for g in mine) / len(mine)
+    mine = [tuple(part[i : i + n]) for i in range(len(part) - n + 1)] if n else []
+    return sum(g in grams for g in mine), len(mine)
+
+
+def enough(found: int, of: int, least: float) -> bool:
+    """The share ``least``, or all n-grams but those of one word where these are more than the rest; half of them at any rate."""
+    return found >= max(min(least * of, of - GRAM), 0.5 * of)
+
+
+def in_a_row(words: list[int], part: list[int]) -> bool:
+    n = len(part)
+    return any(words[i : i + n] == part for i in range(len(words) - n + 1))
 
 
-def _verify(words: list[int], shard: IndexShard, item: int) -> tuple[float, float]:
-    sizes = {min(GRAM, len(p)) for p in shard.parts[item] if p}
+def _verify(words: list[int], shard: IndexShard, item: int, least: float) -> tuple[float, float] | None:
+    """Overlap of question and answer, None if the item is not there."""
+    q, a = shard.parts[item]
+    if len(q) + len(a) < MIN_TERMS:
+        return (1.0, 1.0) if in_a_row(words, q + a) else None
+    sizes = {min(GRAM, len(p)) for p in (q, a) if p}
     grams = {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
-    return overlap(shard.parts[item][0], grams), overlap(shard.parts[item][1], grams)
+    counts = [overlap(p, grams) for p in (q, a)]
+    if not all(enough(f, n, least) for f, n in counts):
+        return None
+    return tuple(f / n if n else 1.0 for f, n in counts)
 
 
 def _split(row) -> tuple[list[str], list[str]]:
@@ -175,54 +199,62 @@ def index_shards(benchmark: DataFrame, id_column: str = "item_id", text_column:
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(r["id"], *_split(r)) for r in b.to_pylist()]
-            rows = [r for r in rows if len(r[1]) + len(r[2]) >= MIN_TERMS]
+            rows = [r for r in rows if r[1] or r[2]]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["id", "q", "a"])
 
     spark = benchmark.sparkSession
     found = materialize(spark, items.mapInArrow(terms, "id bigint, q array<string>, a array<string>"), "items")
     stats = found.agg(F.count("*").alias("n"), F.avg(F.size("q") + F.size("a")).alias("mean")).first()
     df = found.select(F.explode(F.array_distinct(F.concat("q", "a"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    shards = max(1, -(-stats.n // (SHARD_ITEMS // 2)))
-    dealt = materialize(spark, found.withColumn("shard", F.pmod(F.xxhash64("id", "q"), F.lit(shards))), "items")
-    for k in range(shards):
-        mine = dealt.where(F.col("shard") == k)
-        rows = [(r.id, r.q, r.a) for r in mine.select("id", "q", "a").toLocalIterator()]  # about SHARD_ITEMS / 2
-        used = mine.select(F.explode(F.array_distinct(F.concat("q", "a"))).alias("term")).distinct()
-        freq = {r.term: r.df for r in df.join(used, "term", "left_semi").toLocalIterator()}
+    size = F.size("q") + F.size("a")
+    width = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(size))).cast("int"))
+    classes = {r.width: r.n for r in found.groupBy(width.alias("width")).agg(F.count("*").alias("n")).collect()}  # one row for each power of two
+    parts = {w: max(1, -(-n // (SHARD_ITEMS // 2))) for w, n in classes.items()}
+    first = dict(zip(sorted(parts), np.cumsum([0, *(parts[w] for w in sorted(parts))]).tolist(), strict=False))
+    shard = F.coalesce(*(F.when(width == w, F.lit(first[w]) + F.pmod(F.xxhash64("id", "q", "a"), F.lit(parts[w]))) for w in parts)) if parts else F.lit(0)
+    dealt = materialize(spark, found.withColumn("shard", shard), "items")
+    used = materialize(spark, dealt.select("shard", F.explode(F.array_distinct(F.concat("q", "a"))).alias("term")).distinct().join(df, "term"), "terms")
+    for k in range(sum(parts.values())):
+        rows = [(r.id, r.q, r.a) for r in dealt.where(F.col("shard") == k).select("id", "q", "a").toLocalIterator()]  # about SHARD_ITEMS / 2
+        freq = {r.term: r.df for r in used.where(F.col("shard") == k).select("term", "df").toLocalIterator()}
         yield build_shard(rows, freq, stats.n, stats.mean or 1.0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: float = OVERLAP, **columns: str) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): the verified hits.
+    """(doc_id, text_key, item_id, score, question_overlap, answer_overlap, first_word): the verified hits; text_key is a hash of the text.
 
     For each document and item the best passage.
     """
     spark = docs.sparkSession
+    shards = index_shards(benchmark, **columns)
+    schema = "doc_id bigint, text_key bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     out = None
-    for shard in index_shards(benchmark, **columns):
-        held = spark.sparkContext.broadcast(shard)  # a shard's size is bounded
+    while some := list(islice(shards, SHARDS_PER_PASS)):
+        held = spark.sparkContext.broadcast(some)  # of bounded size
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            shard = held.value
             for block in blocks(batches, "text", BLOCK_BYTES):
                 codes, offsets, words = words_of(block.column("text"))
                 normals = [normal(w) for w in words.to_pylist()]
-                known = np.fromiter((shard.terms.get(w, -1) if w else -2 for w in normals), np.int64, len(normals))
-                real = known[codes] != -2  # words of punctuation only are no terms
-                ends = np.concatenate(([0], np.cumsum(real)))
-                terms, offsets = known[codes[real]], ends[offsets]
-                best: dict[tuple[int, int], tuple] = {}
-                for text, start, size, item, score in search(terms, offsets, shard, threshold):
-                    q, a = _verify(terms[start : start + size].tolist(), shard, item)
-                    if min(q, a) >= least and (score, -start) > best.get((text, item), (0.0, 0))[:2]:
-                        best[text, item] = (score, -start, q, a, start - int(offsets[text]))
-                keys = list(best)
-                rows = [best[k] for k in keys]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([shard.ids[k[1]] for k in keys], pa.int64()), *(pa.array([r[i] for r in rows], pa.float64()) for i in (0, 2, 3)), pa.array([r[4] for r in rows], pa.int64())],
-                    names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
-                )
-
-        found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint")
+                real = np.fromiter(map(bool, normals), bool, len(normals))[codes]  # words of punctuation only are no terms
+                offsets = np.concatenate(([0], np.cumsum(real)))[offsets]
+                codes = codes[real]
+                for shard in held.value:
+                    known = np.fromiter((shard.terms.get(w, -1) for w in normals), np.int64, len(normals))
+                    terms = known[codes]
+                    best: dict[tuple[int, int], tuple] = {}
+                    for text, start, size, item, score in search(terms, offsets, shard, threshold):
+                        found = _verify(terms[start : start + size].tolist(), shard, item, least)
+                        if found and (score, -start) > best.get((text, item), (0.0, 0))[:2]:
+                            best[text, item] = (score, -start, *found, start - int(offsets[text]))
+                    rows = list(best.values())
+                    at = pa.array([k[0] for k in best], pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [block.column("doc_id").take(at), block.column("text_key").take(at), pa.array([shard.ids[k[1]] for k in best], pa.int64()), *(pa.array([r[i] for r in rows], pa.float64()) for i in (0, 2, 3)), pa.array([r[4] for r in rows], pa.int64())],
+                        names=["doc_id", "text_key", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
+                    )
+
+        found = texts.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out

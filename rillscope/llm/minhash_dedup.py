@@ -53,6 +53,7 @@ BANDS = 40
 ROWS = 6
 BITS = 2048
 BLOCK_BYTES = 4 << 20
+MOST_HOT = 4096
 MASK = (1 << 64) - 1
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -278,18 +279,32 @@ def near_links(docs: DataFrame, signed: DataFrame, width: int = WIDTH, threshold
     return links, connected_components(links.select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, counts: bool = False) -> DataFrame:
-    """doc_id, text_id (least doc_id with the same text), class_id (least doc_id of its class) and n_links of that text.
+def _salted(signed: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``, so that the copies of one text are dealt to several tasks.
+
+    Texts with more than a MOST_HOT-th of all rows, at most MOST_HOT by that, are
+    few enough to be sent to all tasks.
+    """
+    most = max(1000, signed.count() // MOST_HOT)
+    hot = F.broadcast(materialize(signed.sparkSession, texts.where(F.col("copies") > most).select("digest", F.ceil(F.col("copies") / most).cast("int").alias("salts")), "hot"))
+    own = signed.join(hot, "digest", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).otherwise(0)).drop("salts")
+    other = texts.join(hot, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return own, other
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, counts: bool = True) -> DataFrame:
+    """doc_id, text_id (least doc_id with the same text), class_id (least doc_id of its class) and n_spanning (links of that text that were verified to connect the class).
 
     ``counts`` weighs shingles by how often they occur; else all weigh one.
     """
     spark = docs.sparkSession
     signed = materialize(spark, sketches(docs, width, bands, rows, counts), "sketches")
-    texts = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("text_id"))
-    firsts = signed.join(texts.select(F.col("text_id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    texts = materialize(spark, signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")), "texts")
+    firsts = signed.join(texts.select(F.col("text_id").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     links, parts = near_links(docs, firsts.select(F.col("doc_id").alias("id"), "n", "bands"), width, threshold, counts)
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_links"))
-    classes = texts.join(parts.withColumnRenamed("id", "text_id"), "text_id", "left").join(degree, "text_id", "left").select("digest", "text_id", F.coalesce("component", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("doc_id", "digest", "n").join(classes, "digest", "left")
-    own = F.col("doc_id").isNull() | F.col("digest").isNull()
-    return out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("n").alias("n_shingles"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n_spanning"))
+    classes = texts.join(parts.withColumnRenamed("id", "text_id"), "text_id", "left").join(degree, "text_id", "left").select("digest", "copies", "text_id", F.coalesce("component", "text_id").alias("class_id"), F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"))
+    own, classes = _salted(signed.select("doc_id", "digest", "n"), materialize(spark, classes, "classes"))
+    out = own.join(classes.drop("copies").hint("merge"), ["digest", "salt"], "left")
+    alone = F.col("doc_id").isNull() | F.col("digest").isNull()
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("text_id")).alias("text_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_spanning", F.lit(0)).cast("bigint").alias("n_spanning"), F.col("n").alias("n_shingles"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import ALPHA, DELTA, LENGTH_CLASSES, RULES, WINDOW
+from .quality_rules import ALPHA, DELTA, LENGTH_CLASSES, RULES, STRATA, WINDOW
 
 
 def _statistic() -> str:
@@ -26,13 +26,13 @@ feat AS (
     length(regexp_replace(t, '[^!]', '', 'g'))::BIGINT AS n_marks FROM w LEFT JOIN rep USING (rid)),
 f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    (CASE WHEN lang IS NULL THEN 15 ELSE (CASE WHEN lang = '' THEN 0 ELSE 7 * ascii(lang) END + CASE WHEN length(lang) < 2 THEN 0 ELSE ascii(lang[2:]) END) % 15 END)::VARCHAR || '/' || ({classes})::VARCHAR AS stratum FROM feat),
+    coalesce('=' || lang, '-') || '/' || ({classes})::VARCHAR AS stratum FROM feat),
 held AS (SELECT * FROM f WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1)),
 grid(rule, step, cutoff) AS (VALUES {grid}),
 tally AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER ({_statistic()} > cutoff) AS k FROM held CROSS JOIN grid GROUP BY ALL),
 tested AS (
   SELECT *, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) END
-    <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM held)) AS safe FROM tally),
+    <= {DELTA} / ({len(RULES)} * greatest({STRATA}, (SELECT count(DISTINCT stratum) FROM held))) AS safe FROM tally),
 ends AS (SELECT stratum, rule, coalesce(min(step) FILTER (NOT safe), 1000) AS last FROM tested GROUP BY ALL),
 best AS (SELECT t.stratum, t.rule, arg_max(t.cutoff, t.step) AS cutoff FROM tested t JOIN ends e ON e.stratum = t.stratum AND e.rule = t.rule AND t.step < e.last GROUP BY ALL),
 hit AS (SELECT DISTINCT rid FROM f JOIN best USING (stratum) WHERE {_statistic()} > cutoff)

@@ -13,7 +13,7 @@ good ones of which k would be rejected, the cutoff is safe if
 P(Binomial(n, a) <= k) <= d, the exact (Clopper-Pearson) test of "the false
 rejection rate is above a".  Testing stops at the first cutoff that is not
 safe, which keeps the error of a sequence at d (fixed-sequence testing); over
-rules and strata d is DELTA / (rules * strata) (Bonferroni).  With a =
+rules and strata d is DELTA / (rules * max(STRATA, strata)) (Bonferroni).  With a =
 ALPHA / rules, all rules together reject more than ALPHA of the good documents
 of some stratum with a probability of DELTA at most.  Cutoffs are fixed in
 advance, so every labelled document is held out from their choice.
@@ -48,6 +48,10 @@ RULES: dict[str, tuple[str, list[float]]] = {
     "shouting": ("n_marks / greatest(n_words, 1)", [1.8, 1.4, 1.0, 0.6, 0.4]),
 }
 LENGTH_CLASSES = (100, 400)
+#: The error is shared out among this many strata, fixed beforehand; among all, should there be more.
+STRATA = 48
+#: Strata with a cutoff are sent to all tasks up to this number; beyond it they are joined.
+MOST_SENT = 10_000
 
 
 def let(value: Column, body) -> Column:
@@ -75,15 +79,16 @@ def _repeats(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, let(hashes, found)).otherwise(F.lit(0).cast("long"))
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the features of every text.
+def text_features(docs: DataFrame, keep: str | None = None) -> DataFrame:
+    """doc_id, lang and the features of every text; with ``keep``, the whole row as a column of that name as well.
 
     n_dup_lines counts the newline-separated lines with a word that equal an
     earlier line; n_repeat_words the words in windows of eight found twice or
     more; n_marks the exclamation marks.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), text.alias("t"))
+    t = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").alias("lang"), text.alias("t"), *([F.struct("*").alias(keep)] if keep else []))
+    more = [keep] if keep else []
 
     def features(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), _repeats(words).alias("n_repeat_words"))
@@ -98,15 +103,15 @@ def text_features(docs: DataFrame) -> DataFrame:
     dup = let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
     marks = let(F.regexp_replace("t", r"[^#*$%&|<>!]+", ""), lambda m: F.struct(F.length(m).alias("all"), F.length(F.replace(m, F.lit("!"), F.lit(""))).alias("symbols")))
     chars = (F.length("t") - F.length(F.regexp_replace("t", r"[^\x20\x09-\x0D]+", ""))).cast("long")
-    out = t.select("doc_id", "lang", let(words, features).alias("f"), chars.alias("word_chars"), marks.alias("m"), dup.alias("n_dup_lines"))
-    out = out.select("doc_id", "lang", "f.n_words", "word_chars", F.col("m.symbols").cast("long").alias("n_symbols"), "n_dup_lines", "f.n_repeat_words", (F.col("m.all") - F.col("m.symbols")).cast("long").alias("n_marks"))
+    out = t.select("doc_id", "lang", *more, let(words, features).alias("f"), chars.alias("word_chars"), marks.alias("m"), dup.alias("n_dup_lines"))
+    out = out.select("doc_id", "lang", *more, "f.n_words", "word_chars", F.col("m.symbols").cast("long").alias("n_symbols"), "n_dup_lines", "f.n_repeat_words", (F.col("m.all") - F.col("m.symbols")).cast("long").alias("n_marks"))
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
 def stratum() -> Column:
-    """One of 15 language classes (by the first two letters; null is one more) and three length classes: 48 strata at most."""
-    lang = F.when(F.col("lang").isNull(), F.lit(15)).otherwise((7 * F.ascii("lang") + F.ascii(F.substring("lang", 2, 1))) % 15)
-    return F.concat_ws("/", lang.cast("string"), sum((F.col("n_words") >= n).cast("int") for n in LENGTH_CLASSES).cast("string"))
+    """The language (null is one more) and one of three length classes."""
+    lang = F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("-"))
+    return F.concat_ws("/", lang, sum((F.col("n_words") >= n).cast("int") for n in LENGTH_CLASSES).cast("string"))
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -127,10 +132,10 @@ def safe_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     held = features.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("stratum", stratum())
     counts = [F.sum((F.expr(s) > c).cast("long")).alias(f"{rule}_{i}") for rule, (s, cuts) in RULES.items() for i, c in enumerate(cuts)]
     tally = materialize(features.sparkSession, held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "tally")
-    strata = tally.count()
+    strata = max(STRATA, tally.count())
     tests = F.array(*(F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).cast("double").alias("cutoff"), F.col(f"{rule}_{i}").alias("k")) for rule, (_, cuts) in RULES.items() for i, c in enumerate(cuts)))
     rows = tally.select("stratum", "n", F.inline(tests))
-    rows = rows.withColumn("safe", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / (len(RULES) * max(strata, 1)))
+    rows = rows.withColumn("safe", binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / (len(RULES) * strata))
     ends = rows.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("safe"), F.col("step"))).alias("end"), F.collect_list(F.struct("step", "cutoff")).alias("cuts"))
     best = ends.select("stratum", "rule", F.array_max(F.filter("cuts", lambda x: F.col("end").isNull() | (x["step"] < F.col("end")))).alias("best"))
     return best.where("best is not null").select("stratum", "rule", "best.cutoff")
@@ -139,8 +144,8 @@ def safe_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
 def apply_rules(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """``features`` with ``kept`` and the names of the rules that reject (``failed``)."""
     by = cutoffs.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
-    # At most 48 strata by construction, so this side is safe to broadcast.
-    joined = features.withColumn("stratum", stratum()).join(F.broadcast(by), "stratum", "left")
+    by = materialize(features.sparkSession, by, "cutoffs")
+    joined = features.withColumn("stratum", stratum()).join(F.broadcast(by) if by.count() <= MOST_SENT else by.hint("merge"), "stratum", "left")
     failed = F.filter(F.array(*(F.when(F.expr(s) > F.col(f"cut_{r}"), F.lit(r)) for r, (s, _) in RULES.items())), lambda x: x.isNotNull())
     return joined.withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(*(f"cut_{r}" for r in RULES))
 
@@ -149,3 +154,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     """Features, base result and verdict of every document."""
     features = materialize(docs.sparkSession, text_features(docs), "features")
     return apply_rules(features, safe_cutoffs(features, labels, alpha, delta)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", "failed")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, each judged by itself whatever its ``doc_id``; texts are never shuffled."""
+    cutoffs = safe_cutoffs(text_features(docs), labels, alpha, delta)
+    judged = apply_rules(text_features(docs, "row"), cutoffs)
+    return judged.where("kept").select("row.*")

@@ -313,8 +313,17 @@ def _round(made: DataFrame, tag: str, most: int, lead: int, hits: int) -> DataFr
     return out
 
 
-def _regions(on: DataFrame, pairs: DataFrame, spans: DataFrame, width: int, passage: int) -> DataFrame:
-    """(id, begin, end, open): where documents still have windows that are not settled, in shingles; one row for each."""
+def _merged(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unions of intervals of the same document that overlap or touch, in order."""
+    order = np.lexsort((begin, doc))
+    doc, begin, end = doc[order], begin[order], end[order]
+    reach = np.maximum.accumulate((doc << 32) + end) if len(doc) else end
+    new = np.flatnonzero(np.concatenate(([True], ((doc << 32) + begin)[1:] > reach[:-1]))) if len(doc) else np.zeros(0, np.int64)
+    return doc[new], begin[new], reach[np.append(new[1:], len(doc)) - 1] & 0xFFFFFFFF if len(doc) else end
+
+
+def _regions(on: DataFrame, spans: DataFrame, width: int, passage: int, buckets: int) -> DataFrame:
+    """(id, begins, ends, open_begins, open_ends) of documents with windows that are not settled: where these are, in shingles, and where they are open."""
     length = passage - width + 1
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,32 +334,36 @@ def _regions(on: DataFrame, pairs: DataFrame, spans: DataFrame, width: int, pass
                 rows = np.unique(np.stack([unpack(b, m, np.int64)[text], begin, end]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["id", "begin", "end"])
 
-    windows = on.where(f"kind = {ON}").select("n", "m", "a", "b").mapInArrow(unfold, "id bigint, begin bigint, end bigint").distinct()
-    seen = spans.select(F.col("doc_id").alias("id"), F.col("first_word").alias("begin"), (F.col("first_word") + F.col("n_words") - (width - 1)).alias("end"), (F.col("similarity") == 1).alias("equal")).distinct()
-    both = windows.select("id", "begin", "end", F.lit(None).cast("boolean").alias("equal")).unionByName(seen)
+    windows = on.where(f"kind = {ON}").select("n", "m", "a", "b").mapInArrow(unfold, "id bigint, begin bigint, end bigint")
+    seen = spans.select(F.col("doc_id").alias("id"), F.col("first_word").alias("begin"), (F.col("first_word") + F.col("n_words") - (width - 1)).alias("end"), (F.col("similarity") == 1).cast("int").alias("equal"))
+    both = windows.select("id", "begin", "end", F.lit(-1).alias("equal")).unionByName(seen)
 
     def settle(table: pa.Table) -> pa.Table:
-        begin, end = (table.column(c).to_numpy() for c in ("begin", "end"))
-        kind = np.asarray(table.column("equal").cast(pa.int8()).fill_null(-1))
+        ids, doc = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        begin, end, kind = (table.column(c).to_numpy() for c in ("begin", "end", "equal"))
+        base = doc.astype(np.int64) << 32
         mine = np.flatnonzero(kind < 0)
 
         def inside(spans: np.ndarray) -> np.ndarray:
-            order = np.argsort(begin[spans], kind="stable")
-            furthest = np.maximum.accumulate(np.append(np.int64(-1), end[spans][order]))
-            return furthest[np.searchsorted(begin[spans][order], begin[mine], side="right")] >= end[mine]
+            order = spans[np.argsort((base + begin)[spans], kind="stable")]
+            furthest = np.maximum.accumulate(np.append(np.int64(-1), (base + end)[order]))
+            return furthest[np.searchsorted((base + begin)[order], (base + begin)[mine], side="right")] >= (base + end)[mine]
 
         keep, closed = ~inside(np.flatnonzero(kind == 1)), inside(np.flatnonzero(kind >= 0))
-        mine, closed = mine[keep], closed[keep]
-        return pa.table({"id": table.column("id").take(pa.array(mine)), "begin": pa.array(begin[mine]), "end": pa.array(end[mine]), "open": pa.array(~closed)})
+        whole, opened = mine[keep], mine[keep & ~closed]
+        found, out = [_merged(doc[x], begin[x], end[x]) for x in (whole, opened)], {}
+        here = np.unique(found[0][0])
+        for (d, x, y), name in zip(found, ("", "open_"), strict=True):
+            at = pa.array(np.append(np.searchsorted(d, here), len(d)), pa.int32())
+            out |= {f"{name}begins": pa.ListArray.from_arrays(at, pa.array(x, pa.int64())), f"{name}ends": pa.ListArray.from_arrays(at, pa.array(y, pa.int64()))}
+        return pa.table({"id": pa.array(ids[here], pa.int64()), **out})
 
-    # As many rows in a group as windows fit in one document.
-    return both.groupBy("id").applyInArrow(settle, "id bigint, begin bigint, end bigint, open boolean")
+    return both.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).applyInArrow(settle, "id bigint, begins array<bigint>, ends array<bigint>, open_begins array<bigint>, open_ends array<bigint>")
 
 
 def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> DataFrame:
     """Blocks of the shingles near unsettled windows (kind SEGMENTS), and requests for how many documents have each (COUNT)."""
-    places = regions.groupBy("id").agg(F.collect_list(F.struct("begin", "end", "open")).alias("places"))  # as many as fit in one document
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").join(places.hint("merge"), "id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").join(regions.hint("merge"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -359,23 +372,17 @@ def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> D
         for number, block in enumerate(blocks(batches, "text", BLOCK_BYTES)):
             codes, offsets, words = words_of(block.column("text"))
             h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
-            ids, lists = block.column("id").to_pylist(), block.column("places").to_pylist()
             hashes, opens, head = [], [], []
-            for i, places in enumerate(lists):
+            for i, (doc, begins, stops, open_begins, open_stops) in enumerate(zip(*(block.column(c).to_pylist() for c in ("id", "begins", "ends", "open_begins", "open_ends")), strict=True)):
                 n = int(ends[i + 1] - ends[i])
-                level, is_open = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-                for p in places:
-                    if p["end"] <= n:  # else of another text with this doc_id
-                        level[p["begin"]] += 1
-                        level[p["end"]] -= 1
-                        if p["open"]:
-                            is_open[p["begin"]] += 1
-                            is_open[p["end"]] -= 1
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(level) > 0).view(np.int8), [0]))))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    hashes.append(h[ends[i] + a : ends[i] + b])
-                    opens.append((np.cumsum(is_open) > 0)[a:b])
-                    head.append((ids[i], a, b - a))
+                is_open = np.zeros(n, bool)
+                for a, b in zip(open_begins, open_stops, strict=True):
+                    is_open[a:b] = True
+                for a, b in zip(begins, stops, strict=True):
+                    if b <= n:  # else of another text with this doc_id
+                        hashes.append(h[ends[i] + a : ends[i] + b])
+                        opens.append(is_open[a:b])
+                        head.append((doc, a, b - a))
             if not head:
                 continue
             flat, head = np.concatenate(hashes), np.array(head, np.int64)
@@ -501,10 +508,9 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
     spans = materialize(spark, _verified(docs, pairs, width, passage, similarity), "spans")
     lead = LEADERS
     while True:
-        regions = materialize(spark, _regions(found, pairs, spans, width, passage), "regions")
+        regions = materialize(spark, _regions(found, spans, width, passage, shards), "regions")
         discard(found)
-        wanted = regions.where("open").limit(1).count()
-        if not wanted:
+        if regions.where("size(open_begins) > 0").isEmpty():
             return spans
         made = materialize(spark, _segments(docs, regions, width, shards), "segments", "kind")
         flags = made.where(f"kind = {COUNT}").groupBy("shard").applyInArrow(_count_documents, SCHEMA)

@@ -35,8 +35,10 @@ that share a ``doc_id`` take nothing from each other; texts shorter than LENGTH
 keep all; very long texts are a block of their own; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 
-The blocks are formed several times from the same scan; ``docs`` that are not a
-plain scan are written to shared storage first.
+The blocks are formed several times from the same scan, whose cut into input
+tasks is pinned; answers carry a checksum of the block's keys, so a reading that
+differs ends the job.  ``docs`` that are not a plain scan are written to shared
+storage first.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _exchange as ex
-from ._common import GOLD, blocks, materialize, mix, pack, shards_for, text_bytes, unpack
+from ._common import GOLD, blocks, materialize, mix, pack, pin_splits, shards_for, text_bytes, unpack
 from .substring_dedup import window_minima
 
 LENGTH = 50
@@ -281,6 +283,7 @@ def _merge_shard(table: pa.Table) -> pa.Table:
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of all documents; ``kept`` has the bytes that stay."""
     spark = docs.sparkSession
+    pin_splits(spark)
     shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if "Exchange" in texts._jdf.queryExecution().executedPlan().toString():
@@ -312,8 +315,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         return rows, _Block(pa.ipc.open_stream(head["keys"]).read_all().combine_chunks().to_batches()[0], shards)
 
     def shared_of(rows: list[dict], b: _Block) -> np.ndarray:
+        check = ex.checksum(b.keys)
         for r in rows:
-            if r["kind"] == ex.ANSWER and b.bounds[r["shard"] + 1] - b.bounds[r["shard"]] != r["n"]:
+            if r["kind"] == ex.ANSWER and r["sum"] != check:
                 raise RuntimeError("the input was read in another order the second time")
         return ex.answers(rows, len(b.keys), b.bounds)[0]
 

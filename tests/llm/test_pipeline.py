@@ -31,7 +31,7 @@ def test_pipeline(spark, small_dir):
         if name == "quality_rules":
             assert after == want
         elif name == "minhash_dedup":
-            of = classes(sorted(before.items()))
+            of = classes(sorted(before.items()), True)
             assert after == {i: t for i, t in before.items() if of[i] == i}
         elif name == "substring_dedup":
             first: dict = {}

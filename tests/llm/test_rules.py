@@ -79,7 +79,7 @@ def test_decontamination(spark, make_docs, no_docs):
     rng = np.random.default_rng(2)
     vocab = [f"t{i}" for i in range(3000)]
     items = [(i, " ".join(rng.choice(vocab, int(rng.integers(12, 60)))).capitalize() + ".") for i in range(90)]
-    bench = spark.createDataFrame([*items, (None, None), (900, ""), (901, "too short")], "item_id bigint, text string")
+    bench = spark.createDataFrame([*items, (None, None), (900, ""), (901, "too short, that!")], "item_id bigint, text string")
     rows, want = [], set()
     for i in range(120):
         w = list(rng.choice(vocab, 300))
@@ -89,10 +89,15 @@ def test_decontamination(spark, make_docs, no_docs):
             w[at:at] = items[k][1].split()
             want.add((i, k))
         rows.append((i, " ".join(w)))
-    rows += [(500, items[5][1]), (501, None), (None, items[6][1]), (502, items[7][1].upper())]
-    want |= {(500, 5), (None, 6), (502, 7)}
+    rows += [(500, items[5][1]), (501, None), (None, items[6][1]), (502, items[7][1].upper()), (502, "another text"), (503, "x Too short that y"), (504, "too y short that"), (505, items[8][1] + " " + "z " * 20_000), (500, items[5][1])]
+    want |= {(500, 5), (None, 6), (502, 7), (503, 901), (505, 8)}
+    # One word changed in the last third of an item.
+    w = items[9][1].split()
+    rows.append((506, " ".join([*w[:-2], "changed", w[-1]])))
+    want.add((506, 9))
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make_docs(rows), bench).collect()}
     assert got == want
+    assert sum(r.doc_id == 500 for r in decontamination.contaminated(make_docs(rows), bench).collect()) == 2  # repeated rows are searched each
     assert decontamination.contaminated(no_docs, bench).count() == 0
     assert decontamination.contaminated(make_docs(rows[:3]), bench.limit(0)).count() == 0
 
@@ -107,7 +112,7 @@ def test_block_max_search_is_exhaustive():
     for threshold in (0.3, 0.5):
         got = {(t, s, i): v for t, s, _, i, v in decontamination.search(terms, offsets, shard, threshold)}
         want = {}
-        for t, s, n in zip(*decontamination.passages(offsets, max(32, shard.longest)), strict=True):
+        for t, s, n in zip(*decontamination.passages(offsets, shard.width), strict=True):
             have = set(terms[s : s + n].tolist()) - {-1}
             for i in range(len(rows)):
                 v = sum(w for k in have for p, w in zip(shard.items[shard.first[k] : shard.first[k + 1]], shard.impacts[shard.first[k] : shard.first[k + 1]], strict=True) if p == i)
@@ -266,7 +271,7 @@ def test_quality_rules_match_sql(spark, make_docs, odd_docs):
 
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(1200):
+    for i in range(1800):
         w = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(15, 60)))]
         if i % 6 == 0:
             w = [x + "!!" for x in w]
@@ -274,7 +279,7 @@ def test_quality_rules_match_sql(spark, make_docs, odd_docs):
             w = w[:12] * 3
         rows.append((i + 100, "\n".join([" ".join(w), *(["same line"] * (i % 4))])))
     docs = make_docs(rows).unionByName(odd_docs)
-    labels = [(i + 100, int(i % 6 != 0)) for i in range(1200)] + [(None, 1), (101, None), (6, 1)]
+    labels = [(i + 100, int(i % 6 != 0)) for i in range(1800)] + [(None, 1), (101, None), (6, 1)]
     table = spark.createDataFrame(labels, "doc_id bigint, quality int")
     con = duckdb.connect()
     con.register("documents", docs.toArrow())
