@@ -27,7 +27,7 @@ ones of more than RARE documents after all others: so a frequent phrase in
 passages that differ otherwise makes no group, and a group either has RARE
 documents at most, which are all compared, or consists of passages made of
 frequent shingles only, which are compared with their LEADERS least ones; what
-is still open after that meets four times as many in each later round, until no
+is still open after that meets sixteen times as many in each later round, until no
 open window is in a group with documents left.  No group is cut short, and no
 pair is compared twice.
 
@@ -521,7 +521,7 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
         found = _round(again, "candidates", most, lead, hits)
         new = materialize(spark, _pairs(found).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialize(spark, _verified(docs, new, width, passage, similarity), "spans")
-        spans, pairs, lead = spans.unionByName(more).distinct(), pairs.unionByName(new), 4 * lead
+        spans, pairs, lead = spans.unionByName(more).distinct(), pairs.unionByName(new), 16 * lead
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, similarity: float) -> DataFrame:
