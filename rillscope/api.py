@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,21 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.toLocalIterator()]
 
 
+_recent: deque[float] = deque(maxlen=100)
+_counts = {"requests": 0, "errors": 0}
+
+
 def _guarded(f):
     def run(spark: SparkSession, request: dict) -> dict:
         began = time.time()
+        _counts["requests"] += 1
         try:
-            return {"success": True, **f(spark, request), "seconds": time.time() - began}
+            out = {"success": True, **f(spark, request), "seconds": time.time() - began}
+            _recent.append(out["seconds"])
+            return out
         except (KeyError, TypeError, ValueError) as e:
+            _counts["errors"] += 1
+            _recent.append(time.time() - began)
             return {"success": False, "error": f"{type(e).__name__}: {e}", "seconds": time.time() - began}
 
     return run
@@ -72,6 +82,11 @@ def compare_algorithms(spark: SparkSession, request: dict) -> dict:
     return {"results": results}
 
 
+def status() -> dict:
+    """Requests and errors of this process, and the mean seconds of the last hundred."""
+    return {**_counts, "recent_seconds": sum(_recent) / len(_recent) if _recent else 0.0}
+
+
 def algorithms() -> list[str]:
     """Names of the detectors."""
     return list(DETECTORS)

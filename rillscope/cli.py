@@ -1,4 +1,4 @@
-"""Command line: analyze, config, validate, compare, report, version."""
+"""Command line: analyze, visualize, config, validate, compare, report, version."""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ def _parser() -> argparse.ArgumentParser:
         q.add_argument("path")
         q.add_argument("--format", choices=("csv", "json"))
         q.add_argument("--config")
+        q.add_argument("--per-file", action="store_true", help="each file of the path is a series")
         q.add_argument("--algorithm", choices=ALGORITHMS)
         q.add_argument("--method", choices=METHODS)
         q.add_argument("--threshold", type=float)
@@ -33,6 +34,9 @@ def _parser() -> argparse.ArgumentParser:
     r = sub.add_parser("report")
     settings(r)
     r.add_argument("--output", required=True)
+    z = sub.add_parser("visualize")
+    settings(z)
+    z.add_argument("--output", required=True)
     v = sub.add_parser("validate")
     v.add_argument("path")
     v.add_argument("--format", choices=("csv", "json"))
@@ -77,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "config":
         Config().save(args.template)
         return 0
-    from .operators.summary import time_summary
+    from .operators.summary import first_congested, time_summary
     from .operators.windows import min_intervals, validation_metrics
     from .plans.pipeline import Pipeline, compare
     from .session import get_session
@@ -90,11 +94,19 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(row.asDict()))
         return 0
     config = _config(args)
-    samples = read_path(spark, args.path, args.format)
+    samples = read_path(spark, args.path, args.format, per_file=args.per_file)
     if args.command == "compare":
         compare(min_intervals(samples, config.data_processing.minimum_interval_minutes), config.change_point_detection, args.algorithms).groupBy("series_id", "detector").count().show()
         return 0
     result = Pipeline(spark, config).run(samples)
+    if args.command == "visualize":
+        from .operators import summary as plots
+
+        inf = result.inferences
+        relations = {"steps": plots.step_series(inf), "points": plots.duration_points(inf), "hours": plots.hour_histogram(inf), "heatmap": plots.heatmap(inf), "durations": plots.histogram(inf, inf.end_epoch - inf.start_epoch), "confidences": plots.histogram(inf, inf.confidence), "minima": result.minima, "change_points": result.change_points}
+        for name, df in relations.items():
+            df.write.mode("overwrite").parquet(f"{args.output}/{name}")
+        return 0
     if args.command == "report":
         out = Path(args.output)
         out.mkdir(parents=True, exist_ok=True)
@@ -104,8 +116,9 @@ def main(argv: list[str] | None = None) -> int:
         (out / "index.html").write_text(report_html(summary, spans))
         return 0
     if args.output:
-        save(result.inferences, args.output, config.output_format, args.wide)
+        save(result.inferences, args.output, config.output_format, args.wide, metadata=result.metadata)
     time_summary(result.inferences).show()
+    first_congested(result.inferences, 5).show()
     return 0
 
 

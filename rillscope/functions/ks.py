@@ -41,7 +41,7 @@ def asymptotic_p(d: float, n: int, m: int) -> float:
 
 def p_value(d: float, n: int, m: int) -> float:
     """Two-sided p-value: exact for samples up to EXACT_UP_TO, else the limit."""
-    return exact_p(d, n, m) if max(n, m) <= EXACT_UP_TO and n * m <= 4_000_000 else asymptotic_p(d, n, m)
+    return exact_p(d, n, m) if max(n, m) <= EXACT_UP_TO else asymptotic_p(d, n, m)
 
 
 def ks_p_value(d: str, n: str, m: str):

@@ -7,13 +7,14 @@ series' candidates, which are few: one per ``step`` bins of the minima.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import indexed
 
-CANDIDATE = "array<struct<epoch: double, confidence: double>>"
-
 
 def prefix_sums(series: DataFrame) -> DataFrame:
     """Index, length and running sums of the centred values and their squares before each row."""
@@ -80,30 +81,50 @@ def welch_scores(series: DataFrame) -> DataFrame:
     return s.withColumn("score", F.when((F.col("w") >= 5) & (pooled > 1e-8), F.abs(F.col("mean_l") - F.col("mean_r")) / F.sqrt(pooled)).otherwise(0.0))
 
 
-def _fold(candidates: DataFrame, step, order: str = "epoch") -> DataFrame:
-    listed = candidates.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct(F.col("epoch").cast("double").alias("epoch"), F.col("confidence").cast("double").alias("confidence")))).alias("rows"))
-    return listed.select("series_id", F.inline(F.aggregate("rows", F.array().cast(CANDIDATE), step)))
+def _fold(candidates: DataFrame, accept: Callable[[list[float], list[float]], list[int]]) -> DataFrame:
+    """The rows of each series that ``accept`` picks from epochs and confidences in time order.
 
+    A row's fate depends on the one kept before it, so a series is one pass; the
+    pass is linear, where a fold over a growing array copies it at each step.
+    """
+    more = [c for c in ("algorithm",) if c in candidates.columns]
+    rows = candidates.select("series_id", F.col("epoch").cast("double").alias("epoch"), F.col("confidence").cast("double").alias("confidence"), *more)
 
-def keep_gap(candidates: DataFrame, gap: float) -> DataFrame:
-    """Candidates in time order, each at least ``gap`` after the one kept before."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("epoch", "ascending"), ("confidence", "ascending")])
+        return table.take(pa.array(accept(table.column("epoch").to_pylist(), table.column("confidence").to_pylist()), pa.int64()))
 
-    def step(acc, x):
-        return F.when((F.size(acc) == 0) | (x["epoch"] - F.element_at(acc, -1)["epoch"] >= gap), F.concat(acc, F.array(x))).otherwise(acc)
+    return rows.groupBy("series_id").applyInArrow(run, rows.schema)
 
-    return _fold(candidates, step)
 
+def accept_apart(epochs: list[float], gap: float) -> list[int]:
+    """Places in time order, each at least ``gap`` after the one kept before."""
+    out: list[int] = []
+    for i, e in enumerate(epochs):
+        if not out or e - epochs[out[-1]] >= gap:
+            out.append(i)
+    return out
 
-def filter_change_points(candidates: DataFrame, gap: float, most: int | None = None) -> DataFrame:
-    """Minimum gap, where a surer candidate replaces the one before it, then the surest ``most``."""
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        swap = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))
-        return F.when((F.size(acc) == 0) | (x["epoch"] - last["epoch"] >= gap), F.concat(acc, F.array(x))).when(x["confidence"] > last["confidence"], swap).otherwise(acc)
+def accept_surest(epochs: list[float], confidences: list[float], gap: float) -> list[int]:
+    """Like :func:`accept_apart`, but a surer row replaces the one kept before it."""
+    out: list[int] = []
+    for i, e in enumerate(epochs):
+        if not out or e - epochs[out[-1]] >= gap:
+            out.append(i)
+        elif confidences[i] > confidences[out[-1]]:
+            out[-1] = i
+    return out
 
-    # element_at of an empty array is only met where size is 0, and gives null there.
-    out = _fold(candidates, step)
+
+def keep_gap(candidates: DataFrame, gap: float) -> DataFrame:
+    """Candidates in time order, each at least ``gap`` after the one kept before."""
+    return _fold(candidates, lambda epochs, _: accept_apart(epochs, gap))
+
+
+def filter_change_points(candidates: DataFrame, gap: float, most: int | None = None) -> DataFrame:
+    """Minimum gap, where a surer candidate replaces the one before it, then the surest ``most``."""
+    out = _fold(candidates, lambda epochs, confidences: accept_surest(epochs, confidences, gap))
     return top_confidence(out, most) if most else out
 
 

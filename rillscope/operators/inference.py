@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,20 +46,22 @@ def independent(ev: DataFrame) -> DataFrame:
 def smoothed(inferences: DataFrame) -> DataFrame:
     """Flip single periods that differ from both neighbours, one after another in time.
 
-    A flip is seen by the next period, so this is a fold over a series' periods
+    A flip is seen by the next period, so a series is one pass over its periods
     (at most one per change point).
     """
-    row = F.struct("start_epoch", "end_epoch", "cp_idx", "is_congested", "confidence")
-    listed = inferences.groupBy("series_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-
-    def step(acc, i):
-        x, before, after = F.get(acc, i), F.get(acc, i - 1), F.get(acc, i + 1)
-        odd = (x["is_congested"] != before["is_congested"]) & (x["is_congested"] != after["is_congested"])
-        new = F.struct(x["start_epoch"].alias("start_epoch"), x["end_epoch"].alias("end_epoch"), x["cp_idx"].alias("cp_idx"), (~x["is_congested"]).alias("is_congested"), F.least(x["confidence"], F.lit(0.3)).alias("confidence"))
-        return F.when(odd, F.transform(acc, lambda r, k: F.when(k == i, new).otherwise(r))).otherwise(acc)
-
-    inner = F.when(F.size("rows") > 2, F.sequence(F.lit(1), F.size("rows") - 2)).otherwise(F.array().cast("array<int>"))
-    return listed.select("series_id", F.inline(F.aggregate(inner, F.col("rows"), step)))
+    rows = inferences.select("series_id", "start_epoch", "end_epoch", "cp_idx", "is_congested", "confidence")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start_epoch", "ascending"), ("end_epoch", "ascending")])
+        state, sure = table.column("is_congested").to_pylist(), table.column("confidence").to_pylist()
+        for i in range(1, len(state) - 1):
+            if state[i] != state[i - 1] and state[i] != state[i + 1]:
+                state[i], sure[i] = not state[i], min(sure[i], 0.3)
+        names = table.schema.names
+        table = table.set_column(names.index("is_congested"), "is_congested", pa.array(state, pa.bool_()))
+        return table.set_column(names.index("confidence"), "confidence", pa.array(sure, pa.float64()))
+
+    return rows.groupBy("series_id").applyInArrow(run, rows.schema)
 
 
 def as_inferences(ev: DataFrame) -> DataFrame:

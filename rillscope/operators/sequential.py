@@ -1,7 +1,8 @@
 """Detectors that need a whole series at once, as grouped numpy functions.
 
-A series here is the minima of its time bins; one with more than MAX_ROWS rows
-raises an error that says so.
+A series here is the minima of its time bins.  The kernel cost and the Bayesian
+recursions take memory or time that grows with the square of its length; there,
+one with more rows than MAX_KERNEL_ROWS or MAX_ROWS raises an error that says so.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ROWS = 20_000
+MAX_KERNEL_ROWS = 10_000
 MIN_SIZE = 2
 JUMP = 5
 
@@ -33,17 +35,24 @@ def segment_cost(x: np.ndarray, model: str) -> Callable[[np.ndarray, int], np.nd
         return lambda a, e: (e - a) * np.log(np.maximum(spread(a, e) / (e - a), 1e-8))
     if model == "l1":
         return lambda a, e: np.array([np.abs(x[s:e] - np.median(x[s:e])).sum() for s in a])
-    d = (x[:, None] - x[None, :]) ** 2
-    upper = d[np.triu_indices(n, 1)]
-    middle = np.median(upper) if len(upper) else 0.0
-    k = np.exp(-np.clip(d / middle if middle > 0 else d, 1e-2, 1e2))
-    np.fill_diagonal(k, np.exp(-1e-2))
+    # One matrix of sums is held; the kernel itself is made a block of rows at a time.
+    middle = _median_distance(x)
     total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(0).cumsum(1)
-    diag = np.concatenate(([0.0], np.cumsum(np.diag(k))))
+    for a in range(0, n, 512):
+        d = (x[a : a + 512, None] - x[None, :]) ** 2
+        k = np.exp(-np.clip(d / middle if middle > 0 else d, 1e-2, 1e2))
+        k[np.arange(len(k)), a + np.arange(len(k))] = np.exp(-1e-2)
+        total[a + 1 : a + 1 + len(k), 1:] = k.cumsum(1).cumsum(0) + total[a, 1:]
+    diag = np.exp(-1e-2) * np.arange(n + 1)
     return lambda a, e: diag[e] - diag[a] - (total[e, e] - total[a, e] - total[e, a] + total[a, a]) / (e - a)
 
 
+def _median_distance(x: np.ndarray) -> float:
+    """The median of the squared distances of all pairs."""
+    parts = [((x[i + 1 :] - x[i]) ** 2).astype(np.float64) for i in range(len(x) - 1)]
+    return float(np.median(np.concatenate(parts))) if parts else 0.0
+
+
 def optimal_partition(x: np.ndarray, penalty: float, model: str = "rbf", jump: int = JUMP, min_size: int = MIN_SIZE) -> list[int]:
     """Starts of the later segments of the cheapest partition on the grid of ``jump``; PELT pruning."""
     n = len(x)
@@ -175,10 +184,10 @@ def welch_grid(epochs: np.ndarray, scores: np.ndarray, threshold: float = 0.25,
     return taken, [conf[i] for i in taken], label
 
 
-def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int], list[float], str]]) -> DataFrame:
+def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int], list[float], str]], most: int | None = None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_ROWS:
-            raise ValueError(f"a series of {len(pdf)} bins; this detector takes {MAX_ROWS} at most: use wider bins or a window-score detector")
+        if most and len(pdf) > most:
+            raise ValueError(f"a series of {len(pdf)} bins; this detector takes {most} at most: use wider bins or a window-score detector")
         pdf = pdf.sort_values("epoch_us", kind="stable").reset_index(drop=True)
         places, conf, label = find(pdf)
         return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]] * len(places), "epoch": pdf.epoch.to_numpy()[places] if places else [], "confidence": conf, "algorithm": [label] * len(places)}).astype({"series_id": object, "epoch": float, "confidence": float, "algorithm": object})
@@ -188,12 +197,12 @@ def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int],
 
 def detect_pelt(series: DataFrame, model: str = "rbf", penalty: float = 10.0, threshold: float = 0.25, gap: float = 1800) -> DataFrame:
     """PELT change points of every series."""
-    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: pelt(p.epoch.to_numpy(), p.rtt_value.to_numpy(), model, penalty, threshold, gap))
+    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: pelt(p.epoch.to_numpy(), p.rtt_value.to_numpy(), model, penalty, threshold, gap), MAX_KERNEL_ROWS if model == "rbf" else None)
 
 
 def detect_bcp(series: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Bayesian change points of every series."""
-    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: bcp(p.epoch.to_numpy(), p.rtt_value.to_numpy(), threshold))
+    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: bcp(p.epoch.to_numpy(), p.rtt_value.to_numpy(), threshold), MAX_ROWS)
 
 
 def detect_welch(series: DataFrame, threshold: float = 0.25, gap: float = 1800, most: int | None = None) -> DataFrame:

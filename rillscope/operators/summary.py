@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,14 +53,42 @@ def hour_histogram(inf: DataFrame) -> DataFrame:
 
 def histogram(df: DataFrame, value, bins: int = 20) -> DataFrame:
     """Counts in ``bins`` equal ranges from the least to the largest value."""
-    v = df.select(value.alias("v"))
-    edges = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row
-    lo, hi = edges.first() or (None, None)
-    if lo is None:
-        return v.select(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("n")).limit(0)
-    width = (hi - lo) / bins or 1.0
-    slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)).cast("int")
-    return v.groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
+    v = df.select(value.cast("double").alias("v"), F.lit(1).alias("k"))
+    edges = F.broadcast(v.groupBy("k").agg(F.min("v").alias("lo"), F.max("v").alias("hi")))  # one row
+    width = (F.col("hi") - F.col("lo")) / bins
+    slot = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+    return v.join(edges, "k").groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def heatmap(inf: DataFrame) -> DataFrame:
+    """(series_id, row, position, value): a matrix of two rows, the confidence and the state of each period in order."""
+    w = Window.partitionBy("series_id").orderBy("start_epoch")
+    cells = F.array(F.struct(F.lit("confidence").alias("row"), F.col("confidence").alias("value")), F.struct(F.lit("congested").alias("row"), F.col("is_congested").cast("double").alias("value")))
+    placed = inf.withColumn("position", F.row_number().over(w) - 1)  # before the rows are doubled
+    return placed.select("series_id", "position", F.explode(cells).alias("c")).select("series_id", "c.row", "position", "c.value")
+
+
+def congested_only(inf: DataFrame) -> DataFrame:
+    return inf.where("is_congested")
+
+
+def first_congested(inf: DataFrame, most: int = 5) -> DataFrame:
+    """The first ``most`` congested periods of each series."""
+    w = Window.partitionBy("series_id").orderBy("start_epoch")
+    return congested_only(inf).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r").orderBy("series_id", "start_epoch")
+
+
+def durations_by_source(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Number and mean, least and largest hours of the congested periods, expected (starts, ends, congestion) and detected."""
+    one = expected.where("congestion = 1").select(F.lit("expected").alias("origin"), ((F.col("ends") - F.col("starts")) / 3600).alias("h"))
+    two = congested_only(found).select(F.lit("detected").alias("origin"), (_span() / 3600).alias("h"))
+    return one.unionByName(two).groupBy("origin").agg(F.count("*").alias("n"), F.avg("h").alias("mean_hours"), F.min("h").alias("min_hours"), F.max("h").alias("max_hours"))
+
+
+def service_statistics(requests: DataFrame, last: int = 100) -> DataFrame:
+    """Running counts of requests (``seq``, ``seconds``, ``ok``) by service, and the mean time of the last ones."""
+    w = Window.partitionBy("service").orderBy("seq")
+    return requests.select("service", "seq", F.row_number().over(w).alias("requests"), F.sum((~F.col("ok")).cast("int")).over(w).alias("errors"), F.avg("seconds").over(w.rowsBetween(1 - last, 0)).alias("recent_seconds"))
 
 
 def step_series(inf: DataFrame) -> DataFrame:
@@ -112,6 +140,11 @@ def overlap(found: DataFrame, truth: DataFrame) -> DataFrame:
     return m.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
 
 
-def benchmark_table(runs: DataFrame) -> DataFrame:
-    """By algorithm: times, change points and confidences of benchmark runs, and successes."""
-    return runs.groupBy("algorithm").agg(*(f(c).alias(f"{c}_{n}") for c in ("seconds", "n", "confidence") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"), (F.min, "min"), (F.max, "max"))), F.count_if(F.col("n") > 0).alias("successes"))
+def benchmark_table(runs: DataFrame, *keys: str, measures: tuple[str, ...] = ("seconds", "n", "confidence")) -> DataFrame:
+    """By ``keys`` (the algorithm by default): moments and range of what benchmark runs measured, and successes."""
+    return runs.groupBy(*(keys or ("algorithm",))).agg(*(f(c).alias(f"{c}_{n}") for c in measures for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"), (F.min, "min"), (F.max, "max"))), F.count_if(F.col("n") > 0).alias("successes"))
+
+
+def extreme_algorithms(runs: DataFrame, measure: str) -> DataFrame:
+    """By dataset, the algorithm with the least and the largest measure; ties go to the first by name."""
+    return runs.groupBy("dataset").agg(F.min_by("algorithm", F.struct(measure, "algorithm")).alias("least"), F.min_by("algorithm", F.struct(-F.col(measure), "algorithm")).alias("largest"))

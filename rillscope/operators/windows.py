@@ -43,17 +43,24 @@ def jitter(series: DataFrame) -> DataFrame:
     return series.withColumn("jitter", F.col("rtt_value") - F.lag("rtt_value").over(w)).where("jitter is not null").select(*keep, "jitter")
 
 
-def raw_jitter(samples: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
-    """Jitter of raw samples, without sorting a whole series in one task.
+def with_previous(samples: DataFrame, column: str, name: str, order: str = "epoch_us", bucket: int = DAY_US) -> DataFrame:
+    """With the ``column`` of the sample before (by ``order`` and seq), without sorting a whole series in one task.
 
-    Series are cut into time buckets; the last sample of the bucket before (a
-    small aggregate) stands in for the neighbour of a bucket's first sample.
+    Series are cut into ranges of ``order``; the last sample of the range before
+    (a small aggregate) stands in for the neighbour of a range's first sample.
     """
-    keyed = samples.withColumn("bucket", F.floor(F.col("epoch_us") / bucket_us))
-    lasts = keyed.groupBy("series_id", "bucket").agg(F.max_by("rtt_value", F.struct("epoch_us", "seq")).alias("last"))
+    keyed = samples.withColumn("bucket", F.floor(F.col(order) / bucket))
+    by = [order, "seq"] if order != "seq" else ["seq"]
+    lasts = keyed.groupBy("series_id", "bucket").agg(F.max_by(column, F.struct(*by)).alias("last"))
     before = lasts.select("series_id", "bucket", F.lag("last").over(Window.partitionBy("series_id").orderBy("bucket")).alias("before"))
-    w = Window.partitionBy("series_id", "bucket").orderBy("epoch_us", "seq")
-    out = keyed.join(before, ["series_id", "bucket"]).withColumn("jitter", F.col("rtt_value") - F.coalesce(F.lag("rtt_value").over(w), F.col("before")))
+    w = Window.partitionBy("series_id", "bucket").orderBy(*by)
+    out = keyed.withColumn(name, F.lag(column).over(w)).withColumn("first", F.row_number().over(w) == 1).join(before, ["series_id", "bucket"])
+    return out.withColumn(name, F.when(F.col("first"), F.col("before")).otherwise(F.col(name))).drop("bucket", "first", "before")
+
+
+def raw_jitter(samples: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+    """Jitter of raw samples, in ranges of time."""
+    out = with_previous(samples, "rtt_value", "previous", bucket=bucket_us).withColumn("jitter", F.col("rtt_value") - F.col("previous"))
     return out.where("jitter is not null").select("series_id", "epoch_us", "seq", "epoch", "jitter")
 
 
@@ -81,23 +88,25 @@ def jitter_dispersion(series: DataFrame, k: int = 4, m: int = 6) -> DataFrame:
 
 def time_gaps(samples: DataFrame) -> DataFrame:
     """Seconds since the sample before."""
-    w = Window.partitionBy("series_id").orderBy("epoch_us", "seq")
-    gap = (F.col("epoch_us") - F.lag("epoch_us").over(w)) / 1e6
-    return samples.withColumn("gap", gap).where("gap is not null").select("series_id", "seq", "epoch", "gap")
+    gap = (F.col("epoch_us") - F.col("previous_us")) / 1e6
+    return with_previous(samples, "epoch_us", "previous_us").withColumn("gap", gap).where("gap is not null").select("series_id", "seq", "epoch", "gap")
+
+
+SEQ_RANGE = 1 << 20
 
 
 def validation_metrics(samples: DataFrame) -> DataFrame:
     """One row per series: counts, order, duplicates, outliers beyond three deviations, intervals, moments and range."""
-    by_seq = Window.partitionBy("series_id").orderBy("seq")
-    by_time = Window.partitionBy("series_id").orderBy("epoch_us", "seq")
-    t = samples.withColumn("ordered", F.coalesce(F.lag("epoch_us").over(by_seq) <= F.col("epoch_us"), F.lit(True))).withColumn("gap", (F.col("epoch_us") - F.lag("epoch_us").over(by_time)) / 1e6)
+    t = with_previous(with_previous(samples, "epoch_us", "read_before", "seq", SEQ_RANGE), "epoch_us", "previous_us")
+    t = t.withColumn("ordered", F.coalesce(F.col("read_before") <= F.col("epoch_us"), F.lit(True))).withColumn("gap", (F.col("epoch_us") - F.col("previous_us")) / 1e6)
     moments = samples.groupBy("series_id").agg(F.avg("rtt_value").alias("mu"), F.stddev_pop("rtt_value").alias("sd"))
     t = t.join(moments, "series_id").withColumn("outlier", (F.abs(F.col("rtt_value") - F.col("mu")) > 3 * F.col("sd")) & (F.col("sd") > 0))
     return t.groupBy("series_id").agg(
         F.count("*").alias("total"),
         F.bool_and("ordered").alias("time_ordered"),
-        F.countDistinct("epoch_us").alias("unique_timestamps"),
-        (F.countDistinct("epoch_us") < F.count("*")).alias("has_duplicates"),
+        # A time is new where the sample before has another one.
+        F.count_if(F.coalesce(F.col("gap") != 0, F.lit(True))).alias("unique_timestamps"),
+        (F.count_if(F.coalesce(F.col("gap") != 0, F.lit(True))) < F.count("*")).alias("has_duplicates"),
         F.count_if("outlier").alias("outliers"),
         F.avg("gap").alias("average_interval"),
         F.max("gap").alias("max_gap"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import ChangePoints, Config
 from ..operators import detectors, inference, periods, sequential, windows
 from ..sources import normalize, read_path
+from ..storage import shared_path
 
 #: Detector by name: (minima, settings) -> (series_id, epoch, confidence, algorithm).
 DETECTORS: dict[str, Callable[[DataFrame, ChangePoints], DataFrame]] = {
@@ -31,15 +33,18 @@ def register_detector(name: str, find: Callable[[DataFrame, ChangePoints], DataF
 def detect(minima: DataFrame, settings: ChangePoints, name: str | None = None) -> DataFrame:
     """Filtered change points (series_id, cp_idx, epoch, confidence, algorithm)."""
     found = DETECTORS[name or settings.algorithm](minima, settings)
-    label = found.groupBy("series_id").agg(F.first("algorithm").alias("algorithm"))
     kept = detectors.filter_change_points(found, settings.min_time_elapsed, settings.max_change_points)
     idx = F.row_number().over(Window.partitionBy("series_id").orderBy("epoch")) - 1
-    return kept.join(label, "series_id").select("series_id", idx.alias("cp_idx"), "epoch", "confidence", "algorithm")
+    return kept.select("series_id", idx.alias("cp_idx"), "epoch", "confidence", "algorithm")
 
 
 @dataclass
 class Result:
-    """The relations of one analysis, all lazy."""
+    """The relations of one analysis.
+
+    Minima and change points are written once to the shared folder, as all that
+    follows reads them several times; the rest is lazy.
+    """
 
     samples: DataFrame
     minima: DataFrame
@@ -56,8 +61,8 @@ class Pipeline:
     def __init__(self, spark: SparkSession, config: Config | None = None):
         self.spark, self.config = spark, config or Config()
 
-    def run_path(self, path: str, kind: str | None = None, mode: str = "drop") -> Result:
-        return self.run(read_path(self.spark, path, kind, mode))
+    def run_path(self, path: str, kind: str | None = None, mode: str = "drop", per_file: bool = False) -> Result:
+        return self.run(read_path(self.spark, path, kind, mode, per_file))
 
     def run_frame(self, df: DataFrame, series_id: str | None = None, mode: str = "drop") -> Result:
         return self.run(normalize(df, series_id, mode))
@@ -67,7 +72,8 @@ class Pipeline:
         if c.data_processing.outlier_detection:
             samples = windows.without_outliers(samples, c.data_processing.outlier_threshold)
         minima = windows.min_intervals(samples, c.data_processing.minimum_interval_minutes, c.data_processing.min_samples_per_interval)
-        cps = detect(minima, c.change_point_detection)
+        minima = self._kept(minima, "minima")
+        cps = self._kept(detect(minima, c.change_point_detection), "change-points")
         spans = periods.periods_from_change_points(cps)
         jumps = periods.latency_jumps(minima, spans, c.latency_jump.threshold)
         j = c.jitter_analysis
@@ -78,13 +84,18 @@ class Pipeline:
         inf = inference.as_inferences(inference.congestion(inference.evidence(jumps, jit)))
         return Result(samples, minima, cps, jumps, jit, inf, self._metadata(samples, minima, cps, jumps, jit, inf))
 
+    def _kept(self, df: DataFrame, tag: str) -> DataFrame:
+        path = shared_path(self.spark, f"{tag}-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _metadata(self, *frames: DataFrame) -> DataFrame:
         """One row of counts and settings, also where a relation is empty."""
         names = ("measurements", "intervals", "change_points", "latency_jumps", "jitter_analyses", "inferences")
         parts = [f.select(*(F.lit(1 if n == m else 0).alias(m) for m in names), (F.col("is_congested").cast("int") if n == "inferences" else F.lit(0)).alias("congested")) for n, f in zip(names, frames, strict=True)]
         total = reduce(DataFrame.unionByName, parts)
         c = self.config
-        return total.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*names, "congested"))).select("*", F.lit(c.change_point_detection.algorithm).alias("algorithm"), F.lit(c.jitter_analysis.method).alias("method"), F.lit(c.change_point_detection.threshold).alias("threshold"))
+        return total.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (*names, "congested"))).select("*", F.lit(c.change_point_detection.algorithm).alias("algorithm"), F.lit(c.jitter_analysis.method).alias("method"), F.lit(c.change_point_detection.threshold).alias("threshold"), F.when(F.col("intervals") < 2, "fewer than two intervals").alias("error"))
 
 
 def compare(minima: DataFrame, settings: ChangePoints, names: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from .config import ChangePoints, Config
 from .operators import detectors, inference, periods, sequential, summary, windows
 from .plans.pipeline import Pipeline, compare
 from .schema import events_as_samples
-from .sinks import narrow, wide
+from .sinks import columnar, enhanced, narrow, nested_json, wide
 from .sources import concat_frames, normalize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -420,12 +420,48 @@ def cp_bayes_windows(spark, d):
     return _rounded(detectors.detect_bayes_windows(_minima(spark, d)), "confidence").select("series_id", "epoch", "confidence", "algorithm")
 
 
-@_query(o.sql(o.LEVEL_CPS, "SELECT series_id, epoch, round(confidence, 6) AS confidence, 'adtk' AS detector FROM lcap"))
+_BOTH_CPS = [
+    *o.LEVEL_CPS,
+    o.scores_cte("bayes").replace("scores AS", "bscores AS", 1),
+    _BAYES_CPS[4].replace("FROM scores", "FROM bscores"),
+    *_BAYES_CPS[5:],
+    o.replace_fold("lcap", 1800, "adtk"),
+    o.replace_fold("bcap", 1800, "rbeast"),
+    "both_cps AS (SELECT *, 'adtk' AS algorithm FROM adtk UNION ALL SELECT *, 'rbeast' AS algorithm FROM rbeast)",
+    "runs AS (SELECT series_id AS dataset, algorithm, count(*) AS n, avg(confidence) AS confidence FROM both_cps GROUP BY ALL)",
+]
+
+
+@_query(o.sql(_BOTH_CPS, "SELECT series_id, epoch, round(confidence, 6) AS confidence, algorithm AS detector FROM both_cps"))
 def algo_union_compare(spark, d):
-    found = compare(_minima(spark, d), ChangePoints(algorithm="adtk"), ["adtk"])
+    found = compare(_minima(spark, d), ChangePoints(), ["adtk", "rbeast"])
     return _rounded(found, "confidence").select("series_id", "epoch", "confidence", "detector")
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    found = compare(_minima(spark, d), ChangePoints(), ["adtk", "rbeast"])
+    return found.groupBy(F.col("series_id").alias("dataset"), F.col("detector").alias("algorithm")).agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))
+
+
+_MOMENTS = ", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("n", "confidence") for f, n in (("avg", "mean"), ("stddev_samp", "std"), ("min", "min"), ("max", "max")))
+_MOMENT_NAMES = [f"{c}_{n}" for c in ("n", "confidence") for n in ("mean", "std", "min", "max")]
+
+
+@_query(o.sql(_BOTH_CPS, f"SELECT algorithm, {_MOMENTS}, count(*) FILTER (n > 0) AS successes FROM runs GROUP BY algorithm"))
+def benchmark_by_algorithm(spark, d):
+    return _rounded(summary.benchmark_table(_runs(spark, d), measures=("n", "confidence")), *_MOMENT_NAMES)
+
+
+@_query(o.sql(_BOTH_CPS, f"SELECT dataset, algorithm, {_MOMENTS}, count(*) FILTER (n > 0) AS successes FROM runs GROUP BY dataset, algorithm"))
+def benchmark_by_dataset(spark, d):
+    return _rounded(summary.benchmark_table(_runs(spark, d), "dataset", "algorithm", measures=("n", "confidence")), *_MOMENT_NAMES)
+
+
+@_query(o.sql(_BOTH_CPS, "SELECT dataset, first(algorithm ORDER BY n, algorithm) AS least, first(algorithm ORDER BY n DESC, algorithm) AS largest FROM runs GROUP BY dataset"))
+def benchmark_extremes(spark, d):
+    return summary.extreme_algorithms(_runs(spark, d), "n")
+
+
 @_query(o.sql(o.LEVEL_CPS, "SELECT 'adtk_fallback' AS algorithm, count(*) AS n, round(avg(confidence), 6) AS mean_confidence, round(coalesce(stddev_samp(confidence), 0), 6) AS std_confidence FROM lcap"))
 def algo_compare_stats(spark, d):
     return _rounded(summary.comparison(detectors.detect_level_shifts(_minima(spark, d))), "mean_confidence", "std_confidence")
@@ -474,11 +510,15 @@ def ks_pvalue(spark, d):
     return periods.ks_periods(windows.raw_jitter(s), _periods(windows.min_intervals(s)))
 
 
-@_query()
+_FLAGSHIP = [*o.LEVEL_CPS, o.replace_fold("lcap", 1800, "cps"), o.PERIODS, *o.TO_DISP, o.JUMPS, o.DJIT, o.EV, o.INF]
+
+
+@_query(o.sql(_FLAGSHIP, "SELECT series_id, cp_idx, start_epoch, end_epoch, is_congested, round(confidence, 6) AS confidence, has_jump, round(magnitude, 6) AS magnitude, has_significant_jitter, round(jitter_metric, 6) AS jitter_metric FROM inf"))
 def pipeline_flagship(spark, d):
     """The whole analysis with the level-shift detector, one series per event type."""
     config = Config().merged({"change_point_detection": {"algorithm": "adtk"}})
-    return Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+    out = Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+    return _rounded(out.select("series_id", "cp_idx", "start_epoch", "end_epoch", "is_congested", "confidence", "latency_jump.has_jump", "latency_jump.magnitude", "jitter_analysis.has_significant_jitter", "jitter_analysis.jitter_metric"), "confidence", "magnitude", "jitter_metric")
 
 
 @_query()
@@ -487,7 +527,13 @@ def pipeline_ks(spark, d):
     return Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
 
 
-@_query()
+@_query(
+    o.sql(
+        _FLAGSHIP,
+        """SELECT (SELECT count(*) FROM rtt) AS measurements, (SELECT count(*) FROM mins) AS intervals, (SELECT count(*) FROM cps) AS change_points, (SELECT count(*) FROM jumps) AS latency_jumps, (SELECT count(*) FROM djit) AS jitter_analyses,
+  (SELECT count(*) FROM inf) AS inferences, (SELECT count(*) FROM inf WHERE is_congested) AS congested, 'adtk' AS algorithm, 'jitter_dispersion' AS method, 0.25::DOUBLE AS threshold, NULL::VARCHAR AS error""",
+    )
+)
 def pipeline_metadata(spark, d):
     config = Config().merged({"change_point_detection": {"algorithm": "adtk"}})
     return Pipeline(spark, config).run(events_as_samples(spark, d)).metadata
@@ -511,6 +557,123 @@ def stream_min_rtt(spark, d):
     return spark.read.parquet(f"{base}/out").where("series_id != 'end'")
 
 
+@_query(o.sql(o.TO_INF, "SELECT CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 20)), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM (SELECT confidence AS v, min(confidence) OVER () AS lo, max(confidence) OVER () AS hi FROM inf) GROUP BY 1"))
+def confidence_histogram(spark, d):
+    return summary.histogram(_inferences(spark, d), F.col("confidence"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, row_number() OVER (PARTITION BY series_id, r ORDER BY start_epoch) - 1 AS position, r AS row, round(CASE r WHEN 'confidence' THEN confidence ELSE is_congested::INT END, 6) AS value FROM (SELECT *, unnest(['confidence', 'congested']) AS r FROM inf)"))
+def confidence_heatmap(spark, d):
+    return _rounded(summary.heatmap(_inferences(spark, d)), "value")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, start_epoch, end_epoch FROM inf WHERE is_congested QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY start_epoch) <= 5"))
+def first_congested(spark, d):
+    return summary.first_congested(_inferences(spark, d)).select("series_id", "cp_idx", "start_epoch", "end_epoch")
+
+
+@_query(o.sql(o.TO_INF, "SELECT origin, count(*) AS n, round(avg(h), 6) AS mean_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT CASE WHEN series_id = 'click' THEN 'expected' ELSE 'detected' END AS origin, (end_epoch - start_epoch) / 3600 AS h FROM inf WHERE is_congested) GROUP BY origin"))
+def expected_and_detected(spark, d):
+    inf = _inferences(spark, d)
+    return _rounded(summary.durations_by_source(inf.where("series_id != 'click'"), narrow(inf.where("series_id = 'click'"))), "mean_hours", "min_hours", "max_hours")
+
+
+@_query("SELECT event_type AS service, event_id AS seq, row_number() OVER w AS requests, (sum((value <= 0)::INT) OVER w)::BIGINT AS errors, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS recent_seconds FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+def service_stats(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("service"), F.col("event_id").alias("seq"), F.col("value").alias("seconds"), (F.col("value") > 0).alias("ok"))
+    return _rounded(summary.service_statistics(e), "recent_seconds")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, start_epoch AS starts, end_epoch AS ends, round(end_epoch - start_epoch, 6) AS duration, is_congested::INT::DOUBLE AS congestion, round(confidence, 6) AS confidence, has_jump AS has_latency_jump, round(magnitude, 6) AS jump_magnitude, has_significant_jitter AS has_jitter_change, round(jitter_metric, 6) AS jitter_metric, 'jitter_dispersion' AS jitter_method FROM inf"))
+def export_enhanced(spark, d):
+    return _rounded(enhanced(inference.as_inferences(_inferences(spark, d))), "duration", "confidence", "jump_magnitude", "jitter_metric")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS n, round(sum(start_epoch), 3) AS starts, round(sum(end_epoch), 3) AS ends, string_agg(is_congested::INT::VARCHAR, '' ORDER BY start_epoch) AS congestion, round(sum(confidence), 6) AS confidence FROM inf GROUP BY series_id"))
+def export_columnar(spark, d):
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return columnar(_inferences(spark, d)).select("series_id", F.size("starts").cast("bigint").alias("n"), F.round(total("starts"), 3).alias("starts"), F.round(total("ends"), 3).alias("ends"), F.array_join("congestion", "").alias("congestion"), F.round(total("confidence"), 6).alias("confidence"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS periods, count(*) FILTER (is_congested) AS congested, 'adtk' AS algorithm FROM inf GROUP BY series_id"))
+def export_nested_json(spark, d):
+    """Writes the nested objects and reads them back."""
+    inf = inference.as_inferences(_inferences(spark, d))
+    nested = nested_json(inf, spark.range(1).select(F.lit("adtk").alias("algorithm")))
+    made = nested.select(F.from_json("value", "series_id string, inferences array<struct<is_congested: boolean>>, metadata struct<algorithm: string>").alias("r"))
+    return made.select("r.series_id", F.size("r.inferences").cast("bigint").alias("periods"), F.size(F.filter("r.inferences", lambda x: x["is_congested"])).cast("bigint").alias("congested"), "r.metadata.algorithm")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, strftime(make_timestamp((start_epoch * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS starts, upper(series_id) || '#' || cp_idx AS label, length(series_id) AS size FROM inf"))
+def labels_and_times(spark, d):
+    t = F.timestamp_micros(F.round(F.col("start_epoch") * 1e6).cast("bigint"))
+    return _inferences(spark, d).select("series_id", "cp_idx", F.date_format(t, "yyyy-MM-dd HH:mm:ss").alias("starts"), F.concat_ws("#", F.upper("series_id"), F.col("cp_idx").cast("string")).alias("label"), F.length("series_id").cast("bigint").alias("size"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT CASE WHEN is_congested THEN 'congested' ELSE 'normal' END AS state, count(*) AS n FROM inf GROUP BY 1"))
+def state_map(spark, d):
+    """Counts by state as a map, taken apart again."""
+    inf = _inferences(spark, d)
+    counts = inf.agg(F.map_from_arrays(F.array(F.lit("congested"), F.lit("normal")), F.array(F.count_if("is_congested"), F.count_if(~F.col("is_congested")))).alias("m"))
+    return counts.select(F.explode("m").alias("state", "n")).where("n > 0")
+
+
+@_query(
+    o.sql(
+        [
+            *o.BASE,
+            o.INDEXED,
+            "z AS (SELECT *, (rtt_value - avg(rtt_value) OVER s) / (stddev_pop(rtt_value) OVER s + 1e-8) AS x, least(30, n // 6)::INT AS w FROM idx WINDOW s AS (PARTITION BY series_id))",
+            """ws AS (SELECT series_id, i, epoch, n, CASE WHEN w >= 5 AND pooled > 1e-8 THEN abs(ml - mr) / sqrt(pooled) ELSE 0 END AS score FROM (
+  SELECT a.series_id, a.i, a.epoch, a.n, a.w, avg(b.x) FILTER (b.i < a.i) AS ml, avg(b.x) FILTER (b.i >= a.i) AS mr, var_pop(b.x) FILTER (b.i < a.i) / a.w + var_pop(b.x) FILTER (b.i >= a.i) / a.w AS pooled
+  FROM z a JOIN z b ON a.series_id = b.series_id AND b.i >= a.i - a.w AND b.i < a.i + a.w WHERE a.n >= 10 AND a.i >= a.w AND a.i < a.n - a.w GROUP BY a.series_id, a.i, a.epoch, a.n, a.w))""",
+            "wm AS (SELECT series_id, sum(score) / max(n) AS mu, sqrt(greatest(sum(score * score) / max(n) - (sum(score) / max(n)) * (sum(score) / max(n)), 0)) AS sd FROM ws GROUP BY series_id)",
+        ],
+        """SELECT series_id, epoch, round(score, 5) AS score, round(least(1.0, score / 10), 5) AS confidence, CASE WHEN score > greatest(mu + 0.75 * sd, 1.0) THEN 1 WHEN score > greatest(mu + 0.375 * sd, 0.7) THEN 2 ELSE 3 END AS priority
+  FROM ws JOIN wm USING (series_id) WHERE score > greatest(mu + 0.125 * sd, 0.3)""",
+    )
+)
+def welch_candidates(spark, d):
+    out = detectors.welch_candidates(_minima(spark, d))
+    return out.select("series_id", "epoch", F.round("score", 5).alias("score"), F.round("confidence", 5).alias("confidence"), "priority")
+
+
+@_query(o.sql([*o.BASE, _CANDIDATES, o.gap_fold("cand", 7200, "kept")], "SELECT series_id, epoch, round(confidence, 6) AS confidence FROM kept"))
+def sql_keep_gap(spark, d):
+    from .functions.table import register_functions
+
+    register_functions(spark)
+    _candidates(_minima(spark, d)).createOrReplaceTempView("rill_candidates")
+    return _rounded(spark.sql("SELECT * FROM rill_keep_gap(7200D, TABLE(rill_candidates) PARTITION BY series_id ORDER BY epoch)"), "confidence")
+
+
+def _streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` over ``rows`` as a stream of one batch."""
+    import uuid
+
+    from .storage import shared_path
+    from .streaming import stream_to_table
+
+    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    rows.write.parquet(f"{base}/in")
+    stream_to_table(step(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@_query(o.sql([o.RTT, o.RAWJIT], "SELECT series_id, epoch_us, seq, round(jitter, 6) AS jitter FROM rawjit"))
+def stream_jitter(spark, d):
+    from . import streaming
+
+    return _rounded(_streamed(spark, events_as_samples(spark, d).select("series_id", "epoch_us", "seq", "rtt_value"), streaming.stream_jitter), "jitter")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, start_epoch, is_congested FROM inf"))
+def stream_congestion(spark, d):
+    from . import streaming
+
+    return _streamed(spark, _evidence(spark, d).select("series_id", F.col("cp_idx").cast("bigint").alias("cp_idx"), "start_epoch", "has_jump", "has_significant_jitter"), streaming.stream_congestion)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

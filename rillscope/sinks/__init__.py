@@ -1,5 +1,5 @@
 """Writers of results."""
 
-from .writers import json_lines, narrow, nested_json, save, summary_json, wide
+from .writers import columnar, enhanced, json_lines, narrow, nested_json, save, summary_json, wide, xml_lines, yaml_lines
 
-__all__ = ["json_lines", "narrow", "nested_json", "save", "summary_json", "wide"]
+__all__ = ["columnar", "enhanced", "json_lines", "narrow", "nested_json", "save", "summary_json", "wide", "xml_lines", "yaml_lines"]

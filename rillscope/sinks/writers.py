@@ -37,11 +37,36 @@ def summary_json(inf: DataFrame) -> DataFrame:
     return export_summary(inf).select(F.to_json(F.struct("*")).alias("value"))
 
 
-def save(inf: DataFrame, path: str, kind: str = "json", full: bool = False, mode: str = "error") -> None:
-    """Write JSON lines, CSV or Parquet; ``full`` takes the wide columns."""
+def enhanced(inf: DataFrame) -> DataFrame:
+    """Wide with the figures behind both kinds of evidence."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return inf.select("series_id", F.col("start_epoch").alias("starts"), F.col("end_epoch").alias("ends"), (F.col("end_epoch") - F.col("start_epoch")).alias("duration"), F.col("is_congested").cast("double").alias("congestion"), "confidence", flag("latency_jump.has_jump").alias("has_latency_jump"), F.col("latency_jump.magnitude").alias("jump_magnitude"), flag("jitter_analysis.has_significant_jitter").alias("has_jitter_change"), F.col("jitter_analysis.jitter_metric").alias("jitter_metric"), F.col("jitter_analysis.method").alias("jitter_method"))
+
+
+def columnar(inf: DataFrame) -> DataFrame:
+    """One row per series: its periods in order as parallel arrays."""
+    row = F.struct("start_epoch", "end_epoch", "is_congested", "confidence")
+    per = inf.groupBy("series_id").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    return per.select("series_id", F.col("p.start_epoch").alias("starts"), F.col("p.end_epoch").alias("ends"), F.transform("p.is_congested", lambda c: c.cast("int")).alias("congestion"), F.col("p.confidence").alias("confidence"))
+
+
+def xml_lines(inf: DataFrame) -> DataFrame:
+    """One XML element per period."""
+    return enhanced(inf).select(F.to_xml(F.struct("*"), {"rowTag": "period", "indent": ""}).alias("value"))
+
+
+def yaml_lines(inf: DataFrame) -> DataFrame:
+    """One item of a YAML list per period; its values are JSON, which YAML includes."""
+    return enhanced(inf).select(F.concat(F.lit("- "), F.to_json(F.struct("*"))).alias("value"))
+
+
+def save(inf: DataFrame, path: str, kind: str = "json", full: bool = False, mode: str = "error", metadata: DataFrame | None = None) -> None:
+    """Write JSON (nested with ``metadata``, one object per series; else lines), CSV, Parquet, XML or YAML; ``full`` takes the wide columns."""
     out = wide(inf) if full else narrow(inf)
     if kind == "json":
-        json_lines(inf).write.mode(mode).text(path)
+        (json_lines(inf) if metadata is None else nested_json(inf, metadata)).write.mode(mode).text(path)
+    elif kind in ("xml", "yaml"):
+        (xml_lines if kind == "xml" else yaml_lines)(inf).write.mode(mode).text(path)
     elif kind == "csv":
         out.write.mode(mode).option("header", True).csv(path)
     elif kind == "parquet":

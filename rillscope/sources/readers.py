@@ -48,11 +48,25 @@ def normalize(df: DataFrame, series_id: str | None = None, mode: str = "drop", a
     return out.where(good)
 
 
+def csv_schema(header: str) -> str:
+    """Types of the columns that a header names: numbers for times and values, text for the rest."""
+    names = [n.strip().strip('"') for n in header.split(",")]
+    kinds = {"epoch": "double", "seq": "bigint"} | dict.fromkeys(RTT_ALIASES, "double")
+    return ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in names)
+
+
 def read_csv(spark: SparkSession, path: str, mode: str = "drop", per_file: bool = False) -> DataFrame:
-    """Samples from CSV files with a header; ``per_file`` makes each file a series."""
-    df = spark.read.option("header", True).csv(path)
+    """Samples from CSV files with one header; ``per_file`` makes each file a series.
+
+    Columns have the types of :func:`csv_schema`.  A value that is no number
+    ends the reading in the mode "strict", and its row is left out in "drop".
+    """
+    first = spark.read.text(path).limit(1).first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    df = spark.read.schema(csv_schema(first.value)).option("header", True).option("mode", "FAILFAST" if mode == "strict" else "PERMISSIVE").csv(path)
     if per_file:
-        df = df.withColumn("file", F.input_file_name())
+        df = df.withColumn("file", F.col("_metadata.file_path"))
     return normalize(df, "file" if per_file else None, mode)
 
 
@@ -76,11 +90,11 @@ def concat_frames(frames: list[DataFrame], mode: str = "drop") -> DataFrame:
     return normalize(df, None, mode, INFLUX_ALIASES)
 
 
-def read_path(spark: SparkSession, path: str, kind: str | None = None, mode: str = "drop") -> DataFrame:
-    """Samples from a path of a known or inferred format."""
+def read_path(spark: SparkSession, path: str, kind: str | None = None, mode: str = "drop", per_file: bool = False) -> DataFrame:
+    """Samples from a path (or pattern) of a known or inferred format; ``per_file`` makes each CSV file a series."""
     kind = kind or infer_format(spark, path)
     if kind == "csv":
-        return read_csv(spark, path, mode)
+        return read_csv(spark, path, mode, per_file)
     if kind == "json":
         return read_scamper(spark, path, mode)
     raise ValueError(f"files of this format cannot be read yet: {kind}")

@@ -1,5 +1,6 @@
 """Incremental forms of the operators that have one."""
 
 from .minima import stream_min_intervals, stream_to_table
+from .state import stream_congestion, stream_jitter
 
-__all__ = ["stream_min_intervals", "stream_to_table"]
+__all__ = ["stream_congestion", "stream_jitter", "stream_min_intervals", "stream_to_table"]
