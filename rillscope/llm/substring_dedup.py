@@ -15,13 +15,13 @@ more.
 
 *Interval join.*  For a document and an earlier one, the windows of all
 functions are laid over each other; the pair is a candidate where windows of at
-least MIN_HITS functions overlap.  Passages with a similarity of 0.8 collide in
+least MIN_HITS functions have a passage in common.  Passages with a similarity of 0.8 collide in
 so many of 5 functions with a probability of 0.993 for each window length.
 
 *Rounds.*  The first round compares a document with the least one of each
 group.  That settles groups of two, and those of copies without expanding them.
-A window of a larger group goes on unless a passage verified as equal covers
-it; it is open unless some verified passage covers it.  In the next round all
+A window of a larger group goes on if MIN_HITS functions collide in one of its
+passages, unless a passage verified as equal covers it; it is open unless some verified passage covers it.  In the next round all
 shingles near such windows are counted by documents, and hash functions put the
 ones of more than RARE documents after all others: so a frequent phrase in
 passages that differ otherwise makes no group, and a group either has RARE
@@ -64,6 +64,7 @@ HASHES = 5
 MIN_HITS = 2
 RARE = 16
 LEADERS = 16
+FEW = 2000
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 24 << 20
 MASK = (1 << 64) - 1
@@ -239,23 +240,34 @@ def _all_windows(h: np.ndarray, ends: np.ndarray, hashes: int, length: int, freq
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts], axis=1)
 
 
-def covered(lo: np.ndarray, hi: np.ndarray, fn: np.ndarray, hits: int) -> bool:
-    """Whether windows of at least ``hits`` different functions overlap somewhere."""
-    if len(np.unique(fn)) < hits:
-        return False
-    base, top = int(lo.min()), int(hi.max())
-    total = np.zeros(top - base + 2, np.int32)
+def starts_of(lo: np.ndarray, hi: np.ndarray, mid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the passages of ``length`` shingles that lie in a window and hold its centre."""
+    return np.maximum(lo, mid - length + 1), np.minimum(mid, hi - length + 1)
+
+
+def meeting(group: np.ndarray, first: np.ndarray, last: np.ndarray, fn: np.ndarray, hits: int) -> np.ndarray:
+    """For each window, whether some passage of it is also one of windows of other functions in its group, of ``hits`` functions in all."""
+    if not len(group):
+        return np.zeros(0, bool)
+    # Each group has a stretch of its own on one line of passage starts.
+    known, at = np.unique(group, return_inverse=True)
+    low, high = np.full(len(known), np.iinfo(np.int64).max), np.zeros(len(known), np.int64)
+    np.minimum.at(low, at, first)
+    np.maximum.at(high, at, last)
+    ends = np.cumsum(high - low + 2)
+    shift = (ends - (high - low + 2) - low)[at]
+    begin, end = first + shift, last + shift
+    total = np.zeros(int(ends[-1]) + 1, np.uint8)
     for f in np.unique(fn):
         mine = fn == f
-        edge = np.zeros(top - base + 2, np.int32)
-        np.add.at(edge, lo[mine] - base, 1)
-        np.add.at(edge, hi[mine] - base + 1, -1)
+        edge = np.bincount(begin[mine], minlength=len(total)) - np.bincount(end[mine] + 1, minlength=len(total))
         total += np.cumsum(edge) > 0
-    return bool((total >= hits).any())
+    before = np.concatenate(([0], np.cumsum(total >= hits)))
+    return before[end + 1] > before[begin]
 
 
-def _joined(table: pa.Table, hits: int) -> pa.Table:
-    """Rows PAIR: (a, b) that collide in enough functions; ON: the windows of groups that have more documents."""
+def _joined(table: pa.Table, hits: int, length: int) -> pa.Table:
+    """Rows PAIR: (a, b) that collide in enough functions in one passage; ON: the windows of groups that have more documents, as far as enough functions collide there at all."""
     rows = _rows(table)
     head = next(r for r in rows if r["kind"] == HELD)
     doc_ids = unpack(head["b"], head["m"], np.int64)
@@ -274,21 +286,27 @@ def _joined(table: pa.Table, hits: int) -> pa.Table:
             base += r["m"]
     owners = np.concatenate(found)
     out = []
-    on = more[place]
+    _, text, lo, hi, mid, fn, is_open = held
+    begin, end = starts_of(lo, hi, mid, length)
+    shared = np.flatnonzero(count[place] > 0)
+    on = np.zeros(len(place), bool)
+    on[shared] = meeting(text[shared], begin[shared], end[shared], fn[shared], hits)
+    on &= more[place]
     if on.any():
         out.append({"block": head["block"], "kind": ON, "n": int(on.sum()), "m": len(doc_ids), "a": pack(held[1:5, on].astype(np.uint32).reshape(-1)), "b": head["b"]})
-    is_open = held[6] > 0
-    _, text, lo, hi, _, fn, _ = (x[is_open] for x in held)
-    n = count[place[is_open]]
-    at = np.repeat(np.arange(len(n)), n)
-    a = owners[ragged(first[place[is_open]], n)]
+    seek = np.flatnonzero(is_open > 0)
+    n = count[place[seek]]
+    at = np.repeat(seek, n)
+    a = owners[ragged(first[place[seek]], n)]
     go = a < doc_ids[text[at]]
     at, a = at[go], a[go]
-    text, lo, hi, fn = text[at], lo[at], hi[at], fn[at]
-    order = np.lexsort((a, text))
-    text, lo, hi, fn, a = (x[order] for x in (text, lo, hi, fn, a))
-    edges = _runs(text, a)
-    pairs = np.array([(a[s], doc_ids[text[s]]) for s, e in zip(edges[:-1], edges[1:], strict=True) if covered(lo[s:e], hi[s:e], fn[s:e], hits)], np.int64).reshape(-1, 2)
+    # Windows of the same document that lead to the same earlier one.
+    order = np.lexsort((a, text[at]))
+    at, a = at[order], a[order]
+    edges = _runs(text[at], a)
+    pair = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    met = np.unique(pair[meeting(pair, begin[at], end[at], fn[at], hits)])
+    pairs = np.stack([a[edges[met]], doc_ids[text[at[edges[met]]]]], axis=1) if len(met) else np.zeros((0, 2), np.int64)
     if len(pairs):
         out.append({"block": head["block"], "kind": PAIR, "n": len(pairs), "a": pack(np.ascontiguousarray(pairs[:, 0])), "b": pack(np.ascontiguousarray(pairs[:, 1]))})
     return pa.Table.from_pylist(out, schema=ARROW)
@@ -305,10 +323,10 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where(f"kind = {PAIR}").select("n", "a", "b").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _round(made: DataFrame, tag: str, most: int, lead: int, hits: int) -> DataFrame:
+def _round(made: DataFrame, tag: str, most: int, lead: int, hits: int, length: int) -> DataFrame:
     """Rows PAIR and ON of the windows and requests of ``made``, which go."""
     answers = made.where(f"kind = {ASK}").groupBy("shard").applyInArrow(lambda t: _answer_owners(t, most, lead), SCHEMA)
-    out = materialize(made.sparkSession, made.where(f"kind = {HELD}").unionByName(answers).groupBy("block").applyInArrow(lambda t: _joined(t, hits), SCHEMA), tag, "kind")
+    out = materialize(made.sparkSession, made.where(f"kind = {HELD}").unionByName(answers).groupBy("block").applyInArrow(lambda t: _joined(t, hits, length), SCHEMA), tag, "kind")
     discard(made)
     return out
 
@@ -361,9 +379,14 @@ def _regions(on: DataFrame, spans: DataFrame, width: int, passage: int, buckets:
     return both.groupBy(F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")).applyInArrow(settle, "id bigint, begins array<bigint>, ends array<bigint>, open_begins array<bigint>, open_ends array<bigint>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """With a hint: sent to all tasks if it has been counted to hold FEW rows at most, else merged."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.hint("merge")
+
+
 def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> DataFrame:
     """Blocks of the shingles near unsettled windows (kind SEGMENTS), and requests for how many documents have each (COUNT)."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").join(regions.hint("merge"), "id")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").join(_small(regions), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -503,7 +526,7 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
     spark = docs.sparkSession
     shards = shards_for(text_bytes(docs), SHARD_TEXT_BYTES)
     made = materialize(spark, _windows(docs, width, passage, hashes, shards), "windows", "kind")
-    found = _round(made, "candidates", 1, 1, hits)
+    found = _round(made, "candidates", 1, 1, hits, passage - width + 1)
     pairs = materialize(spark, _pairs(found), "pairs")
     spans = materialize(spark, _verified(docs, pairs, width, passage, similarity), "spans")
     lead = LEADERS
@@ -518,7 +541,7 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
         most = max(RARE, lead)
         again = materialize(spark, _placed(blocks_of, hashes, passage - width + 1, shards, most), "windows", "kind")
         discard(made)
-        found = _round(again, "candidates", most, lead, hits)
+        found = _round(again, "candidates", most, lead, hits, passage - width + 1)
         new = materialize(spark, _pairs(found).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         more = materialize(spark, _verified(docs, new, width, passage, similarity), "spans")
         spans, pairs, lead = spans.unionByName(more).distinct(), pairs.unionByName(new), 16 * lead
@@ -527,26 +550,29 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, similarity: float) -> DataFrame:
     """The passages of documents b of ``pairs`` that nearly occur in their documents a."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi")
-    texts = materialize(spark, texts, "texts")
+    wanted = materialize(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(_small(wanted), "id", "left_semi").select("id", F.xxhash64("text").alias("text_key"), "text")
+
+    def to_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            codes, offsets, words = words_of(block.column("text"))
+            h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
+            low = h.astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([block.column("id"), block.column("text_key"), pa.array([low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["id", "text_key", "items"])
+
+    # Each text is cut once, however many pairs it is in.
+    sets = materialize(spark, texts.mapInArrow(to_shingles, "id bigint, text_key bigint, items binary").distinct(), "shingles")
     # Sort-merge joins at any size: the plan is the same for small and large inputs.
-    later, earlier = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.xxhash64("text").alias("text_key")), texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    later, earlier = sets.select(F.col("id").alias("b"), "text_key", F.col("items").alias("items_b")), sets.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     rows = pairs.join(later.hint("merge"), "b").join(earlier.hint("merge"), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(iter([batch]), "text_b", BLOCK_BYTES):
-                n = block.num_rows
-                both = pa.concat_arrays([block.column("text_a").cast(pa.large_string()), block.column("text_b").cast(pa.large_string())])
-                codes, offsets, words = words_of(both)
-                h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
-                a, b, keys = (block.column(c).to_pylist() for c in ("a", "b", "text_key"))
-                out = []
-                for i in range(n):
-                    spans = matching_spans(h[ends[i] : ends[i + 1]], h[ends[n + i] : ends[n + i + 1]], width, passage, similarity)
-                    out += [{"doc_id": b[i], "text_key": keys[i], "first_word": s, "n_words": k + width - 1, "source_id": a[i], "similarity": share / (2 - share)} for s, k, share in spans]
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("source_id", pa.int64()), ("similarity", pa.float64())]))
+            out = []
+            for a, b, key, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_key", "items_a", "items_b")), strict=True):
+                spans = matching_spans(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), width, passage, similarity)
+                out += [{"doc_id": b, "text_key": key, "first_word": s, "n_words": k + width - 1, "source_id": a, "similarity": share / (2 - share)} for s, k, share in spans]
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("source_id", pa.int64()), ("similarity", pa.float64())]))
 
     return rows.mapInArrow(verify, "doc_id bigint, text_key bigint, first_word bigint, n_words bigint, source_id bigint, similarity double").distinct()
 
