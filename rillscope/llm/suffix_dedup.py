@@ -12,18 +12,18 @@ are one, with the least ``doc_id`` that has it.  So every string that occurs
 twice has all its occurrences in one shard, and no two shards need to meet.
 
 *Transforms.*  Strings with different grams differ, so a gram with one context
-has nothing to merge.  A shard deals the other contexts to PARTS collections
-and has the Burrows-Wheeler transform of each: for the suffixes in sorted order,
-the symbol before each.  A symbol here is STEP bytes (as its rank), so that a
-pass refines by STEP bytes; a pass holds only the suffixes from which the
-remaining passes lead to a start of a string.
-
-*Merge.*  The transforms are merged as Holt and McMillan do: starting from any
-interleave of the collections, a pass reads the symbols from the transforms in
+has nothing to merge.  For the other contexts, those of each block of the input
+are one text shard and have a Burrows-Wheeler transform of their own: for the
+suffixes in sorted order, the symbol before each.  A symbol here is STEP bytes
+(as its rank), so that a pass refines by STEP bytes; a pass holds only the
+suffixes from which the remaining passes lead to a start of a string.
+
+*Merge.*  The text shards' transforms are merged as Holt and McMillan do:
+starting from any interleave, a pass reads the symbols from the transforms in
 the order of the interleave and deals the interleave stably by symbol; after
-passes over LENGTH bytes it is sorted by prefixes of that length.  A boundary
-between neighbours is kept through the passes, so the last pass leaves the
-intervals whose common prefix is at least LENGTH.  No suffix of the merged
+passes over LENGTH bytes it is sorted by prefixes of that length.  The common
+prefix of neighbours follows from the symbols that the passes brought; runs with
+LENGTH bytes in common are the repeated intervals.  No suffix of the merged
 collection is compared or sorted again.
 
 *Result.*  The least ``doc_id`` of an interval goes to all its members, back to
@@ -58,7 +58,6 @@ from .substring_dedup import window_minima
 LENGTH = 50
 GRAM = 16
 STEP = 8
-PARTS = 4
 CHUNK = 1 << 16  # a multiple of what window_minima takes places modulo
 RUN = 2048  # contexts merged at a time, within a gram's
 BLOCK_BYTES = 4 << 20
@@ -117,76 +116,111 @@ def stable_order(ranks: np.ndarray) -> np.ndarray:
     return (np.sort((ranks.astype(np.uint64) << np.uint64(32)) | np.arange(len(ranks), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-class Collection:
-    """Some contexts' suffixes in sorted order, pass by pass, and the symbols before them (the transform).
+class Transforms:
+    """The suffixes of some text shards' contexts, each shard's in sorted order, pass by pass, and the symbols before them.
 
     A string starts at one of STARTS places, so the pass that is to be refined
-    by k more symbols needs the suffixes from k * STEP places later only.
+    by k more symbols needs the suffixes from k * STEP places later only.  The
+    shards' sequences stand one after another and are never mixed here.
     """
 
-    def __init__(self, ranks: np.ndarray, short: np.ndarray):
-        """``ranks`` and ``short``: symbols of STEP and of REST bytes by context and place, as ranks."""
+    def __init__(self, ranks: np.ndarray, short: np.ndarray, shard: np.ndarray):
+        """``ranks`` and ``short``: symbols of STEP and of REST bytes by context and place, as ranks; ``shard``: rising numbers."""
         m = len(ranks)
         starts = np.arange(STARTS)
         row = np.repeat(np.arange(m), STARTS)
+        self.shard = np.repeat(shard, STARTS).astype(np.uint32)
+        span = np.uint64(max(int(ranks.max(initial=0)), int(short.max(initial=0))) + 1)
+        if int(span) * (int(self.shard.max(initial=0)) + 1) >= 1 << 32:
+            raise ValueError("more symbols than a run of contexts can have")
+
+        def within(symbols: np.ndarray) -> np.ndarray:
+            return stable_order((self.shard.astype(np.uint64) * span + symbols).astype(np.uint32))
+
         # Pass 0 sorts by the last, short symbol; the suffixes begin there.
         self.first = short[:, LENGTH - REST + starts].reshape(-1)
-        order = stable_order(self.first)
+        order = within(self.first)
         self.transform = []
         for step in range(LENGTH // STEP):
             at = LENGTH - REST - STEP * (step + 1)
             before = ranks[:, at + starts].reshape(-1)
             self.transform.append(before[order])
-            order = order[stable_order(self.transform[-1])]
+            order = order[within(self.transform[-1])]
         self.row, self.start = row[order], order % STARTS
+        self.ranks = ranks
+
+    def leading(self, step: int) -> np.ndarray:
+        """The symbol that pass ``step`` brought, of each string in its shard's final order."""
+        return self.ranks[self.row, self.start + LENGTH - REST - STEP * (step + 1)]
 
 
-def merge(parts: list[Collection]) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the parts, sorted by LENGTH bytes, and where a new prefix begins."""
-    z = np.repeat(np.arange(len(parts), dtype=np.uint8), [len(p.row) for p in parts])
+def merge(t: Transforms) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' suffixes, sorted by LENGTH bytes, and the common prefix of each with the one before.
+
+    A pass reads the next symbol of each shard in the order of the interleave.
+    Common prefixes are known to whole symbols: a boundary that the pass over
+    the symbols from ``LENGTH - n`` bytes on adds has a prefix below n bytes.
+    """
+    z = t.shard
     new = np.zeros(len(z), bool)
     new[:1] = True
     for step in range(-1, LENGTH // STEP):
         symbols = np.empty(len(z), np.uint32)
-        for k, p in enumerate(parts):
-            symbols[z == k] = p.first if step < 0 else p.transform[step]
+        symbols[stable_order(z)] = t.first if step < 0 else t.transform[step]
         group = np.cumsum(new)
         order = stable_order(symbols)
         z = z[order]
         s, g = symbols[order], group[order]
-        new = np.concatenate(([True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])))
-    return z, new
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])))[: len(z)]
+    return z, _prefixes(t, z, new)
+
+
+def _prefixes(t: Transforms, z: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """LENGTH within an interval of equal strings; else the bytes that are known to be equal, by whole symbols from the front."""
+    lcp = np.where(new, 0, LENGTH)
+    if not len(z):
+        return lcp
+    # The last passes brought the first symbols: those in front of the sorted suffixes tell where neighbours part.
+    place = np.empty(len(z), np.int64)
+    place[stable_order(z)] = np.arange(len(z))
+    same = np.ones(len(z), bool)
+    for step in range(LENGTH // STEP - 1, -1, -1):
+        symbol = t.leading(step)[place]
+        same[1:] &= symbol[1:] == symbol[:-1]
+        same[0] = False
+        lcp = np.where(new & same, lcp + STEP, lcp)
+    return lcp
 
 
 def _ranked(symbols: np.ndarray) -> np.ndarray:
     return np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape).astype(np.uint32)
 
 
-def repeated(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """For each context and start, the least owner of the string there (NONE past its end)."""
+def repeated(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For each context and start, the least owner of the string there (NONE past its end); ``shard``: the text shard that the context is from."""
     count = len(rows)
     out = np.full((count, STARTS), NONE)
     if not count:
         return out
-    symbols = words_at(np.pad(rows, ((0, 0), (0, STEP))).reshape(-1)).reshape(count, -1)[:, :PADDED]
+    by = np.argsort(shard, kind="stable")
+    symbols = words_at(np.pad(rows[by], ((0, 0), (0, STEP))).reshape(-1)).reshape(count, -1)[:, :PADDED]
     ranks, short = _ranked(symbols[:, : WIDTH - STEP + 1]), _ranked(symbols >> SHORT)
-    parts_of = [np.arange(k, count, PARTS) for k in range(min(PARTS, count))]
-    parts = [Collection(ranks[i], short[i]) for i in parts_of]
-    z, new = merge(parts)
+    t = Transforms(ranks, short, np.unique(shard[by], return_inverse=True)[1])
+    z, lcp = merge(t)
     # Rank by rank, which string of which context stands there.
     row, start = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    for k, (p, i) in enumerate(zip(parts, parts_of, strict=True)):
-        mine = z == k
-        row[mine], start[mine] = i[p.row], p.start
+    place = stable_order(z)
+    row[place], start[place] = by[t.row], t.start
     whole = start + LENGTH <= sizes[row]
     value = np.where(whole, owners[row], NONE)
+    new = lcp < LENGTH
     begins = np.flatnonzero(new)
     least = np.minimum.reduceat(value, begins)[np.cumsum(new) - 1]
     out[row[whole], start[whole]] = least[whole]
     return out
 
 
-def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.ndarray) -> np.ndarray:
+def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.ndarray, shard: np.ndarray) -> np.ndarray:
     """:func:`repeated` of contexts that may be equal, with the hashes of their grams.
 
     Equal contexts are one, with the least owner.  A gram whose contexts are all
@@ -202,7 +236,7 @@ def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.n
     first = order[np.concatenate(([True], ~same))]
     least = np.full(len(first), NONE)
     np.minimum.at(least, number, owners)
-    rows, sizes = rows[first], sizes[first]
+    rows, sizes, shard = rows[first], sizes[first], shard[first]
     _, which, count = np.unique(grams[first], return_inverse=True, return_counts=True)
     several = count[which] > 1
     starts = np.arange(STARTS) + LENGTH <= sizes[:, None]
@@ -214,7 +248,7 @@ def by_gram(rows: np.ndarray, sizes: np.ndarray, owners: np.ndarray, grams: np.n
     cuts = [0, *new[np.flatnonzero(np.diff(new // RUN)) + 1].tolist(), len(todo)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         mine = todo[a:b]
-        found[mine] = repeated(rows[mine], sizes[mine], least[mine])
+        found[mine] = repeated(rows[mine], sizes[mine], least[mine], shard[mine])
     return found[number]
 
 
@@ -272,7 +306,7 @@ def _merge_shard(table: pa.Table) -> pa.Table:
     grams = np.concatenate([x[r["n"] * PADDED :].view(np.uint64) for x, r in zip(data, asks, strict=True)])
     owners = np.concatenate([unpack(r["owners"], r["n"], np.int64) for r in asks])
     sizes = np.concatenate([unpack(r["flags"], r["n"], np.uint8) for r in asks]).astype(np.int64)
-    found = by_gram(rows, sizes, owners, grams)
+    found = by_gram(rows, sizes, owners, grams, np.repeat(np.arange(len(asks)), [r["n"] for r in asks]))
     out, at = [], 0
     for r in asks:
         out.append({"block": r["block"], "kind": FOUND, "shard": r["shard"], "n": r["n"], "keys": pack(found[at : at + r["n"]].reshape(-1)), "owners": None, "flags": None})

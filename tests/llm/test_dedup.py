@@ -274,7 +274,8 @@ def test_merged_transform_is_sorted():
     rows = np.zeros((37, suffix_dedup.PADDED), np.uint8)
     rows[:, : suffix_dedup.WIDTH] = rng.integers(97, 99, (37, suffix_dedup.WIDTH))
     owners = np.arange(37)[::-1].copy()
-    got = suffix_dedup.repeated(rows, np.full(37, suffix_dedup.WIDTH), owners)
+    shard = rng.integers(0, 5, 37)
+    got = suffix_dedup.repeated(rows, np.full(37, suffix_dedup.WIDTH), owners, shard)
     least = {}
     for i in range(37):
         for k in range(suffix_dedup.STARTS):
@@ -283,6 +284,23 @@ def test_merged_transform_is_sorted():
     assert all(got[i, k] == least[rows[i, k : k + 50].tobytes()] for i in range(37) for k in range(suffix_dedup.STARTS))
 
 
+def test_common_prefixes():
+    rng = np.random.default_rng(14)
+    rows = np.zeros((20, suffix_dedup.PADDED), np.uint8)
+    rows[:, : suffix_dedup.WIDTH] = rng.integers(97, 99, (20, suffix_dedup.WIDTH))
+    rows[10:15] = rows[:5]
+    symbols = suffix_dedup.words_at(np.pad(rows, ((0, 0), (0, 8))).reshape(-1)).reshape(20, -1)[:, : suffix_dedup.PADDED]
+    ranks, short = suffix_dedup._ranked(symbols[:, : suffix_dedup.WIDTH - 7]), suffix_dedup._ranked(symbols >> suffix_dedup.SHORT)
+    t = suffix_dedup.Transforms(ranks, short, np.repeat(np.arange(4), 5))
+    z, lcp = suffix_dedup.merge(t)
+    at = {k: iter(np.flatnonzero(t.shard == k)) for k in range(4)}
+    strings = [rows[t.row[i], t.start[i] : t.start[i] + 50].tobytes() for i in (next(at[k]) for k in z)]
+    assert strings == sorted(strings)
+    for x, y, n in zip(strings, strings[1:], lcp[1:], strict=False):
+        true = next((k for k in range(50) if x[k] != y[k]), 50)
+        assert n == (50 if true == 50 else true // 8 * 8)
+
+
 def test_hot_groups(make_docs):
     """One class of many near copies stays one class and links stay linear."""
     rng = np.random.default_rng(7)
