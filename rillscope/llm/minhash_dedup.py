@@ -16,7 +16,7 @@ are in one bucket.  A bucket first links all its members to its least one
 (linear in its size).  When the links that hold are known, buckets that still
 have members of several components compare those outside the bucket's largest
 component with all others; so every pair that shares a bucket is verified,
-already in one component, or told apart by 2048 further bits of signature (a
+already in one component, or told apart by 512 further bits of signature (a
 pair at the threshold is so with a probability of 4e-6).  Nothing is capped.
 
 *Verification.*  Links are kept if the exact similarity of the shingle sets
@@ -51,7 +51,7 @@ WIDTH = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 6
-BITS = 2048
+BITS = 512
 BLOCK_BYTES = 4 << 20
 MOST_HOT = 4096
 MASK = (1 << 64) - 1
