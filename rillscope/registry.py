@@ -589,10 +589,10 @@ def export_enhanced(spark, d):
     return _rounded(enhanced(inference.as_inferences(_inferences(spark, d))), "duration", "confidence", "jump_magnitude", "jitter_metric")
 
 
-@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS n, round(sum(start_epoch), 3) AS starts, round(sum(end_epoch), 3) AS ends, string_agg(is_congested::INT::VARCHAR, '' ORDER BY start_epoch) AS congestion, round(sum(confidence), 6) AS confidence FROM inf GROUP BY series_id"))
+@_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS n, round(sum(start_epoch), 1) AS starts, round(sum(end_epoch), 1) AS ends, string_agg(is_congested::INT::VARCHAR, '' ORDER BY start_epoch) AS congestion, round(sum(confidence), 6) AS confidence FROM inf GROUP BY series_id"))
 def export_columnar(spark, d):
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    return columnar(_inferences(spark, d)).select("series_id", F.size("starts").cast("bigint").alias("n"), F.round(total("starts"), 3).alias("starts"), F.round(total("ends"), 3).alias("ends"), F.array_join("congestion", "").alias("congestion"), F.round(total("confidence"), 6).alias("confidence"))
+    return columnar(_inferences(spark, d)).select("series_id", F.size("starts").cast("bigint").alias("n"), F.round(total("starts"), 1).alias("starts"), F.round(total("ends"), 1).alias("ends"), F.array_join("congestion", "").alias("congestion"), F.round(total("confidence"), 6).alias("confidence"))
 
 
 @_query(o.sql(o.TO_INF, "SELECT series_id, count(*) AS periods, count(*) FILTER (is_congested) AS congested, 'adtk' AS algorithm FROM inf GROUP BY series_id"))
