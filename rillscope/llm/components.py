@@ -1,9 +1,9 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Every step is an aggregation with map-side combine and an equi-join, so a
-vertex with very many links is never gathered in one task, and the links never
-come to the driver.  Each round is written to shared storage, which cuts
-lineage.
+Every step is an aggregation with map-side combine and an equi-join; the links
+never come to the driver.  The join of the large star brings the links of a
+vertex together as rows, not as one value, and an adaptive join may split them.
+Each round is written to shared storage, which cuts lineage.
 """
 
 from __future__ import annotations
