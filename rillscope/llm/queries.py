@@ -86,6 +86,24 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergences
+
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_binary": op1_token_binary,
@@ -98,11 +116,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_minhash_dedup": op10_minhash_dedup,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_whitening": op12_whitening,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL cannot express the other operators; they are tested against brute force."""
-    from .oracle import quality_rules_sql
+    from .oracle import divergence_sql, exact_dedup_sql, quality_rules_sql
 
-    return {"op3_quality_rules": quality_rules_sql()}
+    return {"op3_quality_rules": quality_rules_sql(), "op11_exact_dedup": exact_dedup_sql(), "op13_source_divergence": divergence_sql()}
