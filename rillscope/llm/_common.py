@@ -101,6 +101,14 @@ def discard(df: DataFrame) -> None:
     drop_scratch(kept.sparkSession, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pin_splits(spark: SparkSession) -> None:
     """Have tables that are read again cut into the same input tasks, whatever executors have come or gone.
 

@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import GOLD, blocks, discard, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
+from ._common import GOLD, blocks, discard, fresh, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
 
 WIDTH = 5
 PASSAGE = 50
@@ -187,7 +187,7 @@ def _ask_owners(name: int, shards: int, most: int, key: np.ndarray, text: np.nda
     for x, y in zip(edge[:-1], edge[1:], strict=True):
         mine = order[x:y]
         sent = owners[ragged(starts[mine], counts[mine])]
-        out.append({"block": name, "kind": ASK, "shard": int(shard[mine[0]]), "n": y - x, "m": len(sent), "a": pack(keys[mine]), "b": pack(counts[mine].astype(np.uint16)), "c": pack(sent)})
+        out.append({"block": name, "kind": ASK, "shard": int(shard[mine[0]]), "n": y - x, "m": len(sent), "a": pack(keys[mine]), "b": pack(counts[mine]), "c": pack(sent)})
     return out
 
 
@@ -195,7 +195,7 @@ def _answer_owners(table: pa.Table, most: int, lead: int) -> pa.Table:
     """For every key of more than one document its ``lead`` least owners (all, if it has ``most`` at most), and whether it has more."""
     rows = _rows(table)
     keys = [unpack(r["a"], r["n"], np.uint64) for r in rows]
-    counts = [unpack(r["b"], r["n"], np.uint16).astype(np.int64) for r in rows]
+    counts = [unpack(r["b"], r["n"], np.int64) for r in rows]
     owners = np.concatenate([unpack(r["c"], r["m"], np.int64) for r in rows])
     uniq, total, least = _least_owners(np.repeat(np.concatenate(keys), np.concatenate(counts)), owners, most + 1)
     starts = np.cumsum(total) - total
@@ -206,7 +206,7 @@ def _answer_owners(table: pa.Table, most: int, lead: int) -> pa.Table:
         n = given[at]
         if n.any():
             sent = least[ragged(starts[at], n)]
-            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": r["n"], "m": len(sent), "a": pack(n.astype(np.uint16)), "b": pack(sent), "c": pack(((total[at] > n) & (n > 0)).astype(np.uint8))})
+            out.append({"block": r["block"], "kind": ANSWER, "shard": r["shard"], "n": r["n"], "m": len(sent), "a": pack(n), "b": pack(sent), "c": pack(((total[at] > n) & (n > 0)).astype(np.uint8))})
     return pa.Table.from_pylist(out, schema=ARROW)
 
 
@@ -280,7 +280,7 @@ def _joined(table: pa.Table, hits: int, length: int) -> pa.Table:
         if r["kind"] == ANSWER:
             at = int(np.searchsorted(shard, r["shard"]))
             part = slice(at, at + r["n"])
-            count[part], more[part] = unpack(r["a"], r["n"], np.uint16), unpack(r["c"], r["n"], np.uint8) > 0
+            count[part], more[part] = unpack(r["a"], r["n"], np.int64), unpack(r["c"], r["n"], np.uint8) > 0
             first[part] = base + np.cumsum(count[part]) - count[part]
             found.append(unpack(r["b"], r["m"], np.int64))
             base += r["m"]
@@ -583,8 +583,9 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
     What stays keeps its white space; ``n_chars`` is counted anew where there is
     such a column.
     """
-    places = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias("span_list"))  # as many as fit in one text
-    joined = docs.join(places.hint("merge"), (F.col("doc_id") == F.col("span_id")) & (F.xxhash64("text") == F.col("span_key")), "left").drop("span_id", "span_key")
+    span_id, span_key, span_list = (fresh(docs, c) for c in ("span_id", "span_key", "span_list"))
+    places = spans.groupBy(F.col("doc_id").alias(span_id), F.col("text_key").alias(span_key)).agg(F.sort_array(F.collect_set(F.struct("first_word", "n_words"))).alias(span_list))  # as many as fit in one text
+    joined = docs.join(places.hint("merge"), (F.col("doc_id") == F.col(span_id)) & (F.xxhash64("text") == F.col(span_key)), "left").drop(span_id, span_key)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -592,7 +593,7 @@ def without_passages(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
         word = regex.compile(r"[^\x20\x09-\x0D]+")
         for b in batches:
-            texts, lists = b.column("text").to_pylist(), b.column("span_list").to_pylist()
+            texts, lists = b.column("text").to_pylist(), b.column(span_list).to_pylist()
             keep = []
             for i, (text, spans) in enumerate(zip(texts, lists, strict=True)):
                 if spans:

@@ -131,11 +131,13 @@ class Transforms:
         row = np.repeat(np.arange(m), STARTS)
         self.shard = np.repeat(shard, STARTS).astype(np.uint32)
         span = np.uint64(max(int(ranks.max(initial=0)), int(short.max(initial=0))) + 1)
-        if int(span) * (int(self.shard.max(initial=0)) + 1) >= 1 << 32:
-            raise ValueError("more symbols than a run of contexts can have")
+        fits = int(span) * (int(self.shard.max(initial=0)) + 1) < 1 << 32
 
         def within(symbols: np.ndarray) -> np.ndarray:
-            return stable_order((self.shard.astype(np.uint64) * span + symbols).astype(np.uint32))
+            if fits:
+                return stable_order((self.shard.astype(np.uint64) * span + symbols).astype(np.uint32))
+            order = stable_order(symbols)
+            return order[stable_order(self.shard[order])]
 
         # Pass 0 sorts by the last, short symbol; the suffixes begin there.
         self.first = short[:, LENGTH - REST + starts].reshape(-1)

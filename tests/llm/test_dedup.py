@@ -312,3 +312,33 @@ def test_hot_groups(make_docs):
         rows.append((i, " ".join(w)))
     out = minhash_dedup.near_duplicates(make_docs(rows)).agg(F.countDistinct("class_id"), F.sum("n_spanning")).first()
     assert out[0] == 1 and out[1] < 20 * 300
+
+
+def test_hot_gram_of_many_shards():
+    """One gram with so many contexts from so many blocks that shard and symbol do not fit in 32 bits together."""
+    rng = np.random.default_rng(8)
+    n, shards = 30_000, 3_000
+    rows = np.zeros((n, suffix_dedup.PADDED), np.uint8)
+    rows[:, : suffix_dedup.WIDTH] = rng.integers(0, 256, (n, suffix_dedup.WIDTH))
+    rows[:, suffix_dedup.BEFORE : suffix_dedup.BEFORE + suffix_dedup.GRAM] = ord("-")
+    rows[n // 2 :, suffix_dedup.BEFORE :] = rows[: n - n // 2, suffix_dedup.BEFORE :]  # what follows the gram occurs twice
+    owners, shard = rng.permutation(n).astype(np.int64), rng.integers(0, shards, n)
+    got = suffix_dedup.repeated(rows, np.full(n, suffix_dedup.WIDTH), owners, shard)
+    least: dict = {}
+    strings = [[r[s : s + suffix_dedup.LENGTH] for s in range(suffix_dedup.STARTS)] for r in (x.tobytes() for x in rows)]
+    for parts, owner in zip(strings, owners.tolist(), strict=True):
+        for p in parts:
+            least[p] = min(owner, least.get(p, owner))
+    assert got.tolist() == [[least[p] for p in parts] for parts in strings]
+
+
+def test_more_owners_than_16_bits():
+    n = 70_000
+    keys = np.concatenate((np.full(n, 6, np.uint64), np.full(3, 9, np.uint64)))
+    texts = np.concatenate((np.arange(n), np.arange(3)))
+    asks = substring_dedup._ask_owners(0, 1, 1 << 20, keys, texts, np.zeros((5, len(keys)), np.int64), np.arange(n, dtype=np.int64) * 3)
+    table = substring_dedup.pa.Table.from_pylist([r for r in asks if r["kind"] == substring_dedup.ASK], schema=substring_dedup.ARROW)
+    (answer,) = substring_dedup._rows(substring_dedup._answer_owners(table, 1 << 20, 65_536))
+    assert substring_dedup.unpack(answer["a"], 2, np.int64).tolist() == [n, 3]
+    sent = substring_dedup.unpack(answer["b"], answer["m"], np.int64)
+    assert sent[:n].tolist() == list(range(0, 3 * n, 3)) and sent[n:].tolist() == [0, 3, 6]
