@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet to the shared folder and gives it to the next stage.  All but the
-last stage return the columns of documents.
+last stage return the columns of documents, and any further ones that ``docs``
+has, whatever their names and types.  An empty table stays empty in every stage;
+a null text is a document without words; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillscope.llm._common import materialize, scratch
+from rillscope.llm._common import fresh, materialize, scratch
 from rillscope.llm.byte_bpe import bpe_digests
 from rillscope.llm.decontamination import contaminated
 from rillscope.llm.minhash_dedup import near_duplicates
@@ -35,8 +37,10 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     classes = near_duplicates(docs)
     firsts = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(firsts.hint("merge"), "doc_id", "left_semi").select("doc_id", F.struct("text", *(c for c in docs.columns if c not in ("doc_id", "text"))).alias("row"))
-    once = named.groupBy("doc_id").agg(F.min("row").alias("row")).select("doc_id", "row.*").select(docs.columns)
+    # Maps have no order; their JSON does.
+    rest = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind or kind == "variant" else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text")]
+    named = docs.join(firsts.hint("merge"), "doc_id", "left_semi").select("doc_id", F.struct(docs.columns).alias("row_of_doc"), F.struct("text", *(r.alias(f"c{k}") for k, r in enumerate(rest))).alias("rank_of_row"))
+    once = named.groupBy("doc_id").agg(F.min_by("row_of_doc", "rank_of_row").alias("row_of_doc")).select("row_of_doc.*")
     return once.unionByName(docs.where("doc_id is null"))
 
 
@@ -49,12 +53,17 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a test item go; a row is named by its doc_id and a hash of its text, so it takes no other one with it."""
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # Written first, so that its size is known when the join is planned.
-    hits = materialize(spark, hits.select(F.col("doc_id").alias("hit_id"), "text_key").distinct(), "hits")
-    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("text_key")), "left_anti").select(docs.columns)
+    hit_id, hit_key = fresh(docs, "hit_id"), fresh(docs, "hit_key")
+    hits = materialize(spark, hits.select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).distinct(), "hits")
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_key)), "left_anti")
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode what is left: doc_id, n_tokens, and digests of the ids and of the decoded bytes."""
+    """Encode what is left: doc_id, n_tokens, and digests of the ids and of the decoded bytes.
+
+    One row for every row, also where doc_id is null or occurs again; a null
+    text is encoded as the empty one.
+    """
     import public_tokenizers
 
     return bpe_digests(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
