@@ -6,8 +6,9 @@ each language as a whole gives every kept term a smoothed share p in parts of
 10^9, and the divergence of two shares is (p - q)^2 / (p + q); all arithmetic
 is on integers.
 
-Plain relations: matches are exploded and counted per group with map-side
-combine; groups are crossed with the kept vocabulary by a join on the language
+Plain relations: matches are exploded and counted, block by block of text and
+then over all (matches are found by turning the bytes that TERM leaves out into
+spaces, which takes a fraction of the time of a regular expression); groups are crossed with the kept vocabulary by a join on the language
 (salted by term, so that no language is one key) to fill in zeros; that table
 meets itself on language and term; sums are ranked by a window per group.
 
@@ -19,13 +20,19 @@ row is a document of its own; other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import blocks, materialize, words_of
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLOCK_BYTES = 8 << 20
 MIN_DOCS = 10
 TOP = 10
 #: Parts into which a language's vocabulary is dealt where groups meet it.
@@ -45,13 +52,48 @@ def _apart(p: str, q: str) -> Column:
     return F.expr(f"({p} - {q}) * ({p} - {q}) div ({p} + {q})")
 
 
+def _byte_table() -> np.ndarray:
+    """What TERM leaves out becomes a space, A-Z become a-z; bytes of characters beyond ASCII stay."""
+    table = np.arange(256, dtype=np.uint8)
+    table[:128] = ord(" ")
+    for upper, lower in zip(UPPER, LOWER, strict=True):
+        table[[ord(upper), ord(lower)]] = ord(lower)
+    return table
+
+
+def _block_counts(block: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, source, term, n, in_docs) of a block's rows."""
+    texts = pc.fill_null(block.column("text"), "").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    plain = pa.py_buffer(_byte_table()[np.frombuffer(data or b"", np.uint8)].tobytes())
+    codes, ends, terms = words_of(pa.LargeStringArray.from_buffers(len(texts), offsets, plain, offset=texts.offset))
+    lang, source = block.column("lang").dictionary_encode(), block.column("source").dictionary_encode()
+    group = np.asarray(lang.indices, np.int64) * max(1, len(source.dictionary)) + np.asarray(source.indices, np.int64)
+    size = max(1, len(terms))
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
+    keys, n = np.unique(group[row] * size + codes, return_counts=True)
+    once = np.unique(row * size + codes)
+    in_docs = np.bincount(np.searchsorted(keys, group[once // size] * size + once % size), minlength=len(keys))
+    which = keys // size
+    take = lambda d, at: d.take(pa.array(at)).cast(pa.string())
+    columns = [take(lang.dictionary, which // max(1, len(source.dictionary))), take(source.dictionary, which % max(1, len(source.dictionary))), take(terms, keys % size), pa.array(n.astype(np.int64)), pa.array(in_docs.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "in_docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, in_docs): occurrences of each term in each group, and its documents that hold it."""
-    found = docs.select(_of("lang").alias("lang"), _of("source").alias("source"), F.regexp_extract_all(F.translate(_of("text"), UPPER, LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
-    # Part 0 has all matches of a document, part 1 each of its terms once.
-    parts = found.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("part", "terms"))
-    rows = parts.select("lang", "source", "part", F.explode("terms").alias("term"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("part")).alias("n"), F.sum("part").alias("in_docs"))
+    """(lang, source, term, n, in_docs): occurrences of each term in each group, and its documents that hold it.
+
+    The matches of a block of some MB are counted where they are made, then the
+    blocks' counts are summed.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            yield _block_counts(block)
+
+    rows = docs.select(_of("lang").alias("lang"), _of("source").alias("source"), F.col("text").cast("string").alias("text"))
+    counts = rows.mapInArrow(count, "lang string, source string, term string, n bigint, in_docs bigint")
+    return counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("in_docs").alias("in_docs"))
 
 
 def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
