@@ -101,3 +101,27 @@ def sql(ctes: list[str], select: str) -> str:
 def r(*names: str) -> str:
     """Rounded output columns."""
     return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def online_ctes(hazard: float = 1 / 250, level: float = 0.9, least: int = 5, prune: float = 1e-6) -> list[str]:
+    """Change points of the minima by the recursion over run lengths; a list of hypotheses goes from row to row."""
+    spread, off = "(2 * h.beta * (h.n + 2) / (h.n + 1))", "(d.rtt_value - h.mu)"
+    told = f"""{{'s': h.s, 'lp': h.lp + lgamma(1.5 + h.n / 2) - lgamma(1 + h.n / 2) - 0.5 * ln(pi() * {spread}) - (1.5 + h.n / 2) * ln(1 + {off} * {off} / {spread}),
+        'n': h.n + 1, 'mu': ((1 + h.n) * h.mu + d.rtt_value) / (h.n + 2), 'beta': h.beta + (1 + h.n) * {off} * {off} / (2 * (h.n + 2))}}"""
+    older = f"list_transform(r.hs, lambda h: {{'s': h.s, 'lp': h.lp + ln(1 - {hazard}), 'n': h.n, 'mu': h.mu, 'beta': h.beta}})"
+    fresh = f"{{'s': d.epoch, 'lp': ln({hazard}), 'n': 0::DOUBLE, 'mu': r.prior, 'beta': 1::DOUBLE}}"
+    return [
+        "rows_in_order AS MATERIALIZED (SELECT series_id, i, epoch, rtt_value FROM idx)",
+        f"""runs AS (
+  SELECT series_id, i, epoch, rtt_value AS prior, epoch AS accepted, [{{'s': epoch, 'lp': 0::DOUBLE, 'n': 1::DOUBLE, 'mu': rtt_value, 'beta': 1::DOUBLE}}] AS hs, NULL::DOUBLE AS cp, NULL::DOUBLE AS after FROM rows_in_order WHERE i = 0
+  UNION ALL SELECT series_id, i, epoch, prior, CASE WHEN hit THEN b.s ELSE accepted END, hs, CASE WHEN hit THEN b.s END, after FROM (
+    SELECT *, after >= {level} AND b.n >= {least} AND b.s > accepted AS hit FROM (
+      SELECT *, coalesce(list_sum(list_transform(list_filter(hs, lambda h: h.s > accepted), lambda h: exp(h.lp))), 0) AS after, hs[list_position(list_transform(hs, lambda h: h.lp), list_max(list_transform(hs, lambda h: h.lp)))] AS b FROM (
+        SELECT series_id, i, epoch, prior, accepted, list_transform(kept, lambda h: {{'s': h.s, 'lp': h.lp - (top + ln(total)), 'n': h.n, 'mu': h.mu, 'beta': h.beta}}) AS hs FROM (
+          SELECT *, list_sum(list_transform(kept, lambda h: exp(h.lp - top))) AS total FROM (
+            SELECT *, list_filter(told, lambda h: h.lp >= top + ln({prune})) AS kept FROM (
+              SELECT *, list_max(list_transform(told, lambda h: h.lp)) AS top FROM (
+                SELECT d.series_id, d.i, d.epoch, r.prior, r.accepted, list_transform(list_append({older}, {fresh}), lambda h: {told}) AS told
+                FROM runs r JOIN rows_in_order d ON d.series_id = r.series_id AND d.i = r.i + 1)))))))) ,
+online AS (SELECT series_id, cp AS epoch, least(1.0, after) AS confidence, epoch AS detected_epoch FROM runs WHERE cp IS NOT NULL)""",
+    ]

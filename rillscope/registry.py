@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .config import ChangePoints, Config
-from .operators import detectors, inference, periods, sequential, summary, windows
+from .operators import detectors, inference, online, periods, sequential, summary, windows
 from .plans.pipeline import Pipeline, compare
 from .schema import events_as_samples
 from .sinks import columnar, enhanced, narrow, nested_json, wide
@@ -647,31 +647,66 @@ def sql_keep_gap(spark, d):
     return _rounded(spark.sql("SELECT * FROM rill_keep_gap(7200D, TABLE(rill_candidates) PARTITION BY series_id ORDER BY epoch)"), "confidence")
 
 
-def _streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``step`` over ``rows`` as a stream of one batch."""
+def _streamed(spark: SparkSession, rows: DataFrame, epoch: str, step: Callable[[DataFrame, str], DataFrame], late_s: int, end: dict) -> DataFrame:
+    """``step`` over ``rows`` as a stream of five batches whose rows are dealt out of order, up to ``late_s`` seconds.
+
+    A closing row ``end`` far in the future lets the watermark pass the others.
+    """
     import uuid
 
     from .storage import shared_path
     from .streaming import stream_to_table
 
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
-    rows.write.parquet(f"{base}/in")
-    stream_to_table(step(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(f"{base}/out")
+    lo, hi = rows.agg(F.min(epoch), F.max(epoch)).first()
+    displaced = F.col(epoch) - F.lit(lo) + F.pmod(F.xxhash64(*rows.columns), F.lit(late_s))
+    dealt = rows.withColumn("batch", F.least(F.lit(3), F.floor(displaced / ((hi - lo) / 3.5 + 1e-6))).cast("int"))
+    dealt.write.partitionBy("batch").parquet(f"{base}/dealt")
+    for k in range(4):
+        spark.read.schema(dealt.schema).parquet(f"{base}/dealt").where(F.col("batch") == k).select(rows.columns).write.mode("append").parquet(f"{base}/in/{k}")
+    last = {c: F.lit(None) for c in rows.columns} | {"series_id": F.lit("end")} | end
+    spark.range(1).select(*(last[c].cast(t).alias(c) for c, t in rows.dtypes)).write.parquet(f"{base}/in/end")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    stream_to_table(step(stream, f"{late_s + 3600} seconds"), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").where("series_id != 'end'")
+
+
+_END_S = 4_102_444_800  # 2100
 
 
 @_query(o.sql([o.RTT, o.RAWJIT], "SELECT series_id, epoch_us, seq, round(jitter, 6) AS jitter FROM rawjit"))
 def stream_jitter(spark, d):
     from . import streaming
 
-    return _rounded(_streamed(spark, events_as_samples(spark, d).select("series_id", "epoch_us", "seq", "rtt_value"), streaming.stream_jitter), "jitter")
+    rows = events_as_samples(spark, d).select("series_id", "epoch_us", "seq", "epoch", "rtt_value")
+    return _rounded(_streamed(spark, rows, "epoch", streaming.stream_jitter, 21_600, {"epoch_us": F.lit(_END_S * 10**6), "seq": F.lit(0), "rtt_value": F.lit(1.0)}), "jitter")
 
 
 @_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, start_epoch, is_congested FROM inf"))
 def stream_congestion(spark, d):
     from . import streaming
 
-    return _streamed(spark, _evidence(spark, d).select("series_id", F.col("cp_idx").cast("bigint").alias("cp_idx"), "start_epoch", "has_jump", "has_significant_jitter"), streaming.stream_congestion)
+    rows = _evidence(spark, d).select("series_id", F.col("cp_idx").cast("bigint").alias("cp_idx"), "start_epoch", "has_jump", "has_significant_jitter")
+    return _streamed(spark, rows, "start_epoch", streaming.stream_congestion, 86_400, {"start_epoch": F.lit(float(_END_S)), "cp_idx": F.lit(0), "has_jump": F.lit(False), "has_significant_jitter": F.lit(False)})
+
+
+_ONLINE = o.sql([*o.BASE, o.INDEXED, *o.online_ctes()], "SELECT series_id, round(epoch, 6) AS epoch, round(confidence, 6) AS confidence, round(detected_epoch, 6) AS detected_epoch FROM online")
+
+
+@_query(_ONLINE)
+def cp_online(spark, d):
+    """Change points of the minima as the recursion over run lengths settles them, one value after another."""
+    return _rounded(online.detect_online(_minima(spark, d)), "epoch", "confidence", "detected_epoch")
+
+
+@_query(_ONLINE)
+def stream_change_points(spark, d):
+    """The same from a stream of the minima, out of order over several batches."""
+    from . import streaming
+
+    rows = _minima(spark, d).select("series_id", "epoch_us", "epoch", "rtt_value")
+    found = _streamed(spark, rows, "epoch", streaming.stream_change_points, 43_200, {"epoch_us": F.lit(_END_S * 10**6), "rtt_value": F.lit(1.0)})
+    return _rounded(found, "epoch", "confidence", "detected_epoch")
 
 
 def queries() -> dict[str, Query]:

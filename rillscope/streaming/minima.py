@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import state_store
+
 
 def stream_min_intervals(samples: DataFrame, minutes: int = 15, late: str = "30 minutes") -> DataFrame:
     """Minima per series and window of a streaming frame with ``ts``; rows later than ``late`` are left out."""
@@ -14,5 +16,6 @@ def stream_min_intervals(samples: DataFrame, minutes: int = 15, late: str = "30
 
 def stream_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what is available now into Parquet files and stop."""
-    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    with state_store(stream.sparkSession):
+        q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     q.awaitTermination()

@@ -14,7 +14,7 @@ from rillscope.functions.table import register_functions
 from rillscope.operators import detectors, inference, summary
 from rillscope.sinks import save
 from rillscope.sources import read_csv, read_path
-from rillscope.streaming import stream_congestion, stream_jitter, stream_min_intervals, stream_to_table
+from rillscope.streaming import stream_min_intervals, stream_to_table
 
 
 def test_typed_csv(spark, tmp_path):
@@ -90,21 +90,6 @@ def test_table_function_detects(spark):
     assert {40.0, 80.0} <= found
 
 
-def test_state_over_batches(spark, tmp_path):
-    """Two batches, the second after the first: the last sample and the state of a series carry over."""
-    schema = "series_id string, epoch_us bigint, seq bigint, rtt_value double"
-    periods = "series_id string, cp_idx bigint, start_epoch double, has_jump boolean, has_significant_jitter boolean"
-    parts = [[("a", 1, 1, 5.0), ("a", 2, 2, 7.0)], [("a", 3, 3, 4.0), ("b", 3, 4, 1.0)]]
-    marks = [[("a", 1, 1.0, True, True), ("a", 2, 2.0, True, False)], [("a", 3, 3.0, True, False), ("a", 4, 4.0, False, True), ("a", 5, 5.0, True, False)]]
-    for some, more in zip(parts, marks, strict=True):
-        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        spark.createDataFrame(more, periods).coalesce(1).write.mode("append").parquet(f"{tmp_path}/marks")
-        stream_to_table(stream_jitter(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), f"{tmp_path}/jit", f"{tmp_path}/c1")
-        stream_to_table(stream_congestion(spark.readStream.schema(periods).parquet(f"{tmp_path}/marks")), f"{tmp_path}/state", f"{tmp_path}/c2")
-    assert sorted((r.series_id, r.seq, r.jitter) for r in spark.read.parquet(f"{tmp_path}/jit").collect()) == [("a", 2, 2.0), ("a", 3, -3.0)]
-    assert [r.is_congested for r in spark.read.parquet(f"{tmp_path}/state").orderBy("cp_idx").collect()] == [True, True, True, False, False]
-
-
 def test_late_rows_are_left_out(spark, tmp_path):
     schema = "series_id string, ts timestamp, rtt_value double"
     batches = [[("a", 0, 5.0), ("a", 7200, 6.0)], [("a", 10, 1.0), ("a", 7300, 4.0)], [("a", 90_000, 9.0)], [("a", 200_000, 9.0)]]
