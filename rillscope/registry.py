@@ -94,6 +94,32 @@ def influx_frames(spark, d):
     return concat_frames([one, two]).select("epoch", "rtt_value")
 
 
+def _exported(samples: DataFrame, base: str) -> None:
+    """The even samples as annotated CSV with two tables a file, one for each way to write a time, the odd ones as line protocol."""
+    table, ns = F.when(F.col("seq") % 4 == 0, 0).otherwise(1), (F.col("epoch_us") * 1000).cast("string")
+    time = F.when(table == 0, F.date_format(F.timestamp_micros("epoch_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(ns)
+    even = samples.where("seq % 2 = 0").select((F.col("seq") % 12).alias("file"), table.alias("table"), F.lit(9).alias("kind"), F.concat_ws(",", F.lit(""), F.lit(""), table.cast("string"), time, F.col("rtt_value").cast("string"), F.concat(F.lit('"'), F.col("series_id"), F.lit('"'))).alias("line"))
+    notes = [(t, k, line) for t, kind, value in ((0, "dateTime:RFC3339", "_value"), (1, "dateTime:number", "latency")) for k, line in enumerate((f"#datatype,string,long,{kind},double,string", "#group,false,false,false,false,true", "#default,_result,,,,", f",result,table,_time,{value},source"))]
+    heads = even.select("file").distinct().select("file", F.explode(F.array(*(F.struct(F.lit(t).alias("table"), F.lit(k).alias("kind"), F.lit(line).alias("line")) for t, k, line in notes))).alias("n")).select("file", "n.*")
+    even.unionByName(heads).repartition("file").sortWithinPartitions("file", "table", "kind").select("line").write.text(f"{base}/annotated")
+    odd = samples.where("seq % 2 = 1").select(F.concat(F.lit("ping,source="), F.col("series_id"), F.lit(" rtt="), F.col("rtt_value").cast("string"), F.lit(',note="a, b" '), ns).alias("line"))
+    odd.unionByName(samples.where("seq % 50 = 1").select(F.lit("ping,source=broken rtt=").alias("line"))).write.text(f"{base}/protocol")
+
+
+@_query(o.sql([o.RTT], "SELECT series_id, epoch, rtt_value FROM rtt"))
+def influx_export(spark, d):
+    """Writes the samples as exports of a time-series database and reads them back."""
+    import uuid
+
+    from .sources import read_influx
+    from .storage import shared_path
+
+    base = shared_path(spark, f"export-{uuid.uuid4().hex}")
+    _exported(events_as_samples(spark, d), base)
+    both = read_influx(spark, f"{base}/annotated", series="source").unionByName(read_influx(spark, f"{base}/protocol", series="source"))
+    return both.select("series_id", "epoch", "rtt_value")
+
+
 @_query(o.sql([o.RTT], "SELECT series_id, seq, epoch, rtt_value FROM rtt"))
 def frame_normalize(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import RTT_ALIASES, valid
+from .influx import read_influx
 
 SCAMPER = "type string, src string, dst string, responses array<struct<rtt: double, tx: struct<sec: bigint, usec: bigint>>>"
 INFLUX_ALIASES = ("_value", "rtt", "latency", "values")
@@ -97,7 +98,9 @@ def read_path(spark: SparkSession, path: str, kind: str | None = None, mode: str
         return read_csv(spark, path, mode, per_file)
     if kind == "json":
         return read_scamper(spark, path, mode)
-    raise ValueError(f"files of this format cannot be read yet: {kind}")
+    if kind == "influx":
+        return read_influx(spark, path, mode)
+    raise ValueError(f"unknown format: {kind}")
 
 
 def read_expected(spark: SparkSession, path: str) -> DataFrame:
