@@ -1,7 +1,7 @@
 """Change-point detectors and the filters over their results.
 
-The window scores are prefix sums joined at an offset, so the window may depend
-on the series' length.  Accepting in order and keeping a gap are folds over a
+The window scores are differences of prefix sums at an offset, so the window may
+depend on the series' length.  Accepting in order and keeping a gap are folds over a
 series' candidates, which are few: one per ``step`` bins of the minima.
 """
 
@@ -13,33 +13,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import indexed
+from .ranges import earlier_stretches, stretches
 
 
 def prefix_sums(series: DataFrame) -> DataFrame:
-    """Index, length and running sums of the centred values and their squares before each row."""
-    mean = Window.partitionBy("series_id")
-    w = mean.orderBy("epoch_us").rowsBetween(Window.unboundedPreceding, -1)
-    s = indexed(series).withColumn("x", F.col("rtt_value") - F.avg("rtt_value").over(mean))
-    zero = F.lit(0.0)
-    return s.withColumn("s1", F.coalesce(F.sum("x").over(w), zero)).withColumn("s2", F.coalesce(F.sum(F.col("x") * F.col("x")).over(w), zero)).withColumn("t1", F.sum("x").over(mean)).withColumn("t2", F.sum(F.col("x") * F.col("x")).over(mean))
+    """Index, length and running sums of the centred values and their squares before each row.
+
+    Sums run within stretches of time; what the stretches before add up to is a
+    window over one row per stretch.
+    """
+    keyed = stretches(series)
+    whole, earlier = Window.partitionBy("series_id"), earlier_stretches()
+    sizes = keyed.groupBy("series_id", "stretch").agg(F.count("*").alias("rows"), F.sum("rtt_value").alias("total"))
+    sizes = sizes.select("series_id", "stretch", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("first"), F.sum("rows").over(whole).alias("n"), (F.sum("total").over(whole) / F.sum("rows").over(whole)).alias("mean"))
+    own = Window.partitionBy("series_id", "stretch").orderBy("epoch_us")
+    s = keyed.join(sizes, ["series_id", "stretch"]).withColumn("x", F.col("rtt_value") - F.col("mean")).withColumn("i", F.row_number().over(own) - 1 + F.col("first"))
+    x, y = F.col("x"), F.col("x") * F.col("x")
+    sums = s.groupBy("series_id", "stretch").agg(F.sum(x).alias("a"), F.sum(y).alias("b"))
+    zero, upto = F.lit(0.0), own.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("series_id", "stretch", F.coalesce(F.sum("a").over(earlier), zero).alias("a"), F.coalesce(F.sum("b").over(earlier), zero).alias("b"), F.sum("a").over(whole).alias("t1"), F.sum("b").over(whole).alias("t2"))
+    s = s.withColumn("s1", F.coalesce(F.sum(x).over(upto), zero)).withColumn("s2", F.coalesce(F.sum(y).over(upto), zero)).join(sums, ["series_id", "stretch"])
+    return s.withColumn("s1", F.col("s1") + F.col("a")).withColumn("s2", F.col("s2") + F.col("b")).drop("stretch", "first", "mean", "a", "b")
 
 
 def two_sided(series: DataFrame, width: Column, where: Column) -> DataFrame:
     """Means and population variances of ``width`` rows before and from each row that ``where`` picks.
 
-    Sums at i - w, i and i + w come from the prefix sums; the offset rows are
-    found by an equi-join on the index.
+    ``width`` is made from the series' length ``n``.  A row of the prefix sums
+    is wanted at three places: width rows later, in its own and width rows
+    before; it goes there, and each place that is picked gathers its three.
     """
     p = prefix_sums(series).withColumn("w", width)
-    at = p.where(where & (F.col("i") >= F.col("w")) & (F.col("i") <= F.col("n") - F.col("w"))).select("series_id", "i", "n", "w", "epoch_us", "epoch", "s1", "s2", "t1", "t2")
-    side = lambda s: p.select(F.col("series_id").alias("k"), F.col("i").alias(f"i_{s}"), F.col("s1").alias(f"s1_{s}"), F.col("s2").alias(f"s2_{s}"))
-    lo = at.join(side("a"), (F.col("series_id") == F.col("k")) & (F.col("i") - F.col("w") == F.col("i_a"))).drop("k")
-    both = lo.join(side("b"), (F.col("series_id") == F.col("k")) & (F.col("i") + F.col("w") == F.col("i_b")), "left").drop("k")
+    to = F.explode(F.array(*(F.struct((F.col("i") + k * F.col("w")).alias("i"), F.lit(side).alias("side")) for side, k in (("a", 1), ("m", 0), ("b", -1)))))
+    sent = p.select("series_id", "n", "w", "epoch_us", "epoch", "s1", "s2", "t1", "t2", to.alias("to")).select("series_id", "to.*", "n", "w", "epoch_us", "epoch", "s1", "s2", "t1", "t2")
+    sent = sent.where(where & (F.col("i") >= F.col("w")) & (F.col("i") <= F.col("n") - F.col("w")))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    sums = {f"{c}_{side}": of(side, c) for c in ("s1", "s2") for side in "amb"}
+    both = sent.groupBy("series_id", "i").agg(*(F.max(c).alias(c) for c in ("n", "w", "t1", "t2")), of("m", "epoch_us").alias("epoch_us"), of("m", "epoch").alias("epoch"), *(c.alias(name) for name, c in sums.items())).where("epoch_us is not null")
     s1b, s2b = F.coalesce("s1_b", "t1"), F.coalesce("s2_b", "t2")  # at i + w = n the sums are the totals
     w = F.col("w")
-    m_l, m_r = (F.col("s1") - F.col("s1_a")) / w, (s1b - F.col("s1")) / w
-    v_l, v_r = (F.col("s2") - F.col("s2_a")) / w - m_l * m_l, (s2b - F.col("s2")) / w - m_r * m_r
+    m_l, m_r = (F.col("s1_m") - F.col("s1_a")) / w, (s1b - F.col("s1_m")) / w
+    v_l, v_r = (F.col("s2_m") - F.col("s2_a")) / w - m_l * m_l, (s2b - F.col("s2_m")) / w - m_r * m_r
     zero = F.lit(0.0)
     return both.select("series_id", "i", "n", "w", "epoch_us", "epoch", m_l.alias("mean_l"), m_r.alias("mean_r"), F.greatest(v_l, zero).alias("var_l"), F.greatest(v_r, zero).alias("var_r"))
 
@@ -74,8 +88,8 @@ def level_shift_scores(series: DataFrame) -> DataFrame:
 def welch_scores(series: DataFrame) -> DataFrame:
     """Welch statistics of 30 rows (a sixth of a short series) on either side of each row."""
     width = F.least(F.lit(30), F.floor(F.col("n") / 6)).cast("int")
-    z = Window.partitionBy("series_id")
-    scaled = series.withColumn("rtt_value", (F.col("rtt_value") - F.avg("rtt_value").over(z)) / (F.stddev_pop("rtt_value").over(z) + 1e-8))
+    moments = series.groupBy("series_id").agg(F.avg("rtt_value").alias("mu"), F.stddev_pop("rtt_value").alias("sd"))
+    scaled = series.join(moments, "series_id").withColumn("rtt_value", (F.col("rtt_value") - F.col("mu")) / (F.col("sd") + 1e-8)).drop("mu", "sd")
     s = two_sided(scaled, width, (F.col("n") >= 10) & (F.col("i") < F.col("n") - F.col("w")))
     pooled = F.col("var_l") / F.col("w") + F.col("var_r") / F.col("w")
     return s.withColumn("score", F.when((F.col("w") >= 5) & (pooled > 1e-8), F.abs(F.col("mean_l") - F.col("mean_r")) / F.sqrt(pooled)).otherwise(0.0))

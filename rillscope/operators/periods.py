@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ks import ks_p_value
+from .quantiles import level
 
 BUCKET_S = 86_400
 
@@ -17,18 +18,42 @@ def periods_from_change_points(cps: DataFrame) -> DataFrame:
     return out.where("prev_epoch is not null and end_epoch is not null")
 
 
+def _bounds(periods: DataFrame) -> DataFrame:
+    """(series_id, epoch, ends_here, starts_here, before): each bound of the periods with the period that ends there, the one that starts there, and the one that it is the bound before."""
+    period = F.struct("cp_idx", "start_epoch", "end_epoch")
+    at = lambda c, name: periods.select("series_id", F.col(c).alias("epoch"), period.alias("period"), F.lit(name).alias("kind"))
+    rows = at("end_epoch", "ends").unionByName(at("start_epoch", "starts")).unionByName(at("prev_epoch", "before"))
+    pick = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("period")))
+    return rows.groupBy("series_id", "epoch").agg(pick("ends").alias("ends_here"), pick("starts").alias("starts_here"), pick("before").alias("before"))
+
+
 def in_periods(values: DataFrame, periods: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     """Rows of ``values`` with each period that they lie in or directly before; ``current`` tells which.
 
-    The current part is closed at both ends, the part before half open.  A range
-    join as an equi-join on (series_id, time bucket) with the range as a
-    residual: neither side is broadcast and a long series is spread over its
-    buckets.
+    The current part is closed at both ends, the part before half open.  Periods
+    follow each other, as :func:`periods_from_change_points` makes them (some may
+    be missing), so the last bound at or before a row says all: values and
+    bounds are put in time order within buckets of time, and the last bound of
+    the buckets before is carried over.  Nothing grows with a period's length,
+    and no bucket holds more than its own rows.
     """
-    spans = periods.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("prev_epoch") / bucket_s), F.floor(F.col("end_epoch") / bucket_s))))
-    keyed = values.withColumn("bucket", F.floor(F.col("epoch") / bucket_s))
-    inside = (F.col("epoch") >= F.col("prev_epoch")) & (F.col("epoch") <= F.col("end_epoch"))
-    return keyed.join(spans, ["series_id", "bucket"]).where(inside).withColumn("current", F.col("epoch") >= F.col("start_epoch")).drop("bucket")
+    kept = [c for c in values.columns if c != "series_id"]
+    bounds = _bounds(periods)
+    mark = F.struct("epoch", "ends_here", "starts_here", "before")
+    cut = bounds.select("series_id", "epoch", mark.alias("bound"), F.lit(None).cast(values.select(F.struct(*kept)).schema[0].dataType).alias("value"))
+    rows = values.select("series_id", "epoch", F.lit(None).cast(cut.schema["bound"].dataType).alias("bound"), F.struct(*kept).alias("value")).unionByName(cut)
+    rows = rows.withColumn("bucket", F.floor(F.col("epoch") / bucket_s))
+    # A bound stands before the values of its own time.
+    upto = Window.partitionBy("series_id", "bucket").orderBy("epoch", F.col("value").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lasts = rows.groupBy("series_id", "bucket").agg(F.max_by("bound", F.when(F.col("bound").isNotNull(), F.col("epoch"))).alias("carried"))
+    earlier = Window.partitionBy("series_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("series_id", "bucket", F.last("carried", ignorenulls=True).over(earlier).alias("carried"))
+    found = rows.withColumn("bound", F.last("bound", ignorenulls=True).over(upto)).where("value is not null").join(lasts, ["series_id", "bucket"])
+    found = found.select("series_id", "value", F.coalesce("bound", "carried").alias("b")).where("b is not null")
+    role = lambda c, current: F.struct(F.col(f"b.{c}").alias("period"), F.lit(current).alias("current"))
+    on_bound = F.when(F.col("value.epoch") == F.col("b.epoch"), role("ends_here", True))
+    roles = F.filter(F.array(role("starts_here", True), role("before", False), on_bound), lambda r: r["period"].isNotNull())
+    return found.select("series_id", "value.*", F.explode(roles).alias("r")).select("series_id", *kept, "r.period.*", "r.current")
 
 
 KEYS = ["series_id", "cp_idx", "start_epoch", "end_epoch"]
@@ -60,14 +85,21 @@ def dispersion_periods(dispersion: DataFrame, periods: DataFrame, threshold: flo
 
 
 def ks_statistics(jit: DataFrame, periods: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic of the jitter in each period and before it."""
-    v = in_periods(jit, periods)
-    each = Window.partitionBy(*KEYS)
-    upto = each.orderBy("jitter").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda cond, w: F.sum(F.when(cond, 1).otherwise(0)).over(w)
-    now, before = F.col("current"), ~F.col("current")
-    v = v.select(*KEYS, count(now, each).alias("n_now"), count(before, each).alias("n_before"), count(now, upto).alias("c_now"), count(before, upto).alias("c_before")).where("n_now >= 2 and n_before >= 1")
-    gap: Column = F.abs(F.col("c_now") / F.col("n_now") - F.col("c_before") / F.col("n_before"))
+    """Two-sample Kolmogorov-Smirnov statistic of the jitter in each period and before it.
+
+    Both distributions are counts by value, summed in rising order within levels
+    of the value; what the levels below add up to is a window over one row per
+    level.
+    """
+    counts = in_periods(jit, periods).groupBy(*KEYS, "jitter").agg(F.count_if("current").alias("now"), F.count_if(~F.col("current")).alias("before")).withColumn("level", level("jitter"))
+    whole = Window.partitionBy(*KEYS)
+    below = whole.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    add = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    levels = counts.groupBy(*KEYS, "level").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    levels = levels.select(*KEYS, "level", add("now", below).alias("c_now"), add("before", below).alias("c_before"), add("now", whole).alias("n_now"), add("before", whole).alias("n_before")).where("n_now >= 2 and n_before >= 1")
+    upto = Window.partitionBy(*KEYS, "level").orderBy("jitter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = counts.withColumn("now", F.sum("now").over(upto)).withColumn("before", F.sum("before").over(upto)).join(levels, [*KEYS, "level"])
+    gap: Column = F.abs((F.col("c_now") + F.col("now")) / F.col("n_now") - (F.col("c_before") + F.col("before")) / F.col("n_before"))
     return v.groupBy(*KEYS).agg(F.max(gap).alias("statistic"), F.max("n_now").alias("n_now"), F.max("n_before").alias("n_before"))
 
 

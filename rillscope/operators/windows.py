@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+from .ranges import STRETCH_US, order_of, placed, range_window, with_halo
+
 DAY_US = 86_400_000_000
 
 
@@ -37,10 +40,9 @@ def min_intervals(samples: DataFrame, minutes: int = 15, least: int = 0) -> Data
 
 def jitter(series: DataFrame) -> DataFrame:
     """(series_id, epoch_us, epoch, jitter) with the time of the later of two neighbours."""
-    order = ["epoch_us", "seq"] if "seq" in series.columns else ["epoch_us"]
-    w = Window.partitionBy("series_id").orderBy(*order)
-    keep = ["series_id", *order, "epoch"]
-    return series.withColumn("jitter", F.col("rtt_value") - F.lag("rtt_value").over(w)).where("jitter is not null").select(*keep, "jitter")
+    keep = ["series_id", *order_of(series), "epoch"]
+    previous = with_previous(series, "rtt_value", "previous", bucket=STRETCH_US)
+    return previous.withColumn("jitter", F.col("rtt_value") - F.col("previous")).where("jitter is not null").select(*keep, "jitter")
 
 
 def with_previous(samples: DataFrame, column: str, name: str, order: str = "epoch_us", bucket: int = DAY_US) -> DataFrame:
@@ -50,7 +52,7 @@ def with_previous(samples: DataFrame, column: str, name: str, order: str = "epoc
     (a small aggregate) stands in for the neighbour of a range's first sample.
     """
     keyed = samples.withColumn("bucket", F.floor(F.col(order) / bucket))
-    by = [order, "seq"] if order != "seq" else ["seq"]
+    by = [order, "seq"] if order != "seq" and "seq" in samples.columns else [order]
     lasts = keyed.groupBy("series_id", "bucket").agg(F.max_by(column, F.struct(*by)).alias("last"))
     before = lasts.select("series_id", "bucket", F.lag("last").over(Window.partitionBy("series_id").orderBy("bucket")).alias("before"))
     w = Window.partitionBy("series_id", "bucket").orderBy(*by)
@@ -68,22 +70,37 @@ def _full(value: Column, w, size: int) -> Column:
     return F.when(F.count("*").over(w) == size, value)
 
 
+def _iqr(w) -> Column:
+    return F.percentile("jitter", F.lit(0.75)).over(w) - F.percentile("jitter", F.lit(0.25)).over(w)
+
+
 def moving_iqr(jit: DataFrame, k: int = 4) -> DataFrame:
     """Interquartile range over the 2k + 1 rows around each row that has them all."""
-    w = Window.partitionBy("series_id").orderBy("epoch_us").rowsBetween(-k, k)
-    iqr = F.percentile("jitter", F.lit(0.75)).over(w) - F.percentile("jitter", F.lit(0.25)).over(w)
-    return jit.withColumn("iqr", _full(iqr, w, 2 * k + 1)).where("iqr is not null")
+    w = range_window().rowsBetween(-k, k)
+    rows = with_halo(placed(jit), k, k).withColumn("iqr", _full(_iqr(w), w, 2 * k + 1))
+    return rows.where("own and iqr is not null").select(*jit.columns, "iqr")
 
 
 def moving_average(df: DataFrame, column: str, m: int = 6) -> DataFrame:
     """Mean of ``m`` rows, m/2 before to m/2 - 1 after, where all are there."""
-    w = Window.partitionBy("series_id").orderBy("epoch_us").rowsBetween(-(m // 2), m // 2 - 1)
-    return df.withColumn("average", _full(F.avg(column).over(w), w, m)).where("average is not null")
+    w = range_window().rowsBetween(-(m // 2), m // 2 - 1)
+    rows = with_halo(placed(df), m // 2, max(0, m // 2 - 1)).withColumn("average", _full(F.avg(column).over(w), w, m))
+    return rows.where("own and average is not null").select(*df.columns, "average")
 
 
 def jitter_dispersion(series: DataFrame, k: int = 4, m: int = 6) -> DataFrame:
-    """(series_id, epoch_us, epoch, dispersion): averaged interquartile range of the jitter."""
-    return moving_average(moving_iqr(jitter(series), k), "iqr", m).select("series_id", "epoch_us", "epoch", F.col("average").alias("dispersion"))
+    """(series_id, epoch_us, epoch, dispersion): averaged interquartile range of the jitter.
+
+    The three windows share one cut into ranges, whose halo is as wide as all of
+    them together.
+    """
+    w = range_window()
+    near, mean = w.rowsBetween(-k, k), w.rowsBetween(-(m // 2), m // 2 - 1)
+    rows = with_halo(placed(series), 1 + k + m // 2, k + m // 2 - 1)
+    rows = rows.withColumn("jitter", F.col("rtt_value") - F.lag("rtt_value").over(w)).where("jitter is not null")
+    rows = rows.withColumn("iqr", _full(_iqr(near), near, 2 * k + 1)).where("iqr is not null")
+    rows = rows.withColumn("dispersion", _full(F.avg("iqr").over(mean), mean, m))
+    return rows.where("own and dispersion is not null").select("series_id", "epoch_us", "epoch", "dispersion")
 
 
 def time_gaps(samples: DataFrame) -> DataFrame:
@@ -101,7 +118,8 @@ def validation_metrics(samples: DataFrame) -> DataFrame:
     t = t.withColumn("ordered", F.coalesce(F.col("read_before") <= F.col("epoch_us"), F.lit(True))).withColumn("gap", (F.col("epoch_us") - F.col("previous_us")) / 1e6)
     moments = samples.groupBy("series_id").agg(F.avg("rtt_value").alias("mu"), F.stddev_pop("rtt_value").alias("sd"))
     t = t.join(moments, "series_id").withColumn("outlier", (F.abs(F.col("rtt_value") - F.col("mu")) > 3 * F.col("sd")) & (F.col("sd") > 0))
-    return t.groupBy("series_id").agg(
+    medians = exact_quantiles(samples, "rtt_value", [0.5], ["series_id"]).select("series_id", F.col("value").alias("median_rtt"))
+    metrics = t.groupBy("series_id").agg(
         F.count("*").alias("total"),
         F.bool_and("ordered").alias("time_ordered"),
         # A time is new where the sample before has another one.
@@ -113,10 +131,10 @@ def validation_metrics(samples: DataFrame) -> DataFrame:
         F.min("rtt_value").alias("min_rtt"),
         F.max("rtt_value").alias("max_rtt"),
         F.avg("rtt_value").alias("mean_rtt"),
-        F.median("rtt_value").alias("median_rtt"),
         F.stddev_pop("rtt_value").alias("std_rtt"),
         ((F.max("epoch_us") - F.min("epoch_us")) / 1e6).alias("duration"),
     )
+    return metrics.join(medians, "series_id", "left")
 
 
 def without_outliers(samples: DataFrame, z: float = 3.0) -> DataFrame:
@@ -127,5 +145,4 @@ def without_outliers(samples: DataFrame, z: float = 3.0) -> DataFrame:
 
 def indexed(series: DataFrame) -> DataFrame:
     """With a dense index ``i`` from 0 and the series' length ``n``."""
-    w = Window.partitionBy("series_id").orderBy("epoch_us")
-    return series.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("series_id")))
+    return placed(series)
