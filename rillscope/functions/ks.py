@@ -15,20 +15,29 @@ def exact_p(d: float, n: int, m: int) -> float:
     """Share of lattice paths from (0, 0) to (n, m) that leave the band |i/n - j/m| < d.
 
     Along each diagonal i + j = s the share of paths that have stayed inside so
-    far follows from the diagonal before, so no count overflows.
+    far follows from the diagonal before, so no count overflows.  Only the part
+    of a diagonal that lies in the band is held.
     """
-    i = np.arange(n + 1)
-    inside = np.zeros(n + 1)
-    inside[0] = 1.0
+    reach = (d - 1e-12) * n * m  # |i m - j n| < reach
+    inside, first = np.ones(1), 0  # the diagonal's values from i = first on
     for s in range(1, n + m + 1):
+        # i m - (s - i) n = i (n + m) - s n
+        lo = max(0, s - m, math.floor((s * n - reach) / (n + m)) - 1)
+        hi = min(n, s, math.ceil((s * n + reach) / (n + m)) + 1)
+        if hi < lo:
+            return 1.0
+        i = np.arange(lo, hi + 1)
         j = s - i
-        step = inside * (j / s)
-        step[1:] += inside[:-1] * (i[1:] / s)
-        ok = (j >= 0) & (j <= m) & (np.abs(i / n - j / m) < d - 1e-12)
+        before = np.zeros(hi - lo + 2)  # of i = lo - 1 .. hi on the last diagonal
+        a, b = max(first, lo - 1), min(first + len(inside) - 1, hi)
+        if b >= a:
+            before[a - lo + 1 : b - lo + 2] = inside[a - first : b - first + 1]
+        step = before[1:] * (j / s) + before[:-1] * (i / s)
+        ok = np.abs(i / n - j / m) < d - 1e-12
         if s == n + m:
-            ok[n] = True
-        inside = np.where(ok, step, 0.0)
-    return float(min(1.0, max(0.0, 1.0 - inside[n])))
+            ok[-1] = True
+        inside, first = np.where(ok, step, 0.0), lo
+    return float(min(1.0, max(0.0, 1.0 - inside[n - first])))
 
 
 def asymptotic_p(d: float, n: int, m: int) -> float:

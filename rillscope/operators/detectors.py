@@ -1,18 +1,16 @@
 """Change-point detectors and the filters over their results.
 
 The window scores are differences of prefix sums at an offset, so the window may
-depend on the series' length.  Accepting in order and keeping a gap are folds over a
-series' candidates, which are few: one per ``step`` bins of the minima.
+depend on the series' length.  Accepting in order and keeping a gap are folds,
+made in ranges of time at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import keep_apart
 from .ranges import earlier_stretches, stretches
 
 
@@ -95,50 +93,14 @@ def welch_scores(series: DataFrame) -> DataFrame:
     return s.withColumn("score", F.when((F.col("w") >= 5) & (pooled > 1e-8), F.abs(F.col("mean_l") - F.col("mean_r")) / F.sqrt(pooled)).otherwise(0.0))
 
 
-def _fold(candidates: DataFrame, accept: Callable[[list[float], list[float]], list[int]]) -> DataFrame:
-    """The rows of each series that ``accept`` picks from epochs and confidences in time order.
-
-    A row's fate depends on the one kept before it, so a series is one pass; the
-    pass is linear, where a fold over a growing array copies it at each step.
-    """
-    more = [c for c in ("algorithm",) if c in candidates.columns]
-    rows = candidates.select("series_id", F.col("epoch").cast("double").alias("epoch"), F.col("confidence").cast("double").alias("confidence"), *more)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("epoch", "ascending"), ("confidence", "ascending")])
-        return table.take(pa.array(accept(table.column("epoch").to_pylist(), table.column("confidence").to_pylist()), pa.int64()))
-
-    return rows.groupBy("series_id").applyInArrow(run, rows.schema)
-
-
-def accept_apart(epochs: list[float], gap: float) -> list[int]:
-    """Places in time order, each at least ``gap`` after the one kept before."""
-    out: list[int] = []
-    for i, e in enumerate(epochs):
-        if not out or e - epochs[out[-1]] >= gap:
-            out.append(i)
-    return out
-
-
-def accept_surest(epochs: list[float], confidences: list[float], gap: float) -> list[int]:
-    """Like :func:`accept_apart`, but a surer row replaces the one kept before it."""
-    out: list[int] = []
-    for i, e in enumerate(epochs):
-        if not out or e - epochs[out[-1]] >= gap:
-            out.append(i)
-        elif confidences[i] > confidences[out[-1]]:
-            out[-1] = i
-    return out
-
-
 def keep_gap(candidates: DataFrame, gap: float) -> DataFrame:
     """Candidates in time order, each at least ``gap`` after the one kept before."""
-    return _fold(candidates, lambda epochs, _: accept_apart(epochs, gap))
+    return keep_apart(candidates, gap)
 
 
 def filter_change_points(candidates: DataFrame, gap: float, most: int | None = None) -> DataFrame:
     """Minimum gap, where a surer candidate replaces the one before it, then the surest ``most``."""
-    out = _fold(candidates, lambda epochs, confidences: accept_surest(epochs, confidences, gap))
+    out = keep_apart(candidates, gap, surest=True)
     return top_confidence(out, most) if most else out
 
 

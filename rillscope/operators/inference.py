@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .periods import KEYS
+from .ranges import last_known
+from .windows import with_previous
 
 
 def evidence(jumps: DataFrame, jitters: DataFrame, tolerance: float | None = None) -> DataFrame:
@@ -25,11 +26,23 @@ def evidence(jumps: DataFrame, jitters: DataFrame, tolerance: float | None = Non
     return near.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "cell", "jitter_idx", "j_start", "j_end")
 
 
-def congestion(ev: DataFrame) -> DataFrame:
-    """State and confidence: a jump with jitter sets it, no jump resets it, a jump alone holds it."""
-    w = Window.partitionBy("series_id").orderBy("start_epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _held(df: DataFrame, mark: Column, span_s: float | None) -> DataFrame:
+    """``df`` with ``held``, the last known ``mark`` of the series; with ``span_s`` in stretches of so many seconds at once."""
+    if span_s:
+        return last_known(df.withColumn("mark", mark), "mark", "held", "start_epoch", span_s).drop("mark")
+    upto = Window.partitionBy("series_id").orderBy("start_epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("held", F.last(mark, ignorenulls=True).over(upto))
+
+
+def congestion(ev: DataFrame, span_s: float | None = None) -> DataFrame:
+    """State and confidence: a jump with jitter sets it, no jump resets it, a jump alone holds it.
+
+    Periods are as few as change points, so they are put in order by series;
+    ``span_s`` cuts a series into stretches of so many seconds, which costs a
+    second reading of ``ev``.
+    """
     mark = F.when(F.col("has_jump") & F.col("has_significant_jitter"), True).when(~F.col("has_jump"), False)
-    out = ev.withColumn("is_congested", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False)))
+    out = _held(ev, mark, span_s).select(*ev.columns, F.coalesce("held", F.lit(False)).alias("is_congested"))
     bonus = F.when(F.col("magnitude") > 2 * F.col("threshold"), 0.1).otherwise(0.0)
     return out.withColumn("confidence", F.when(F.col("is_congested"), F.least(F.lit(1.0), 0.8 + bonus)).otherwise(0.0))
 
@@ -43,25 +56,24 @@ def independent(ev: DataFrame) -> DataFrame:
     return ev.withColumn("is_congested", jump | jit).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
-def smoothed(inferences: DataFrame) -> DataFrame:
+def smoothed(inferences: DataFrame, span_s: float | None = None) -> DataFrame:
     """Flip single periods that differ from both neighbours, one after another in time.
 
-    A flip is seen by the next period, so a series is one pass over its periods
-    (at most one per change point).
+    A flip is seen by the next period.  A period that differs from the next one
+    takes the state before it, flipped or not; so the states are those of the
+    periods that agree with the next one (and of the first and last), each held
+    until the next such period.
     """
     rows = inferences.select("series_id", "start_epoch", "end_epoch", "cp_idx", "is_congested", "confidence")
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("start_epoch", "ascending"), ("end_epoch", "ascending")])
-        state, sure = table.column("is_congested").to_pylist(), table.column("confidence").to_pylist()
-        for i in range(1, len(state) - 1):
-            if state[i] != state[i - 1] and state[i] != state[i + 1]:
-                state[i], sure[i] = not state[i], min(sure[i], 0.3)
-        names = table.schema.names
-        table = table.set_column(names.index("is_congested"), "is_congested", pa.array(state, pa.bool_()))
-        return table.set_column(names.index("confidence"), "confidence", pa.array(sure, pa.float64()))
-
-    return rows.groupBy("series_id").applyInArrow(run, rows.schema)
+    if span_s:
+        near = with_previous(with_previous(rows, "is_congested", "before", "start_epoch", span_s), "is_congested", "after", "start_epoch", span_s, ahead=True)
+    else:
+        w = Window.partitionBy("series_id").orderBy("start_epoch")
+        near = rows.withColumn("before", F.lag("is_congested").over(w)).withColumn("after", F.lead("is_congested").over(w))
+    sure = F.col("before").isNull() | F.col("after").isNull() | (F.col("after") == F.col("is_congested"))
+    held = _held(near, F.when(sure, F.col("is_congested")), span_s)
+    flipped = F.col("held") != F.col("is_congested")
+    return held.select("series_id", "start_epoch", "end_epoch", "cp_idx", F.col("held").alias("is_congested"), F.when(flipped, F.least("confidence", F.lit(0.3))).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def as_inferences(ev: DataFrame) -> DataFrame:

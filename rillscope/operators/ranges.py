@@ -48,3 +48,13 @@ def with_halo(numbered: DataFrame, before: int, after: int, size: int = RANGE) -
 
 def range_window():
     return Window.partitionBy("series_id", "range").orderBy("i")
+
+
+def last_known(df: DataFrame, mark: str, name: str, order: str, span: float) -> DataFrame:
+    """With the last non-null value of ``mark`` up to each row in the order of ``order``, carried over from stretch to stretch."""
+    keyed = df.withColumn("stretch", F.floor(F.col(order) / span))
+    lasts = keyed.groupBy("series_id", "stretch").agg(F.max_by(mark, F.when(F.col(mark).isNotNull(), F.col(order))).alias("carried"))
+    before = lasts.select("series_id", "stretch", F.last("carried", ignorenulls=True).over(earlier_stretches()).alias("carried"))
+    own = Window.partitionBy("series_id", "stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = keyed.withColumn(name, F.last(mark, ignorenulls=True).over(own)).join(before, ["series_id", "stretch"])
+    return found.withColumn(name, F.coalesce(name, "carried")).drop("stretch", "carried")

@@ -1,8 +1,9 @@
 """Detectors that need a whole series at once, as grouped numpy functions.
 
-A series here is the minima of its time bins.  The kernel cost and the Bayesian
-recursions take memory or time that grows with the square of its length; there,
-one with more rows than MAX_KERNEL_ROWS or MAX_ROWS raises an error that says so.
+A series here is the minima of its time bins.  All detectors take memory that is
+linear in its length; time is linear in what the starts that are still kept (or
+the messages that are not truncated) reach, which is the length of segments
+rather than of the series.
 """
 
 from __future__ import annotations
@@ -15,42 +16,122 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS = 20_000
-MAX_KERNEL_ROWS = 10_000
 MIN_SIZE = 2
 JUMP = 5
 
 
-def segment_cost(x: np.ndarray, model: str) -> Callable[[np.ndarray, int], np.ndarray]:
-    """cost(starts, end) of the segments [start, end) for all starts at once."""
-    n = len(x)
-    if model in ("l2", "normal"):
-        s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
-
-        def spread(a: np.ndarray, e: int) -> np.ndarray:
-            return np.maximum(s2[e] - s2[a] - (s1[e] - s1[a]) ** 2 / (e - a), 0.0)
-
-        if model == "l2":
-            return spread
-        return lambda a, e: (e - a) * np.log(np.maximum(spread(a, e) / (e - a), 1e-8))
-    if model == "l1":
-        return lambda a, e: np.array([np.abs(x[s:e] - np.median(x[s:e])).sum() for s in a])
-    # One matrix of sums is held; the kernel itself is made a block of rows at a time.
-    middle = _median_distance(x)
-    total = np.zeros((n + 1, n + 1))
-    for a in range(0, n, 512):
-        d = (x[a : a + 512, None] - x[None, :]) ** 2
-        k = np.exp(-np.clip(d / middle if middle > 0 else d, 1e-2, 1e2))
-        k[np.arange(len(k)), a + np.arange(len(k))] = np.exp(-1e-2)
-        total[a + 1 : a + 1 + len(k), 1:] = k.cumsum(1).cumsum(0) + total[a, 1:]
-    diag = np.exp(-1e-2) * np.arange(n + 1)
-    return lambda a, e: diag[e] - diag[a] - (total[e, e] - total[a, e] - total[e, a] + total[a, a]) / (e - a)
+class SpreadCost:
+    """Squares around the mean ("l2"), or the log-likelihood of a normal segment ("normal"), from prefix sums."""
+
+    def __init__(self, x: np.ndarray, model: str):
+        x = x - x.mean() if len(x) else x
+        self.s1, self.s2, self.model = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x))), model
+
+    def at(self, live: np.ndarray, ok: np.ndarray, e: int) -> np.ndarray:
+        a, s1, s2 = live[ok], self.s1, self.s2
+        spread = np.maximum(s2[e] - s2[a] - (s1[e] - s1[a]) ** 2 / (e - a), 0.0)
+        return spread if self.model == "l2" else (e - a) * np.log(np.maximum(spread / (e - a), 1e-8))
+
+
+class MedianCost:
+    """Distances to the median ("l1"): upper half less lower half, from a wavelet matrix of the ranks.
+
+    Each level holds, for the values in its order, how many of the first i have
+    a zero bit and the sum of the first i; the sum of the k least values of any
+    stretch takes one step per level, for all starts at once.
+    """
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        ranks = np.empty(n, np.int64)
+        ranks[np.argsort(x, kind="stable")] = np.arange(n)
+        self.total = np.concatenate(([0.0], np.cumsum(x)))
+        self.levels: list[tuple[np.ndarray, int, np.ndarray]] = []
+        for bit in range(max(1, int(n - 1).bit_length()) - 1, -1, -1):
+            ones = (ranks >> bit & 1).astype(bool)
+            zeros = np.concatenate(([0], np.cumsum(~ones)))
+            order = np.concatenate((np.flatnonzero(~ones), np.flatnonzero(ones)))
+            ranks, x = ranks[order], x[order]
+            self.levels.append((zeros, int(zeros[-1]), np.concatenate(([0.0], np.cumsum(x)))))
+
+    def least(self, a: np.ndarray, e: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """The sum of the k least values of each [a, e)."""
+        out, sums = np.zeros(len(a)), self.total
+        for zeros, middle, sums in self.levels:
+            za, ze = zeros[a], zeros[e]
+            right = k > ze - za
+            out += np.where(right, sums[ze] - sums[za], 0.0)
+            k = np.where(right, k - (ze - za), k)
+            a, e = np.where(right, middle + a - za, za), np.where(right, middle + e - ze, ze)
+        return out + sums[a + k] - sums[a]
+
+    def at(self, live: np.ndarray, ok: np.ndarray, e: int) -> np.ndarray:
+        a = live[ok]
+        end, m = np.full(len(a), e), e - a
+        return self.total[e] - self.total[a] - self.least(a, end, m - m // 2) - self.least(a, end, m // 2)
+
+
+class KernelCost:
+    """Gaussian kernel cost ("rbf"), with one running sum per start that is still kept.
+
+    As the end moves on, the kernel between the new values and all before is
+    summed from the right, which adds to every start's sum at once.  Memory is
+    linear in the series; time is linear in the values that kept starts reach.
+    """
+
+    LOW = 1e-2  # the exponent's least value, also on the diagonal
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.middle = x, _median_distance(x)
+        self.starts, self.sums, self.end = np.zeros(1, np.int64), np.zeros(1), 0
+
+    def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = (a[:, None] - b[None, :]) ** 2
+        return np.exp(-np.clip(d / self.middle if self.middle > 0 else d, self.LOW, 1e2))
+
+    def at(self, live: np.ndarray, ok: np.ndarray, e: int) -> np.ndarray:
+        """``live`` rises, and holds no start below ``end`` that was not live before."""
+        old = live[live < self.end] if self.end else live[:1]
+        sums = self.sums[np.searchsorted(self.starts, old)]
+        self.starts, self.sums = live, np.concatenate((sums, np.zeros(len(live) - len(old))))
+        new = self.x[self.end : e]
+        lo = int(live[0])
+        if self.end > lo:
+            side = np.concatenate([self._kernel(self.x[k : min(k + 4096, self.end)], new).sum(axis=1) for k in range(lo, self.end, 4096)])
+            upto = np.append(np.cumsum(side[::-1])[::-1], 0.0)
+            self.sums = self.sums + 2 * upto[np.minimum(live, self.end) - lo]
+        self.sums = self.sums + self._kernel(new, new).sum()
+        self.end = e
+        length = e - live[ok]
+        return np.exp(-self.LOW) * length - self.sums[ok] / length
+
+
+def segment_cost(x: np.ndarray, model: str) -> SpreadCost | MedianCost | KernelCost:
+    """Costs of the segments that end at rising places, by :meth:`at` (live starts, which of them are asked for, end)."""
+    return SpreadCost(x, model) if model in ("l2", "normal") else MedianCost(x) if model == "l1" else KernelCost(x)
 
 
 def _median_distance(x: np.ndarray) -> float:
-    """The median of the squared distances of all pairs."""
-    parts = [((x[i + 1 :] - x[i]) ** 2).astype(np.float64) for i in range(len(x) - 1)]
-    return float(np.median(np.concatenate(parts))) if parts else 0.0
+    """The median of the squared distances of all pairs, by counting the pairs up to a distance."""
+    n = len(x)
+    pairs = n * (n - 1) // 2
+    if not pairs:
+        return 0.0
+    x = np.sort(x)
+
+    def nth(k: int) -> float:
+        """The least double that k pairs are not beyond."""
+        lo, hi = 0, int(np.float64(x[-1] - x[0]).view(np.int64))
+        while lo < hi:
+            mid = (lo + hi) // 2
+            d = float(np.int64(mid).view(np.float64))
+            if int((np.searchsorted(x, x + d, side="right") - np.arange(n) - 1).sum()) >= k:
+                hi = mid
+            else:
+                lo = mid + 1
+        return float(np.int64(lo).view(np.float64))
+
+    return (nth((pairs + 1) // 2) ** 2 + nth(pairs // 2 + 1) ** 2) / 2
 
 
 def optimal_partition(x: np.ndarray, penalty: float, model: str = "rbf", jump: int = JUMP, min_size: int = MIN_SIZE) -> list[int]:
@@ -60,17 +141,18 @@ def optimal_partition(x: np.ndarray, penalty: float, model: str = "rbf", jump: i
         return []
     cost = segment_cost(x, model)
     ends = [e for e in range(0, n, jump) if e >= min_size] + [n]
-    best, last = {0: 0.0}, {}
+    best, last = np.zeros(n + 1), {}
     live = np.array([0])
     for e in ends:
-        ok = live[e - live >= min_size]
-        if not len(ok):
+        ok = e - live >= min_size
+        values = cost.at(live, ok, e)
+        if not ok.any():
             continue
-        base = np.array([best[s] for s in ok]) + cost(ok, e)
+        asked = live[ok]
+        base = best[asked] + values
         i = int(np.argmin(base))
-        best[e], last[e] = float(base[i]) + penalty, int(ok[i])
-        young = live[e - live < min_size]
-        live = np.concatenate((ok[base <= best[e]], young, [e]))
+        best[e], last[e] = float(base[i]) + penalty, int(asked[i])
+        live = np.concatenate((asked[base <= best[e]], live[~ok], [e]))
     out, at = [], n
     while last.get(at, 0):
         at = last[at]
@@ -105,37 +187,62 @@ def pelt(epochs: np.ndarray, x: np.ndarray, model: str = "rbf", penalty: float =
     return found, [boundary_confidence(x, i) for i in found], label
 
 
-def change_probabilities(x: np.ndarray) -> np.ndarray:
+#: Logarithm of the share of a sum at which its terms are left out, and how many in a row it takes.
+TRUNCATE, IN_A_ROW = -60.0, 256
+
+
+def _log_sum(terms: Callable[[int, int], np.ndarray], n: int, first: int = IN_A_ROW) -> float:
+    """The logarithm of a sum of n terms given from the largest end on, stopped where IN_A_ROW of them are TRUNCATE below it."""
+    total, at, size = -np.inf, 0, first
+    while at < n:
+        part = terms(at, min(n, at + size))
+        top = part.max()
+        if top > -np.inf:
+            more = top + np.log(np.exp(part - top).sum())
+            total = more if total == -np.inf else max(total, more) + np.log1p(np.exp(-abs(total - more)))
+        at += size
+        if part[-IN_A_ROW:].max() < total + TRUNCATE:
+            break
+        size = min(2 * size, 4096)
+    return total
+
+
+def change_probabilities(x: np.ndarray, truncate: bool = True) -> np.ndarray:
     """Posterior probability of a change at each row (Fearnhead's recursions forwards and backwards).
 
     Segments are normal with a Normal-Gamma(0, 1, 1, 1) prior, changes have a
-    constant prior probability.
+    constant prior probability.  A message sums over where its segment ends (or
+    begins), nearest first, and stops where IN_A_ROW terms one after another are
+    each below exp(TRUNCATE) of the sum.  Terms further off could only matter if
+    they rose again by more than that; in tests the probabilities are those of
+    the whole sums to 1e-9.  So time follows the length of segments rather than
+    the square of the series, and memory is linear.
     """
     n = len(x)
     p = 1.0 / (n + 1)
     s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
     gammas = np.array([math.lgamma(1 + k / 2) for k in range(n + 1)])
+    sizes = np.arange(n + 1)
+    # What depends on a segment's length alone.
+    fixed = gammas - 0.5 * np.log(1 + sizes) - sizes / 2 * np.log(2 * np.pi) + np.maximum(sizes - 1, 0) * np.log1p(-p)
 
-    def evidence(a: np.ndarray | int, e: np.ndarray | int) -> np.ndarray:
-        m = np.asarray(e) - np.asarray(a)
-        mean = (s1[e] - s1[a]) / m
-        beta = 1 + 0.5 * (s2[e] - s2[a] - m * mean**2) + m * mean**2 / (2 * (1 + m))
-        return gammas[m] - (1 + m / 2) * np.log(np.maximum(beta, 1e-300)) - 0.5 * np.log(1 + m) - m / 2 * np.log(2 * np.pi)
+    def evidence(a: np.ndarray | int, e: np.ndarray | int, m: np.ndarray) -> np.ndarray:
+        t = s1[e] - s1[a]
+        square = t * t / m
+        beta = 1 + 0.5 * (s2[e] - s2[a] - square) + square / (2 * (1 + m))
+        return fixed[m] - (1 + m / 2) * np.log(np.maximum(beta, 1e-300))
 
-    stay, move = np.log1p(-p), np.log(p)
+    move, whole = np.log(p), n + 1 if not truncate else IN_A_ROW
     after = np.full(n + 1, -np.inf)  # of the data from t on, a segment beginning at t
+    after[n] = -move  # the last segment has no change after it
     for t in range(n - 1, -1, -1):
-        e = np.arange(t + 1, n)
-        parts = np.append(evidence(t, e) + after[e] + (e - t - 1) * stay + move, evidence(t, n) + (n - t - 1) * stay)
-        top = parts.max()
-        after[t] = top + np.log(np.exp(parts - top).sum())
+        after[t] = _log_sum(lambda i, k, t=t: evidence(t, np.arange(t + 1 + i, t + 1 + k), sizes[i + 1 : k + 1]) + after[t + 1 + i : t + 1 + k] + move, n - t, whole)
     before = np.full(n + 1, -np.inf)  # of the data up to t, a segment ending before t
     before[0] = 0.0
+    start = np.full(n, move)
+    start[0] = 0.0
     for t in range(1, n):
-        a = np.arange(t)
-        parts = before[a] + evidence(a, t) + (t - a - 1) * stay + move
-        top = parts.max()
-        before[t] = top + np.log(np.exp(parts - top).sum())
+        before[t] = _log_sum(lambda i, k, t=t: before[t - k : t - i][::-1] + evidence(np.arange(t - 1 - i, t - 1 - k, -1), t, sizes[i + 1 : k + 1]), t, whole) + move
     out = np.exp(before[:n] + after[:n] - after[0])
     out[0] = 0.0
     return np.clip(out, 0.0, 1.0)
@@ -184,10 +291,8 @@ def welch_grid(epochs: np.ndarray, scores: np.ndarray, threshold: float = 0.25,
     return taken, [conf[i] for i in taken], label
 
 
-def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int], list[float], str]], most: int | None = None) -> DataFrame:
+def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int], list[float], str]]) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if most and len(pdf) > most:
-            raise ValueError(f"a series of {len(pdf)} bins; this detector takes {most} at most: use wider bins or a window-score detector")
         pdf = pdf.sort_values("epoch_us", kind="stable").reset_index(drop=True)
         places, conf, label = find(pdf)
         return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]] * len(places), "epoch": pdf.epoch.to_numpy()[places] if places else [], "confidence": conf, "algorithm": [label] * len(places)}).astype({"series_id": object, "epoch": float, "confidence": float, "algorithm": object})
@@ -197,12 +302,12 @@ def _grouped(series: DataFrame, find: Callable[[pd.DataFrame], tuple[list[int],
 
 def detect_pelt(series: DataFrame, model: str = "rbf", penalty: float = 10.0, threshold: float = 0.25, gap: float = 1800) -> DataFrame:
     """PELT change points of every series."""
-    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: pelt(p.epoch.to_numpy(), p.rtt_value.to_numpy(), model, penalty, threshold, gap), MAX_KERNEL_ROWS if model == "rbf" else None)
+    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: pelt(p.epoch.to_numpy(), p.rtt_value.to_numpy(), model, penalty, threshold, gap))
 
 
 def detect_bcp(series: DataFrame, threshold: float = 0.25) -> DataFrame:
     """Bayesian change points of every series."""
-    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: bcp(p.epoch.to_numpy(), p.rtt_value.to_numpy(), threshold), MAX_ROWS)
+    return _grouped(series.select("series_id", "epoch_us", "epoch", "rtt_value"), lambda p: bcp(p.epoch.to_numpy(), p.rtt_value.to_numpy(), threshold))
 
 
 def detect_welch(series: DataFrame, threshold: float = 0.25, gap: float = 1800, most: int | None = None) -> DataFrame:

@@ -45,19 +45,21 @@ def jitter(series: DataFrame) -> DataFrame:
     return previous.withColumn("jitter", F.col("rtt_value") - F.col("previous")).where("jitter is not null").select(*keep, "jitter")
 
 
-def with_previous(samples: DataFrame, column: str, name: str, order: str = "epoch_us", bucket: int = DAY_US) -> DataFrame:
+def with_previous(samples: DataFrame, column: str, name: str, order: str = "epoch_us", bucket: float = DAY_US, ahead: bool = False) -> DataFrame:
     """With the ``column`` of the sample before (by ``order`` and seq), without sorting a whole series in one task.
 
     Series are cut into ranges of ``order``; the last sample of the range before
     (a small aggregate) stands in for the neighbour of a range's first sample.
+    ``ahead`` takes the sample after instead.
     """
     keyed = samples.withColumn("bucket", F.floor(F.col(order) / bucket))
     by = [order, "seq"] if order != "seq" and "seq" in samples.columns else [order]
-    lasts = keyed.groupBy("series_id", "bucket").agg(F.max_by(column, F.struct(*by)).alias("last"))
-    before = lasts.select("series_id", "bucket", F.lag("last").over(Window.partitionBy("series_id").orderBy("bucket")).alias("before"))
+    edge, beside = (F.min_by, F.lead) if ahead else (F.max_by, F.lag)
+    edges = keyed.groupBy("series_id", "bucket").agg(edge(F.struct(F.col(column).alias("v")), F.struct(*by)).alias("edge"))
+    over = edges.select("series_id", "bucket", beside("edge").over(Window.partitionBy("series_id").orderBy("bucket")).alias("over"))
     w = Window.partitionBy("series_id", "bucket").orderBy(*by)
-    out = keyed.withColumn(name, F.lag(column).over(w)).withColumn("first", F.row_number().over(w) == 1).join(before, ["series_id", "bucket"])
-    return out.withColumn(name, F.when(F.col("first"), F.col("before")).otherwise(F.col(name))).drop("bucket", "first", "before")
+    out = keyed.withColumn(name, beside(F.struct(F.col(column).alias("v"))).over(w)).join(over, ["series_id", "bucket"])
+    return out.withColumn(name, F.coalesce(name, "over")["v"]).drop("bucket", "over")
 
 
 def raw_jitter(samples: DataFrame, bucket_us: int = DAY_US) -> DataFrame:

@@ -16,6 +16,8 @@ from rillscope.plans.pipeline import Pipeline, compare, detect
 from rillscope.sinks import nested_json, save, summary_json
 from rillscope.sources import infer_format, normalize, read_csv, read_expected, read_path, read_scamper
 
+from .test_folds import plain_cost
+
 
 def samples(spark, epochs, values, series="a"):
     rows = [(series, i, int(round(e * 1e6)), float(e), float(v)) for i, (e, v) in enumerate(zip(epochs, values, strict=True))]
@@ -68,16 +70,15 @@ def test_raw_jitter_equals_global_lag(spark):
 def test_pelt_is_optimal(model):
     rng = np.random.default_rng(5)
     x = np.concatenate((rng.normal(0, 1, 15), rng.normal(6, 1, 14), rng.normal(-3, 2, 11)))
-    cost = sequential.segment_cost(x, model)
     n, pen = len(x), 3.0
     best, last = {0: 0.0}, {}
     for e in range(2, n + 1):
-        options = [(best[s] + float(cost(np.array([s]), e)[0]) + pen, s) for s in best if e - s >= 2]
+        options = [(best[s] + plain_cost(x, model, s, e) + pen, s) for s in best if e - s >= 2]
         if options:
             best[e], last[e] = min(options)
     found = sequential.optimal_partition(x, pen, model, jump=1)
     bounds = [0, *found, n]
-    total = sum(float(cost(np.array([a]), b)[0]) + pen for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    total = sum(plain_cost(x, model, a, b) + pen for a, b in zip(bounds[:-1], bounds[1:], strict=True))
     assert total == pytest.approx(best[n])
 
 
