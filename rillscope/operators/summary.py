@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import placed, range_window, with_halo
+
+#: Sequence numbers in a stretch.
+SEQ_STRETCH = 1 << 20
+
 
 def _span():
     return F.col("end_epoch") - F.col("start_epoch")
@@ -86,9 +91,21 @@ def durations_by_source(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def service_statistics(requests: DataFrame, last: int = 100) -> DataFrame:
-    """Running counts of requests (``seq``, ``seconds``, ``ok``) by service, and the mean time of the last ones."""
-    w = Window.partitionBy("service").orderBy("seq")
-    return requests.select("service", "seq", F.row_number().over(w).alias("requests"), F.sum((~F.col("ok")).cast("int")).over(w).alias("errors"), F.avg("seconds").over(w.rowsBetween(1 - last, 0)).alias("recent_seconds"))
+    """Running counts of requests (``seq``, ``seconds``, ``ok``) by service, and the mean time of the last ones.
+
+    Requests are numbered by stretches of ``seq``; a range of them gets the
+    ``last`` before it, and what the ranges before add up to is one row each.
+    """
+    rows = requests.select(F.col("service").alias("series_id"), F.col("seq").alias("epoch_us"), "seconds", (~F.col("ok")).cast("int").alias("bad"))
+    cut = with_halo(placed(rows, SEQ_STRETCH), last - 1, 0)
+    own = cut.where("own")
+    totals = own.groupBy("series_id", "range").agg(F.sum("bad").alias("bad_here"))
+    earlier = Window.partitionBy("series_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("series_id", "range", F.coalesce(F.sum("bad_here").over(earlier), F.lit(0)).alias("bad_before"))
+    w = range_window()
+    running = F.sum(F.when(F.col("own"), F.col("bad")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = cut.withColumn("errors", running).withColumn("recent_seconds", F.avg("seconds").over(w.rowsBetween(1 - last, 0))).where("own").join(totals, ["series_id", "range"])
+    return seen.select(F.col("series_id").alias("service"), F.col("epoch_us").alias("seq"), (F.col("i") + 1).alias("requests"), (F.col("errors") + F.col("bad_before")).alias("errors"), "recent_seconds")
 
 
 def step_series(inf: DataFrame) -> DataFrame:
@@ -125,19 +142,20 @@ def accuracy(inf: DataFrame, expected: int) -> DataFrame:
     return inf.groupBy("series_id").agg((F.count_if("is_congested") / F.lit(expected) * 100).alias("accuracy"))
 
 
-def overlap(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of congested time; both sides (start_epoch, end_epoch) without overlaps of their own.
+def overlap(found: DataFrame, truth: DataFrame, *by: str) -> DataFrame:
+    """Precision, recall and F1 of congested time, over all or for each value of ``by``; both sides (start_epoch, end_epoch) without overlaps of their own.
 
-    An interval join on day buckets.
+    An interval join on day buckets.  Where one side has nothing the figure that
+    would divide by it is null.
     """
-    cut = lambda df, p: df.select(F.col("start_epoch").alias(f"{p}s"), F.col("end_epoch").alias(f"{p}e")).withColumn("day", F.explode(F.sequence(F.floor(F.col(f"{p}s") / 86400), F.floor(F.col(f"{p}e") / 86400))))
+    cut = lambda df, p: df.select(*by, F.col("start_epoch").alias(f"{p}s"), F.col("end_epoch").alias(f"{p}e")).withColumn("day", F.explode(F.sequence(F.floor(F.col(f"{p}s") / 86400), F.floor(F.col(f"{p}e") / 86400))))
     clip = lambda c, f: f(c, F.col("day") * 86400.0 if f is F.greatest else (F.col("day") + 1) * 86400.0)
-    both = cut(found, "f").join(cut(truth, "t"), "day").select((clip(F.least("fe", "te"), F.least) - clip(F.greatest("fs", "ts"), F.greatest)).alias("s")).where("s > 0").agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("both"))
-    size = lambda df, n: df.agg(F.coalesce(F.sum(_span()), F.lit(0.0)).alias(n))
-    one = lambda df: df.withColumn("k", F.lit(1))
-    m = one(both).join(one(size(found, "found")), "k").join(one(size(truth, "truth")), "k").drop("k")
-    m = m.select((F.col("both") / F.col("found")).alias("precision"), (F.col("both") / F.col("truth")).alias("recall"))
-    return m.withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
+    shared = cut(found, "f").join(cut(truth, "t"), [*by, "day"]).select(*by, (clip(F.least("fe", "te"), F.least) - clip(F.greatest("fs", "ts"), F.greatest)).alias("s")).where("s > 0")
+    side = lambda df, name, v: df.select(*by, *((v if n == name else F.lit(0.0)).alias(n) for n in ("both", "found", "truth")))
+    sums = side(shared, "both", F.col("s")).unionByName(side(found, "found", _span())).unionByName(side(truth, "truth", _span()))
+    m = sums.groupBy(*by).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("both", "found", "truth")))
+    m = m.select(*by, F.try_divide("both", "found").alias("precision"), F.try_divide("both", "truth").alias("recall"))
+    return m.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def benchmark_table(runs: DataFrame, *keys: str, measures: tuple[str, ...] = ("seconds", "n", "confidence")) -> DataFrame:

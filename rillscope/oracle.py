@@ -125,3 +125,26 @@ def online_ctes(hazard: float = 1 / 250, level: float = 0.9, least: int = 5, pru
                 FROM runs r JOIN rows_in_order d ON d.series_id = r.series_id AND d.i = r.i + 1)))))))) ,
 online AS (SELECT series_id, cp AS epoch, least(1.0, after) AS confidence, epoch AS detected_epoch FROM runs WHERE cp IS NOT NULL)""",
     ]
+
+
+def grid_ctes(threshold: float = 0.25, gap: float = 1800) -> list[str]:
+    """The choice of Welch candidates: the best of each cell of a time grid, then by rank while there are few.
+
+    Needs ``ws`` (series_id, i, epoch, n, score), ``wm`` (mu, sd) and ``mins``.
+    """
+    level = lambda k, least: f"greatest(mu + {k * threshold} * sd, {least})"
+    apart = lambda width: f"len(list_filter(taken, lambda t: abs(best - t) < {width})) = 0"
+    return [
+        f"""gc AS MATERIALIZED (SELECT series_id, epoch, score, prio, row_number() OVER (PARTITION BY series_id ORDER BY prio, score DESC, epoch) AS r
+  FROM (SELECT ws.series_id, epoch, score, CASE WHEN score > {level(3, 1.0)} THEN 1 WHEN score > {level(1.5, 0.7)} THEN 2 ELSE 3 END AS prio FROM ws JOIN wm USING (series_id) WHERE score > {level(0.5, 0.3)}))""",
+        f"""gb AS MATERIALIZED (SELECT series_id, lo, hi, (hi - lo) / 35 AS cell, greatest({gap}, 0.5 * ((hi - lo) / 35)) AS width, cs FROM
+  (SELECT series_id, min(epoch) AS lo, max(epoch) AS hi FROM mins GROUP BY 1) JOIN (SELECT series_id, list(epoch ORDER BY r) AS cs FROM gc GROUP BY 1) USING (series_id))""",
+        f"""gg AS (SELECT series_id, 0 AS k, lo AS here, []::DOUBLE[] AS taken FROM gb
+  UNION ALL SELECT series_id, k + 1, here + cell, CASE WHEN best IS NOT NULL AND {apart("width")} THEN list_append(taken, best) ELSE taken END FROM (
+    SELECT gg.*, gb.cell, gb.width, list_filter(gb.cs, lambda c: c >= gg.here AND c <= gg.here + gb.cell AND NOT list_contains(gg.taken, c))[1] AS best FROM gg JOIN gb USING (series_id) WHERE gb.cell > 0 AND gg.here < gb.hi))""",
+        "gs AS (SELECT series_id, arg_max(taken, k) AS taken FROM gg GROUP BY 1)",
+        f"""gr AS (SELECT series_id, 0 AS k, taken, len(taken) < 25 AS few FROM gs
+  UNION ALL SELECT series_id, k, CASE WHEN few AND prio <= 2 AND len(taken) < 40 AND NOT list_contains(taken, best) AND {apart(gap)} THEN list_append(taken, best) ELSE taken END, few
+    FROM (SELECT gr.series_id, gc.r AS k, gr.taken, gr.few, gc.prio, gc.epoch AS best FROM gr JOIN gc ON gc.series_id = gr.series_id AND gc.r = gr.k + 1))""",
+        "grid_cps AS (SELECT g.series_id, g.epoch, least(1.0, gc.score / 10) AS confidence FROM (SELECT series_id, unnest(arg_max(taken, k)) AS epoch FROM gr GROUP BY 1) g JOIN gc ON gc.series_id = g.series_id AND gc.epoch = g.epoch)",
+    ]

@@ -525,9 +525,20 @@ def bcp(spark, d):
     return sequential.detect_bcp(_minima(spark, d))
 
 
-@_query()
+_WELCH =       [
+          *o.BASE,
+          o.INDEXED,
+          "z AS (SELECT *, (rtt_value - avg(rtt_value) OVER s) / (stddev_pop(rtt_value) OVER s + 1e-8) AS x, least(30, n // 6)::INT AS w FROM idx WINDOW s AS (PARTITION BY series_id))",
+          """ws AS (SELECT series_id, i, epoch, n, CASE WHEN w >= 5 AND pooled > 1e-8 THEN abs(ml - mr) / sqrt(pooled) ELSE 0 END AS score FROM (
+SELECT a.series_id, a.i, a.epoch, a.n, a.w, avg(b.x) FILTER (b.i < a.i) AS ml, avg(b.x) FILTER (b.i >= a.i) AS mr, var_pop(b.x) FILTER (b.i < a.i) / a.w + var_pop(b.x) FILTER (b.i >= a.i) / a.w AS pooled
+FROM z a JOIN z b ON a.series_id = b.series_id AND b.i >= a.i - a.w AND b.i < a.i + a.w WHERE a.n >= 10 AND a.i >= a.w AND a.i < a.n - a.w GROUP BY a.series_id, a.i, a.epoch, a.n, a.w))""",
+          "wm AS (SELECT series_id, sum(score) / max(n) AS mu, sqrt(greatest(sum(score * score) / max(n) - (sum(score) / max(n)) * (sum(score) / max(n)), 0)) AS sd FROM ws GROUP BY series_id)",
+      ]
+
+
+@_query(o.sql([*_WELCH, *o.grid_ctes()], "SELECT series_id, epoch, round(confidence, 5) AS confidence, 'torch_statistical' AS algorithm FROM grid_cps"))
 def welch_grid(spark, d):
-    return sequential.detect_welch(_minima(spark, d))
+    return sequential.detect_welch(_minima(spark, d)).select("series_id", "epoch", F.round("confidence", 5).alias("confidence"), "algorithm")
 
 
 @_query()
@@ -598,16 +609,39 @@ def first_congested(spark, d):
     return summary.first_congested(_inferences(spark, d)).select("series_id", "cp_idx", "start_epoch", "end_epoch")
 
 
-@_query(o.sql(o.TO_INF, "SELECT origin, count(*) AS n, round(avg(h), 6) AS mean_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT CASE WHEN series_id = 'click' THEN 'expected' ELSE 'detected' END AS origin, (end_epoch - start_epoch) / 3600 AS h FROM inf WHERE is_congested) GROUP BY origin"))
+@_query(o.sql(o.TO_INF, "SELECT origin, count(*) AS n, round(avg(h), 6) AS mean_hours, round(min(h), 6) AS min_hours, round(max(h), 6) AS max_hours FROM (SELECT 'detected' AS origin, (end_epoch - start_epoch) / 3600 AS h FROM inf WHERE is_congested UNION ALL SELECT 'expected', (end_epoch - start_epoch) / 3600 FROM inf WHERE has_jump) GROUP BY origin"))
 def expected_and_detected(spark, d):
+    """Writes the periods with a jump as a file of expected ones and reads it back."""
+    import uuid
+
+    from .sources import read_expected
+    from .storage import shared_path
+
+    inf = _inferences(spark, d)
+    path = shared_path(spark, f"expected-{uuid.uuid4().hex}")
+    inf.select(F.col("start_epoch").alias("starts"), F.col("end_epoch").alias("ends"), F.col("has_jump").cast("double").alias("congestion")).write.option("header", True).csv(path)
+    return _rounded(summary.durations_by_source(inf, read_expected(spark, path)), "mean_hours", "min_hours", "max_hours")
+
+
+@_query(
+    o.sql(
+        o.TO_INF,
+        """SELECT series_id, round(b / f, 6) AS precision, round(b / t, 6) AS recall, round(2 * (b / f) * (b / t) / (b / f + b / t), 6) AS f1 FROM (
+  SELECT s.series_id, nullif(f, 0) AS f, nullif(t, 0) AS t, coalesce(b, 0) AS b FROM (SELECT series_id, sum(end_epoch - start_epoch) FILTER (is_congested) AS f, sum(end_epoch - start_epoch) FILTER (has_jump) AS t FROM inf WHERE is_congested OR has_jump GROUP BY 1) s
+  LEFT JOIN (SELECT i.series_id, sum(least(i.end_epoch, j.end_epoch) - greatest(i.start_epoch, j.start_epoch)) AS b FROM inf i JOIN inf j ON i.series_id = j.series_id AND i.start_epoch < j.end_epoch AND j.start_epoch < i.end_epoch WHERE i.is_congested AND j.has_jump GROUP BY 1) USING (series_id))""",
+    )
+)
+def overlap_by_series(spark, d):
+    """How the congested time of each series agrees with the time of its jumps."""
     inf = _inferences(spark, d)
-    return _rounded(summary.durations_by_source(inf.where("series_id != 'click'"), narrow(inf.where("series_id = 'click'"))), "mean_hours", "min_hours", "max_hours")
+    return _rounded(summary.overlap(inf.where("is_congested"), inf.where("has_jump"), "series_id"), "precision", "recall", "f1")
 
 
-@_query("SELECT event_type AS service, event_id AS seq, row_number() OVER w AS requests, (sum((value <= 0)::INT) OVER w)::BIGINT AS errors, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS recent_seconds FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
+@_query("SELECT event_type AS service, event_id AS seq, row_number() OVER w AS requests, (sum((value <= 0)::INT) OVER w)::BIGINT AS errors, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS recent_seconds FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)")
 def service_stats(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("service"), F.col("event_id").alias("seq"), F.col("value").alias("seconds"), (F.col("value") > 0).alias("ok"))
-    return _rounded(summary.service_statistics(e), "recent_seconds")
+    # Means of up to 100 values of two decimals have eight: a ninth leaves no ties to round.
+    return summary.service_statistics(e).withColumn("recent_seconds", F.round("recent_seconds", 9))
 
 
 @_query(o.sql(o.TO_INF, "SELECT series_id, start_epoch AS starts, end_epoch AS ends, round(end_epoch - start_epoch, 6) AS duration, is_congested::INT::DOUBLE AS congestion, round(confidence, 6) AS confidence, has_jump AS has_latency_jump, round(magnitude, 6) AS jump_magnitude, has_significant_jitter AS has_jitter_change, round(jitter_metric, 6) AS jitter_metric, 'jitter_dispersion' AS jitter_method FROM inf"))
@@ -630,6 +664,61 @@ def export_nested_json(spark, d):
     return made.select("r.series_id", F.size("r.inferences").cast("bigint").alias("periods"), F.size(F.filter("r.inferences", lambda x: x["is_congested"])).cast("bigint").alias("congested"), "r.metadata.algorithm")
 
 
+_META = "(SELECT (SELECT count(*) FROM rtt) AS measurements, 'adtk' AS algorithm)"
+
+
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
+    return events_as_samples(spark, d).agg(F.count("*").alias("measurements")).withColumn("algorithm", F.lit("adtk"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, round(start_epoch, 6) AS starts, round(end_epoch, 6) AS ends, is_congested::INT::DOUBLE AS congestion, round(magnitude, 6) AS latency_jump_magnitude, threshold AS latency_jump_threshold, 'jitter_dispersion' AS jitter_method, round(jitter_metric, 6) AS jitter_metric, jitter_threshold, round(confidence, 6) AS confidence, (SELECT count(*) FROM rtt) AS total_measurements, 'adtk' AS algorithm_used FROM inf"))
+def export_parquet_metadata(spark, d):
+    """Writes Parquet with the metadata on every row and reads it back."""
+    import uuid
+
+    from .sinks import save
+    from .storage import shared_path
+
+    path = shared_path(spark, f"metadata-{uuid.uuid4().hex}")
+    save(inference.as_inferences(_inferences(spark, d)), path, "parquet", full=True, metadata=_metadata(spark, d))
+    return _rounded(spark.read.parquet(path), "starts", "ends", "latency_jump_magnitude", "jitter_metric", "confidence")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, round(start_epoch, 3) AS starts, round(end_epoch, 3) AS ends, is_congested AS congested, round(confidence, 2) AS confidence, count(*) OVER s AS total, count(*) FILTER (is_congested) OVER s AS n_congested, round(coalesce(sum(end_epoch - start_epoch) FILTER (is_congested) OVER s, 0), 3) AS duration FROM inf WINDOW s AS (PARTITION BY series_id)"))
+def export_minimal_json(spark, d):
+    """Writes the minimal objects and takes them apart again."""
+    from .sinks import minimal_json
+
+    schema = "series_id string, congestion_periods array<struct<start: double, end: double, congested: boolean, confidence: double>>, summary struct<total: bigint, congested: bigint, duration: double>"
+    made = minimal_json(inference.as_inferences(_inferences(spark, d))).select(F.from_json("value", schema).alias("o")).select("o.series_id", "o.summary", F.explode("o.congestion_periods").alias("p"))
+    return made.select("series_id", F.round("p.start", 3).alias("starts"), F.round("p.end", 3).alias("ends"), "p.congested", "p.confidence", "summary.total", F.col("summary.congested").alias("n_congested"), F.round("summary.duration", 3).alias("duration"))
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, strftime(make_timestamp(round(start_epoch * 1000000)::BIGINT), '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS starts, round((end_epoch - start_epoch) / 60, 6) AS minutes, is_congested, has_jump, round(magnitude, 6) AS magnitude, threshold, 'jitter_dispersion' AS method, has_significant_jitter, round(jitter_metric, 6) AS jitter_metric, 'adtk' AS algorithm FROM inf"))
+def export_detailed_json(spark, d):
+    """Writes the detailed objects and takes them apart again."""
+    from .sinks import detailed_json
+
+    period = "time_period: struct<start: string, duration_minutes: double>, congestion_inference: struct<is_congested: boolean>, latency_analysis: struct<has_jump: boolean, magnitude_ms: double, threshold_ms: double>, jitter_analysis: struct<method: string, has_significant_change: boolean, metric_value: double>"
+    made = detailed_json(inference.as_inferences(_inferences(spark, d)), _metadata(spark, d)).select(F.from_json("value", f"series_id string, analysis_results array<struct<{period}>>, metadata struct<algorithm: string>").alias("o"))
+    p = made.select("o.series_id", F.col("o.metadata.algorithm").alias("algorithm"), F.explode("o.analysis_results").alias("p"))
+    jump, jit = "p.latency_analysis", "p.jitter_analysis"
+    out = p.select("series_id", F.col("p.time_period.start").alias("starts"), F.col("p.time_period.duration_minutes").alias("minutes"), "p.congestion_inference.is_congested", f"{jump}.has_jump", F.col(f"{jump}.magnitude_ms").alias("magnitude"), F.col(f"{jump}.threshold_ms").alias("threshold"), f"{jit}.method", F.col(f"{jit}.has_significant_change").alias("has_significant_jitter"), F.col(f"{jit}.metric_value").alias("jitter_metric"), "algorithm")
+    return _rounded(out, "minutes", "magnitude", "jitter_metric")
+
+
+@_query(o.sql(o.TO_INF, "SELECT series_id, (row_number() OVER (PARTITION BY series_id ORDER BY start_epoch) - 1)::BIGINT AS place, is_congested AS congested, round(confidence, 6) AS confidence, round(magnitude, 6) AS latency_jump, round(jitter_metric, 6) AS jitter_metric FROM inf"))
+def export_time_series_json(spark, d):
+    """Writes the objects of parallel arrays and zips them again."""
+    from .sinks import time_series_json
+
+    schema = "series_id string, congestion_status array<boolean>, confidence_scores array<double>, latency_jumps array<double>, jitter_metrics array<double>"
+    made = time_series_json(inference.as_inferences(_inferences(spark, d))).select(F.from_json("value", schema).alias("o")).select("o.*")
+    rows = made.select("series_id", F.posexplode(F.arrays_zip("congestion_status", "confidence_scores", "latency_jumps", "jitter_metrics")).alias("place", "z"))
+    out = rows.select("series_id", F.col("place").cast("bigint").alias("place"), F.col("z.congestion_status").alias("congested"), F.col("z.confidence_scores").alias("confidence"), F.col("z.latency_jumps").alias("latency_jump"), F.col("z.jitter_metrics").alias("jitter_metric"))
+    return _rounded(out, "confidence", "latency_jump", "jitter_metric")
+
+
 @_query(o.sql(o.TO_INF, "SELECT series_id, cp_idx, strftime(make_timestamp((start_epoch * 1000000)::BIGINT), '%Y-%m-%d %H:%M:%S') AS starts, upper(series_id) || '#' || cp_idx AS label, length(series_id) AS size FROM inf"))
 def labels_and_times(spark, d):
     t = F.timestamp_micros(F.round(F.col("start_epoch") * 1e6).cast("bigint"))
@@ -646,15 +735,7 @@ def state_map(spark, d):
 
 @_query(
     o.sql(
-        [
-            *o.BASE,
-            o.INDEXED,
-            "z AS (SELECT *, (rtt_value - avg(rtt_value) OVER s) / (stddev_pop(rtt_value) OVER s + 1e-8) AS x, least(30, n // 6)::INT AS w FROM idx WINDOW s AS (PARTITION BY series_id))",
-            """ws AS (SELECT series_id, i, epoch, n, CASE WHEN w >= 5 AND pooled > 1e-8 THEN abs(ml - mr) / sqrt(pooled) ELSE 0 END AS score FROM (
-  SELECT a.series_id, a.i, a.epoch, a.n, a.w, avg(b.x) FILTER (b.i < a.i) AS ml, avg(b.x) FILTER (b.i >= a.i) AS mr, var_pop(b.x) FILTER (b.i < a.i) / a.w + var_pop(b.x) FILTER (b.i >= a.i) / a.w AS pooled
-  FROM z a JOIN z b ON a.series_id = b.series_id AND b.i >= a.i - a.w AND b.i < a.i + a.w WHERE a.n >= 10 AND a.i >= a.w AND a.i < a.n - a.w GROUP BY a.series_id, a.i, a.epoch, a.n, a.w))""",
-            "wm AS (SELECT series_id, sum(score) / max(n) AS mu, sqrt(greatest(sum(score * score) / max(n) - (sum(score) / max(n)) * (sum(score) / max(n)), 0)) AS sd FROM ws GROUP BY series_id)",
-        ],
+        _WELCH,
         """SELECT series_id, epoch, round(score, 5) AS score, round(least(1.0, score / 10), 5) AS confidence, CASE WHEN score > greatest(mu + 0.75 * sd, 1.0) THEN 1 WHEN score > greatest(mu + 0.375 * sd, 0.7) THEN 2 ELSE 3 END AS priority
   FROM ws JOIN wm USING (series_id) WHERE score > greatest(mu + 0.125 * sd, 0.3)""",
     )
@@ -735,6 +816,23 @@ def stream_change_points(spark, d):
     return _rounded(found, "epoch", "confidence", "detected_epoch")
 
 
+@_query()
+def sql_detect_pelt(spark, d):
+    """Change points by the function that SQL calls on a table."""
+    from .functions.table import register_functions
+
+    register_functions(spark)
+    _minima(spark, d).createOrReplaceTempView("rill_minima")
+    return spark.sql("SELECT * FROM rill_detect_pelt('l2', TABLE(rill_minima) PARTITION BY series_id)")
+
+
+@_query()
+def algo_compare_all(spark, d):
+    """Change points of all five detectors over the same minima, with their number and mean confidence by series."""
+    found = compare(_minima(spark, d), ChangePoints(), ["ruptures", "bcp", "torch", "rbeast", "adtk"])
+    return found.groupBy("series_id", "detector").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

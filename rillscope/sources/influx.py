@@ -140,7 +140,7 @@ def series_of(tags: str) -> Column:
 
 
 def read_influx(spark: SparkSession, path: str, mode: str = "drop", series: str | None = None, kind: str | None = None, precision: str = "ns") -> DataFrame:
-    """Samples from an export; ``series`` is a tag that tells series apart, "*" takes all tags, None makes all rows one series."""
+    """Samples from an export; ``series`` is a tag that tells series apart, "*" takes all tags, "file" each file, None makes all rows one series."""
     from .readers import normalize
 
     rows = influx_lines(spark, path, kind, precision)
@@ -149,7 +149,7 @@ def read_influx(spark: SparkSession, path: str, mode: str = "drop", series: str
         if bad:
             raise ValueError(f"a broken line ({bad[0].broken}) in {bad[0].file}: {bad[0].line[:200]}")
     tag = lambda t: F.try_element_at("tags", F.lit(t))
-    good = rows.where("broken is null").select((F.col("time_us") / 1e6).alias("epoch"), "rtt_value", "seq", tag("source").alias("source"), tag("destination").alias("destination"), (series_of("tags") if series == "*" else tag(series) if series else F.lit("all")).alias("series_id"))
+    good = rows.where("broken is null").select((F.col("time_us") / 1e6).alias("epoch"), "rtt_value", "seq", tag("source").alias("source"), tag("destination").alias("destination"), (series_of("tags") if series == "*" else F.col("file") if series == "file" else tag(series) if series else F.lit("all")).alias("series_id"))
     return normalize(good, "series_id", mode)
 
 

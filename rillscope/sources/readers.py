@@ -72,16 +72,20 @@ def read_csv(spark: SparkSession, path: str, mode: str = "drop", per_file: bool
 
 
 def scamper_samples(lines: DataFrame) -> DataFrame:
-    """One row per answered ping of JSON lines (column ``value``), other lines left out."""
-    rows = lines.select(F.from_json("value", SCAMPER).alias("r")).where("r.type = 'ping'").select("r.src", "r.dst", F.explode("r.responses").alias("a"))
+    """One row per answered ping of JSON lines (column ``value``; others stay), other lines left out."""
+    more = [c for c in lines.columns if c != "value"]
+    rows = lines.select(F.from_json("value", SCAMPER).alias("r"), *more).where("r.type = 'ping'").select("r.src", "r.dst", F.explode("r.responses").alias("a"), *more)
     rows = rows.where("a.rtt is not null and a.tx.sec is not null and a.tx.usec is not null")
     us = F.col("a.tx.sec") * 1_000_000 + F.col("a.tx.usec")
-    return rows.select(us.alias("epoch_us"), (us / 1e6).alias("epoch"), F.col("a.rtt").alias("rtt_value"), F.col("src").alias("source"), F.col("dst").alias("destination"))
+    return rows.select(us.alias("epoch_us"), (us / 1e6).alias("epoch"), F.col("a.rtt").alias("rtt_value"), F.col("src").alias("source"), F.col("dst").alias("destination"), *more)
 
 
-def read_scamper(spark: SparkSession, path: str, mode: str = "drop", series_id: str | None = None) -> DataFrame:
-    """Samples from scamper JSON lines; order is given by time, so no sort is stored."""
-    return normalize(scamper_samples(spark.read.text(path)), series_id, mode)
+def read_scamper(spark: SparkSession, path: str, mode: str = "drop", series_id: str | None = None, per_file: bool = False) -> DataFrame:
+    """Samples from scamper JSON lines; order is given by time, so no sort is stored.  ``per_file`` makes each file a series."""
+    lines = spark.read.text(path)
+    if per_file:
+        lines, series_id = lines.select("value", F.col("_metadata.file_path").alias("file")), "file"
+    return normalize(scamper_samples(lines), series_id, mode)
 
 
 def concat_frames(frames: list[DataFrame], mode: str = "drop") -> DataFrame:
@@ -92,14 +96,14 @@ def concat_frames(frames: list[DataFrame], mode: str = "drop") -> DataFrame:
 
 
 def read_path(spark: SparkSession, path: str, kind: str | None = None, mode: str = "drop", per_file: bool = False) -> DataFrame:
-    """Samples from a path (or pattern) of a known or inferred format; ``per_file`` makes each CSV file a series."""
+    """Samples from a path (or pattern) of a known or inferred format; ``per_file`` makes each file a series."""
     kind = kind or infer_format(spark, path)
     if kind == "csv":
         return read_csv(spark, path, mode, per_file)
     if kind == "json":
-        return read_scamper(spark, path, mode)
+        return read_scamper(spark, path, mode, per_file=per_file)
     if kind == "influx":
-        return read_influx(spark, path, mode)
+        return read_influx(spark, path, mode, "file" if per_file else None)
     raise ValueError(f"unknown format: {kind}")
 
 
