@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import html
 import json
 import sys
-from pathlib import Path
 
 from .config import ALGORITHMS, FORMATS, METHODS, Config, load_config
 
@@ -19,7 +17,7 @@ def _parser() -> argparse.ArgumentParser:
 
     def settings(q: argparse.ArgumentParser) -> None:
         q.add_argument("path")
-        q.add_argument("--format", choices=("csv", "json"))
+        q.add_argument("--format", choices=("csv", "json", "influx"))
         q.add_argument("--config")
         q.add_argument("--per-file", action="store_true", help="each file of the path is a series")
         q.add_argument("--algorithm", choices=ALGORITHMS)
@@ -34,15 +32,17 @@ def _parser() -> argparse.ArgumentParser:
     r = sub.add_parser("report")
     settings(r)
     r.add_argument("--output", required=True)
+    r.add_argument("--title", default="Congestion")
     z = sub.add_parser("visualize")
     settings(z)
     z.add_argument("--output", required=True)
     v = sub.add_parser("validate")
     v.add_argument("path")
-    v.add_argument("--format", choices=("csv", "json"))
+    v.add_argument("--format", choices=("csv", "json", "influx"))
     c = sub.add_parser("compare")
     settings(c)
     c.add_argument("--algorithms", nargs="+", default=["rbeast", "adtk"])
+    c.add_argument("--output")
     t = sub.add_parser("config")
     t.add_argument("--template", required=True)
     sub.add_parser("version")
@@ -60,19 +60,6 @@ def _config(args: argparse.Namespace) -> Config:
     return load_config(args.config, explicit)
 
 
-def report_html(summary: list[dict], periods: list[dict]) -> str:
-    """A page with the summary and a strip of congested time for each series."""
-    rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r.values()) + "</tr>" for r in summary)
-    head = "".join(f"<th>{html.escape(k)}</th>" for k in (summary[0] if summary else {}))
-    strips = ""
-    for s in sorted({p["series_id"] for p in periods}):
-        mine = [p for p in periods if p["series_id"] == s]
-        lo, hi = min(p["start_epoch"] for p in mine), max(p["end_epoch"] for p in mine)
-        bars = "".join(f'<rect x="{1000 * (p["start_epoch"] - lo) / (hi - lo):.1f}" width="{1000 * (p["end_epoch"] - p["start_epoch"]) / (hi - lo):.1f}" height="20" fill="#c44"/>' for p in mine if p["is_congested"])
-        strips += f'<h3>{html.escape(s)}</h3><svg viewBox="0 0 1000 20" width="100%" height="20">{bars}</svg>'
-    return f"<!doctype html><meta charset=utf-8><title>Congestion</title><table><tr>{head}</tr>{rows}</table>{strips}"
-
-
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "version":
@@ -96,24 +83,25 @@ def main(argv: list[str] | None = None) -> int:
     config = _config(args)
     samples = read_path(spark, args.path, args.format, per_file=args.per_file)
     if args.command == "compare":
-        compare(min_intervals(samples, config.data_processing.minimum_interval_minutes), config.change_point_detection, args.algorithms).groupBy("series_id", "detector").count().show()
+        found = compare(min_intervals(samples, config.data_processing.minimum_interval_minutes), config.change_point_detection, args.algorithms)
+        if args.output:
+            from .sinks.report import write_comparison
+
+            write_comparison(spark, found, args.output)
+        else:
+            found.groupBy("series_id", "detector").count().show()
         return 0
     result = Pipeline(spark, config).run(samples)
     if args.command == "visualize":
-        from .operators import summary as plots
+        from .sinks.report import plot_relations
 
-        inf = result.inferences
-        relations = {"steps": plots.step_series(inf), "points": plots.duration_points(inf), "hours": plots.hour_histogram(inf), "heatmap": plots.heatmap(inf), "durations": plots.histogram(inf, inf.end_epoch - inf.start_epoch), "confidences": plots.histogram(inf, inf.confidence), "minima": result.minima, "change_points": result.change_points}
-        for name, df in relations.items():
+        for name, df in plot_relations(result).items():
             df.write.mode("overwrite").parquet(f"{args.output}/{name}")
         return 0
     if args.command == "report":
-        out = Path(args.output)
-        out.mkdir(parents=True, exist_ok=True)
-        summary = [r.asDict() for r in time_summary(result.inferences).toLocalIterator()]
-        spans = [r.asDict() for r in result.inferences.select("series_id", "start_epoch", "end_epoch", "is_congested").toLocalIterator()]
-        (out / "report.json").write_text(json.dumps(summary, indent=2))
-        (out / "index.html").write_text(report_html(summary, spans))
+        from .sinks.report import write_report
+
+        write_report(spark, result, args.output, args.title)
         return 0
     if args.output:
         save(result.inferences, args.output, config.output_format, args.wide, metadata=result.metadata)
