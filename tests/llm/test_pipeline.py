@@ -90,6 +90,6 @@ def test_registered(spark, small_dir):
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     out = __spark_entry__.queries()["op5_token_counts"](spark, small_dir)
     assert out.agg(F.sum("docs")).first()[0] == spark.read.parquet(f"{small_dir}/documents.parquet").count()
