@@ -148,3 +148,18 @@ def grid_ctes(threshold: float = 0.25, gap: float = 1800) -> list[str]:
     FROM (SELECT gr.series_id, gc.r AS k, gr.taken, gr.few, gc.prio, gc.epoch AS best FROM gr JOIN gc ON gc.series_id = gr.series_id AND gc.r = gr.k + 1))""",
         "grid_cps AS (SELECT g.series_id, g.epoch, least(1.0, gc.score / 10) AS confidence FROM (SELECT series_id, unnest(arg_max(taken, k)) AS epoch FROM gr GROUP BY 1) g JOIN gc ON gc.series_id = g.series_id AND gc.epoch = g.epoch)",
     ]
+
+
+#: Kolmogorov-Smirnov statistics of raw jitter in ``periods``, and exact p-values by counting lattice paths diagonal by diagonal.
+KS = [
+    """ks_in AS (SELECT p.series_id, p.cp_idx, p.start_epoch, p.end_epoch, v.jitter, CASE WHEN v.epoch >= p.start_epoch THEN 1 ELSE 0 END AS cur
+  FROM periods p JOIN rawjit v ON v.series_id = p.series_id AND v.epoch >= p.prev_epoch AND v.epoch <= p.end_epoch)""",
+    """ks AS MATERIALIZED (SELECT series_id, cp_idx, start_epoch, end_epoch, max(abs(cn / nn - cb / nb)) AS d, max(nb)::BIGINT AS n, max(nn)::BIGINT AS m FROM (
+  SELECT *, sum(cur) OVER e AS nn, sum(1 - cur) OVER e AS nb, sum(cur) OVER u AS cn, sum(1 - cur) OVER u AS cb FROM ks_in
+  WINDOW e AS (PARTITION BY series_id, cp_idx), u AS (PARTITION BY series_id, cp_idx ORDER BY jitter RANGE UNBOUNDED PRECEDING)) WHERE nn >= 2 AND nb >= 1 GROUP BY ALL)""",
+    """paths AS (SELECT series_id, cp_idx, d, n, m, 0 AS s, list_transform(range(0, n + 1), lambda i: CASE WHEN i = 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS inside FROM ks
+  UNION ALL SELECT series_id, cp_idx, d, n, m, s + 1, list_transform(range(0, n + 1), lambda i: CASE WHEN s + 1 - i < 0 OR s + 1 - i > m OR (abs(i / n - (s + 1 - i) / m) >= d - 1e-12 AND s + 1 < n + m) THEN 0.0
+      ELSE inside[i + 1] * ((s + 1 - i) / (s + 1)) + CASE WHEN i > 0 THEN inside[i] * (i / (s + 1)) ELSE 0.0 END END) FROM paths WHERE s < n + m)""",
+    "ksp AS (SELECT ks.*, least(1.0, greatest(0.0, 1.0 - paths.inside[ks.n + 1])) AS p_value FROM ks JOIN paths ON paths.series_id = ks.series_id AND paths.cp_idx = ks.cp_idx AND paths.s = ks.n + ks.m)",
+]
+KS_JIT = "djit AS (SELECT series_id, cp_idx, start_epoch, end_epoch, d AS jitter_metric, p_value < 0.05 AS has_significant_jitter, 0.05::DOUBLE AS jitter_threshold, p_value FROM ksp)"

@@ -541,10 +541,10 @@ def welch_grid(spark, d):
     return sequential.detect_welch(_minima(spark, d)).select("series_id", "epoch", F.round("confidence", 5).alias("confidence"), "algorithm")
 
 
-@_query()
+@_query(o.sql([*o.TO_CPS, o.RAWJIT, *o.KS], "SELECT series_id, cp_idx, start_epoch, end_epoch, round(d, 6) AS jitter_metric, p_value < 0.05 AS has_significant_jitter, 'ks_test' AS method, 0.05::DOUBLE AS threshold, round(p_value, 6) AS p_value FROM ksp"))
 def ks_pvalue(spark, d):
     s = events_as_samples(spark, d)
-    return periods.ks_periods(windows.raw_jitter(s), _periods(windows.min_intervals(s)))
+    return _rounded(periods.ks_periods(windows.raw_jitter(s), _periods(windows.min_intervals(s))), "jitter_metric", "p_value")
 
 
 _FLAGSHIP = [*o.LEVEL_CPS, o.replace_fold("lcap", 1800, "cps"), o.PERIODS, *o.TO_DISP, o.JUMPS, o.DJIT, o.EV, o.INF]
@@ -558,10 +558,17 @@ def pipeline_flagship(spark, d):
     return _rounded(out.select("series_id", "cp_idx", "start_epoch", "end_epoch", "is_congested", "confidence", "latency_jump.has_jump", "latency_jump.magnitude", "jitter_analysis.has_significant_jitter", "jitter_analysis.jitter_metric"), "confidence", "magnitude", "jitter_metric")
 
 
-@_query()
+@_query(
+    o.sql(
+        [*_BAYES_CPS, o.replace_fold("bcap", 1800, "cps"), o.PERIODS, o.RAWJIT, o.JUMPS, *o.KS, o.KS_JIT, o.EV, o.INF],
+        "SELECT series_id, cp_idx, start_epoch, end_epoch, is_congested, round(confidence, 6) AS confidence, has_jump, round(magnitude, 6) AS magnitude, has_significant_jitter, round(jitter_metric, 6) AS jitter_metric, round(p_value, 6) AS p_value FROM inf",
+    )
+)
 def pipeline_ks(spark, d):
+    """The whole analysis with the two-window detector and the test on raw jitter."""
     config = Config().merged({"change_point_detection": {"algorithm": "rbeast"}, "jitter_analysis": {"method": "ks_test"}})
-    return Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+    out = Pipeline(spark, config).run(events_as_samples(spark, d)).inferences
+    return _rounded(out.select("series_id", "cp_idx", "start_epoch", "end_epoch", "is_congested", "confidence", "latency_jump.has_jump", "latency_jump.magnitude", "jitter_analysis.has_significant_jitter", "jitter_analysis.jitter_metric", "jitter_analysis.p_value"), "confidence", "magnitude", "jitter_metric", "p_value")
 
 
 @_query(
