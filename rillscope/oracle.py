@@ -163,3 +163,73 @@ KS = [
     "ksp AS (SELECT ks.*, least(1.0, greatest(0.0, 1.0 - paths.inside[ks.n + 1])) AS p_value FROM ks JOIN paths ON paths.series_id = ks.series_id AND paths.cp_idx = ks.cp_idx AND paths.s = ks.n + ks.m)",
 ]
 KS_JIT = "djit AS (SELECT series_id, cp_idx, start_epoch, end_epoch, d AS jitter_metric, p_value < 0.05 AS has_significant_jitter, 0.05::DOUBLE AS jitter_threshold, p_value FROM ksp)"
+
+
+def partition_ctes(model: str, penalty: float = 7.5, jump: int = 5, least: int = 2) -> list[str]:
+    """The cheapest partition on a grid of ``jump`` bins by dynamic programming over all starts, and a lower penalty where it has fewer than ten bounds.
+
+    Needs ``idx``; gives ``part_cps``.
+    """
+    sums = [
+        "px AS MATERIALIZED (SELECT series_id, i, n, epoch, rtt_value, rtt_value - avg(rtt_value) OVER (PARTITION BY series_id) AS x FROM idx)",
+        "grid_ends AS (SELECT series_id, n, unnest(list_append(range(%d, n, %d), n)) AS e FROM (SELECT DISTINCT series_id, n FROM idx))" % (jump, jump),
+        "ends_k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY e) AS k FROM (SELECT DISTINCT * FROM grid_ends))",
+        "spots AS MATERIALIZED (SELECT series_id, e AS spot, k FROM ends_k UNION ALL SELECT DISTINCT series_id, 0, 0 FROM ends_k)",
+    ]
+    if model == "rbf":
+        # Kernel sums of blocks of bins, then of all blocks before each two spots.
+        cost = [
+            "mid AS MATERIALIZED (SELECT a.series_id, median((a.rtt_value - b.rtt_value) * (a.rtt_value - b.rtt_value)) AS middle FROM px a JOIN px b ON a.series_id = b.series_id AND a.i < b.i GROUP BY 1)",
+            f"""tiles AS (SELECT a.series_id, a.i // {jump} AS p, b.i // {jump} AS q, sum(exp(-least(100.0, greatest(0.01, CASE WHEN middle > 0 THEN (a.rtt_value - b.rtt_value) * (a.rtt_value - b.rtt_value) / middle ELSE (a.rtt_value - b.rtt_value) * (a.rtt_value - b.rtt_value) END)))) AS s
+  FROM px a JOIN px b ON a.series_id = b.series_id JOIN mid ON mid.series_id = a.series_id GROUP BY ALL)""",
+            "tall AS MATERIALIZED (SELECT series_id, p + 1 AS p, q + 1 AS q, sum(c) OVER (PARTITION BY series_id, q ORDER BY p) AS s FROM (SELECT *, sum(s) OVER (PARTITION BY series_id, p ORDER BY q) AS c FROM tiles))",
+            f"""costs AS (SELECT b.series_id, b.k, a.k AS j, exp(-0.01) * (b.spot - a.spot) - (ee.s - 2 * coalesce(ae.s, 0) + coalesce(aa.s, 0)) / (b.spot - a.spot) AS c
+  FROM spots a JOIN spots b ON a.series_id = b.series_id AND a.k < b.k AND b.spot - a.spot >= {least} JOIN tall ee ON ee.series_id = b.series_id AND ee.p = b.k AND ee.q = b.k
+  LEFT JOIN tall ae ON ae.series_id = b.series_id AND ae.p = a.k AND ae.q = b.k LEFT JOIN tall aa ON aa.series_id = b.series_id AND aa.p = a.k AND aa.q = a.k)""",
+        ]
+    else:
+        spread = "greatest(b.s2 - a.s2 - (b.s1 - a.s1) * (b.s1 - a.s1) / (b.spot - a.spot), 0)"
+        value = spread if model == "l2" else f"(b.spot - a.spot) * ln(greatest({spread} / (b.spot - a.spot), 1e-8))"
+        cost = [
+            "run AS (SELECT series_id, i + 1 AS i, sum(x) OVER w AS s1, sum(x * x) OVER w AS s2 FROM px WINDOW w AS (PARTITION BY series_id ORDER BY i))",
+            "at_spots AS MATERIALIZED (SELECT s.series_id, spot, k, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2 FROM spots s LEFT JOIN run ON run.series_id = s.series_id AND run.i = s.spot)",
+            f"costs AS (SELECT b.series_id, b.k, a.k AS j, {value} AS c FROM at_spots a JOIN at_spots b ON a.series_id = b.series_id AND a.k < b.k AND b.spot - a.spot >= {least})",
+        ]
+    return [
+        *sums,
+        *cost,
+        "ct AS MATERIALIZED (SELECT b.series_id, b.k, list(coalesce(c.c, 1e300) ORDER BY a.k) AS costs FROM spots a JOIN spots b ON a.series_id = b.series_id AND a.k < b.k LEFT JOIN costs c ON c.series_id = b.series_id AND c.k = b.k AND c.j = a.k GROUP BY ALL)",
+        f"""dp AS (SELECT series_id, pen, 0 AS k, [0.0]::DOUBLE[] AS best, []::BIGINT[] AS prior FROM (SELECT DISTINCT series_id FROM spots), (SELECT unnest([{penalty}, {0.3 * penalty}])::DOUBLE AS pen)
+  UNION ALL SELECT series_id, pen, k + 1, list_append(best, m + pen), list_append(prior, list_position(cand, m) - 1) FROM (SELECT *, list_min(cand) AS m FROM (
+    SELECT dp.series_id, dp.pen, dp.k, dp.best, dp.prior, list_transform(range(0, dp.k + 1), lambda j: dp.best[j + 1] + ct.costs[j + 1]) AS cand FROM dp JOIN ct ON ct.series_id = dp.series_id AND ct.k = dp.k + 1)))""",
+        "ends_dp AS (SELECT series_id, pen, arg_max(prior, k) AS prior FROM dp GROUP BY ALL)",
+        "back AS (SELECT series_id, pen, prior, prior[len(prior)] AS j FROM ends_dp UNION ALL SELECT series_id, pen, prior, prior[j] FROM back WHERE j > 0)",
+        f"""picked AS (SELECT b.series_id, b.pen, j * {jump} AS i FROM back b JOIN (SELECT series_id, count(*) FILTER (pen = {penalty} AND j > 0) AS many FROM back GROUP BY 1) USING (series_id) WHERE j > 0 AND b.pen = CASE WHEN many < 10 THEN {0.3 * penalty} ELSE {penalty} END)""",
+        f"""part_cps AS (SELECT p.series_id, c.epoch, 'ruptures_{model}' || CASE WHEN p.pen < {penalty} THEN '_lowpen' ELSE '' END AS algorithm, least(10, p.i, c.n - p.i) AS w,
+    avg(x.rtt_value) FILTER (x.i < p.i) AS ma, avg(x.rtt_value) FILTER (x.i >= p.i) AS mb, var_pop(x.rtt_value) FILTER (x.i < p.i) AS va, var_pop(x.rtt_value) FILTER (x.i >= p.i) AS vb
+  FROM picked p JOIN px c ON c.series_id = p.series_id AND c.i = p.i JOIN px x ON x.series_id = p.series_id AND x.i >= p.i - least(10, p.i, c.n - p.i) AND x.i < p.i + least(10, p.i, c.n - p.i) GROUP BY ALL)""",
+    ]
+
+
+def bayes_ctes() -> list[str]:
+    """Posterior probabilities of a change by the recursions forwards and backwards over whole lists; needs ``idx``, gives ``bcp_p``."""
+
+    def evidence(a: str, e: str) -> str:
+        m, t = f"({e} - {a})", f"(r.q1[{e} + 1] - r.q1[{a} + 1])"
+        beta = f"(1 + 0.5 * (r.q2[{e} + 1] - r.q2[{a} + 1] - {t} * {t} / {m}) + {t} * {t} / {m} / (2 * (1 + {m})))"
+        return f"(lgamma(1 + {m} / 2) - 0.5 * ln(1 + {m}) - {m} / 2 * ln(2 * pi()) + ({m} - 1) * r.stay - (1 + {m} / 2) * ln(greatest({beta}, 1e-300)))"
+
+    return [
+        """bsum AS MATERIALIZED (SELECT series_id, max(n) AS n, list_prepend(0.0, list(c1 ORDER BY i)) AS q1, list_prepend(0.0, list(c2 ORDER BY i)) AS q2, ln(1 / (max(n) + 1.0)) AS move, ln(1 - 1 / (max(n) + 1.0)) AS stay FROM (
+  SELECT series_id, i, n, sum(rtt_value) OVER w AS c1, sum(rtt_value * rtt_value) OVER w AS c2 FROM idx WINDOW w AS (PARTITION BY series_id ORDER BY i)) GROUP BY series_id)""",
+        f"""fore AS (SELECT series_id, 0 AS t, [0.0]::DOUBLE[] AS vs FROM bsum
+  UNION ALL SELECT series_id, t + 1, list_append(vs, top + ln(list_sum(list_transform(cand, lambda c: exp(c - top)))) + move) FROM (SELECT *, list_max(cand) AS top FROM (
+    SELECT f.series_id, f.t, f.vs, r.move, list_transform(range(0, f.t + 1), lambda a: f.vs[a + 1] + {evidence("a", "(f.t + 1)")}) AS cand FROM fore f JOIN bsum r ON r.series_id = f.series_id AND f.t < r.n - 1)))""",
+        f"""aft AS (SELECT series_id, n AS t, [-move]::DOUBLE[] AS vs FROM bsum
+  UNION ALL SELECT series_id, t - 1, list_append(vs, top + ln(list_sum(list_transform(cand, lambda c: exp(c - top))))) FROM (SELECT *, list_max(cand) AS top FROM (
+    SELECT f.series_id, f.t, f.vs, list_transform(range(0, r.n - f.t + 1), lambda k: f.vs[k + 1] + r.move + {evidence("(f.t - 1)", "(r.n - k)")}) AS cand FROM aft f JOIN bsum r ON r.series_id = f.series_id AND f.t > 0)))""",
+        "fore_all AS (SELECT series_id, arg_max(vs, t) AS fs FROM fore GROUP BY 1)",
+        "aft_all AS (SELECT series_id, arg_min(vs, t) AS bs FROM aft GROUP BY 1)",
+        """bcp_p AS (SELECT idx.series_id, idx.epoch, CASE WHEN i = 0 THEN 0.0 ELSE least(1.0, exp(fs[i + 1] + bs[n - i + 1] - bs[n + 1])) END AS p
+  FROM idx JOIN fore_all ON fore_all.series_id = idx.series_id JOIN aft_all ON aft_all.series_id = idx.series_id)""",
+    ]

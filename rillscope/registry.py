@@ -511,18 +511,21 @@ def props_json(spark, d):
 
 def _detected(model: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return sequential.detect_pelt(_minima(spark, d), model)
+        found = sequential.detect_pelt(_minima(spark, d), model)
+        return found.withColumn("confidence", F.round("confidence", 5))
 
     return run
 
 
 for _model in ("l2", "l1", "normal", "rbf"):
     _QUERIES[f"pelt_{_model}"] = _detected(_model)
+    if _model != "l1":
+        _SQL[f"pelt_{_model}"] = o.sql([*o.BASE, o.INDEXED, *o.partition_ctes(_model)], "SELECT series_id, epoch, round(CASE WHEN w < 2 THEN 0.5 ELSE least(1.0, (abs(mb - ma) + abs(vb - va)) / 10) END, 5) AS confidence, algorithm FROM part_cps")
 
 
-@_query()
+@_query(o.sql([*o.BASE, o.INDEXED, *o.bayes_ctes()], "SELECT series_id, epoch, round(p, 5) AS confidence, 'bayesian_cp' AS algorithm FROM bcp_p WHERE p > 0.25"))
 def bcp(spark, d):
-    return sequential.detect_bcp(_minima(spark, d))
+    return sequential.detect_bcp(_minima(spark, d)).withColumn("confidence", F.round("confidence", 5))
 
 
 _WELCH =       [
@@ -823,21 +826,34 @@ def stream_change_points(spark, d):
     return _rounded(found, "epoch", "confidence", "detected_epoch")
 
 
-@_query()
+@_query(o.sql([*o.BASE, o.INDEXED, *o.partition_ctes("l2")], "SELECT series_id, epoch, round(CASE WHEN w < 2 THEN 0.5 ELSE least(1.0, (abs(mb - ma) + abs(vb - va)) / 10) END, 5) AS confidence FROM part_cps"))
 def sql_detect_pelt(spark, d):
     """Change points by the function that SQL calls on a table."""
     from .functions.table import register_functions
 
     register_functions(spark)
     _minima(spark, d).createOrReplaceTempView("rill_minima")
-    return spark.sql("SELECT * FROM rill_detect_pelt('l2', TABLE(rill_minima) PARTITION BY series_id)")
+    return spark.sql("SELECT * FROM rill_detect_pelt('l2', TABLE(rill_minima) PARTITION BY series_id)").withColumn("confidence", F.round("confidence", 5))
+
+
+_ALL_CPS = [
+    *_BOTH_CPS[:-2],
+    *_WELCH[len(o.BASE) + 1 :],
+    *o.grid_ctes(),
+    *o.partition_ctes("rbf"),
+    *o.bayes_ctes(),
+    "pelt_found AS (SELECT series_id, epoch, CASE WHEN w < 2 THEN 0.5 ELSE least(1.0, (abs(mb - ma) + abs(vb - va)) / 10) END AS confidence FROM part_cps)",
+    "bcp_found AS (SELECT series_id, epoch, p AS confidence FROM bcp_p WHERE p > 0.25)",
+    *(o.replace_fold(source, 1800, name) for source, name in (("pelt_found", "f_ruptures"), ("bcp_found", "f_bcp"), ("grid_cps", "f_torch"))),
+    "found AS (" + " UNION ALL ".join(f"SELECT series_id, epoch, confidence, '{name}' AS detector FROM {table}" for name, table in (("ruptures", "f_ruptures"), ("bcp", "f_bcp"), ("torch", "f_torch"), ("rbeast", "rbeast"), ("adtk", "adtk"))) + ")",
+]
 
 
-@_query()
+@_query(o.sql(_ALL_CPS, "SELECT series_id, detector, count(*) AS n, round(avg(confidence), 5) AS confidence, min(epoch) AS first_epoch, max(epoch) AS last_epoch FROM found GROUP BY ALL"))
 def algo_compare_all(spark, d):
     """Change points of all five detectors over the same minima, with their number and mean confidence by series."""
     found = compare(_minima(spark, d), ChangePoints(), ["ruptures", "bcp", "torch", "rbeast", "adtk"])
-    return found.groupBy("series_id", "detector").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    return found.groupBy("series_id", "detector").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 5).alias("confidence"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
 
 
 def queries() -> dict[str, Query]:
