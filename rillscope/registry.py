@@ -775,16 +775,19 @@ def _streamed(spark: SparkSession, rows: DataFrame, epoch: str, step: Callable[[
     from .streaming import stream_to_table
 
     base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
-    lo, hi = rows.agg(F.min(epoch), F.max(epoch)).first()
+    lo, hi = (v or 0.0 for v in rows.agg(F.min(epoch), F.max(epoch)).first())
     displaced = F.col(epoch) - F.lit(lo) + F.pmod(F.xxhash64(*rows.columns), F.lit(late_s))
     dealt = rows.withColumn("batch", F.least(F.lit(3), F.floor(displaced / ((hi - lo) / 3.5 + 1e-6))).cast("int"))
     dealt.write.partitionBy("batch").parquet(f"{base}/dealt")
-    for k in range(4):
-        spark.read.schema(dealt.schema).parquet(f"{base}/dealt").where(F.col("batch") == k).select(rows.columns).write.mode("append").parquet(f"{base}/in/{k}")
+    dealt = spark.read.schema(dealt.schema).parquet(f"{base}/dealt")
     last = {c: F.lit(None) for c in rows.columns} | {"series_id": F.lit("end")} | end
-    spark.range(1).select(*(last[c].cast(t).alias(c) for c, t in rows.dtypes)).write.parquet(f"{base}/in/end")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    stream_to_table(step(stream, f"{late_s + 3600} seconds"), f"{base}/out", f"{base}/checkpoint")
+    batches = [dealt.where(F.col("batch") == k).select(rows.columns) for k in range(4)]
+    batches.append(spark.range(1).select(*(last[c].cast(t).alias(c) for c, t in rows.dtypes)))
+    for k, batch in enumerate(batches):
+        # Each run goes on from the state that the one before left, and takes all new files as one batch.
+        batch.write.parquet(f"{base}/in/{k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")
+        stream_to_table(step(stream, f"{late_s + 3600} seconds"), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").where("series_id != 'end'")
 
 
