@@ -224,6 +224,12 @@ def shingle_hashes(codes: np.ndarray, offsets: np.ndarray, word_hash: np.ndarray
     return out[index], ends
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting takes a fraction of the time of the hash table that ``np.unique`` uses alone."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def pack(values: np.ndarray) -> bytes:
     """Compressed bytes of integers, stored byte plane by byte plane."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T)

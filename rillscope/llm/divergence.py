@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import blocks, materialize, words_of
+from ._common import blocks, distinct, materialize, words_of
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,8 +72,9 @@ def _block_counts(block: pa.RecordBatch) -> pa.RecordBatch:
     size = max(1, len(terms))
     row = np.repeat(np.arange(len(texts)), np.diff(ends))
     keys, n = np.unique(group[row] * size + codes, return_counts=True)
-    once = np.unique(row * size + codes)
-    in_docs = np.bincount(np.searchsorted(keys, group[once // size] * size + once % size), minlength=len(keys))
+    once = distinct(row * size + codes)
+    # The same keys in the same order, counted once per document.
+    in_docs = np.unique(group[once // size] * size + once % size, return_counts=True)[1]
     which = keys // size
     take = lambda d, at: d.take(pa.array(at)).cast(pa.string())
     columns = [take(lang.dictionary, which // max(1, len(source.dictionary))), take(source.dictionary, which % max(1, len(source.dictionary))), take(terms, keys % size), pa.array(n.astype(np.int64)), pa.array(in_docs.astype(np.int64))]
