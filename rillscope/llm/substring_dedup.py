@@ -55,7 +55,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import GOLD, blocks, discard, fresh, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
+from ._common import GOLD, blocks, discard, distinct, fresh, hash_words, materialize, mix, pack, ragged, shards_for, shingle_hashes, text_bytes, unpack, words_of
 
 WIDTH = 5
 PASSAGE = 50
@@ -87,7 +87,7 @@ def window_minima(h: np.ndarray, length: int) -> np.ndarray:
     m = np.minimum(m[: n - length + 1], m[rest : rest + n - length + 1]) if rest else m[: n - length + 1]
     start = np.arange(len(m), dtype=np.int64)
     place = start + (((m & low).astype(np.int64) - start) & int(low))
-    return np.unique(place[np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))])
+    return distinct(place[np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))])
 
 
 def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def meeting(group: np.ndarray, first: np.ndarray, last: np.ndarray, fn: np.ndarr
     shift = (ends - (high - low + 2) - low)[at]
     begin, end = first + shift, last + shift
     total = np.zeros(int(ends[-1]) + 1, np.uint8)
-    for f in np.unique(fn):
+    for f in np.flatnonzero(np.bincount(fn)):
         mine = fn == f
         edge = np.bincount(begin[mine], minlength=len(total)) - np.bincount(end[mine] + 1, minlength=len(total))
         total += np.cumsum(edge) > 0
@@ -305,7 +305,7 @@ def _joined(table: pa.Table, hits: int, length: int) -> pa.Table:
     at, a = at[order], a[order]
     edges = _runs(text[at], a)
     pair = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    met = np.unique(pair[meeting(pair, begin[at], end[at], fn[at], hits)])
+    met = distinct(pair[meeting(pair, begin[at], end[at], fn[at], hits)])
     pairs = np.stack([a[edges[met]], doc_ids[text[at[edges[met]]]]], axis=1) if len(met) else np.zeros((0, 2), np.int64)
     if len(pairs):
         out.append({"block": head["block"], "kind": PAIR, "n": len(pairs), "a": pack(np.ascontiguousarray(pairs[:, 0])), "b": pack(np.ascontiguousarray(pairs[:, 1]))})
@@ -370,7 +370,7 @@ def _regions(on: DataFrame, spans: DataFrame, width: int, passage: int, buckets:
         keep, closed = ~inside(np.flatnonzero(kind == 1)), inside(np.flatnonzero(kind >= 0))
         whole, opened = mine[keep], mine[keep & ~closed]
         found, out = [_merged(doc[x], begin[x], end[x]) for x in (whole, opened)], {}
-        here = np.unique(found[0][0])
+        here = distinct(found[0][0])
         for (d, x, y), name in zip(found, ("", "open_"), strict=True):
             at = pa.array(np.append(np.searchsorted(d, here), len(d)), pa.int32())
             out |= {f"{name}begins": pa.ListArray.from_arrays(at, pa.array(x, pa.int64())), f"{name}ends": pa.ListArray.from_arrays(at, pa.array(y, pa.int64()))}
@@ -498,8 +498,8 @@ def _in_one_place(earlier: np.ndarray, later: np.ndarray, span: tuple[int, int,
     place = np.flatnonzero(np.isin(earlier, mine))
     count = np.searchsorted(place, place + k) - np.arange(len(place))
     best = int(np.argmax(count))
-    distinct = len(np.unique(mine))
-    if count[best] >= 2 * similarity / (1 + similarity) * distinct:
+    n_mine = len(distinct(mine))
+    if count[best] >= 2 * similarity / (1 + similarity) * n_mine:
         return [span]
     # The part that stands around the fullest place, then what is left on either side.
     part = earlier[max(0, int(place[best]) - width) : int(place[best]) + k + width]
