@@ -187,63 +187,89 @@ def pelt(epochs: np.ndarray, x: np.ndarray, model: str = "rbf", penalty: float =
     return found, [boundary_confidence(x, i) for i in found], label
 
 
-#: Logarithm of the share of a sum at which its terms are left out, and how many in a row it takes.
-TRUNCATE, IN_A_ROW = -60.0, 256
-
-
-def _log_sum(terms: Callable[[int, int], np.ndarray], n: int, first: int = IN_A_ROW) -> float:
-    """The logarithm of a sum of n terms given from the largest end on, stopped where IN_A_ROW of them are TRUNCATE below it."""
-    total, at, size = -np.inf, 0, first
-    while at < n:
-        part = terms(at, min(n, at + size))
-        top = part.max()
-        if top > -np.inf:
-            more = top + np.log(np.exp(part - top).sum())
-            total = more if total == -np.inf else max(total, more) + np.log1p(np.exp(-abs(total - more)))
-        at += size
-        if part[-IN_A_ROW:].max() < total + TRUNCATE:
-            break
-        size = min(2 * size, 4096)
-    return total
+#: Logarithm of the share of a sum below which terms are left out, and how many terms are bounded at once.
+NEGLIGIBLE, STRETCH = -60.0, 64
 
 
-def change_probabilities(x: np.ndarray, truncate: bool = True) -> np.ndarray:
-    """Posterior probability of a change at each row (Fearnhead's recursions forwards and backwards).
+def _log_total(*parts: np.ndarray) -> float:
+    top = max(float(p.max()) for p in parts)
+    return top + math.log(sum(float(np.exp(p - top).sum()) for p in parts))
 
-    Segments are normal with a Normal-Gamma(0, 1, 1, 1) prior, changes have a
-    constant prior probability.  A message sums over where its segment ends (or
-    begins), nearest first, and stops where IN_A_ROW terms one after another are
-    each below exp(TRUNCATE) of the sum.  Terms further off could only matter if
-    they rose again by more than that; in tests the probabilities are those of
-    the whole sums to 1e-9.  So time follows the length of segments rather than
-    the square of the series, and memory is linear.
+
+def _messages(x: np.ndarray, truncate: bool) -> np.ndarray:
+    """Logarithm of the evidence of x[t:] for each t, where a change comes before each segment.
+
+    With ``truncate``, a stretch of segment ends is left out where a bound of its
+    terms is NEGLIGIBLE beside the others: beta never falls as a segment grows,
+    the rest of the evidence is convex in the length, and the messages of a
+    stretch lie below a line.
     """
     n = len(x)
     p = 1.0 / (n + 1)
+    move = math.log(p)
     s1, s2 = np.concatenate(([0.0], np.cumsum(x))), np.concatenate(([0.0], np.cumsum(x * x)))
     gammas = np.array([math.lgamma(1 + k / 2) for k in range(n + 1)])
     sizes = np.arange(n + 1)
     # What depends on a segment's length alone.
     fixed = gammas - 0.5 * np.log(1 + sizes) - sizes / 2 * np.log(2 * np.pi) + np.maximum(sizes - 1, 0) * np.log1p(-p)
 
-    def evidence(a: np.ndarray | int, e: np.ndarray | int, m: np.ndarray) -> np.ndarray:
-        t = s1[e] - s1[a]
-        square = t * t / m
-        beta = 1 + 0.5 * (s2[e] - s2[a] - square) + square / (2 * (1 + m))
-        return fixed[m] - (1 + m / 2) * np.log(np.maximum(beta, 1e-300))
+    def spread(t: int, e: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The logarithm of beta."""
+        total = s1[e] - s1[t]
+        square = total * total / m
+        return np.log(np.maximum(1 + 0.5 * (s2[e] - s2[t] - square) + square / (2 * (1 + m)), 1e-300))
+
+    out = np.zeros(n + 1)
+
+    def terms(t: int, e: np.ndarray) -> np.ndarray:
+        m = e - t
+        return fixed[m] - (1 + m / 2) * spread(t, e, m) + out[e]
+
+    first = np.arange(0, n + 1, STRETCH)
+    last = np.minimum(first + STRETCH - 1, n)
+    top, slope = np.zeros(len(first)), np.zeros(len(first))
+    places = np.arange(STRETCH)
+
+    def members(stretches: np.ndarray) -> np.ndarray:
+        e = (first[stretches][:, None] + places).reshape(-1)
+        return e[e <= n]
 
-    move, whole = np.log(p), n + 1 if not truncate else IN_A_ROW
-    after = np.full(n + 1, -np.inf)  # of the data from t on, a segment beginning at t
-    after[n] = -move  # the last segment has no change after it
     for t in range(n - 1, -1, -1):
-        after[t] = _log_sum(lambda i, k, t=t: evidence(t, np.arange(t + 1 + i, t + 1 + k), sizes[i + 1 : k + 1]) + after[t + 1 + i : t + 1 + k] + move, n - t, whole)
-    before = np.full(n + 1, -np.inf)  # of the data up to t, a segment ending before t
-    before[0] = 0.0
-    start = np.full(n, move)
-    start[0] = 0.0
-    for t in range(1, n):
-        before[t] = _log_sum(lambda i, k, t=t: before[t - k : t - i][::-1] + evidence(np.arange(t - 1 - i, t - 1 - k, -1), t, sizes[i + 1 : k + 1]), t, whole) + move
-    out = np.exp(before[:n] + after[:n] - after[0])
+        far = t // STRETCH + 2 if truncate else len(first)
+        parts = [terms(t, np.arange(t + 1, min(n, far * STRETCH - 1) + 1))]
+        if far < len(first):
+            begin, end = first[far:], last[far:]
+            m, k = begin - t, end - t
+            low = spread(t, begin, m)
+            bound = top[far:] + np.maximum(fixed[m] - (1 + m / 2) * low, fixed[k] - (1 + k / 2) * low + slope[far:] * (end - begin))
+            best = int(np.argmax(bound))
+            total = _log_total(parts[0])
+            if bound[best] > total + NEGLIGIBLE:
+                parts.append(terms(t, members(np.array([far + best]))))
+                total, bound[best] = _log_total(*parts), -np.inf
+                rest = np.flatnonzero(bound > total + NEGLIGIBLE)
+                if len(rest):
+                    parts.append(terms(t, members(far + rest)))
+        out[t] = _log_total(*parts) + move
+        if t % STRETCH == 0:
+            j = t // STRETCH
+            mine = out[t : last[j] + 1]
+            slope[j] = (mine[-1] - mine[0]) / max(len(mine) - 1, 1)
+            top[j] = (mine - slope[j] * places[: len(mine)]).max()
+    return out
+
+
+def change_probabilities(x: np.ndarray, truncate: bool = True) -> np.ndarray:
+    """Posterior probability of a change at each row (Fearnhead's recursions forwards and backwards).
+
+    Segments are normal with a Normal-Gamma(0, 1, 1, 1) prior, changes have a
+    constant prior probability.  The message forwards is that of the reversed
+    series.  Where ends far off cannot matter, which a bound tells, they are left
+    out (``truncate``), so time follows what reaches a place rather than the
+    square of the series; memory is linear.
+    """
+    after, before = _messages(x, truncate), _messages(x[::-1], truncate)[::-1]
+    out = np.exp(before[:-1] + after[:-1] - after[0])
     out[0] = 0.0
     return np.clip(out, 0.0, 1.0)
 

@@ -112,3 +112,11 @@ def test_truncated_messages_are_the_whole_ones():
     rng = np.random.default_rng(7)
     for x in (np.concatenate([rng.normal(m, s, 400) for m, s in ((10, 1), (14, 3), (9, 1))]), rng.normal(0, 1, 900), np.full(700, 3.0), np.concatenate([rng.normal(m, 0.2, 60) for m in range(15)])):
         assert np.abs(sequential.change_probabilities(x) - sequential.change_probabilities(x, truncate=False)).max() < 1e-9
+
+
+def test_messages_rise_again_far_off():
+    """Small values make long segments likelier than all shorter ones, by more than a nearby stop would see."""
+    x = np.full(1500, 0.05)
+    p = sequential.change_probabilities(x)
+    assert np.abs(p - sequential.change_probabilities(x, truncate=False)).max() < 1e-9
+    assert p.max() < 0.25
