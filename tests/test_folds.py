@@ -120,3 +120,12 @@ def test_messages_rise_again_far_off():
     p = sequential.change_probabilities(x)
     assert np.abs(p - sequential.change_probabilities(x, truncate=False)).max() < 1e-9
     assert p.max() < 0.25
+
+
+def test_comparison_of_detectors_on_small_values(spark):
+    from rillscope.config import ChangePoints
+    from rillscope.plans.pipeline import compare
+
+    rows = [("a", i * 900_000_000, i * 900.0, 0.05) for i in range(1500)]
+    m = spark.createDataFrame(rows, "series_id string, epoch_us bigint, epoch double, rtt_value double")
+    assert compare(m, ChangePoints(), ["bcp"]).count() == 0
