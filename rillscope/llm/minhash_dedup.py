@@ -17,7 +17,9 @@ are in one bucket.  A bucket first links all its members to its least one
 have members of several components compare those outside the bucket's largest
 component with all others; so every pair that shares a bucket is verified,
 already in one component, or told apart by 512 further bits of signature (a
-pair at the threshold is so with a probability of 4e-6).  Nothing is capped.
+pair at the threshold is so with a probability of 4e-6) or by 512 parities of
+its shingles, which never differ in more places than the sets do.  A pair is
+looked at in the least of the buckets it shares.  Nothing is capped.
 
 *Verification.*  Links are kept if the exact similarity of the shingle sets
 reaches the threshold.  With 40 bands of 6 a pair of similarity 0.8 shares no
@@ -211,9 +213,11 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, co
 
 
 def bit_signatures(sets: DataFrame, counts: bool = False) -> DataFrame:
-    """(id, bits): one bit of each of BITS coordinates, in 64-bit words.
+    """(id, bits, total): one bit of each of BITS coordinates, then BITS parities, in 64-bit words; the set's weight.
 
-    Two sets of similarity s differ in a share of (1 - s) / 2 of the bits.
+    Two sets of similarity s differ in a share of (1 - s) / 2 of the bits.  A
+    parity is that of the shingles, each as often as it weighs, that a hash
+    sends there; two sets differ in no more of them than in shingles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,10 +228,22 @@ def bit_signatures(sets: DataFrame, counts: bool = False) -> DataFrame:
                 weights = [np.frombuffer(x, np.float32) if counts else np.ones(len(i)) for x, i in zip(b.column("weights").to_pylist(), items, strict=True)]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in items]))).astype(np.int64)
                 sig = dart_minhash(np.concatenate(items), np.concatenate(weights).astype(np.float64), ends, BITS)
-                words = np.packbits((sig & 1).astype(np.uint8), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words.tolist(), pa.list_(pa.int64()))], names=["id", "bits"])
+                words = np.packbits(np.concatenate(((sig & 1).astype(np.uint8), parities(items, weights)), axis=1), axis=1).view(np.int64)
+                total = [int(w.sum(dtype=np.float64)) for w in weights]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(words.tolist(), pa.list_(pa.int64())), pa.array(total, pa.int64())], names=["id", "bits", "total"])
 
-    return sets.mapInArrow(run, "id bigint, bits array<bigint>")
+    return sets.mapInArrow(run, "id bigint, bits array<bigint>, total bigint")
+
+
+def parities(items: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+    """BITS parities (sets x BITS) of sets of shingles with whole weights."""
+    out = np.zeros((len(items), BITS), np.uint8)
+    for row, item, weight in zip(out, items, weights, strict=True):
+        often = weight.astype(np.int64)
+        number = np.arange(often.sum()) - np.repeat(np.cumsum(often) - often, often)
+        place = mix(np.repeat(item, often) + (number + 1).astype(np.uint64) * GOLD) % np.uint64(BITS)
+        row[:] = np.bincount(place.astype(np.int64), minlength=BITS) & 1
+    return out
 
 
 def cross_pairs(placed: DataFrame, sets: DataFrame, threshold: float, counts: bool) -> DataFrame:
@@ -236,24 +252,32 @@ def cross_pairs(placed: DataFrame, sets: DataFrame, threshold: float, counts: bo
     ``placed`` has (key, id, n, least, part): a bucket's members with their
     components.  Members outside a bucket's largest component meet all others
     of the bucket; the join itself keeps only pairs whose bit signatures differ
-    no more than those of a pair at the threshold would by 4.5 deviations.
+    no more than those of a pair at the threshold would by 4.5 deviations, and
+    whose parities differ in no more places than such a pair's sets.  A pair
+    that shares several buckets is kept in that of the least key.
     """
     spark = placed.sparkSession
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n_part"))
     major = sizes.groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
     mixed = materialize(spark, placed.join(major, "key"), "mixed")
-    words = range(BITS // 64)
-    bits = materialize(spark, bit_signatures(sets.join(mixed.select("id").distinct(), "id", "left_semi"), counts).dropDuplicates(["id"]), "bits")
-    signed = mixed.join(bits, "id").select("*", *(F.get("bits", F.lit(w)).alias(f"w{w}") for w in words)).drop("bits")
-    strays = signed.where("part != major").select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("part").alias("pi"), "least", *(F.col(f"w{w}").alias(f"x{w}") for w in words))
-    others = signed.select("key", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("part").alias("pj"), (F.col("part") == F.col("major")).alias("in_major"), *(f"w{w}" for w in words))
+    words, odds = range(BITS // 64), range(BITS // 64, BITS // 32)
+    bits = bit_signatures(sets.join(mixed.select("id").distinct(), "id", "left_semi"), counts)
+    keys = mixed.groupBy("id").agg(F.collect_set("key").alias("keys"))  # as many as there are bands
+    bits = materialize(spark, bits.join(keys.hint("merge"), "id"), "bits")
+    held = [f"w{w}" for w in (*words, *odds)]
+    signed = mixed.join(bits, "id").select("key", "id", "n", "least", "part", "major", "total", F.filter("keys", lambda k: k < F.col("key")).alias("before"), *(F.get("bits", F.lit(w)).alias(name) for w, name in enumerate(held)))
+    strays = signed.where("part != major").select("key", F.col("id").alias("i"), F.col("n").alias("ni"), F.col("part").alias("pi"), F.col("total").alias("ti"), F.col("before").alias("bi"), "least", *(F.col(w).alias(f"x{w[1:]}") for w in held))
+    others = signed.select("key", F.col("id").alias("j"), F.col("n").alias("nj"), F.col("part").alias("pj"), F.col("total").alias("tj"), F.col("before").alias("bj"), (F.col("part") == F.col("major")).alias("in_major"), *held)
     share = (1 - threshold) / 2
     most = int(BITS * share + 4.5 * (BITS * share * (1 - share)) ** 0.5)
-    differ = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"w{w}"))) for w in words), F.lit(0))
+    differ = lambda places: sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"w{w}"))) for w in places), F.lit(0))
     fits = F.least("ni", "nj") >= threshold * F.greatest("ni", "nj") if not counts else F.lit(True)
+    # At the threshold the weights of what only one set has are this share of both; a little more for rounding.
+    apart = (F.col("ti") + F.col("tj")) * ((1 - threshold) / (1 + threshold) + 1e-6)
+    close = (differ(words) <= most) & (differ(odds) <= apart) & ~F.arrays_overlap("bi", "bj")
     # Pairs with the bucket's least member have been verified before.
     new = (F.col("pi") != F.col("pj")) & (F.col("in_major") | (F.col("i") < F.col("j"))) & (F.col("i") != F.col("least")) & (F.col("j") != F.col("least"))
-    found = strays.join(others, "key").where(new & fits & (differ <= most))
+    found = strays.join(others, "key").where(new & fits & close)
     return materialize(spark, found.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), "pairs")
 
 

@@ -97,6 +97,39 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert minhash_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_pairs_across_components_are_told_apart(spark):
+    """Of a bucket's many pairs at 0.7 to 0.8, those that share several buckets too, the join keeps once each and few but the links."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for i in rng.choice(150, 2, replace=False):
+            words[i] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id bigint, text string")
+    sets = minhash_dedup.shingle_sets(docs, docs.select(F.col("doc_id").alias("id")), counts=True)
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    alike = {(i + 1, j + 1): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i in range(150) for j in range(i + 1, 150)}
+    links = {p for p, s in alike.items() if s >= 0.8 and p[0] > 1}
+    placed = spark.range(1, 151).select(F.explode(F.array(*(F.lit(k).cast("bigint") for k in (7, 8, 9)))).alias("key"), "id", F.lit(146).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("least"), F.col("id").alias("part"))
+    found = {tuple(r) for r in minhash_dedup.cross_pairs(placed, sets, 0.8, True).collect()}
+    assert links <= found
+    near = sum(0.7 <= s < 0.8 for s in alike.values())
+    assert near > 5000 and len(found - links) < near / 3
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(13)
+    items = [np.unique(rng.integers(0, 400, k, dtype=np.uint64)) for k in (5, 80, 200, 300, 1000)]
+    weights = [rng.integers(1, 4, len(i)).astype(np.float32) for i in items]
+    odd = minhash_dedup.parities(items, weights)
+    held = [dict(zip(i.tolist(), w.tolist(), strict=True)) for i, w in zip(items, weights, strict=True)]
+    for x, p in zip(held, odd, strict=True):
+        for y, q in zip(held, odd, strict=True):
+            assert int((p != q).sum()) <= sum(abs(x.get(k, 0) - y.get(k, 0)) for k in x.keys() | y.keys())
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(i, i + 1) for i in range(100, 140)]
