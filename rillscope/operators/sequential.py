@@ -283,12 +283,26 @@ def bcp(epochs: np.ndarray, x: np.ndarray, threshold: float = 0.25) -> tuple[lis
     return found, [float(p[i]) for i in found], "bayesian_cp"
 
 
+#: Scores whose relative distance is below this are equal but for rounding.
+SAME_SCORE = 1e-9
+
+
+def score_ranks(scores: np.ndarray) -> np.ndarray:
+    """0 for the highest score, and one more for each next lower one; scores that differ by rounding only share a rank."""
+    order = np.argsort(-scores, kind="stable")
+    falling = scores[order]
+    ranks = np.empty(len(scores), np.int64)
+    ranks[order] = np.cumsum(np.concatenate(([0], falling[:-1] - falling[1:] > SAME_SCORE * np.abs(falling[:-1]))))[: len(scores)]
+    return ranks
+
+
 def welch_grid(epochs: np.ndarray, scores: np.ndarray, threshold: float = 0.25, gap: float = 1800, most: int | None = None) -> tuple[list[int], list[float], str]:
-    """Candidates chosen over an even time grid, then by rank where there are few."""
+    """Candidates chosen over an even time grid, then by rank where there are few; of equal scores the earlier goes first."""
     label = "torch_statistical"
     mu, sd = scores.mean(), scores.std()
     high, mid, low = (max(mu + k * threshold * sd, least) for k, least in ((3, 1.0), (1.5, 0.7), (0.5, 0.3)))
-    cand = [(1 if scores[i] > high else 2 if scores[i] > mid else 3, -scores[i], i) for i in np.flatnonzero(scores > low)]
+    ranks = score_ranks(scores)
+    cand = [(1 if scores[i] > high else 2 if scores[i] > mid else 3, ranks[i], i) for i in np.flatnonzero(scores > low)]
     cand.sort(key=lambda c: c[:2])
     if not cand:
         return [], [], label

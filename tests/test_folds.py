@@ -129,3 +129,13 @@ def test_comparison_of_detectors_on_small_values(spark):
     rows = [("a", i * 900_000_000, i * 900.0, 0.05) for i in range(1500)]
     m = spark.createDataFrame(rows, "series_id string, epoch_us bigint, epoch double, rtt_value double")
     assert compare(m, ChangePoints(), ["bcp"]).count() == 0
+
+
+def test_grid_takes_the_earlier_of_equal_scores():
+    """Equal scores come out of the sums with different last digits."""
+    epochs, scores = np.arange(700) * 900.0, np.zeros(700)
+    scores[[205, 206]] = 1.5, 1.5 * (1 + 1e-13)
+    scores[[405, 406]] = 1.5, 1.5 * (1 + 1e-6)
+    assert sequential.welch_grid(epochs, scores)[0] == [205, 406]
+    assert sequential.score_ranks(np.array([1.0, 2.0, 2.0 + 1e-12, 0.0, 0.0])).tolist() == [1, 0, 0, 2, 2]
+    assert not len(sequential.score_ranks(np.zeros(0)))
