@@ -27,9 +27,11 @@ ones of more than RARE documents after all others: so a frequent phrase in
 passages that differ otherwise makes no group, and a group either has RARE
 documents at most, which are all compared, or consists of passages made of
 frequent shingles only, which are compared with their LEADERS least ones; what
-is still open after that meets sixteen times as many in each later round, until no
-open window is in a group with documents left.  No group is cut short, and no
-pair is compared twice.
+is still open after that meets four times as many in each later round (sixteen times
+as many after a round of few new pairs), until no open window is in a group with
+documents left.  No group is cut short, and no pair is compared twice.  A passage
+that a verified one covers as a whole is not compared further, so a document has
+a source for each of its passages rather than all of them.
 
 *Verification.*  With both texts at hand, runs of the document's shingles that
 occur in the earlier one are joined while at least 2s/(1+s) of the joined
@@ -65,11 +67,30 @@ MIN_HITS = 2
 RARE = 16
 LEADERS = 16
 FEW = 2000
+LONG = 32
 BLOCK_BYTES = 4 << 20
 SHARD_TEXT_BYTES = 24 << 20
 MASK = (1 << 64) - 1
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of distinct words, of all words at once by eight bytes at a time; of words over LONG bytes the library's."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_binary())
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data, sizes = np.append(np.frombuffer(words.buffers()[2], np.uint8), np.zeros(8, np.uint8)), np.diff(at)
+    out = mix(sizes.astype(np.uint64) * GOLD)
+    for k in range(0, min(LONG, int(sizes.max())), 8):
+        mine = np.flatnonzero(sizes > k)
+        part = data[(at[mine] + k)[:, None] + np.arange(8)].view("<u8").reshape(-1)
+        unused = 8 * np.maximum(0, k + 8 - sizes[mine]).astype(np.uint64)
+        out[mine] = mix(out[mine] ^ (part << unused))
+    long = np.flatnonzero(sizes > LONG)
+    out[long] = hash_words(words.take(pa.array(long)))
+    return out
+
+
 def window_minima(h: np.ndarray, length: int) -> np.ndarray:
     """Places of a least value of all windows of ``length`` values, each place once."""
     n = len(h)
@@ -120,7 +141,7 @@ def compact_windows(h: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nd
     c = window_minima(spread, length)
     c = c[coarse[c] > 0]
     walls = ends + np.arange(n_texts + 1)
-    c = np.union1d(c, walls)
+    c = distinct(np.concatenate((c, walls)))
     left, right = nearest_smaller(coarse[c])
     real = coarse[c] > 0
     l, r = c[left[real]] + 1, c[np.minimum(right[real], len(c) - 1)] - 1
@@ -220,7 +241,7 @@ def _windows(docs: DataFrame, width: int, passage: int, hashes: int, shards: int
         task = TaskContext.get().partitionId()
         for number, block in enumerate(blocks(batches, "text", BLOCK_BYTES)):
             codes, offsets, words = words_of(block.column("text"))
-            h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
+            h, ends = shingle_hashes(codes, offsets, word_hashes(words), width)
             key, text, windows = _all_windows(h, ends, hashes, length, np.zeros(len(h), bool))
             windows = np.concatenate((windows, np.ones((1, len(key)), np.int64)))
             yield pa.RecordBatch.from_pylist(_ask_owners((task << 32) | number, shards, 1, key, text, windows, np.asarray(block.column("doc_id"), dtype=np.int64)), schema=ARROW)
@@ -394,7 +415,7 @@ def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> D
         task = TaskContext.get().partitionId()
         for number, block in enumerate(blocks(batches, "text", BLOCK_BYTES)):
             codes, offsets, words = words_of(block.column("text"))
-            h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
+            h, ends = shingle_hashes(codes, offsets, word_hashes(words), width)
             hashes, opens, head = [], [], []
             for i, (doc, begins, stops, open_begins, open_stops) in enumerate(zip(*(block.column(c).to_pylist() for c in ("id", "begins", "ends", "open_begins", "open_ends")), strict=True)):
                 n = int(ends[i + 1] - ends[i])
@@ -409,8 +430,7 @@ def _segments(docs: DataFrame, regions: DataFrame, width: int, shards: int) -> D
             if not head:
                 continue
             flat, head = np.concatenate(hashes), np.array(head, np.int64)
-            uniq, _, owners = (x for x in _least_owners(flat, np.repeat(head[:, 0], head[:, 2]), 1 << 30))
-            counts = _least_owners(flat, np.repeat(head[:, 0], head[:, 2]), RARE + 1)[1]
+            uniq, counts, _ = _least_owners(flat, np.repeat(head[:, 0], head[:, 2]), RARE + 1)
             shard, order = _by_shard(uniq, shards)
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
@@ -463,11 +483,17 @@ def _windows_again(table: pa.Table, hashes: int, length: int, shards: int, most:
     return pa.Table.from_pylist(_ask_owners(head["block"], shards, most, key, text[segment], np.concatenate((windows, opened[None].astype(np.int64))), doc_ids), schema=ARROW)
 
 
+def _found_in(x: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are among the sorted values; a search in them takes a tenth of the time of ``np.isin`` on texts of some hundred shingles."""
+    at = np.searchsorted(sorted_values, x)
+    return sorted_values[np.minimum(at, len(sorted_values) - 1)] == x
+
+
 def matching_spans(earlier: np.ndarray, later: np.ndarray, width: int, passage: int, similarity: float) -> list[tuple[int, int, float]]:
     """(first shingle, shingles, share found) of the passages of ``later`` whose shingles occur in ``earlier``."""
     if not len(later) or not len(earlier):
         return []
-    hit = np.isin(later, earlier)
+    hit = _found_in(later, np.sort(earlier))
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     runs = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
     least = 2 * similarity / (1 + similarity)
@@ -495,11 +521,10 @@ def _in_one_place(earlier: np.ndarray, later: np.ndarray, span: tuple[int, int,
     """``span``, if enough of its shingles stand within as many of the earlier document; else the parts of it of which that holds."""
     a, k, _ = span
     mine = later[a : a + k]
-    place = np.flatnonzero(np.isin(earlier, mine))
+    place = np.flatnonzero(_found_in(earlier, known := distinct(mine)))
     count = np.searchsorted(place, place + k) - np.arange(len(place))
     best = int(np.argmax(count))
-    n_mine = len(distinct(mine))
-    if count[best] >= 2 * similarity / (1 + similarity) * n_mine:
+    if count[best] >= 2 * similarity / (1 + similarity) * len(known):
         return [span]
     # The part that stands around the fullest place, then what is left on either side.
     part = earlier[max(0, int(place[best]) - width) : int(place[best]) + k + width]
@@ -533,7 +558,8 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
     while True:
         regions = materialize(spark, _regions(found, spans, width, passage, shards), "regions")
         discard(found)
-        if regions.where("size(open_begins) > 0").isEmpty():
+        n_open = regions.where("size(open_begins) > 0").count()
+        if not n_open:
             return spans
         made = materialize(spark, _segments(docs, regions, width, shards), "segments", "kind")
         flags = made.where(f"kind = {COUNT}").groupBy("shard").applyInArrow(_count_documents, SCHEMA)
@@ -543,8 +569,20 @@ def duplicate_passages(docs: DataFrame, width: int = WIDTH, passage: int = PASSA
         discard(made)
         found = _round(again, "candidates", most, lead, hits, passage - width + 1)
         new = materialize(spark, _pairs(found).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        more = materialize(spark, _verified(docs, new, width, passage, similarity), "spans")
-        spans, pairs, lead = spans.unionByName(more).distinct(), pairs.unionByName(new), 16 * lead
+        n_new = new.count()
+        if n_new:
+            # No pair is in two rounds, so no row is either.
+            spans, pairs = spans.unionByName(materialize(spark, _verified(docs, new, width, passage, similarity), "spans")), pairs.unionByName(new)
+        lead = more_leaders(lead, n_new, n_open)
+
+
+def more_leaders(lead: int, n_new: int, n_open: int) -> int:
+    """How many of the least documents a round meets after one that met ``lead`` and made ``n_new`` pairs for ``n_open`` open documents.
+
+    Four times as many, so that windows settled on the way bring no further
+    pairs; after a round of fewer pairs than open documents sixteen times as many.
+    """
+    return (4 if n_new > n_open else 16) * lead
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, similarity: float) -> DataFrame:
@@ -556,7 +594,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, passage: int, simil
     def to_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             codes, offsets, words = words_of(block.column("text"))
-            h, ends = shingle_hashes(codes, offsets, hash_words(words), width)
+            h, ends = shingle_hashes(codes, offsets, word_hashes(words), width)
             low = h.astype(np.uint32)
             yield pa.RecordBatch.from_arrays([block.column("id"), block.column("text_key"), pa.array([low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["id", "text_key", "items"])
 

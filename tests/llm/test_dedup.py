@@ -241,6 +241,20 @@ def test_hot_phrase_and_versions(make_docs):
     assert all((s.doc_id - s.source_id) % 5 == 0 for s in out)
 
 
+def test_more_leaders_are_met_step_by_step():
+    """Windows that a few more leaders settle must not meet 256 of them first."""
+    assert [substring_dedup.more_leaders(16, n, 100) for n in (0, 100, 101, 10_000)] == [256, 256, 64, 64]
+
+
+def test_word_hashes():
+    """All words differ, wherever they stand and however long they are."""
+    some = [b"a" * k for k in range(1, 80)] + [b"a" * k + b"\0" for k in range(40)] + ["naïve".encode(), "日本語".encode()]
+    array = substring_dedup.pa.array(some, substring_dedup.pa.large_binary())
+    h = substring_dedup.word_hashes(array)
+    assert len(set(h.tolist())) == len(some)
+    assert (substring_dedup.word_hashes(array.slice(7, 50)) == h[7:57]).all() and len(substring_dedup.word_hashes(array[:0])) == 0
+
+
 def test_scattered_pieces_are_no_passage():
     rng = np.random.default_rng(11)
     pieces = [rng.integers(0, 2**63, 10, dtype=np.uint64) for _ in range(6)]
